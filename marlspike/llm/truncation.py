@@ -31,8 +31,8 @@ BACK_OFF = 12
 def _form(line: Column) -> Column:
     """A line with numbers, codes and ids masked, so that equal forms compare equal."""
     out = F.regexp_replace(line, _TURN, "")
-    out = F.regexp_replace(out, r"\b[\p{Lu}\d]{8,}\b", "A")
-    out = F.regexp_replace(out, r"\b\p{Lu}{2,12}/", "P/")
+    out = F.regexp_replace(out, r"\b[\p{Lu}\d]{8,}\b", "§")
+    out = F.regexp_replace(out, r"\b\p{Lu}{2,12}/", "¤/")
     return F.regexp_replace(out, r"\d+", "0")
 
 
@@ -185,7 +185,7 @@ def truncated_texts(docs: DataFrame, doc_id: str, source: str, text: str) -> tup
         return F.array_min(F.filter(spikes, lambda s: (F.col(length) <= s + 2) & (F.col(length) >= s - BACK_OFF)))
 
     near = near.withColumn("limit_length", F.coalesce(hit("chars", "char_spikes"), hit("bytes", "byte_spikes")))
-    plain = F.col("fragment").rlike(r"^[^0AP/]*$") & (F.length("fragment") <= 60)
+    plain = F.col("fragment").rlike(r"^[^0§¤]*$") & (F.length("fragment") <= 60)
     recurs = F.col("known") | (plain & (F.col("finals") >= 2) & ~F.col("limit_length").isNotNull()) | (plain & (F.col("finals") >= 4))
     author = F.col("dots") & (
         recurs | (F.col("limit_length").isNull() & ((F.size("char_spikes") > 0) | (F.size("byte_spikes") > 0) | plain))
