@@ -100,10 +100,14 @@ def kuiper_statistic(c: list[Column], n: Column) -> Column:
     return F.when(n >= 5, above + below)
 
 
-def ks_pvalue(d: Column, n: Column) -> Column:
-    """Kolmogorov's series (100 terms) at the size-adjusted statistic."""
+def ks_lambda(d: Column, n: Column) -> Column:
+    """Size-adjusted KS statistic; make it a column of its own before ``ks_pvalue``."""
     root = F.sqrt(n.cast("double"))
-    lam = (root + 0.12 + F.lit(0.11) / root) * d
+    return (root + 0.12 + F.lit(0.11) / root) * d
+
+
+def ks_pvalue(lam: Column) -> Column:
+    """Kolmogorov's series (100 terms) at the size-adjusted statistic."""
     terms = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)),
         F.lit(0.0),
@@ -112,10 +116,14 @@ def ks_pvalue(d: Column, n: Column) -> Column:
     return F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms * 2)))
 
 
-def kuiper_pvalue(v: Column, n: Column) -> Column:
-    """Kuiper's series (100 terms) at the size-adjusted statistic."""
+def kuiper_lambda(v: Column, n: Column) -> Column:
+    """Size-adjusted Kuiper statistic; make it a column of its own before ``kuiper_pvalue``."""
     root = F.sqrt(n.cast("double"))
-    lam = (root + 0.155 + F.lit(0.24) / root) * v
+    return (root + 0.155 + F.lit(0.24) / root) * v
+
+
+def kuiper_pvalue(lam: Column) -> Column:
+    """Kuiper's series (100 terms) at the size-adjusted statistic."""
     terms = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)),
         F.lit(0.0),

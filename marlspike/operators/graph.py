@@ -30,9 +30,75 @@ def _trim(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.select("src", "dst"), lone
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def components_of(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Component number of each of ``n`` nodes, by one depth-first pass with a stack of open roots.
+
+    Explicit stacks, so depth has no limit; linear in nodes and edges.
+    """
+    order = np.argsort(src, kind="stable")
+    start = np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    heads = dst[order].tolist()
+    number, component = [0] * n, [-1] * n
+    count, found = 0, 0
+    for origin in range(n):
+        if number[origin]:
+            continue
+        count += 1
+        number[origin] = count
+        trail, at = [origin], [start[origin]]  # the path and the next edge of each of its nodes
+        pending, roots = [origin], [origin]
+        while trail:
+            v, i = trail[-1], at[-1]
+            if i < start[v + 1]:
+                at[-1] = i + 1
+                w = heads[i]
+                if not number[w]:
+                    count += 1
+                    number[w] = count
+                    trail.append(w)
+                    at.append(start[w])
+                    pending.append(w)
+                    roots.append(w)
+                elif component[w] < 0:
+                    while number[roots[-1]] > number[w]:
+                        roots.pop()
+            else:
+                trail.pop()
+                at.pop()
+                if roots[-1] == v:
+                    roots.pop()
+                    while True:
+                        w = pending.pop()
+                        component[w] = found
+                        if w == v:
+                            break
+                    found += 1
+    return np.array(component)
+
+
+def _components_in_one_task(edges: DataFrame) -> DataFrame:
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(frames):
+        pdf = pd.concat(list(frames))
+        if not len(pdf):
+            return
+        codes, names = pd.factorize(np.concatenate([pdf["src"], pdf["dst"]]), sort=True)
+        half = len(pdf)
+        c = components_of(codes[:half], codes[half:], len(names))
+        least = np.full(c.max() + 1, len(names))
+        np.minimum.at(least, c, np.arange(len(names)))
+        yield pd.DataFrame({"v": names, "component": names[least[c]]})
+
+    return edges.repartition(1).mapInPandas(run, f"v {kind}, component {kind}")
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 10_000, one_task_edges: int = 1_000_000) -> DataFrame:
     """(v, component): strongly connected components, named by their least node.
 
+    A graph of at most ``one_task_edges`` different edges (they are counted) is
+    handled by one linear pass in one task; beyond that, by joins:
+
     Colouring: after trimming nodes without an edge in or out, every node takes
     the least name that can reach it; the nodes of a colour that can reach the
     node it is named after form its component, which leaves the graph; the rest
@@ -42,6 +108,9 @@ def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     nodes that only have self-loops are components of their own.
     """
     e = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
+    e = durable(e, "edges")
+    if e.count() <= one_task_edges:
+        return _components_in_one_task(e)
     nodes = e.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
     loose = e.filter("src <> dst")
     done: DataFrame | None = None

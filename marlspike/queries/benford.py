@@ -87,19 +87,20 @@ def benford_chi2_pvalue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def benford_ks(spark: SparkSession, d: str) -> DataFrame:
-    h = _histogram(trades(spark, d), "pair")
-    ks = b.ks_statistic(b.counts(), F.col("n"))
+    h = _histogram(trades(spark, d), "pair").filter("n >= 5")
+    h = h.select("pair", "n", b.ks_statistic(b.counts(), F.col("n")).alias("ks"))
+    h = h.withColumn("lam", b.ks_lambda(F.col("ks"), F.col("n")))
     return h.select(
-        "pair", "n", F.round(ks, 8).alias("ks"), (ks > b.KS_FACTOR / F.sqrt("n")).alias("flag"),
-        F.round(b.ks_pvalue(ks, F.col("n")), 6).alias("p"),
-    ).filter("n >= 5")
+        "pair", "n", F.round("ks", 8).alias("ks"), (F.col("ks") > b.KS_FACTOR / F.sqrt("n")).alias("flag"),
+        F.round(b.ks_pvalue(F.col("lam")), 6).alias("p"),
+    )
 
 
 def benford_kuiper(spark: SparkSession, d: str) -> DataFrame:
-    h = _histogram(trades(spark, d), "pair")
-    v = b.kuiper_statistic(b.counts(), F.col("n"))
-    p = b.kuiper_pvalue(v, F.col("n"))
-    return h.filter("n >= 5").select("pair", "n", F.round(v, 8).alias("kuiper"), F.round(p, 6).alias("p"), (p < 0.05).alias("flag"))
+    h = _histogram(trades(spark, d), "pair").filter("n >= 5")
+    h = h.select("pair", "n", b.kuiper_statistic(b.counts(), F.col("n")).alias("v"))
+    h = h.withColumn("lam", b.kuiper_lambda(F.col("v"), F.col("n"))).withColumn("pv", b.kuiper_pvalue(F.col("lam")))
+    return h.select("pair", "n", F.round("v", 8).alias("kuiper"), F.round("pv", 6).alias("p"), (F.col("pv") < 0.05).alias("flag"))
 
 
 def _windowed(rows: DataFrame, as_of: str, *keys) -> DataFrame:
@@ -117,13 +118,18 @@ def benford_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = _windowed(activity(spark, d), EVENTS_END)
     h = _histogram(rows, "pair", "w")
     c, n = b.counts(), F.col("n")
-    chi, ks, ku = b.chi_square(c, n), b.ks_statistic(c, n), b.kuiper_statistic(c, n)
-    flags = (chi > b.CHI2_CRITICAL).cast("int") + F.coalesce((ks > b.KS_FACTOR / F.sqrt("n")).cast("int"), F.lit(0)) + F.coalesce(
-        (b.kuiper_pvalue(ku, n) < 0.05).cast("int"), F.lit(0)
+    m = h.select(
+        "pair", "w", "n", b.chi_square(c, n).alias("chi"), b.mean_deviation(c, n).alias("mad"), b.ks_statistic(c, n).alias("ks"),
+        b.kuiper_lambda(b.kuiper_statistic(c, n), n).alias("lam"),
     )
-    return h.select(
-        "pair", F.col("w").alias("window"), "n", F.round(chi, 6).alias("chi2"), F.round(b.mean_deviation(c, n), 8).alias("mad"),
-        F.round(F.coalesce(ks, F.lit(0.0)), 8).alias("ks"), (flags >= 2).alias("combined_flag"),
+    flags = (
+        (F.col("chi") > b.CHI2_CRITICAL).cast("int")
+        + F.coalesce((F.col("ks") > b.KS_FACTOR / F.sqrt("n")).cast("int"), F.lit(0))
+        + F.coalesce((b.kuiper_pvalue(F.col("lam")) < 0.05).cast("int"), F.lit(0))
+    )
+    return m.select(
+        "pair", F.col("w").alias("window"), "n", F.round("chi", 6).alias("chi2"), F.round("mad", 8).alias("mad"),
+        F.round(F.coalesce("ks", F.lit(0.0)), 8).alias("ks"), (flags >= 2).alias("combined_flag"),
     )
 
 

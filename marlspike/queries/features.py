@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marlspike.functions import benford as b
 from marlspike.functions.stats import clip, exact_sum, ratio, safe_corr
 from marlspike.queries.views import ACTIVITY_SQL, TRADES_SQL, WALLET_SQL, activity, trades, wallet_rows
+from marlspike.session import durable
 from marlspike.sources.tables import table
 
 
@@ -20,9 +21,14 @@ def _seconds(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(1e6)
 
 
-def counterparty_concentration(spark: SparkSession, d: str) -> DataFrame:
+def _rows(spark: SparkSession, d: str, rows: DataFrame | None) -> DataFrame:
+    """The wallet rows, or those a caller has at hand for several families."""
+    return wallet_rows(spark, d) if rows is None else rows
+
+
+def counterparty_concentration(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """Largest counterparty's share of a wallet's volume."""
-    per = wallet_rows(spark, d).groupBy("wallet", "cp").agg(F.sum("amount").alias("v"))
+    per = _rows(spark, d, rows).groupBy("wallet", "cp").agg(F.sum("amount").alias("v"))
     named = per.groupBy("wallet").agg(F.max(F.when(F.col("cp").isNotNull(), F.col("v"))).alias("top"), F.sum("v").alias("all"))
     return named.select("wallet", F.round(ratio(F.col("top"), F.col("all")), 8).alias("concentration"))
 
@@ -128,19 +134,19 @@ def funding_similarity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def account_age(spark: SparkSession, d: str) -> DataFrame:
+def account_age(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """Days between an account's creation and its last trade; unknown accounts have 0."""
-    last = wallet_rows(spark, d).groupBy("wallet").agg(F.max("ts").alias("last"))
+    last = _rows(spark, d, rows).groupBy("wallet").agg(F.max("ts").alias("last"))
     known = table(spark, d, "account_metadata").select(F.col("account").alias("wallet"), "created_at")
     return last.join(known, "wallet", "left").select(
-        "wallet", F.round(F.coalesce(F.greatest(_seconds(F.col("last"), F.col("created_at")) / 86400, F.lit(0.0)), F.lit(0.0)), 6).alias("age_days")
+        "wallet", F.coalesce(F.greatest(_seconds(F.col("last"), F.col("created_at")) / 86400, F.lit(0.0)), F.lit(0.0)).alias("age_days")
     )
 
 
-def round_trip_frequency(spark: SparkSession, d: str, ahead: int = 5) -> DataFrame:
+def round_trip_frequency(spark: SparkSession, d: str, rows: DataFrame | None = None, ahead: int = 5) -> DataFrame:
     """Share of a wallet's trades undone by one of its next five (gives back what was got)."""
     side = F.col("base") == F.col("wallet")
-    rows = wallet_rows(spark, d).select(
+    rows = _rows(spark, d, rows).select(
         "wallet", "ts", "trade_id",
         F.when(side, F.col("base_code")).otherwise(F.col("counter_code")).alias("gave"),
         F.when(side, F.col("counter_code")).otherwise(F.col("base_code")).alias("got"),
@@ -163,18 +169,18 @@ def pool_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("o", other).groupBy("pool", "base").agg(F.round(F.avg((F.col("o") > 0).cast("double")), 9).alias("ratio"))
 
 
-def _gaps(spark: SparkSession, d: str) -> DataFrame:
+def _gaps(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     by = Window.partitionBy("wallet").orderBy("ts", "trade_id")
-    rows = wallet_rows(spark, d).withColumn("gap", _seconds(F.col("ts"), F.lag("ts").over(by)))
+    rows = _rows(spark, d, rows).withColumn("gap", _seconds(F.col("ts"), F.lag("ts").over(by)))
     return rows.withColumn("before", F.lag("gap").over(by)).withColumn("jump", F.col("gap") - F.col("before")).withColumn(
         "jump_before", F.lag("jump").over(by)
     )
 
 
-def interval_autocorr(spark: SparkSession, d: str) -> DataFrame:
+def interval_autocorr(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """Lag-1 autocorrelation of gaps between trades, mapped to 0..1; constant gaps give 1, few trades 0."""
     both = F.col("before").isNotNull()
-    agg = _gaps(spark, d).groupBy("wallet").agg(
+    agg = _gaps(spark, d, rows).groupBy("wallet").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_pop("gap").alias("sd"),
         safe_corr(F.when(both, F.col("gap")), F.when(both, F.col("before"))).alias("r"),
     )
@@ -182,21 +188,21 @@ def interval_autocorr(spark: SparkSession, d: str) -> DataFrame:
     return agg.select("wallet", F.round(score, 6).alias("regularity"))
 
 
-def jitter_autocorr(spark: SparkSession, d: str) -> DataFrame:
+def jitter_autocorr(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     both = F.col("jump_before").isNotNull()
-    agg = _gaps(spark, d).groupBy("wallet").agg(
+    agg = _gaps(spark, d, rows).groupBy("wallet").agg(
         F.count(F.lit(1)).alias("n"), safe_corr(F.when(both, F.col("jump")), F.when(both, F.col("jump_before"))).alias("r")
     )
     return agg.select("wallet", F.round(F.when(F.col("n") < 5, 0.0).otherwise(F.coalesce("r", F.lit(0.0))), 6).alias("jitter"))
 
 
-def counterparty_rotation(spark: SparkSession, d: str) -> DataFrame:
-    return wallet_rows(spark, d).groupBy("wallet").agg(F.round(F.countDistinct("cp") / F.count(F.lit(1)), 9).alias("rotation"))
+def counterparty_rotation(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    return _rows(spark, d, rows).groupBy("wallet").agg(F.round(F.countDistinct("cp") / F.count(F.lit(1)), 9).alias("rotation"))
 
 
-def decoy_signature(spark: SparkSession, d: str) -> DataFrame:
+def decoy_signature(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """Share of neighbouring trades that go from the lowest to the highest quarter of the wallet's amounts."""
-    rows = wallet_rows(spark, d)
+    rows = _rows(spark, d, rows)
     quarters = rows.groupBy("wallet").agg(F.percentile("amount", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("wallet").orderBy("ts", "trade_id")
     steps = rows.select("wallet", "amount", F.lead("amount").over(by).alias("next")).filter("next IS NOT NULL")
@@ -241,9 +247,9 @@ def evasion_composite(spark: SparkSession, d: str) -> DataFrame:
         (interval_autocorr, "regularity", 0.25), (counterparty_rotation, "rotation", 0.25), (decoy_signature, "decoys", 0.25),
         (jitter_autocorr, "jitter", 0.25),
     ]
-    out = None
+    out, rows = None, durable(wallet_rows(spark, d), "wallet-rows")
     for f, name, _ in parts:
-        x = f(spark, d)
+        x = f(spark, d, rows)
         out = x if out is None else out.join(x, "wallet", "full")
     total = None
     for _, name, w in parts:
@@ -254,7 +260,7 @@ def evasion_composite(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_vector(spark: SparkSession, d: str) -> DataFrame:
     """All wallet families side by side, 0 where a family has nothing to say."""
-    rows = wallet_rows(spark, d)
+    rows = durable(wallet_rows(spark, d), "wallet-rows")
     dg = b.leading_digit(F.col("amount"))
     same = F.coalesce((F.col("base") == F.col("counter")).cast("double"), F.lit(0.0))
     core = rows.groupBy("wallet").agg(
@@ -268,7 +274,7 @@ def feature_vector(spark: SparkSession, d: str) -> DataFrame:
         F.round(b.mean_deviation(b.counts(), n), 8).alias("mad"),
     )
     for f in (counterparty_concentration, round_trip_frequency, counterparty_rotation, account_age):
-        core = core.join(f(spark, d), "wallet", "left")
+        core = core.join(f(spark, d, rows), "wallet", "left")
     return core.fillna(0.0)
 
 
@@ -285,7 +291,7 @@ QUERIES = {
 _DGS = "CASE WHEN amount > 0 THEN CAST(nullif(regexp_extract(CAST(amount AS VARCHAR), '[1-9]'), '') AS INT) END"
 _CONC = "SELECT wallet, round(coalesce(max(v) FILTER (cp IS NOT NULL) / nullif(sum(v), 0), 0), 8) AS concentration FROM (SELECT wallet, cp, sum(amount) AS v FROM wrows GROUP BY ALL) GROUP BY wallet"
 _ROT = "SELECT wallet, round(count(DISTINCT cp) / count(*), 9) AS rotation FROM wrows GROUP BY wallet"
-_AGE = "SELECT wallet, round(coalesce(greatest((epoch_us(last) - epoch_us(created_at)) / 1e6 / 86400, 0), 0), 6) AS age_days FROM (SELECT wallet, max(ts) AS last FROM wrows GROUP BY 1) LEFT JOIN account_metadata ON account = wallet"
+_AGE = "SELECT wallet, coalesce(greatest((epoch_us(last) - epoch_us(created_at)) / 1e6 / 86400, 0), 0) AS age_days FROM (SELECT wallet, max(ts) AS last FROM wrows GROUP BY 1) LEFT JOIN account_metadata ON account = wallet"
 _LEGS = "legs AS (SELECT wallet, ts, trade_id, CASE WHEN base = wallet THEN base_code ELSE counter_code END AS gave, CASE WHEN base = wallet THEN counter_code ELSE base_code END AS got FROM wrows)"
 _TRIP_WINDOW = " OR ".join(
     f"(lead(gave, {k}) OVER w = got AND lead(got, {k}) OVER w = gave)" for k in range(1, 6)

@@ -237,7 +237,7 @@ def opposite_transfers(spark: SparkSession, d: str) -> DataFrame:
     a = t.filter("direction = 'stellar_to_evm'").select("evm", F.col("ts").alias("t0"))
     b = t.filter("direction = 'evm_to_stellar'").select("evm", F.col("ts").alias("t1"))
     gap = F.abs(F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("t1"))) / F.lit(1e6)
-    return band_join(a, b, ["evm"], "t0", "t1", 604_800).groupBy("evm").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.min(gap), 4).alias("least_gap_s"))
+    return band_join(a, b, ["evm"], "t0", "t1", 604_800).groupBy("evm").agg(F.count(F.lit(1)).alias("pairs"), F.min(gap).alias("least_gap_s"))
 
 
 def wallet_link_score(spark: SparkSession, d: str) -> DataFrame:
@@ -552,7 +552,7 @@ FROM transfers a JOIN transfers b ON a.evm = b.evm AND a.direction = 'stellar_to
 WHERE a.usd > 0 AND b.usd > 0),
 g AS (SELECT evm, max(0.5*r + 0.3*(1 - gap) + 0.1) AS best, count(*) AS n FROM m WHERE r >= 0.95 GROUP BY 1)
 SELECT evm, n, round(least(1.0, best + least(0.3, 0.05*(n - 1))), 8) AS score FROM g""",
-    "opposite_transfers": f"""WITH {TRANSFERS_SQL} SELECT a.evm, count(*) AS pairs, round(min(abs(epoch_us(b.ts) - epoch_us(a.ts)) / 1e6), 4) AS least_gap_s
+    "opposite_transfers": f"""WITH {TRANSFERS_SQL} SELECT a.evm, count(*) AS pairs, min(abs(epoch_us(b.ts) - epoch_us(a.ts)) / 1e6) AS least_gap_s
 FROM transfers a JOIN transfers b ON a.evm = b.evm AND a.direction = 'stellar_to_evm' AND b.direction = 'evm_to_stellar' AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 604800000000 GROUP BY 1""",
     "wallet_link_score": f"{_LINK} SELECT * FROM link",
     "accepted_links": f"{_LINK} SELECT * FROM link WHERE confidence >= 0.7 ORDER BY confidence DESC, wallet, evm LIMIT 100",
