@@ -80,9 +80,10 @@ def _components_in_one_task(edges: DataFrame) -> DataFrame:
     kind = edges.schema["src"].dataType.simpleString()
 
     def run(frames):
-        pdf = pd.concat(list(frames))
-        if not len(pdf):
+        parts = [f for f in frames if len(f)]
+        if not parts:
             return
+        pdf = pd.concat(parts)
         codes, names = pd.factorize(np.concatenate([pdf["src"], pdf["dst"]]), sort=True)
         half = len(pdf)
         c = components_of(codes[:half], codes[half:], len(names))

@@ -30,10 +30,13 @@ def drain(stream: DataFrame, label: str, mode: str = "append", checkpoint: str |
 
     ``append`` writes files with the exactly-once file sink; ``complete`` and
     ``update`` write each batch to a folder of its own, which a repeated batch
-    overwrites (complete: the last batch is the result).
+    overwrites (complete: the last batch is the result). With a ``checkpoint``
+    folder of the caller's the sink lies in it, and a restarted job goes on with
+    both.
     """
     spark = stream.sparkSession
-    out, place = shared_dir(spark, label), checkpoint or shared_dir(spark, f"{label}-state")
+    place = checkpoint or shared_dir(spark, f"{label}-state")
+    out = f"{checkpoint}/sink" if checkpoint else shared_dir(spark, label)
     writer = stream.writeStream.option("checkpointLocation", place).trigger(availableNow=True)
     if mode == "append":
         writer.outputMode("append").format("parquet").option("path", out).start().awaitTermination()
