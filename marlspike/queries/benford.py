@@ -18,11 +18,13 @@ WINDOWS = {"1h": 1, "4h": 4, "24h": 24, "7d": 168, "30d": 720}
 EVENTS_END = "2024-01-30 00:00:00"
 MIN_STRATUM = 30
 
-_N = b.total(b.counts())
+def _n():
+    """Digits counted in a histogram's row."""
+    return b.total(b.counts())
 
 
 def _histogram(rows: DataFrame, *keys) -> DataFrame:
-    return rows.groupBy(*keys).agg(*b.digit_counts(b.leading_digit(F.col("amount")))).withColumn("n", _N)
+    return rows.groupBy(*keys).agg(*b.digit_counts(b.leading_digit(F.col("amount")))).withColumn("n", _n())
 
 
 def _sql_counts(digit: str = "dg") -> str:
@@ -137,7 +139,7 @@ def benford_stratified(spark: SparkSession, d: str) -> DataFrame:
     """Summary over pairs with enough digits; the whole frame stands in if none has."""
     h = trades(spark, d).groupingSets([["pair_key"], []], "pair_key").agg(
         *b.digit_counts(b.leading_digit(F.col("amount"))), F.grouping("pair_key").alias("whole")
-    ).withColumn("n", _N)
+    ).withColumn("n", _n())
     c, n = b.counts(), F.col("n")
     m = h.select("pair_key", "whole", "n", b.chi_square(c, n).alias("chi2"), b.mean_deviation(c, n).alias("mad"))
     strata = (F.col("whole") == 0) & (F.col("n") >= MIN_STRATUM)
@@ -179,7 +181,7 @@ def benford_last_n(spark: SparkSession, d: str) -> DataFrame:
     rows = activity(spark, d).withColumn("dg", dg).filter("dg IS NOT NULL")
     counted = rows.select("wallet", "ts", "event_id", *[F.sum((F.col("dg") == k).cast("long")).over(by).alias(f"c{k}") for k in range(1, 10)])
     last = counted.groupBy("wallet").agg(F.max_by(F.struct(*[f"c{k}" for k in range(1, 10)]), F.struct("ts", "event_id")).alias("s"))
-    last = last.select("wallet", "s.*").withColumn("n", _N)
+    last = last.select("wallet", "s.*").withColumn("n", _n())
     return last.select("wallet", "n", F.round(b.mean_deviation(b.counts(), F.col("n")), 8).alias("mad"), F.round(b.chi_square(b.counts(), F.col("n")), 6).alias("chi2"))
 
 
@@ -187,7 +189,7 @@ def benford_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Digit shares per unordered pair over the last 30 days; the law's shares where there is nothing."""
     end = F.lit(AS_OF).cast("timestamp_ntz")
     recent = (F.col("ts") > end - F.expr("INTERVAL 30 DAYS")) & (F.col("ts") <= end)
-    h = trades(spark, d).groupBy("pair_key").agg(*b.digit_counts(b.leading_digit(F.col("amount")), recent)).withColumn("n", _N)
+    h = trades(spark, d).groupBy("pair_key").agg(*b.digit_counts(b.leading_digit(F.col("amount")), recent)).withColumn("n", _n())
     shares = [F.round(F.when(F.col("n") > 0, F.col(f"c{k}") / F.col("n")).otherwise(b.EXPECTED[k - 1]), 9).alias(f"p{k}") for k in range(1, 10)]
     return h.select("pair_key", "n", *shares)
 

@@ -24,29 +24,28 @@ def trades(spark: SparkSession, d: str) -> DataFrame:
     kind = F.lower(stripped(F.col("trade_type")))
     base = F.coalesce("base_asset_code", F.lit("XLM"))
     counter = F.coalesce("counter_asset_code", F.lit("XLM"))
-    kept = first_copies(
-        table(spark, d, "horizon_trade"),
-        F.col("paging_token"),
-        F.col("id"),
-        [F.col("received_at"), F.col("delivery_id")],
-        [
-            F.col("delivery_id").alias("trade_id"),
-            F.col("id").alias("op"),
-            stripped(F.col("paging_token")).alias("token"),
-            F.col("ledger_close_time").alias("ts"),
-            F.col("base_account").alias("base"),
-            F.col("counter_account").alias("counter"),
-            base.alias("base_code"),
-            counter.alias("counter_code"),
-            F.concat_ws("/", base, counter).alias("pair"),
-            F.concat_ws("/", F.least(base, counter), F.greatest(base, counter)).alias("pair_key"),
-            amount(F.col("base_amount")).cast("double").alias("amount"),
-            amount(F.col("counter_amount")).cast("double").alias("counter_amount"),
-            (F.col("price.n") / F.col("price.d")).alias("price"),
-            F.col("base_is_seller"),
-            F.when(kind.isin("liquidity_pool", "2"), "liquidity_pool").otherwise("orderbook").alias("kind"),
-            F.col("liquidity_pool_id").alias("pool"),
-        ],
+    raw = table(spark, d, "horizon_trade")
+    winners = first_copies(
+        raw, F.col("paging_token"), F.col("id"), [F.col("received_at"), F.col("delivery_id")], [F.col("delivery_id")]
+    )
+    # only numbers are compared and joined; what a query doesn't use is never read
+    kept = raw.join(winners, "delivery_id", "left_semi").select(
+        F.col("delivery_id").alias("trade_id"),
+        F.col("id").alias("op"),
+        stripped(F.col("paging_token")).alias("token"),
+        F.col("ledger_close_time").alias("ts"),
+        F.col("base_account").alias("base"),
+        F.col("counter_account").alias("counter"),
+        base.alias("base_code"),
+        counter.alias("counter_code"),
+        F.concat_ws("/", base, counter).alias("pair"),
+        F.concat_ws("/", F.least(base, counter), F.greatest(base, counter)).alias("pair_key"),
+        amount(F.col("base_amount")).cast("double").alias("amount"),
+        amount(F.col("counter_amount")).cast("double").alias("counter_amount"),
+        (F.col("price.n") / F.col("price.d")).alias("price"),
+        F.col("base_is_seller"),
+        F.when(kind.isin("liquidity_pool", "2"), "liquidity_pool").otherwise("orderbook").alias("kind"),
+        F.col("liquidity_pool_id").alias("pool"),
     )
     return kept.filter(F.col("ts").isNotNull() & F.col("base").isNotNull() & (F.col("amount") > 0))
 
