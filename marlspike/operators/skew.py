@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def key_states(
@@ -24,6 +25,14 @@ def key_states(
     return rows.groupBy(*keys).agg(rows_held.alias("n"), *[F.sum(c).alias(k) for k, c in (sums or {}).items()])
 
 
+def _times(states: DataFrame, name: str, n: Column) -> Column:
+    """A sum taken ``n`` times. Decimals get room for the product, so none of their digits is lost to Spark's rule."""
+    kind = states.schema[name].dataType
+    if isinstance(kind, T.DecimalType):
+        return F.col(name).try_cast(T.DecimalType(27, min(kind.scale, 9))) * n.try_cast(T.DecimalType(10, 0))
+    return F.col(name) * n
+
+
 def eager_join_totals(
     left: DataFrame,
     right: DataFrame,
@@ -49,7 +58,9 @@ def eager_join_totals(
     left row once, with null right sums and no right rows. Null keys match
     nothing. Equal names on both sides don't clash: only keys and the named sums
     come out. ``weight``: both inputs are states already, with their number of
-    rows in that column; sums are then not weighted again.
+    rows in that column; sums are then not weighted again. Decimal sums come out
+    exact to 9 places; one of 10^18 or more, and one with 10^10 partners or more,
+    is null.
     """
     left_sums, right_sums, by = left_sums or {}, right_sums or {}, by or []
     a = key_states(left, [*keys, *by], {f"l_{k}": c for k, c in left_sums.items()}, weight).withColumnRenamed("n", "l_n")
@@ -61,8 +72,8 @@ def eager_join_totals(
         (F.col("l_n") * times).alias("pairs"),
         F.col("l_n").alias("left_rows"),
         F.coalesce(F.col("r_n"), F.lit(0)).alias("right_rows"),
-        *[(F.col(f"l_{k}") * times).alias(k) for k in left_sums],
-        *[(F.col(f"r_{k}") * F.col("l_n")).alias(k) for k in right_sums],
+        *[_times(a, f"l_{k}", times).alias(k) for k in left_sums],
+        *[_times(b, f"r_{k}", F.col("l_n")).alias(k) for k in right_sums],
     )
     if roll_up is None:
         return per_key

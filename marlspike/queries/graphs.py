@@ -274,6 +274,10 @@ SELECT pool, base, buy, sale, victim_trade, round(profit, 7) AS profit FROM v WH
   first(price) OVER (w ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS p0, last(price) OVER (w ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS p1 FROM trades WHERE kind = 'orderbook' WINDOW w AS (PARTITION BY pair ORDER BY ts, trade_id)),
 x AS (SELECT *, len(list_filter(list_distinct(list_intersect(bf, af)), lambda q: q <> base)) AS attackers FROM n WHERE amount >= 500)
 SELECT trade_id, pair, CAST(attackers AS INT) AS attackers, round(abs(p1 / p0 - 1), 8) AS impact FROM x WHERE attackers > 0 AND abs(p1 / p0 - 1) >= 0.003""",
+    "lp_sessions": f"""WITH {TRANSFERS_SQL}, t AS (SELECT evm, ts, id, CASE WHEN direction = 'stellar_to_evm' THEN 1 ELSE -1 END AS s FROM transfers),
+b AS (SELECT *, sum(s) OVER (PARTITION BY evm ORDER BY ts, id) AS b FROM t), l AS (SELECT *, least(min(b) OVER (PARTITION BY evm ORDER BY ts, id), 0) AS low FROM b),
+w AS (SELECT *, coalesce(lag(low) OVER (PARTITION BY evm ORDER BY ts, id), 0) AS was FROM l), k AS (SELECT evm, s, ts, row_number() OVER (PARTITION BY evm, s ORDER BY ts, id) AS k FROM w WHERE s = 1 OR low = was)
+SELECT o.evm, count(*) AS opened, count(c.ts) AS closed, round(avg((epoch_us(c.ts) - epoch_us(o.ts)) / 3600e6), 6) AS mean_hours FROM k o LEFT JOIN k c ON c.evm = o.evm AND c.k = o.k AND c.s = -1 WHERE o.s = 1 GROUP BY 1""",
     "session_containment": f"""WITH {TRADES_SQL}, {TRANSFERS_SQL} SELECT s.wallet, count(DISTINCT transfer_id) AS sessions, count(*) AS pairs, CAST(sum(CAST(amount AS DECIMAL(38,8))) AS DOUBLE) AS volume
 FROM transfers s JOIN trades t ON t.base = s.wallet AND direction = 'stellar_to_evm' AND t.ts >= s.ts AND t.ts <= s.ts + INTERVAL 6 HOUR GROUP BY 1""",
 }

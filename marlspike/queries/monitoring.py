@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -587,7 +589,15 @@ fill AS (SELECT g.asset_pair, strftime(g.day, '%Y-%m-%d') AS day, round(coalesce
 _KINDS = ["click", "error", "purchase", "signup", "view"]
 _E50 = "(y <> (ens >= 50)::INT)::INT"
 
+_LAW = [math.log10(1 + 1 / k) for k in range(1, 10)]
+_DIGIT = "CASE WHEN amount > 0 THEN CAST(nullif(regexp_extract(CAST(amount AS VARCHAR), '[1-9]'), '') AS INT) END"
+
 ORACLE = {
+    "risk_score_blend": f"""WITH {WALLET_SQL}, {_F}, g AS (SELECT wallet, {_DIGIT} AS dg FROM wrows),
+m AS (SELECT wallet, round(({' + '.join(f'abs(count(*) FILTER (dg = {k}) / count(dg) - {_LAW[k-1]!r})' for k in range(1, 10))}) / 9, 9) AS mad FROM g GROUP BY 1),
+p AS (SELECT wallet, round(avg((rf + xg + lg) / 3), 9) AS p FROM fb GROUP BY 1)
+SELECT m.wallet, CAST(greatest(least(round_even(0.3::DOUBLE * least(mad / 0.015::DOUBLE, 1.0) * 100 + 0.7::DOUBLE * p * 100, 0), 100), 0) AS INT) AS score, mad > 0.015 AS benford_flag, p >= 0.5 AS ml_flag
+FROM m JOIN p ON p.wallet = m.wallet""",
     "volume_matrix": f"""WITH {ACTIVITY_SQL}, a AS (SELECT *, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '2000-01-01') AS w FROM activity WHERE ts > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 30 DAY AND ts <= TIMESTAMP '2024-01-30 00:00:00')
 SELECT strftime(w, '%Y-%m-%d %H:%M') AS slice, {', '.join(f"round(coalesce(sum(amount) FILTER (pair = '{k}'), 0), 4) AS {k}" for k in _KINDS)} FROM a GROUP BY w""",
     "spearman_pairs": f"""WITH {TRADES_SQL}, dl AS (SELECT pair_key, CAST(ts AS DATE) AS day, round(sum(amount), 6) AS v FROM trades GROUP BY ALL),

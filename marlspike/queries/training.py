@@ -246,7 +246,46 @@ rolled AS (
   WINDOW w7 AS (PARTITION BY a ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
          w30 AS (PARTITION BY a ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"""
 
+_FIELDS = """
+r AS (SELECT feed, file_seq, json_extract_string(payload, '$.id') AS rid, CAST(payload AS JSON) AS j FROM horizon_trade_raw
+      WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE FALSE END),
+f AS (SELECT feed, file_seq, rid, j, unnest(json_keys(j)) AS k FROM r),
+x AS (SELECT feed, file_seq, rid, k, json_extract(j, '$."' || k || '"') AS v FROM f),
+v AS (SELECT feed, file_seq, rid, k,
+  CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
+  CASE WHEN json_type(v) <> 'NULL' THEN CAST(json(v) AS VARCHAR) END AS val FROM x)"""
+
+_USABLE = f"CASE WHEN regexp_matches(trim(base_amount, {_BLANK}), '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(trim(base_amount, {_BLANK}) AS DECIMAL(38,18)) END"
+
 ORACLE = {
+    "p3_account_totals": f"""
+WITH t AS (SELECT base_account AS account, count(*) AS n, sum({_USABLE}) AS v FROM horizon_trade GROUP BY 1),
+b AS (SELECT source_address AS account, count(*) AS m, sum(CAST(amount_usd AS DECIMAL(38,2))) AS s FROM bridge_transfers WHERE source_address IS NOT NULL GROUP BY 1)
+SELECT t.account, n AS trades, coalesce(m, 0) AS transfers, n * coalesce(m, 1) AS pairs,
+  CAST(v * coalesce(m, 1) AS DOUBLE) AS traded, CAST(s * n AS DOUBLE) AS sent FROM t LEFT JOIN b ON b.account = t.account""",
+    "p5_found": f"""
+WITH {_FIELDS},
+sch AS (SELECT feed, file_seq, k, list_sort(list_distinct(coalesce(list(kind) FILTER (kind IS NOT NULL), []))) AS kinds FROM v GROUP BY 1, 2, 3),
+step AS (SELECT feed, file_seq, lag(file_seq) OVER (PARTITION BY feed ORDER BY file_seq) AS prev FROM (SELECT DISTINCT feed, file_seq FROM sch)),
+gone AS (SELECT q.*, s.k FROM step q JOIN sch s ON s.feed = q.feed AND s.file_seq = q.prev
+         WHERE NOT EXISTS (SELECT 1 FROM sch n WHERE n.feed = q.feed AND n.file_seq = q.file_seq AND n.k = s.k)),
+fresh AS (SELECT q.*, s.k FROM step q JOIN sch s ON s.feed = q.feed AND s.file_seq = q.file_seq
+          WHERE q.prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sch n WHERE n.feed = q.feed AND n.file_seq = q.prev AND n.k = s.k)),
+ids AS (SELECT DISTINCT feed, file_seq, rid FROM v WHERE rid IS NOT NULL),
+m AS (SELECT g.feed, g.file_seq, g.k AS old, n.k AS new, bool_and(o.val IS NOT DISTINCT FROM w.val) AS equal, bool_or(o.val IS NOT NULL) AS filled
+      FROM gone g JOIN fresh n ON n.feed = g.feed AND n.file_seq = g.file_seq
+      JOIN ids a ON a.feed = g.feed AND a.file_seq = g.file_seq JOIN ids b ON b.feed = g.feed AND b.file_seq = g.prev AND b.rid = a.rid
+      LEFT JOIN v o ON o.feed = g.feed AND o.file_seq = g.prev AND o.rid = a.rid AND o.k = g.k
+      LEFT JOIN v w ON w.feed = g.feed AND w.file_seq = g.file_seq AND w.rid = a.rid AND w.k = n.k GROUP BY 1, 2, 3, 4),
+ren AS (SELECT feed, file_seq, old, new FROM m WHERE equal AND filled)
+SELECT feed, file_seq, 'renamed' AS change_kind, old AS field_name, new AS new_name FROM ren
+UNION ALL SELECT feed, file_seq, 'removed', k, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.feed = g.feed AND r.file_seq = g.file_seq AND r.old = g.k)
+UNION ALL SELECT feed, file_seq, 'added', k, '' FROM fresh g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.feed = g.feed AND r.file_seq = g.file_seq AND r.new = g.k)
+UNION ALL SELECT q.feed, q.file_seq, 'retyped', a.k, '' FROM step q JOIN sch a ON a.feed = q.feed AND a.file_seq = q.prev
+  JOIN sch b ON b.feed = q.feed AND b.file_seq = q.file_seq AND b.k = a.k WHERE len(a.kinds) > 0 AND len(b.kinds) > 0 AND a.kinds <> b.kinds""",
+    "p5_schema": f"""
+WITH {_FIELDS}
+SELECT k AS path, coalesce(string_agg(DISTINCT kind, '|' ORDER BY kind), '') AS kinds, count(*) AS present, count(kind) AS filled FROM v GROUP BY 1""",
     "p3_found": """
 WITH s AS (
   SELECT 'horizon_trade' AS table_name, base_account AS key_value FROM horizon_trade

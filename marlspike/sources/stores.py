@@ -90,7 +90,7 @@ def chunk_table(spark: SparkSession, start: str, end: str, hours: int = 6) -> Da
     """(chunk_start, chunk_end): half-open chunks that cover [start, end), the last one cut at the end."""
     span = spark.range(1).select(F.lit(start).cast("timestamp_ntz").alias("a"), F.lit(end).cast("timestamp_ntz").alias("b"))
     step = F.expr(f"INTERVAL {int(hours)} HOURS")
-    c = span.filter("a < b").select("b", F.explode(F.sequence("a", "b", step)).alias("chunk_start")).filter("chunk_start < b")
+    c = span.filter("a < b").select("b", F.explode(F.sequence(F.col("a"), F.greatest("a", "b"), step)).alias("chunk_start")).filter("chunk_start < b")
     return c.select("chunk_start", F.least(F.col("chunk_start") + step, "b").alias("chunk_end"))
 
 
