@@ -11,9 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlspike.session import durable
+
 #: Annotators are people; their matrices are held on the driver, up to this many.
 MAX_ANNOTATORS = 20_000
 
@@ -88,8 +90,8 @@ def fit_consensus(
     and the regression's gradient and Hessian; Spark adds these up. The driver
     holds 4 numbers per annotator (at most ``MAX_ANNOTATORS``; more is an error)
     and as many weights as features. The steps share nothing but these
-    parameters, so lineage doesn't grow, and a lost executor's items are made
-    again from the source.
+    parameters, so lineage doesn't grow; the gathered items lie in the shared
+    folder, where a lost executor can't take them along.
     """
     spark = labels.sparkSession
     people = [r[0] for r in labels.select("annotator").distinct().limit(MAX_ANNOTATORS + 1).collect()]
@@ -103,9 +105,10 @@ def fit_consensus(
     if features is not None:
         one = features.groupBy("item").agg(*[F.avg(F.col(c).cast("double")).alias(f"f{i}") for i, c in enumerate(names)])
         grouped = grouped.join(one, "item", "left")
-    items = grouped.select(
-        "item", F.col("p.a").alias("a"), F.col("p.label").alias("y"), *[f"f{i}" for i in range(len(names))]
-    ).persist()
+    items = durable(
+        grouped.select("item", F.col("p.a").alias("a"), F.col("p.label").alias("y"), *[f"f{i}" for i in range(len(names))]),
+        "items",
+    )
     k = len(names)
     if k:
         moments = items.agg(
