@@ -93,7 +93,9 @@ def text_endings(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFr
     reply = (F.col("last").rlike(_TURN) & (raw.rlike(short) | raw.rlike(r"^\p{Lo}{1,10}$"))) | (
         (F.size("lines") == 1) & (F.col("last").rlike(r"^\p{L}+$") | F.col("last").rlike(short))
     )
-    broken = F.col("cut_footer") | F.col("b").endswith("�") | open_fence | (json_line & ~balanced)
+    # a heading or an opening line announces what isn't there any more
+    announced = (F.size("lines") > 1) & (F.col("last").rlike(r"^#{1,6} ") | F.col("last").rlike("[:：]$"))
+    broken = F.col("cut_footer") | announced | F.col("b").endswith("�") | open_fence | (json_line & ~balanced)
     state = (
         F.when(broken, "broken")
         .when((F.col("mark") == "") & (F.col("b").rlike(_TERMINAL) | whole_structure), "closed")
@@ -111,14 +113,17 @@ def text_endings(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFr
     )
 
 
-def length_spikes(ends: DataFrame, least: int = 3, factor: float = 4.0) -> DataFrame:
+def length_spikes(ends: DataFrame, least: int = 3, factor: float = 4.0, share: float = 0.02) -> DataFrame:
     """(source, unit, spike, n): lengths at which a source's unfinished texts pile up.
 
     ``ends`` has source, chars, bytes and ``unfinished``. Per source and unit the
     histogram of unfinished texts is tested at every length: at least ``least``
-    texts, and ``factor`` times what its surroundings (50 lengths either way,
-    without those a word-wise cutter leaves just below) would let expect. The
-    histogram has as many rows as there are different lengths.
+    texts, a ``share`` of all of the source's, and ``factor`` times what its surroundings (50 lengths either way,
+    without those a word-wise cutter leaves just below) would let expect. A pile
+    just below a larger one is that one's; of a length that piles up in both
+    units, the unit with more texts has the limit (the others are texts in which
+    both lengths agree). The histogram has as many rows as there are different
+    lengths.
     """
     long = ends.filter("unfinished").select(
         "source",
@@ -135,9 +140,15 @@ def length_spikes(ends: DataFrame, least: int = 3, factor: float = 4.0) -> DataF
         F.sum("n").over(by.rangeBetween(3, 50)), F.lit(0)
     )
     expected = around / F.lit(50 - BACK_OFF + 48)
-    return histogram.withColumn("expected", expected).filter(
-        (F.col("n") >= least) & (F.col("n") >= F.lit(factor) * F.col("expected"))
-    ).select("source", "unit", F.col("length").alias("spike"), "n")
+    above = F.coalesce(F.max("n").over(by.rangeBetween(1, BACK_OFF)), F.lit(0))
+    whole = F.sum("n").over(Window.partitionBy("source", "unit"))
+    piles = histogram.withColumns({"expected": expected, "above": above, "whole": whole}).filter(
+        (F.col("n") >= least) & (F.col("n") >= F.lit(share) * F.col("whole")) & (F.col("n") >= F.lit(factor) * F.col("expected")) & (F.col("n") >= F.col("above"))
+    )
+    better = Window.partitionBy("source", "length").orderBy(F.col("n").desc(), F.col("unit").desc())
+    return piles.withColumn("r", F.row_number().over(better)).filter("r = 1").select(
+        "source", "unit", F.col("length").alias("spike"), "n"
+    )
 
 
 def truncated_texts(docs: DataFrame, doc_id: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +160,7 @@ def truncated_texts(docs: DataFrame, doc_id: str, source: str, text: str) -> tup
     structure, or has no terminal punctuation and its last fragment isn't a form
     that also stands complete inside other texts (list items, replies). A plain
     ellipsis that is away from every spike of a source that has spikes, or whose
-    fragment recurs, is the author's own. Null and blank texts are no case. A
+    fragment also ends texts away from spikes, is the author's own. Null and blank texts are no case. A
     null source is a source of its own. Equal texts get equal answers.
 
     Every text is read whole, JVM-side; shuffled are masked forms (one per
@@ -160,12 +171,10 @@ def truncated_texts(docs: DataFrame, doc_id: str, source: str, text: str) -> tup
     forms = ends.select(F.explode("forms").alias("fragment")).groupBy("fragment").agg(F.count(F.lit(1)).alias("inside"))
     # only what isn't closed can be a case: a few percent go on
     undecided = ends.filter(F.col("state") != "closed").drop("forms")
-    final = undecided.filter((F.col("mark") != "")).groupBy("fragment").agg(F.count(F.lit(1)).alias("finals"))
-    judged = undecided.join(forms, "fragment", "left").join(final, "fragment", "left").select(
+    judged = undecided.join(forms, "fragment", "left").select(
         "id", "source", "chars", "bytes", "mark", "state", "fragment",
         F.col("inside").isNotNull().alias("known"),
         "reply",
-        F.coalesce("finals", F.lit(0)).alias("finals"),
         F.col("mark").rlike(_ELLIPSIS).alias("dots"),
     )
     judged = judged.withColumn(
@@ -185,10 +194,14 @@ def truncated_texts(docs: DataFrame, doc_id: str, source: str, text: str) -> tup
         return F.array_min(F.filter(spikes, lambda s: (F.col(length) <= s + 2) & (F.col(length) >= s - BACK_OFF)))
 
     near = near.withColumn("limit_length", F.coalesce(hit("chars", "char_spikes"), hit("bytes", "byte_spikes")))
+    # a closing phrase of authors also ends texts that are nowhere near a limit
+    elsewhere = near.filter(F.col("dots") & F.col("limit_length").isNull()).groupBy("fragment").agg(F.count(F.lit(1)).alias("elsewhere"))
+    near = near.join(elsewhere, "fragment", "left")
+    at_limit = F.col("limit_length").isNotNull()
     plain = F.col("fragment").rlike(r"^[^0§¤]*$") & (F.length("fragment") <= 60)
-    recurs = F.col("known") | (plain & (F.col("finals") >= 2) & ~F.col("limit_length").isNotNull()) | (plain & (F.col("finals") >= 4))
+    some_limit = (F.size("char_spikes") > 0) | (F.size("byte_spikes") > 0)
     author = F.col("dots") & (
-        recurs | (F.col("limit_length").isNull() & ((F.size("char_spikes") > 0) | (F.size("byte_spikes") > 0) | plain))
+        F.col("known") | (F.coalesce("elsewhere", F.lit(0)) >= 2) | (~at_limit & (some_limit | plain))
     )
     cut = F.col("unfinished") | (F.col("dots") & ~author)
     found = near.filter(cut & ~((F.col("state") == "open") & author)).select(
