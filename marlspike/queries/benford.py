@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.functions import benford as b
+from marlspike.functions.aggregates import bounded_heap
 from marlspike.functions.stats import chi2_sf, multinomial_pvalues, normal_quantile
 from marlspike.queries.views import ACTIVITY_SQL, AS_OF, TRADES_SQL, WALLET_SQL, activity, trades, wallet_rows
 
@@ -175,13 +176,14 @@ def benford_adaptive_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def benford_last_n(spark: SparkSession, d: str) -> DataFrame:
-    """After each trade: deviation of the wallet's last 100 amounts; the last state per wallet."""
-    by = Window.partitionBy("wallet").orderBy("ts", "event_id").rowsBetween(-99, 0)
+    """Deviation of each wallet's last 100 amounts."""
     dg = b.leading_digit(F.col("amount"))
     rows = activity(spark, d).withColumn("dg", dg).filter("dg IS NOT NULL")
-    counted = rows.select("wallet", "ts", "event_id", *[F.sum((F.col("dg") == k).cast("long")).over(by).alias(f"c{k}") for k in range(1, 10)])
-    last = counted.groupBy("wallet").agg(F.max_by(F.struct(*[f"c{k}" for k in range(1, 10)]), F.struct("ts", "event_id")).alias("s"))
-    last = last.select("wallet", "s.*").withColumn("n", _n())
+    # the last state needs the newest hundred only: a heap per wallet
+    last = rows.groupBy("wallet").agg(bounded_heap(F.struct("ts", "event_id", "dg"), 100, largest=True).alias("h"))
+    digits = last.select("wallet", F.col("h.dg").alias("dg"))
+    c = [(F.size("dg") - F.size(F.array_remove("dg", k))).cast("long").alias(f"c{k}") for k in range(1, 10)]
+    last = digits.select("wallet", *c).withColumn("n", _n())
     return last.select("wallet", "n", F.round(b.mean_deviation(b.counts(), F.col("n")), 8).alias("mad"), F.round(b.chi_square(b.counts(), F.col("n")), 6).alias("chi2"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlspike.functions import benford as b
 from marlspike.functions.stats import clip, exact_sum, ratio, safe_corr
+from marlspike.operators.neighbours import with_neighbours
 from marlspike.queries.views import ACTIVITY_SQL, TRADES_SQL, WALLET_SQL, activity, trades, wallet_rows
 from marlspike.session import durable
 from marlspike.sources.tables import table
@@ -151,10 +152,11 @@ def round_trip_frequency(spark: SparkSession, d: str, rows: DataFrame | None = N
         F.when(side, F.col("base_code")).otherwise(F.col("counter_code")).alias("gave"),
         F.when(side, F.col("counter_code")).otherwise(F.col("base_code")).alias("got"),
     )
-    by = Window.partitionBy("wallet").orderBy("ts", "trade_id")
+    cut, by = _near(rows, 0, ahead)
     following = F.collect_list(F.struct("gave", "got")).over(by.rowsBetween(1, ahead))
     undone = F.exists(following, lambda x: (x["gave"] == F.col("got")) & (x["got"] == F.col("gave")))
-    return rows.withColumn("u", undone).groupBy("wallet").agg(
+    own = cut.withColumn("u", undone).filter("__own")
+    return own.groupBy("wallet").agg(
         F.round(F.when(F.count(F.lit(1)) < 2, 0.0).otherwise(F.avg(F.col("u").cast("double"))), 9).alias("round_trips")
     )
 
@@ -169,12 +171,20 @@ def pool_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("o", other).groupBy("pool", "base").agg(F.round(F.avg((F.col("o") > 0).cast("double")), 9).alias("ratio"))
 
 
+def _near(rows: DataFrame, back: int, ahead: int) -> tuple[DataFrame, Window]:
+    """The wallet rows cut into days with their neighbours, and the window that orders them."""
+    cut = with_neighbours(rows, ["wallet"], ["ts", "trade_id"], F.to_date("ts"), back, ahead)
+    return cut, Window.partitionBy("wallet", "__chunk").orderBy("ts", "trade_id")
+
+
 def _gaps(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
-    by = Window.partitionBy("wallet").orderBy("ts", "trade_id")
-    rows = _rows(spark, d, rows).withColumn("gap", _seconds(F.col("ts"), F.lag("ts").over(by)))
-    return rows.withColumn("before", F.lag("gap").over(by)).withColumn("jump", F.col("gap") - F.col("before")).withColumn(
+    """wallet with gap, the gap before, and the same for differences of gaps."""
+    cut, by = _near(_rows(spark, d, rows).select("wallet", "ts", "trade_id"), 3, 0)
+    rows = cut.withColumn("gap", _seconds(F.col("ts"), F.lag("ts").over(by)))
+    out = rows.withColumn("before", F.lag("gap").over(by)).withColumn("jump", F.col("gap") - F.col("before")).withColumn(
         "jump_before", F.lag("jump").over(by)
     )
+    return out.filter("__own")
 
 
 def interval_autocorr(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
@@ -204,8 +214,8 @@ def decoy_signature(spark: SparkSession, d: str, rows: DataFrame | None = None)
     """Share of neighbouring trades that go from the lowest to the highest quarter of the wallet's amounts."""
     rows = _rows(spark, d, rows)
     quarters = rows.groupBy("wallet").agg(F.percentile("amount", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("wallet").orderBy("ts", "trade_id")
-    steps = rows.select("wallet", "amount", F.lead("amount").over(by).alias("next")).filter("next IS NOT NULL")
+    cut, by = _near(rows.select("wallet", "ts", "trade_id", "amount"), 0, 1)
+    steps = cut.select("wallet", "amount", "__own", F.lead("amount").over(by).alias("next")).filter("__own AND next IS NOT NULL")
     low, high = F.col("q")[0], F.col("q")[1]
     hit = (F.col("amount") <= low) & (F.col("next") >= high) & (low < high)
     hits = steps.join(quarters, "wallet").groupBy("wallet").agg(F.round(F.count_if(hit) / (F.max("n") - 1), 9).alias("decoys"))

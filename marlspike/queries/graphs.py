@@ -14,6 +14,7 @@ from marlspike.operators.graph import (
     tree_roots,
     wash_rings,
 )
+from marlspike.operators.neighbours import with_neighbours
 from marlspike.operators.rangejoin import band_join
 from marlspike.queries.views import TRADES_SQL, TRANSFERS_SQL, trades, transfers
 from marlspike.sources.tables import table
@@ -170,13 +171,15 @@ def amm_sandwich(spark: SparkSession, d: str) -> DataFrame:
 
 def orderbook_sandwich(spark: SparkSession, d: str) -> DataFrame:
     """Large order-book trades with one account trading within five trades before and after, and a price move."""
-    by = Window.partitionBy("pair").orderBy("ts", "trade_id")
     t = trades(spark, d).filter("kind = 'orderbook'").select("pair", "ts", "trade_id", "base", "price", "amount")
+    # a pair may hold a large part of all trades: it is cut into days
+    t = with_neighbours(t, ["pair"], ["ts", "trade_id"], F.to_date("ts"), 5, 5)
+    by = Window.partitionBy("pair", "__chunk").orderBy("ts", "trade_id")
     near = t.select(
         "*",
         F.collect_list("base").over(by.rowsBetween(-5, -1)).alias("before"), F.collect_list("base").over(by.rowsBetween(1, 5)).alias("after"),
         F.first("price").over(by.rowsBetween(-5, 5)).alias("p0"), F.last("price").over(by.rowsBetween(-5, 5)).alias("p1"),
-    ).filter("amount >= 500")
+    ).filter("__own AND amount >= 500")
     both = F.array_remove(F.array_intersect("before", "after"), F.col("base"))
     impact = F.abs(F.col("p1") / F.col("p0") - 1)
     return near.filter((F.size(both) > 0) & (impact >= 0.003)).select("trade_id", "pair", F.size(both).alias("attackers"), F.round(impact, 8).alias("impact"))

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlspike.functions.aggregates import bounded_heap
 from marlspike.functions.stats import clip, ratio, safe_corr
+from marlspike.operators.neighbours import with_neighbours
 from marlspike.queries.views import ACTIVITY_SQL, AS_OF, TRADES_SQL, WALLET_SQL, activity, trades, wallet_rows
 from marlspike.sources.tables import table
 
@@ -166,10 +168,11 @@ def sliding_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 def trade_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Last 200 trades of each wallet as numbers (log amount, log gap, second of day), summarised."""
-    by = Window.partitionBy("wallet").orderBy("ts", "trade_id")
-    r = wallet_rows(spark, d).withColumn("gap", F.timestamp_diff("SECOND", F.lag("ts").over(by), F.col("ts")))
-    back = Window.partitionBy("wallet").orderBy(F.col("ts").desc(), F.col("trade_id").desc())
-    last = r.withColumn("back", F.row_number().over(back)).filter("back <= 200")
+    cut = with_neighbours(wallet_rows(spark, d).select("wallet", "ts", "trade_id", "amount"), ["wallet"], ["ts", "trade_id"], F.to_date("ts"), 1, 0)
+    by = Window.partitionBy("wallet", "__chunk").orderBy("ts", "trade_id")
+    r = cut.withColumn("gap", F.timestamp_diff("SECOND", F.lag("ts").over(by), F.col("ts"))).filter("__own")
+    heap = bounded_heap(F.struct("ts", "trade_id", "amount", "gap"), 200, largest=True)
+    last = r.groupBy("wallet").agg(heap.alias("h")).select("wallet", F.explode("h").alias("x")).select("wallet", "x.*")
     sec = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.floor(F.second("ts"))) / F.lit(86400.0)
     return last.groupBy("wallet").agg(
         F.count(F.lit(1)).alias("steps"), F.round(F.avg(F.log1p("amount")), 7).alias("log_amount"),

@@ -116,3 +116,20 @@ def test_triangles_roots_timing(spark):
     assert rows(tree_roots(links, "c", "p")) == [("a", "c", 2), ("b", "c", 1), ("x", None, None), ("y", None, None)]
     times = spark.sql("SELECT 1 AS g, TIMESTAMP_NTZ'2026-01-01 23:59:50' AS t UNION ALL SELECT 1, TIMESTAMP_NTZ'2026-01-02 00:00:00' UNION ALL SELECT 1, TIMESTAMP_NTZ'2026-01-02 00:00:30'")
     assert rows(timing_spread(times, "g", "t")) == [(1, 2, 20.0, 10.0)]
+
+
+def test_neighbours_equal_whole_windows(spark):
+    from pyspark.sql import Window
+
+    from marlspike.operators.neighbours import with_neighbours
+
+    rng = random.Random(11)
+    data = [(rng.choice(["hot"] * 6 + ["b"]), rng.randrange(40), i, "clash") for i in range(200)]
+    df = spark.createDataFrame(data, "k string, t int, i int, o string")
+    whole = Window.partitionBy("k").orderBy("t", "i")
+    cut = with_neighbours(df, ["k"], ["t", "i"], F.floor(F.col("t") / 3), 3, 2)
+    part = Window.partitionBy("k", "__chunk").orderBy("t", "i")
+    look = lambda w: [F.lag("i", n).over(w).alias(f"b{n}") for n in (1, 3)] + [F.lead("i", n).over(w).alias(f"a{n}") for n in (1, 2)]
+    want = df.select("k", "i", *look(whole))
+    assert rows(cut.select("k", "i", "__own", *look(part)).filter("__own").drop("__own")) == rows(want)
+    assert with_neighbours(df.limit(0), ["k"], ["t", "i"], F.col("t"), 1, 1).count() == 0
