@@ -76,29 +76,59 @@ def components_of(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
     return np.array(component)
 
 
+def _by_numpy(pdf: pd.DataFrame) -> pd.DataFrame:
+    codes, names = pd.factorize(np.concatenate([pdf["src"], pdf["dst"]]), sort=True)
+    half = len(pdf)
+    c = components_of(codes[:half], codes[half:], len(names))
+    least = np.full(c.max() + 1, len(names))
+    np.minimum.at(least, c, np.arange(len(names)))
+    return pd.DataFrame({"v": names, "component": names[least[c]]})
+
+
 def _components_in_one_task(edges: DataFrame) -> DataFrame:
     kind = edges.schema["src"].dataType.simpleString()
 
     def run(frames):
         parts = [f for f in frames if len(f)]
-        if not parts:
-            return
-        pdf = pd.concat(parts)
-        codes, names = pd.factorize(np.concatenate([pdf["src"], pdf["dst"]]), sort=True)
-        half = len(pdf)
-        c = components_of(codes[:half], codes[half:], len(names))
-        least = np.full(c.max() + 1, len(names))
-        np.minimum.at(least, c, np.arange(len(names)))
-        yield pd.DataFrame({"v": names, "component": names[least[c]]})
+        if parts:
+            yield _by_numpy(pd.concat(parts))
 
     return edges.repartition(1).mapInPandas(run, f"v {kind}, component {kind}")
 
 
+def weak_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(v, component): nodes connected by edges in any direction, named by their least node.
+
+    Each round every component joins its least neighbour; chains of such joins are
+    followed to their end by pointer doubling, and the graph is contracted to the
+    new components. At least half of the components that have a neighbour vanish
+    in a round. Null ends are left out; a self-loop makes a component of one.
+    """
+    e = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst")
+    label = durable(e.select(F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("component", F.col("v")), "wcc")
+    links = durable(e.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "wcc")
+    for _ in range(max_rounds):
+        if not links.limit(1).count():
+            break
+        # towards smaller names only, so chains end; the least of a component stays
+        roots = tree_roots(links, "b", "a").select("node", "root")
+        roots = durable(roots, "wcc")
+        label = durable(
+            label.join(roots.withColumnRenamed("node", "component"), "component", "left").select("v", F.coalesce("root", "component").alias("component")), "wcc"
+        )
+        ends = links.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+        ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b")
+        links = durable(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wcc")
+    return label
+
+
 def strong_components(edges: DataFrame, max_rounds: int = 10_000, one_task_edges: int = 1_000_000) -> DataFrame:
     """(v, component): strongly connected components, named by their least node.
 
     A graph of at most ``one_task_edges`` different edges (they are counted) is
-    handled by one linear pass in one task; beyond that, by joins:
+    handled by one linear pass in one task. Otherwise it is split into weakly
+    connected parts; those of at most that many edges get one pass each, all at
+    once, and larger ones are handled by joins:
 
     Colouring: after trimming nodes without an edge in or out, every node takes
     the least name that can reach it; the nodes of a colour that can reach the
@@ -110,8 +140,26 @@ def strong_components(edges: DataFrame, max_rounds: int = 10_000, one_task_edges
     """
     e = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
     e = durable(e, "edges")
-    if e.count() <= one_task_edges:
+    total = e.count()
+    if total <= one_task_edges:
         return _components_in_one_task(e)
+    weak = weak_components(e)
+    tagged = durable(e.join(weak.toDF("src", "w"), "src"), "scc")
+    sizes = tagged.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    kind = e.schema["src"].dataType.simpleString()
+    small = tagged.join(sizes.filter(F.col("n") <= one_task_edges).select("w"), "w", "left_semi")
+    # parts share passes: a pass holds about a quarter of the limit, besides the largest part in it
+    passes = F.pmod(F.xxhash64("w"), F.lit(max(8, -(-4 * total // max(1, one_task_edges)))))
+    passed = small.groupBy(passes.alias("p")).applyInPandas(lambda pdf: _by_numpy(pdf), f"v {kind}, component {kind}")
+    large = sizes.filter(F.col("n") > one_task_edges).select("w")
+    if not large.limit(1).count():
+        return passed
+    e = durable(tagged.join(large, "w", "left_semi").select("src", "dst"), "edges")
+    return passed.unionByName(_components_by_joins(e, max_rounds))
+
+
+def _components_by_joins(e: DataFrame, max_rounds: int) -> DataFrame:
+    """Strongly connected components of different edges, by joins and min aggregates only."""
     nodes = e.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
     loose = e.filter("src <> dst")
     done: DataFrame | None = None

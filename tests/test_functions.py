@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marlspike.functions import benford as b
 from marlspike.functions.cells import amount, micros, stripped
 from marlspike.functions.stats import chi2_sf, multinomial_pvalues, normal_quantile, safe_corr
-from marlspike.operators.graph import bottleneck_cycle, components_of, directed_triangles, strong_components, timing_spread, tree_roots, wash_rings
+from marlspike.operators.graph import bottleneck_cycle, components_of, directed_triangles, strong_components, timing_spread, tree_roots, wash_rings, weak_components
 from marlspike.operators.rangejoin import band_join
 from tests.conftest import rows
 
@@ -73,9 +73,14 @@ def test_components_both_ways(spark):
         want = reach_components(20, pairs)
         seen = {v for p in pairs for v in p}
         df = spark.createDataFrame([*pairs, *pairs, (None, 3), (4, None)], "src int, dst int")
-        for limit in (1_000_000, 0):
+        for limit in (1_000_000, 6, 0):
             got = {r["v"]: r["component"] for r in strong_components(df, one_task_edges=limit).collect()}
             assert got == {v: want[v] for v in seen}
+        joined = list(range(20))
+        for _ in range(20):
+            for a, c in pairs:
+                joined[a] = joined[c] = min(joined[a], joined[c])
+        assert {r["v"]: r["component"] for r in weak_components(df).collect()} == {v: joined[v] for v in seen}
     assert strong_components(spark.createDataFrame([], "src int, dst int")).count() == 0
     assert list(components_of(np.array([0, 1, 2]), np.array([1, 0, 2]), 3)) in ([0, 0, 1], [1, 1, 0])
 
