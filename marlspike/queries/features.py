@@ -172,8 +172,8 @@ def pool_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _near(rows: DataFrame, back: int, ahead: int) -> tuple[DataFrame, Window]:
-    """The wallet rows cut into days with their neighbours, and the window that orders them."""
-    cut = with_neighbours(rows, ["wallet"], ["ts", "trade_id"], F.to_date("ts"), back, ahead)
+    """The wallet rows cut into weeks with their neighbours, and the window that orders them."""
+    cut = with_neighbours(rows, ["wallet"], ["ts", "trade_id"], F.date_trunc("week", "ts"), back, ahead)
     return cut, Window.partitionBy("wallet", "__chunk").orderBy("ts", "trade_id")
 
 

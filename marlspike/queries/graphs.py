@@ -172,8 +172,8 @@ def amm_sandwich(spark: SparkSession, d: str) -> DataFrame:
 def orderbook_sandwich(spark: SparkSession, d: str) -> DataFrame:
     """Large order-book trades with one account trading within five trades before and after, and a price move."""
     t = trades(spark, d).filter("kind = 'orderbook'").select("pair", "ts", "trade_id", "base", "price", "amount")
-    # a pair may hold a large part of all trades: it is cut into days
-    t = with_neighbours(t, ["pair"], ["ts", "trade_id"], F.to_date("ts"), 5, 5)
+    # a pair may hold a large part of all trades: it is cut into weeks
+    t = with_neighbours(t, ["pair"], ["ts", "trade_id"], F.date_trunc("week", "ts"), 5, 5)
     by = Window.partitionBy("pair", "__chunk").orderBy("ts", "trade_id")
     near = t.select(
         "*",

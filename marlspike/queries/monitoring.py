@@ -168,7 +168,7 @@ def sliding_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 def trade_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Last 200 trades of each wallet as numbers (log amount, log gap, second of day), summarised."""
-    cut = with_neighbours(wallet_rows(spark, d).select("wallet", "ts", "trade_id", "amount"), ["wallet"], ["ts", "trade_id"], F.to_date("ts"), 1, 0)
+    cut = with_neighbours(wallet_rows(spark, d).select("wallet", "ts", "trade_id", "amount"), ["wallet"], ["ts", "trade_id"], F.date_trunc("week", "ts"), 1, 0)
     by = Window.partitionBy("wallet", "__chunk").orderBy("ts", "trade_id")
     r = cut.withColumn("gap", F.timestamp_diff("SECOND", F.lag("ts").over(by), F.col("ts"))).filter("__own")
     heap = bounded_heap(F.struct("ts", "trade_id", "amount", "gap"), 200, largest=True)
