@@ -11,6 +11,7 @@ from marlspike.functions.cells import amount, micros, stripped
 from marlspike.functions.stats import exact_sum, ratio
 from marlspike.operators.rangejoin import band_join
 from marlspike.queries.views import AS_OF, TRADES_SQL, TRANSFERS_SQL, WALLET_SQL, trades, transfers, wallet_rows
+from marlspike.session import durable
 from marlspike.sources.tables import table
 
 # fixed values: identifier patterns
@@ -187,12 +188,21 @@ def claim_times(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_pair_wallets(spark: SparkSession, d: str) -> DataFrame:
-    """Wallets active in two different pairs within 10 minutes, per pair of pairs (three major pairs)."""
-    majors = ["VUSD/XLM", "AQUR/XLM", "EURV/VUSD"]
-    rows = wallet_rows(spark, d).filter(F.col("pair_key").isin(majors)).select("wallet", "pair_key", "ts").distinct()
-    other = rows.select("wallet", F.col("pair_key").alias("pair_b"), F.col("ts").alias("ts_b"))
-    near = band_join(rows, other, ["wallet"], "ts", "ts_b", 600, also=F.col("pair_key") < F.col("pair_b"))
-    return near.groupBy("pair_key", "pair_b").agg(F.countDistinct("wallet").alias("wallets"))
+    """Wallets active in two different pairs within 10 minutes, per pair of pairs.
+
+    Of a wallet's trades in a pair and ten minutes only the first and the last
+    count: in one slot all are near, in the next one the last meets the first.
+    """
+    size = 600_000_000
+    t = micros("ts")
+    slots = wallet_rows(spark, d).groupBy("wallet", "pair_key", F.floor(t / F.lit(size)).alias("slot")).agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
+    slots = durable(slots, "wallet-slots")
+    other = slots.select(
+        "wallet", F.col("pair_key").alias("pair_b"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"),
+        F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"),
+    )
+    met = slots.join(other, ["wallet", "slot"]).filter((F.col("pair_key") < F.col("pair_b")) & (F.col("lo_b") - F.col("hi") <= size) & (F.col("lo") - F.col("hi_b") <= size))
+    return met.groupBy("pair_key", "pair_b").agg(F.countDistinct("wallet").alias("wallets"))
 
 
 def burst_overlap(spark: SparkSession, d: str) -> DataFrame:
