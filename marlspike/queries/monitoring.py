@@ -13,6 +13,7 @@ from marlspike.functions.aggregates import bounded_heap
 from marlspike.functions.stats import clip, ratio, safe_corr
 from marlspike.operators.neighbours import with_neighbours
 from marlspike.queries.views import ACTIVITY_SQL, AS_OF, TRADES_SQL, WALLET_SQL, activity, trades, wallet_rows
+from marlspike.session import durable
 from marlspike.sources.tables import table
 
 _FEED = "random_forest double, xgboost double, lightgbm double"
@@ -56,17 +57,28 @@ def volume_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spearman_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Rank correlation (average ranks) of daily volumes of pairs with at least 60 active days."""
+    """Rank correlation (average ranks) of daily volumes of pairs with at least 10 active days; days without trades count as zero.
+
+    ``days``: days on which both are active. A pair's zeros share one rank, so with
+    ranks taken relative to it only common active days add to a product sum; the
+    rest is in closed form. All sums are of halves and exact.
+    """
     daily = trades(spark, d).groupBy("pair_key", F.to_date("ts").alias("day")).agg(F.round(F.sum("amount"), 6).alias("v"))
-    active = daily.groupBy("pair_key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 60")
-    v = daily.join(active, "pair_key")
-    by = Window.partitionBy("pair_key").orderBy("v")
-    ranked = v.withColumn("r", F.rank().over(by) + (F.count(F.lit(1)).over(Window.partitionBy("pair_key", "v")) - 1) / 2)
-    a, b = ranked.select("pair_key", "day", F.col("r").alias("ra")), ranked.select(F.col("pair_key").alias("other"), "day", F.col("r").alias("rb"))
+    daily = durable(daily, "daily-volumes")
+    calendar = daily.agg(F.countDistinct("day").alias("all"))
+    by = Window.partitionBy("pair_key")
+    active = daily.filter("v > 0").withColumn("n", F.count(F.lit(1)).over(by)).filter("n >= 10")
+    # one row
+    ranked = active.join(F.broadcast(calendar)).withColumn("r", F.rank().over(by.orderBy("v")) + (F.count(F.lit(1)).over(Window.partitionBy("pair_key", "v")) - 1) / 2)
+    e = durable(ranked.select("pair_key", "day", "n", "all", (F.col("r") + (F.col("all") - F.col("n") - 1) / 2).alias("e")), "daily-ranks")
+    per = e.groupBy("pair_key").agg(F.max("n").alias("n"), F.max("all").alias("all"), (F.sum(F.col("e") * F.col("e")) - F.max("all") * F.max("n") * F.max("n") / 4).alias("s"))
     # one row per pair and day: at most the calendar's days per pair
-    j = a.join(b, "day").filter("pair_key < other")
-    out = j.groupBy("pair_key", "other").agg(safe_corr(F.col("ra"), F.col("rb")).alias("r"), F.count(F.lit(1)).alias("days"))
-    return out.filter("days >= 60").select("pair_key", "other", "days", F.round("r", 6).alias("r"))
+    common = e.select("pair_key", "day", F.col("e").alias("ea")).join(e.select(F.col("pair_key").alias("other"), "day", F.col("e").alias("eb")), "day").filter("pair_key < other")
+    sums = common.groupBy("pair_key", "other").agg(F.sum(F.col("ea") * F.col("eb")).alias("ab"), F.count(F.lit(1)).alias("days"))
+    every = per.join(per.select(F.col("pair_key").alias("other"), F.col("n").alias("n_b"), F.col("s").alias("s_b")), F.col("pair_key") < F.col("other"))
+    cov = F.coalesce("ab", F.lit(0.0)) - F.col("all") * F.col("n") * F.col("n_b") / 4
+    r = F.when((F.col("s") > 0) & (F.col("s_b") > 0), cov / F.sqrt(F.col("s") * F.col("s_b")))
+    return every.join(sums, ["pair_key", "other"], "left").select("pair_key", "other", F.coalesce("days", F.lit(0)).alias("days"), F.round(r, 6).alias("r"))
 
 
 def shared_wallets(spark: SparkSession, d: str) -> DataFrame:

@@ -41,3 +41,13 @@ AND b.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE GROUP B
     # the oracle's three pairs are a part of it
     part = db.execute(entry.oracle_sql()["cross_pair_wallets"]).fetchall()
     assert sorted(part) == sorted(tuple(r) for r in found if {r["pair_key"], r["pair_b"]} <= majors)
+
+
+def test_spearman_pairs_from_ten_days(spark, db):
+    found = same(spark, db, "spearman_pairs", f"""WITH {TRADES_SQL}, dl AS (SELECT pair_key, CAST(ts AS DATE) AS day, round(sum(amount), 6) AS v FROM trades GROUP BY ALL),
+p AS (SELECT pair_key FROM dl WHERE v > 0 GROUP BY 1 HAVING count(*) >= 10),
+g AS (SELECT p.pair_key, c.day, coalesce(v, 0) AS v FROM p CROSS JOIN (SELECT DISTINCT day FROM dl) c LEFT JOIN dl ON dl.pair_key = p.pair_key AND dl.day = c.day),
+r AS (SELECT *, rank() OVER (PARTITION BY pair_key ORDER BY v) + (count(*) OVER (PARTITION BY pair_key, v) - 1) / 2 AS r FROM g)
+SELECT x.pair_key, y.pair_key AS other, count(*) FILTER (x.v > 0 AND y.v > 0) AS days, round(covar_pop(x.r, y.r) / nullif(stddev_pop(x.r) * stddev_pop(y.r), 0), 6) AS r
+FROM r x JOIN r y ON x.day = y.day AND x.pair_key < y.pair_key GROUP BY 1, 2""")
+    assert found and min(r["days"] for r in found) < 60
