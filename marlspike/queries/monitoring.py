@@ -82,11 +82,15 @@ def spearman_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shared_wallets(spark: SparkSession, d: str) -> DataFrame:
-    """Wallets that two of the ten most traded pairs share."""
-    p = wallet_rows(spark, d).select("wallet", "pair_key").distinct()
-    top = wallet_rows(spark, d).groupBy("pair_key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "pair_key").limit(10).select("pair_key")
-    q = p.join(F.broadcast(top), "pair_key")
-    return q.join(q.withColumnRenamed("pair_key", "other"), "wallet").filter("pair_key < other").groupBy("pair_key", "other").agg(F.count(F.lit(1)).alias("wallets"))
+    """Wallets that two pairs share, for all pairs with a common wallet.
+
+    A wallet of k pairs makes k^2 / 2 combinations; its pairs are spread over 16
+    parts, so they aren't made in one task.
+    """
+    p = durable(wallet_rows(spark, d).select("wallet", "pair_key").distinct(), "wallet-pairs")
+    a = p.withColumn("part", F.pmod(F.xxhash64("pair_key"), F.lit(16)).cast("int"))
+    b = p.select("wallet", F.col("pair_key").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("part"))
+    return a.join(b, ["wallet", "part"]).filter("pair_key < other").groupBy("pair_key", "other").agg(F.count(F.lit(1)).alias("wallets"))
 
 
 def causal_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -146,15 +150,13 @@ def five_minute_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ffill_bfill(spark: SparkSession, d: str) -> DataFrame:
-    """Daily score per pair of the ten most scored ones, gaps filled forward, then backward, then with 20."""
+    """Daily score of every scored pair, gaps filled forward, then backward, then with 20."""
     s = table(spark, d, "risk_scores").filter("asset_pair IS NOT NULL AND timestamp IS NOT NULL")
-    top = s.groupBy("asset_pair").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "asset_pair").limit(10).select("asset_pair")
-    ok = s.filter("score BETWEEN 0 AND 100").join(F.broadcast(top), "asset_pair")
-    daily = ok.groupBy("asset_pair", F.to_date("timestamp").alias("day")).agg(F.avg("score").alias("m"))
+    pairs = s.select("asset_pair").distinct()
+    daily = s.filter("score BETWEEN 0 AND 100").groupBy("asset_pair", F.to_date("timestamp").alias("day")).agg(F.avg("score").alias("m"))
     span = s.agg(F.min(F.to_date("timestamp")).alias("a"), F.max(F.to_date("timestamp")).alias("b"))
-    days = span.select(F.explode(F.sequence("a", "b")).alias("day"))
-    # ten pairs times the calendar
-    grid = F.broadcast(top).join(days)
+    # pairs times the calendar, which is one row until it is laid out
+    grid = pairs.join(F.broadcast(span)).select("asset_pair", F.explode(F.sequence("a", "b")).alias("day"))
     by = Window.partitionBy("asset_pair").orderBy("day")
     g = grid.join(daily, ["asset_pair", "day"], "left")
     filled = F.coalesce(
@@ -164,11 +166,21 @@ def ffill_bfill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairwise_corr(spark: SparkSession, d: str) -> DataFrame:
-    """Mean correlation of a pair's filled daily scores with the other nine."""
-    g = ffill_bfill(spark, d)
-    j = g.join(g.toDF("other", "day", "other_score"), "day").filter("asset_pair <> other")
-    r = j.groupBy("asset_pair", "other").agg(safe_corr(F.col("score"), F.col("other_score")).alias("r"))
-    return r.groupBy("asset_pair").agg(F.round(F.avg("r"), 5).alias("mean_r"))
+    """Mean correlation of a pair's filled daily scores with all others; constant series correlate with none.
+
+    Correlation is the mean product of standardised scores, so the sum over all
+    others is one product with each day's total less the pair's own part (1): no
+    pair of pairs is formed.
+    """
+    g = durable(ffill_bfill(spark, d), "filled-scores")
+    per = g.groupBy("asset_pair").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"), F.count(F.lit(1)).alias("n"))
+    moving = per.filter("sd > 1e-12 AND n > 1")
+    z = g.join(moving, "asset_pair").withColumn("z", (F.col("score") - F.col("mean")) / F.col("sd"))
+    # one row per day, and one row
+    totals, count = z.groupBy("day").agg(F.sum("z").alias("total")), moving.agg((F.count(F.lit(1)) - 1).alias("others"))
+    r = z.join(F.broadcast(totals), "day").groupBy("asset_pair").agg((F.sum(F.col("z") * F.col("total")) / F.max("n") - 1).alias("r"))
+    mean = r.join(F.broadcast(count)).select("asset_pair", F.round(F.when(F.col("others") > 0, F.col("r") / F.col("others")), 5).alias("mean_r"))
+    return per.select("asset_pair").join(mean, "asset_pair", "left")
 
 
 def sliding_sequences(spark: SparkSession, d: str) -> DataFrame:

@@ -51,3 +51,37 @@ r AS (SELECT *, rank() OVER (PARTITION BY pair_key ORDER BY v) + (count(*) OVER
 SELECT x.pair_key, y.pair_key AS other, count(*) FILTER (x.v > 0 AND y.v > 0) AS days, round(covar_pop(x.r, y.r) / nullif(stddev_pop(x.r) * stddev_pop(y.r), 0), 6) AS r
 FROM r x JOIN r y ON x.day = y.day AND x.pair_key < y.pair_key GROUP BY 1, 2""")
     assert found and min(r["days"] for r in found) < 60
+
+
+FILL = """sc AS (SELECT * FROM risk_scores WHERE asset_pair IS NOT NULL AND timestamp IS NOT NULL),
+dly AS (SELECT asset_pair, CAST(timestamp AS DATE) AS day, avg(score) AS m FROM sc WHERE score BETWEEN 0 AND 100 GROUP BY ALL),
+gd AS (SELECT asset_pair, CAST(unnest(generate_series((SELECT min(timestamp)::DATE FROM sc), (SELECT max(timestamp)::DATE FROM sc), INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT asset_pair FROM sc)),
+fill AS (SELECT g.asset_pair, strftime(g.day, '%Y-%m-%d') AS day, round(coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY g.asset_pair ORDER BY g.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(m IGNORE NULLS) OVER (PARTITION BY g.asset_pair ORDER BY g.day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 20.0), 6) AS score FROM gd g LEFT JOIN dly ON dly.asset_pair = g.asset_pair AND dly.day = g.day)"""
+
+
+def test_series_of_all_pairs(spark, db):
+    found = same(spark, db, "ffill_bfill", f"WITH {FILL} SELECT * FROM fill")
+    assert len({r["asset_pair"] for r in found}) > 10
+    # the oracle's ten pairs are a part of it
+    part = db.execute(entry.oracle_sql()["ffill_bfill"]).fetchall()
+    assert len(part) > 0 and set(part) <= {tuple(r) for r in found}
+    same(spark, db, "sliding_sequences", f"""WITH {FILL}, s AS (SELECT asset_pair, count(*) OVER (PARTITION BY asset_pair ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS n FROM fill)
+SELECT asset_pair, count(*) FILTER (n = 30) AS whole, round(avg(n), 9) AS mean_length FROM s GROUP BY 1""")
+
+
+def test_pairwise_corr_all_pairs(spark, db):
+    want = dict(db.execute(f"""WITH {FILL}, sd AS (SELECT asset_pair, stddev_pop(score) AS sd FROM fill GROUP BY 1), f AS (SELECT fill.*, sd FROM fill JOIN sd USING (asset_pair)),
+c AS (SELECT a.asset_pair, b.asset_pair AS o, CASE WHEN min(a.sd) > 1e-12 AND min(b.sd) > 1e-12 THEN covar_pop(a.score, b.score) / (min(a.sd) * min(b.sd)) END AS r FROM f a JOIN f b ON a.day = b.day AND a.asset_pair <> b.asset_pair GROUP BY 1, 2)
+SELECT asset_pair, avg(r) FROM c GROUP BY 1""").fetchall())
+    got = dict(map(tuple, entry.queries()["pairwise_corr"](spark, DATA).collect()))
+    assert len(want) > 10 and got.keys() == want.keys()
+    for k, r in want.items():
+        assert (r is None) == (got[k] is None) and (r is None or abs(got[k] - r) < 6e-6)
+
+
+def test_shared_wallets_all_pairs(spark, db):
+    found = same(spark, db, "shared_wallets", f"""WITH {WALLET_SQL}, p AS (SELECT DISTINCT wallet, pair_key FROM wrows)
+SELECT a.pair_key, b.pair_key AS other, count(*) AS wallets FROM p a JOIN p b ON a.wallet = b.wallet AND a.pair_key < b.pair_key GROUP BY 1, 2""")
+    part = db.execute(entry.oracle_sql()["shared_wallets"]).fetchall()
+    assert len(found) > len(part) > 0 and set(part) <= {tuple(r) for r in found}
