@@ -205,28 +205,23 @@ def trade_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alert_state_machine(spark: SparkSession, d: str) -> DataFrame:
-    """Alerts over a wallet's scores in time order: open at 80, escalate 10 above the last, resolve after three below.
+    """Alerts over a wallet's scores in order of (timestamp, id): open at 80, escalate 10 above the last, resolve after three below.
 
-    A fold over each wallet's ordered scores. Wallets with very many scores are
-    cut at days: states are carried only within an account's sorted array of
-    daily maxima, of which there are as many as days.
+    Every score counts. An alert is open as long as one of the last three scores
+    was high, so the state before a score follows from the three before it, and a
+    wallet is cut into weeks with those rows handed on. Escalations are high too.
     """
-    s = table(spark, d, "risk_scores").filter("wallet IS NOT NULL AND score BETWEEN 0 AND 100 AND timestamp IS NOT NULL")
-    daily = s.groupBy("wallet", F.to_date("timestamp").alias("day")).agg(F.max("score").alias("score"))
-    ordered = daily.groupBy("wallet").agg(F.array_sort(F.collect_list(F.struct("day", "score"))).alias("a"))
-    zero = F.struct(F.lit(False).alias("open"), F.lit(0).alias("last"), F.lit(0).alias("below"), F.lit(0).alias("opened"), F.lit(0).alias("escalated"), F.lit(0).alias("resolved"))
-
-    def step(acc: Column, x: Column) -> Column:
-        high = x["score"] >= 80
-        opens, up = ~acc["open"] & high, acc["open"] & (x["score"] > acc["last"] + 10)
-        below = F.when(acc["open"] & ~high, acc["below"] + 1).otherwise(0)
-        ends = acc["open"] & (below >= 3)
-        return F.struct(
-            ((acc["open"] | opens) & ~ends).alias("open"), x["score"].alias("last"), F.when(ends, 0).otherwise(below).alias("below"),
-            (acc["opened"] + opens.cast("int")).alias("opened"), (acc["escalated"] + up.cast("int")).alias("escalated"), (acc["resolved"] + ends.cast("int")).alias("resolved"),
-        )
-
-    return ordered.select("wallet", F.aggregate("a", zero, step).alias("x")).select("wallet", "x.open", "x.opened", "x.escalated", "x.resolved")
+    s = table(spark, d, "risk_scores").filter("wallet IS NOT NULL AND score BETWEEN 0 AND 100 AND timestamp IS NOT NULL").select("wallet", "timestamp", "id", "score")
+    cut = with_neighbours(s, ["wallet"], ["timestamp", "id", "score"], F.date_trunc("week", "timestamp"), 3, 0)
+    by = Window.partitionBy("wallet", "__chunk").orderBy("timestamp", "id", "score")
+    before = [F.coalesce(F.lag("score", k).over(by) >= 80, F.lit(False)) for k in (1, 2, 3)]
+    x = cut.select("*", F.lag("score").over(by).alias("last"), *[b.alias(f"high{k}") for k, b in enumerate(before, 1)]).filter("__own")
+    high, was = F.col("score") >= 80, F.col("high1") | F.col("high2") | F.col("high3")
+    ends = ~high & F.col("high3") & ~F.col("high1") & ~F.col("high2")
+    return x.groupBy("wallet").agg(
+        F.max_by((was | high) & ~ends, F.struct("timestamp", "id", "score")).alias("open"), F.count_if(high & ~was).cast("int").alias("opened"),
+        F.count_if(was & high & (F.col("score") > F.col("last") + 10)).cast("int").alias("escalated"), F.count_if(ends).cast("int").alias("resolved"),
+    )
 
 
 def hash_chain_verify(spark: SparkSession, d: str) -> DataFrame:

@@ -85,3 +85,20 @@ def test_shared_wallets_all_pairs(spark, db):
 SELECT a.pair_key, b.pair_key AS other, count(*) AS wallets FROM p a JOIN p b ON a.wallet = b.wallet AND a.pair_key < b.pair_key GROUP BY 1, 2""")
     part = db.execute(entry.oracle_sql()["shared_wallets"]).fetchall()
     assert len(found) > len(part) > 0 and set(part) <= {tuple(r) for r in found}
+
+
+def test_alerts_fold_every_score(spark, db):
+    want = {}
+    for wallet, score in db.execute("SELECT wallet, score FROM risk_scores WHERE wallet IS NOT NULL AND score BETWEEN 0 AND 100 AND timestamp IS NOT NULL ORDER BY timestamp, id, score").fetchall():
+        w = want.setdefault(wallet, {"on": False, "last": 0, "below": 0, "opened": 0, "escalated": 0, "resolved": 0})
+        high = score >= 80
+        w["below"] = w["below"] + 1 if w["on"] and not high else 0
+        if not w["on"]:
+            w["on"], w["opened"] = high, w["opened"] + high
+        elif high:
+            w["escalated"] += score > w["last"] + 10
+        elif w["below"] == 3:
+            w["on"], w["below"], w["resolved"] = False, 0, w["resolved"] + 1
+        w["last"] = score
+    got = {r["wallet"]: (r["open"], r["opened"], r["escalated"], r["resolved"]) for r in entry.queries()["alert_state_machine"](spark, DATA).collect()}
+    assert got == {k: (w["on"], w["opened"], w["escalated"], w["resolved"]) for k, w in want.items()}
