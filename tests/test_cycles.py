@@ -39,3 +39,13 @@ def test_generator_and_ensemble(spark):
     p = ensemble(per, per, ["amount", "hint"])
     assert p.filter("(probability > 0.5) <> (label = 1)").count() == 0
     assert ensemble(per.filter("label = 0"), per, ["amount"]).filter("probability <> 0").count() == 0
+
+
+def test_cycles_of_two_and_in_large_components(spark):
+    day = 86_400_000_000
+    ring = [(i, (i + 1) % 14, i * day, 1.0) for i in range(14)]
+    # over an edge of two slices, one too wide, and one of two accounts
+    pay = [*ring, (2, 5, 0, 4.0), (5, 9, day - 1, 3.0), (9, 2, day, 2.0), (4, 3, 3 * day + 5, 7.0), (20, 21, 5, 1.0), (21, 20, 3 * day, 1.0), (30, 31, 5, 6.0), (31, 30, 9, 5.0)]
+    df = spark.createDataFrame(pay, "src int, dst int, t long, amount double")
+    got = rows(timed_cycles(df, strong_components(df), most_nodes=None, shortest=2).select("nodes", "length", "span_s", "value", "status"))
+    assert got == [("2>5>9", 3, 86400.0, 2.0, "found"), ("30>31", 2, 4e-6, 5.0, "found"), ("3>4", 2, 5e-6, 1.0, "found")]
