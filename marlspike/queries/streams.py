@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspike.functions.cells import stripped
+from marlspike.session import durable
 from marlspike.streaming.jobs import changed_by, drain, file_stream, first_by_key, in_sequence, tumbling
 
 
@@ -40,9 +41,20 @@ def stream_score_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_reordered_files(spark: SparkSession, d: str) -> DataFrame:
-    """Landed lines per feed put back in order of file and line."""
-    n = F.col("file_seq").cast("long") * 100_000 + F.col("line_no")
-    s = file_stream(spark, f"{d}/horizon_trade_raw.parquet").select("feed", n.alias("n"), F.col("file_name").alias("name"))
+    """Landed lines per feed put back in order of file and line.
+
+    Lines are numbered per feed without gaps, from the landed files: a number
+    within each file, after the lines of the files before it. So all come out.
+    """
+    path, line = f"{d}/horizon_trade_raw.parquet", ["feed", "file_seq", "line_no"]
+    lines = spark.read.parquet(path).select(*line).distinct()
+    # one row per file
+    files = lines.groupBy("feed", "file_seq").agg(F.count(F.lit(1)).alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("feed").orderBy("file_seq")) - F.col("lines")
+    within = F.row_number().over(Window.partitionBy("feed", "file_seq").orderBy("line_no"))
+    numbers = lines.withColumn("k", within).join(files.select("feed", "file_seq", before.alias("before")), ["feed", "file_seq"])
+    s = file_stream(spark, path).select(*line, F.col("file_name").alias("name"))
+    s = s.join(durable(numbers.select(*line, (F.col("before") + F.col("k")).alias("n")), "line-numbers"), line).select("feed", "n", "name")
     out = drain(in_sequence(s, "feed", "n", "name", hold=50), "stream-order")
     return out.groupBy("feed").agg(F.count(F.lit(1)).alias("released"))
 

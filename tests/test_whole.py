@@ -102,3 +102,7 @@ def test_alerts_fold_every_score(spark, db):
         w["last"] = score
     got = {r["wallet"]: (r["open"], r["opened"], r["escalated"], r["resolved"]) for r in entry.queries()["alert_state_machine"](spark, DATA).collect()}
     assert got == {k: (w["on"], w["opened"], w["escalated"], w["resolved"]) for k, w in want.items()}
+
+
+def test_reordered_files_release_every_line(spark, db):
+    same(spark, db, "stream_reordered_files", "SELECT feed, count(DISTINCT (file_seq, line_no)) AS released FROM horizon_trade_raw GROUP BY 1")
