@@ -14,6 +14,16 @@ def t(n):
     return None if n is None else dt.datetime(2026, 1, 1) + dt.timedelta(hours=n)
 
 
+def one_id_per_token(data):
+    """The data, where a token that stands under several ids stands under the least."""
+    least = {}
+    for _, _, tok, i, *_ in data:
+        tok, i = (tok or "").strip(), (i or "").strip()
+        if tok and i:
+            least[tok] = min(least.get(tok, i), i)
+    return [(r, a, tok, least.get((tok or "").strip(), i), *rest) for r, a, tok, i, *rest in data]
+
+
 def brute(data):
     """Rows left out, straight from the definition by connected components."""
     clean = [(r, a, (tok or "").strip() or None, (i or "").strip() or None) for r, a, tok, i, *_ in data]
@@ -85,3 +95,63 @@ def test_store_merges_only_touched_partitions(spark):
     assert sorted(r[0] for r in copies_removed(df, store.read(), "row").collect()) == left_out
     store.merge(df.limit(0), "token", "id", ["at", "row"], day)
     assert store.read().count() == 600 - len(left_out) + 1
+
+
+def test_blank_id_beside_a_token(spark):
+    data = [(1, t(2), "A", "op", None, None), (2, t(1), "A", " ", None, None), (3, t(3), None, "op", None, None), (4, t(0), "B", None, None, None)]
+    df = spark.createDataFrame(data, SCHEMA)
+    assert rows(keep_first(df)) == [(2,), (4,)]
+
+
+def merged(spark, batches, ident="id"):
+    store = MessageStore(spark, shared_dir(spark, "store"))
+    day = F.date_format("at", "yyyy-MM-dd")
+    for b in batches:
+        store.merge(b, "token", ident, ["at", "row"], day)
+    return store
+
+
+def test_open_id_is_remembered(spark):
+    one = spark.createDataFrame([(1, t(0), "A", "op", None, None), (2, t(50), None, "op", None, None)], SCHEMA)
+    two = spark.createDataFrame([(3, t(99), "D", "op", None, None)], SCHEMA)
+    blank = spark.createDataFrame([(4, t(199), "D", " ", None, None)], SCHEMA)
+    store = merged(spark, [one, two, blank])
+    assert sorted(r[0] for r in store.read().collect()) == [1]
+    # the group's first copy arrives last, on another day: the old winner goes
+    store.merge(spark.createDataFrame([(0, t(-50), "D", None, None, None)], SCHEMA), "token", "id", ["at", "row"], F.date_format("at", "yyyy-MM-dd"))
+    assert sorted(r[0] for r in store.read().collect()) == [0]
+
+
+def test_any_steps_give_the_same(spark):
+    rng = random.Random(7)
+    for trial in range(4):
+        data = []
+        for r in range(120):
+            op = rng.randrange(25)
+            token = rng.choice([f"{op}-{rng.randrange(3)}", f" {op}-0 ", None, "", "  "])
+            data.append((r, t(rng.choice([None, *range(100)])), token, rng.choice([str(op)] * 5 + [None, " "]), None, None))
+        df = spark.createDataFrame(data, SCHEMA)
+        want = rows(keep_first(df))
+        left = set(brute(one_id_per_token(data)))
+        assert [r[0] for r in want] == sorted((r[0] for r in data if r[0] not in left), key=lambda x: repr((x,)))
+        rng.shuffle(data)
+        cuts = sorted(rng.sample(range(1, 120), trial + 1))
+        parts = [data[i:j] for i, j in zip([0, *cuts], [*cuts, 120])]
+        frames = [spark.createDataFrame(p, SCHEMA) for p in parts]
+        store = merged(spark, frames)
+        assert rows(store.read().select("row")) == want
+        state = rows(store._entries(store.manifest(), list(store.manifest()["parts"])))
+        for f in frames[:2]:
+            store.merge(f, "token", "id", ["at", "row"], F.date_format("at", "yyyy-MM-dd"))
+        assert rows(store.read().select("row")) == want  # merged again: the same state
+        assert rows(store._entries(store.manifest(), list(store.manifest()["parts"]))) == state
+        # one entry per key: the index holds nothing of earlier versions
+        assert len(state) == len({e[0] for e in state})
+
+
+def test_partition_of_many_folders_is_rewritten(spark):
+    batches = [spark.createDataFrame([(r, t(1), f"k{r}", None, None, None)], SCHEMA) for r in range(10)]
+    store = merged(spark, batches)
+    assert max(map(len, store.manifest()["parts"].values())) < 8
+    assert store.read().count() == 10
+    assert store.vacuum() > 0 and store.read().count() == 10
