@@ -15,9 +15,10 @@ back AS (
 ahead AS (
   SELECT l.k, r.t AS rt, r.v FROM left_side l ASOF LEFT JOIN r ON l.e = r.e AND l.t <= r.t
 )
-SELECT k, CASE WHEN use_back THEN bv ELSE av END AS v, CASE WHEN use_back THEN bd ELSE ad END AS gap
+SELECT k, CASE WHEN use_back THEN bv ELSE av END AS v, CASE WHEN use_back THEN bt ELSE ft END AS rt,
+       CASE WHEN use_back THEN bd ELSE ad END AS gap
 FROM (
-  SELECT b.k, b.v AS bv, a.v AS av, b.t - b.rt AS bd, a.rt - b.t AS ad,
+  SELECT b.k, b.v AS bv, a.v AS av, b.rt AS bt, a.rt AS ft, b.t - b.rt AS bd, a.rt - b.t AS ad,
          b.rt IS NOT NULL AND (a.rt IS NULL OR b.t - b.rt <= a.rt - b.t) AS use_back
   FROM back b JOIN ahead a ON a.k = b.k
 )
@@ -83,11 +84,11 @@ def nearest_in_time(
             found = db.sql(_PAIR_SQL.format(tolerance=tolerance)).to_arrow_table()
         finally:
             db.close()
-        return found.cast(pa.schema([("k", pa.int64()), ("v", pa.string()), ("gap", pa.int64())]))
+        return found.cast(pa.schema([("k", pa.int64()), ("v", pa.string()), ("rt", pa.int64()), ("gap", pa.int64())]))
 
-    joined = a.groupBy("p").cogroup(b.groupBy("p")).applyInArrow(pair, "k long, v string, gap long")
+    joined = a.groupBy("p").cogroup(b.groupBy("p")).applyInArrow(pair, "k long, v string, rt long, gap long")
     return (
         joined.groupBy("k")
-        .agg(F.min(F.struct("gap", "v")).alias("m"))
+        .agg(F.min(F.struct("gap", "rt", "v")).alias("m"))
         .select(F.col("k").alias(left_key), F.col("m.v").alias(right_value), F.col("m.gap").alias("gap_us"))
     )

@@ -8,6 +8,8 @@ handed to the patterns' places by their rank within their size.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,40 +17,89 @@ from pyspark.sql import types as T
 
 from marlspike.session import durable
 
+#: Parts of one size that one sub-group holds at most, about.
+ROWS_PER_GROUP = 50_000
+
+
+class _Knapsack:
+    """Worth of the best filling of every room, by dynamic programming over ``grid`` units.
+
+    Sizes are rounded up to units, so what is found always fits.
+    """
+
+    def __init__(self, sizes: np.ndarray, worth: np.ndarray, capacity: int, grid: int):
+        self.units, self.room, self.worth = -(-sizes // grid), capacity // grid, worth
+        # of sizes that round to one number of units, the worthiest stands for all
+        best_of: dict[int, int] = {}
+        for i in np.lexsort((-worth, self.units)):
+            best_of.setdefault(int(self.units[i]), int(i))
+        steps = np.array(sorted(best_of))
+        items = np.array([best_of[u] for u in steps])
+        gains = worth[items]
+        self.value, self.choice = np.zeros(self.room + 1), np.full(self.room + 1, -1)
+        for c in range(int(steps[0]), self.room + 1):
+            k = int(np.searchsorted(steps, c, side="right"))
+            total = self.value[c - steps[:k]] + gains[:k]
+            j = int(total.argmax())
+            if total[j] > self.value[c - 1]:
+                self.value[c], self.choice[c] = total[j], items[j]
+            else:
+                self.value[c] = self.value[c - 1]
 
-def _best_pattern(sizes: np.ndarray, worth: np.ndarray, most: np.ndarray, capacity: int, grid: int) -> np.ndarray:
-    """Knapsack by dynamic programming: items per size with the greatest worth that fit ``capacity``.
+    def patterns(self, most: np.ndarray, many: int) -> list[np.ndarray]:
+        """The ``many`` sizes worth most together with the best filling of the room beside one such item, as patterns.
 
-    Sizes are rounded up to ``grid`` units, so a pattern found always fits. Of a
-    size at most ``most`` items are taken.
+        Of a size at most ``most`` items are taken.
+        """
+        beside = self.room - self.units
+        total = np.where(beside >= 0, self.worth + self.value[np.maximum(beside, 0)], -1.0)
+        out = []
+        for j in np.argsort(-total, kind="stable")[:many]:
+            if total[j] < 0:
+                break
+            taken, c = np.zeros(len(most), dtype=np.int64), int(beside[j])
+            taken[j] = 1
+            while c > 0:
+                i = self.choice[c]
+                if i < 0:
+                    c -= 1
+                    continue
+                taken[i] += taken[i] < most[i]
+                c -= int(self.units[i])
+            out.append(taken)
+        return out
+
+
+def _fractional(
+    sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, many: int, step: float, bounds: int = 0
+) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """([(pattern, amount)], lower bound): the covering LP over configurations by multiplicative weights.
+
+    Each size has a weight; the patterns worth most under the weights are priced
+    out by the knapsack and get a share, and the weights of the sizes they cover
+    fall. Amounts are scaled so that half of the sizes are covered in full. Any
+    weights bound the LP from below by their sum over the items per worth of the
+    best pattern; this is evaluated without a grid ``bounds`` times.
     """
-    units = -(-sizes // grid)
-    room = capacity // grid
-    # of sizes that round to one unit count, the worthiest stands for all
-    best_of: dict[int, int] = {}
-    for i in np.lexsort((-worth, units)):
-        best_of.setdefault(int(units[i]), int(i))
-    steps = np.array(sorted(best_of))
-    items = np.array([best_of[u] for u in steps])
-    gains = worth[items]
-    value, choice = np.zeros(room + 1), np.full(room + 1, -1)
-    for c in range(int(steps[0]) if len(steps) else room + 1, room + 1):
-        k = int(np.searchsorted(steps, c, side="right"))
-        total = value[c - steps[:k]] + gains[:k]
-        j = int(total.argmax())
-        if total[j] > value[c - 1]:
-            value[c], choice[c] = total[j], items[j]
-        else:
-            value[c] = value[c - 1]
-    taken, c = np.zeros(len(sizes), dtype=np.int64), room
-    while c > 0:
-        i = choice[c]
-        if i < 0 or value[c] == value[c - 1]:
-            c -= 1
-            continue
-        taken[i] += 1
-        c -= int(units[i])
-    return np.minimum(taken, most)
+    grid = max(1, capacity // 1024)
+    weight = sizes / (counts * sizes).sum()
+    use: dict[bytes, float] = {}
+    covered, bound = np.zeros(len(sizes)), float((counts * sizes).sum()) / capacity
+    for r in range(rounds):
+        if bounds and r % max(1, rounds // bounds) == 0:
+            bound = max(bound, float((counts * weight).sum() / _Knapsack(sizes, weight, capacity, 1).value[-1]))
+        found = _Knapsack(sizes, weight, capacity, grid).patterns(counts, many)
+        more = np.zeros(len(sizes))
+        for pattern in found:
+            used = pattern > 0
+            share = step / len(found) * float((counts[used] / pattern[used]).min())
+            use[pattern.tobytes()] = use.get(pattern.tobytes(), 0.0) + share
+            more += pattern * share
+        covered += more
+        weight = weight * np.exp(-4 * more / counts)
+        weight /= (counts * weight).sum()
+    scale = 1 / max(1e-12, float(np.median(covered / counts)))
+    return [(np.frombuffer(k, dtype=np.int64), v * scale) for k, v in sorted(use.items(), key=lambda e: (-e[1], e[0]))], bound
 
 
 def _fill_greedily(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -68,65 +119,85 @@ def _fill_greedily(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
     return out
 
 
-def plan_patterns(histogram: dict[int, int], capacity: int, rounds: int = 120, step: float = 0.25) -> list[tuple[dict[int, int], int]]:
-    """[(items per size, times)]: patterns that together hold the histogram exactly.
+@dataclass
+class Plan:
+    """Patterns (items per size, times) that hold a histogram exactly; the first ``by_lp`` items lie in the LP's patterns."""
+
+    patterns: list[tuple[dict[int, int], int]]
+    items: int
+    by_lp: int
+    bound: int  # no plan needs fewer containers
+
 
-    Covering LP over configurations, solved by multiplicative weights: each size
-    has a weight, the pattern worth most under the weights is priced out by
-    ``_best_pattern`` and gets a share, and the weights of sizes it covers fall.
-    The fractional solution is scaled and rounded down; what it leaves over (at
-    most one container per pattern) and what rounding misses is filled greedily,
-    and so is a gap in a pattern. The greedy plan alone is taken if it needs
-    fewer containers. Sizes must lie in 1..capacity.
+def plan_patterns(
+    histogram: dict[int, int], capacity: int, rounds: int = 40, many: int = 24, step: float = 0.25, part: float = 0.3
+) -> Plan:
+    """A plan for a histogram of sizes in 1..capacity.
+
+    The configuration LP is solved by ``_fractional`` and rounded in passes: the
+    patterns with the largest amounts are taken, amounts rounded down but at
+    least once, as far as the items left allow; the gap that is left in a pattern
+    takes the largest items still to be had. After ``part`` of the LP's
+    containers the residual LP is solved anew, so that what is left stays in the
+    proportions that fill containers. Patterns must be full at first; once a
+    pass places next to nothing, up to 1 % of a container may stay empty, and
+    more only while over a tenth of the items is left (sizes that fit together
+    badly). What is left then is filled greedily. The greedy
+    filling of everything replaces the plan only if it needs over 1 % fewer
+    containers.
     """
     if not histogram:
-        return []
+        return Plan([], 0, 0, 0)
     sizes = np.array(sorted(histogram), dtype=np.int64)
     counts = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
-    greedy = _fill_greedily(sizes, counts, capacity)
-    grid = max(1, capacity // 1024)
-    weight = sizes / (counts * sizes).sum()
-    use: dict[bytes, float] = {}
-    covered = np.zeros(len(sizes))
-    for _ in range(rounds):
-        pattern = _best_pattern(sizes, weight, counts, capacity, grid)
-        used = pattern > 0
-        if not used.any():
+    left, plans, slack, bound = counts.copy(), [], 0.0, 0.0
+    for turn in range(60):
+        live = left > 0
+        if not live.any():
             break
-        share = step * float((counts[used] / pattern[used]).min())
-        key = pattern.tobytes()
-        use[key] = use.get(key, 0.0) + share
-        covered += pattern * share
-        weight = weight * np.exp(-4 * pattern * share / counts)
-    plans: list[tuple[np.ndarray, int]] = []
-    left = counts.copy()
-    if use:
-        scale = 1 / max(1e-12, float((covered / counts).max()))
-        for key, amount in sorted(use.items(), key=lambda e: -e[1]):
-            pattern = np.frombuffer(key, dtype=np.int64)
+        amounts, lower = _fractional(sizes[live], left[live], capacity, rounds, many, step, bounds=0 if turn else 5)
+        bound = bound or lower
+        before, made = int(left.sum()), 0
+        enough = part * float((left * sizes).sum()) / capacity + 4
+        for short, amount in amounts:
+            pattern = np.zeros(len(sizes), dtype=np.int64)
+            pattern[live] = short
             used = pattern > 0
-            times = min(int(amount * scale), int((left[used] // pattern[used]).min()))
+            times = min(max(1, int(amount)), int((left[used] // pattern[used]).min()))
             if times <= 0:
                 continue
-            # the pattern's gap (the grid rounds sizes up) takes the largest items still to be had
-            full, room = pattern.copy(), capacity - int((pattern * sizes).sum())
+            full, room = pattern, capacity - int((pattern * sizes).sum())
             for i in range(int(np.searchsorted(sizes, room, side="right")) - 1, -1, -1):
-                spare = (left[i] - times * full[i]) // times
-                n = int(min(spare, room // sizes[i])) if spare > 0 else 0
-                full[i] += n
-                room -= n * int(sizes[i])
                 if room < sizes[0]:
                     break
+                n = int(min(left[i] // times - full[i], room // sizes[i]))
+                if n > 0:
+                    full[i] += n
+                    room -= n * int(sizes[i])
+            if room > slack * capacity:
+                continue
             plans.append((full, times))
             left = left - full * times
+            made += times
+            if made >= enough:
+                break
+        if before - int(left.sum()) < 0.03 * before:
+            if slack >= (0.008 if left.sum() < 0.1 * counts.sum() else 0.5):
+                break
+            slack = 0.002 if slack == 0 else 2 * slack
+    by_lp = int(counts.sum() - left.sum())
     plans += _fill_greedily(sizes, left, capacity)
-    if sum(t for _, t in greedy) < sum(t for _, t in plans):
-        plans = greedy
-    return [({int(sizes[i]): int(p[i]) for i in np.flatnonzero(p)}, t) for p, t in plans]
+    greedy = _fill_greedily(sizes, counts, capacity)
+    if sum(t for _, t in greedy) < 0.99 * sum(t for _, t in plans):
+        plans, by_lp = greedy, 0
+    return Plan(
+        [({int(sizes[i]): int(p[i]) for i in np.flatnonzero(p)}, t) for p, t in plans], int(counts.sum()), by_lp,
+        int(np.ceil(bound - 1e-6)),
+    )
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int, rounds: int = 120) -> DataFrame:
-    """(key, part, size, container): every item with a positive size in one container.
+def pack(items: DataFrame, key: str, size: str, capacity: int, rounds: int = 40) -> tuple[DataFrame, Plan]:
+    """(assignment, plan). assignment: key, part, size, container; every item with a positive size in one container.
 
     An item larger than ``capacity`` is split: full containers of its own, and
     its rest as one more part; no other item is split. Items of size 0 or null
@@ -134,9 +205,11 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, rounds: int = 120
     ``key`` is unique; the result is the same in every run.
 
     Parts of a size are numbered without bringing them together: they are spread
-    over sub-groups by hash, counted, and numbered within these; the offsets of
+    over sub-groups by hash (as many as keep ``ROWS_PER_GROUP`` parts in one even
+    if all have one size), counted, and numbered within these; the offsets of
     sub-groups are states (sizes x sub-groups). Pattern places are looked up by
-    size and number in a table with one row per pattern and size.
+    size and number in a table with one row per pattern and size. The plan
+    counts full containers of split items too.
     """
     spark = items.sparkSession
     whole = items.filter(F.col(size) > 0).select(F.col(key).alias("k"), F.col(size).cast("long").alias("n"))
@@ -148,15 +221,18 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, rounds: int = 120
             )
         ).alias("part", "s")
     )
-    spread = 64
+    parts = whole.agg(F.sum(F.ceil(F.col("n") / capacity))).first()[0] or 0
+    spread = max(8, -(-parts // ROWS_PER_GROUP))
     pieces = durable(pieces.select("k", "part", "s", F.pmod(F.xxhash64("k", "part"), F.lit(spread)).alias("g")), "pieces")
     states = pieces.groupBy("s", "g").agg(F.count(F.lit(1)).alias("n"))
     # sizes are at most the capacity: the histogram's bound
     histogram = {r["s"]: r["n"] for r in states.groupBy("s").agg(F.sum("n").alias("n")).collect()}
     full = histogram.pop(capacity, 0)
-    patterns = plan_patterns(histogram, capacity, rounds)
+    plan = plan_patterns(histogram, capacity, rounds)
+    patterns = plan.patterns
     if full:
         patterns.append(({capacity: 1}, full))
+        plan = Plan(patterns, plan.items + full, plan.by_lp + full, plan.bound + full)
     rows, base, given = [], 0, {}
     for pattern, times in patterns:
         for s, n in pattern.items():
@@ -177,7 +253,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, rounds: int = 120
     here = F.get(F.filter("places", lambda p: (p["low"] <= F.col("rank")) & (F.col("rank") < p["high"])), F.lit(0))
     # the table has at most one row per size
     found = ranked.join(F.broadcast(places), "s").withColumn("p", here)
-    return found.select(
+    assigned = found.select(
         F.col("k").alias(key), "part", F.col("s").alias(size),
         (F.col("p.base") + F.floor((F.col("rank") - F.col("p.low")) / F.col("p.each"))).cast("long").alias("container"),
     )
+    return assigned, plan

@@ -96,28 +96,32 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
     return durable(with_tokens(table(spark, d, "documents"), "text", ["doc_id", "source"]), "sizes")
 
 
-def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Every document in containers of each profile's capacity."""
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(documents in containers, plans), both per profile."""
     sized = _sized(spark, d)
-    out = None
+    out, plans = None, []
     # profiles are configuration, a handful of rows
     for profile in table(spark, d, "pack_profiles").orderBy("profile").collect():
-        packed = pack(sized, "doc_id", "tokens", profile["capacity_tokens"]).select(
-            F.lit(profile["profile"]).alias("profile"), "doc_id", "part", "tokens", "container"
-        )
+        packed, plan = pack(sized, "doc_id", "tokens", profile["capacity_tokens"])
+        packed = packed.select(F.lit(profile["profile"]).alias("profile"), "doc_id", "part", "tokens", "container")
         out = packed if out is None else out.unionAll(packed)
-    return out
+        plans.append((profile["profile"], plan.bound, plan.by_lp / max(1, plan.items)))
+    return out, spark.createDataFrame(plans, "profile string, least_containers long, by_lp_patterns double")
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in containers of each profile's capacity."""
+    return _packed(spark, d)[0]
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Per profile: containers, tokens and share of the space that is used."""
-    packed = p8_pack(spark, d).groupBy("profile").agg(
-        F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens")
-    )
+    """Per profile: containers, the LP's lower bound of them, tokens, share of the space used, share of parts that lie in LP patterns."""
+    rows, plans = _packed(spark, d)
+    packed = rows.groupBy("profile").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
     profiles = table(spark, d, "pack_profiles")
-    return packed.join(profiles, "profile").select(
-        "profile", "capacity_tokens", "containers", "tokens",
-        (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"),
+    return packed.join(profiles, "profile").join(plans, "profile").select(
+        "profile", "capacity_tokens", "containers", "least_containers", "tokens",
+        (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"), "by_lp_patterns",
     )
 
 

@@ -8,7 +8,7 @@ from marlspike.functions.cells import micros
 from marlspike.llm.consensus import counted_labels, fit_consensus
 from marlspike.llm.mixing import fill_shares, mix
 from marlspike.llm.nearest import nearest_in_time
-from marlspike.llm.packing import pack, plan_patterns
+from marlspike.llm.packing import _fill_greedily, pack, plan_patterns
 from marlspike.llm.tokens import VOCABULARY, with_tokens
 from marlspike.llm.top_items import top_per_group
 from marlspike.llm.truncation import truncated_texts, truncation_rates
@@ -99,6 +99,19 @@ def test_nearest_against_brute_force(spark):
     assert nearest_in_time(a, b.limit(0), "k", "e", micros("t"), "v", "e", micros("t"), 300, 2).count() == 0
 
 
+def test_nearest_tie_round_a_block_edge(spark):
+    # equally near, on the two sides of a block's edge: the earlier time counts, not the lower id
+    edge = 21_600 * 3
+    a = spark.createDataFrame([(1, "e", at(edge)), (2, "e", at(edge + 250)), (3, "f", at(edge - 7))], "k long, e string, t timestamp_ntz")
+    b = spark.createDataFrame(
+        [("zz", "e", at(edge - 100)), ("aa", "e", at(edge + 100)), ("mm", "e", at(edge + 400)), ("q", "f", at(edge - 307)), ("p", "f", at(edge + 293))],
+        "v string, e string, t timestamp_ntz",
+    )
+    for groups in (1, 5):
+        got = nearest_in_time(a, b, "k", "e", micros("t"), "v", "e", micros("t"), 300, groups)
+        assert rows(got.select("k", "v")) == [(1, "zz"), (2, "aa"), (3, "q")]
+
+
 # tokens and packing ------------------------------------------------------------
 
 
@@ -114,27 +127,39 @@ def test_tokens(spark):
     assert with_tokens(df.limit(0), "text", ["i"]).count() == 0
 
 
+def by_size(histogram, capacity):
+    sizes = np.array(sorted(histogram))
+    return _fill_greedily(sizes, np.array([histogram[s] for s in sizes]), capacity)
+
+
 def test_plan_holds_everything():
     rng = random.Random(4)
     for _ in range(10):
         histogram = {rng.randrange(1, 101): rng.randrange(1, 200) for _ in range(rng.randrange(1, 30))}
-        plan = plan_patterns(dict(histogram), 100, 40)
+        plan = plan_patterns(dict(histogram), 100)
+        assert plan.items == sum(histogram.values()) and plan.by_lp > plan.items / 2
+        used, volume = sum(t for _, t in plan.patterns), -(-sum(s * n for s, n in histogram.items()) // 100)
+        assert volume <= plan.bound <= used <= min(1.15 * plan.bound, sum(t for _, t in by_size(histogram, 100)) * 1.01 + 1)
         held = {}
-        for pattern, times in plan:
+        for pattern, times in plan.patterns:
             assert sum(s * n for s, n in pattern.items()) <= 100
             for s, n in pattern.items():
                 held[s] = held.get(s, 0) + n * times
         assert held == histogram
     # thirds fill containers exactly, where largest-first leaves room
-    assert sum(t for _, t in plan_patterns({35: 300, 30: 300}, 100)) <= 200
-    assert plan_patterns({}, 10) == []
+    plan = plan_patterns({35: 300, 30: 300}, 100)
+    assert sum(t for _, t in plan.patterns) <= 200 and plan.by_lp == 600
+    # items over half the capacity: the LP's bound is above the volume's
+    assert plan_patterns({60: 50}, 100).bound == 50
+    assert plan_patterns({}, 10).patterns == []
+    assert plan_patterns({1: 1}, 1).patterns == [({1: 1}, 1)]
 
 
 def test_pack(spark):
     rng = random.Random(5)
     data = [(k, rng.choice([None, 0, 7, 7, 7, 50, 99, 100, 250, 1000])) for k in range(500)]
     df = spark.createDataFrame([(k, n, 0) for k, n in data], "k long, n long, container int")
-    got = pack(df, "k", "n", 100).collect()
+    got = pack(df, "k", "n", 100)[0].collect()
     size, parts = {}, {}
     for r in got:
         size[r["container"]] = size.get(r["container"], 0) + r["n"]
@@ -144,8 +169,8 @@ def test_pack(spark):
     assert all(len(v) == max(1, -(-sum(v) // 100)) for v in parts.values())
     total = sum(n or 0 for _, n in data)
     assert len(size) <= 1.02 * total / 100 + 1
-    assert rows(pack(df, "k", "n", 100)) == rows(spark.createDataFrame(got))
-    assert pack(df.limit(0), "k", "n", 100).count() == 0
+    assert rows(pack(df, "k", "n", 100)[0]) == rows(spark.createDataFrame(got))
+    assert pack(df.limit(0), "k", "n", 100)[0].count() == 0
 
 
 # mixing ------------------------------------------------------------------------
