@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from marlspike.session import durable
 
-#: Annotators are people; their matrices are held on the driver, up to this many.
+#: Annotators' matrices are held on the driver up to this many; beyond, they stay a table that is joined.
 MAX_ANNOTATORS = 20_000
 
 
@@ -91,12 +91,13 @@ def fit_consensus(
     holds 4 numbers per annotator (at most ``MAX_ANNOTATORS``; more is an error)
     and as many weights as features. The steps share nothing but these
     parameters, so lineage doesn't grow; the gathered items lie in the shared
-    folder, where a lost executor can't take them along.
+    folder, where a lost executor can't take them along. With more annotators
+    than ``MAX_ANNOTATORS`` the same model is fitted by ``_fit_by_joins``.
     """
     spark = labels.sparkSession
     people = [r[0] for r in labels.select("annotator").distinct().limit(MAX_ANNOTATORS + 1).collect()]
     if len(people) > MAX_ANNOTATORS:
-        raise ValueError(f"more than {MAX_ANNOTATORS} annotators")
+        return _fit_by_joins(labels, features, iterations, ridge, smoothing, tolerance)
     people.sort()
     index = spark.createDataFrame([(p, i) for i, p in enumerate(people)], "annotator string, a int")
     names = [c for c in (features.columns if features is not None else []) if c != "item"]
@@ -209,3 +210,76 @@ def fit_consensus(
         )
     )
     return result, reliability
+
+
+def _fit_by_joins(
+    labels: DataFrame, features: DataFrame | None, iterations: int, ridge: float, smoothing: float, tolerance: float
+) -> tuple[DataFrame, DataFrame]:
+    """``fit_consensus`` for any number of annotators: their matrices are a table, evidence a join and a sum per item.
+
+    Each step writes the annotators' rates and reads them again; the driver holds
+    the regression's weights only.
+    """
+    names = [c for c in (features.columns if features is not None else []) if c != "item"]
+    k = len(names)
+    votes = durable(labels.select("item", F.col("annotator").alias("a"), F.col("label").alias("y")), "votes")
+    items = votes.select("item").distinct()
+    if features is not None:
+        one = features.groupBy("item").agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"f{i}") for i, c in enumerate(names)])
+        items = items.join(one, "item", "left")
+    items = durable(items, "items")
+    mean, scale = [0.0] * k, [1.0] * k
+    if k:
+        moments = items.agg(*[g(f"f{i}") for i in range(k) for g in (F.avg, F.stddev_pop)]).first()
+        mean = [moments[2 * i] or 0.0 for i in range(k)]
+        scale = [moments[2 * i + 1] or 1.0 for i in range(k)]
+    x = [F.lit(1.0), *[(F.coalesce(f"f{i}", F.lit(mean[i])) - mean[i]) / scale[i] for i in range(k)]]
+    items = items.select("item", *[c.alias(f"x{i}") for i, c in enumerate(x)])
+    start = float(np.log(0.7 / 0.3))
+    rates = votes.select("a").distinct().select("a", F.lit(-start).alias("l0"), F.lit(start).alias("l1"), F.lit(0.5).alias("sensitivity"), F.lit(0.5).alias("specificity"))
+    weights = np.zeros(k + 1)
+
+    def judged(now: DataFrame, w: np.ndarray) -> DataFrame:
+        seen = F.when(F.col("y") == 1, F.col("l1")).otherwise(F.col("l0"))
+        evidence = votes.join(now, "a").groupBy("item").agg(F.sum(seen).alias("e"))
+        prior = sum((F.col(f"x{i}") * float(w[i]) for i in range(k + 1)), F.lit(0.0))
+        logit = F.greatest(F.least(prior + F.col("e"), F.lit(500.0)), F.lit(-500.0))
+        return items.join(evidence, "item").select("*", (1 / (1 + F.exp(-logit))).alias("p"), (1 / (1 + F.exp(-prior))).alias("fitted"))
+
+    for _ in range(iterations):
+        now = durable(judged(rates, weights), "judged")
+        cell = votes.join(now.select("item", "p"), "item")
+        counts = cell.groupBy("a").agg(
+            *[(F.sum(F.when(F.col("y") == y, p).otherwise(0.0)) + smoothing * (2 if y == t else 1)).alias(f"n{t}{y}")
+              for t, p in ((0, 1 - F.col("p")), (1, F.col("p"))) for y in (0, 1)]
+        )
+        sensitivity, wrong = F.col("n11") / (F.col("n10") + F.col("n11")), F.col("n01") / (F.col("n00") + F.col("n01"))
+        fresh = durable(
+            counts.select("a", (F.log(1 - sensitivity) - F.log(1 - wrong)).alias("l0"), (F.log(sensitivity) - F.log(wrong)).alias("l1"), sensitivity.alias("sensitivity"), (1 - wrong).alias("specificity")),
+            "rates",
+        )
+        curve = F.col("fitted") * (1 - F.col("fitted"))
+        sums = now.agg(
+            *[F.sum(F.col(f"x{i}") * (F.col("p") - F.col("fitted"))) for i in range(k + 1)],
+            *[F.sum(F.col(f"x{i}") * F.col(f"x{j}") * curve) for i in range(k + 1) for j in range(k + 1)],
+        ).first()
+        penalty = np.full(k + 1, ridge)
+        penalty[0] = 1e-6
+        gradient = np.array(sums[: k + 1], float) - penalty * weights
+        hessian = np.array(sums[k + 1 :], float).reshape(k + 1, k + 1) + np.diag(penalty)
+        step = np.clip(np.linalg.solve(hessian, gradient), -3, 3)
+        old = rates.select("a", F.col("l0").alias("o0"), F.col("l1").alias("o1"))
+        moved = fresh.join(old, "a").agg(F.max(F.greatest(F.abs(F.col("l0") - F.col("o0")), F.abs(F.col("l1") - F.col("o1"))))).first()[0]
+        rates, weights = fresh, weights + step
+        if max(moved or 0.0, float(np.abs(step).max())) < tolerance:
+            break
+    final = durable(judged(rates, weights).select("item", "p", (F.col("p") > 0.5).cast("int").alias("consensus")), "judged")
+    cell = votes.join(final, "item").withColumn("same", (F.col("y") == F.col("consensus")).cast("long"))
+    result = cell.groupBy("item").agg(
+        F.max("p").alias("probability"), F.max("consensus").alias("consensus"), F.count(F.lit(1)).cast("int").alias("votes"),
+        F.sum("y").cast("int").alias("votes_for"), F.avg("same").alias("agreement"),
+    )
+    reliability = cell.groupBy("a").agg(F.count(F.lit(1)).alias("labelled"), F.sum("same").alias("agreed")).join(rates, "a").select(
+        F.col("a").alias("annotator"), "labelled", "agreed", (F.col("agreed") / F.col("labelled")).alias("reliability"), "sensitivity", "specificity"
+    )
+    return result, reliability

@@ -50,6 +50,22 @@ def test_consensus_finds_truth_and_liar(spark):
     assert again == found
 
 
+def test_consensus_of_many_annotators_is_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    skill = {f"a{k}": rng.choice([0.9, 0.8, 0.5, 0.1]) for k in range(6)}
+    truth = {f"i{k}": int(rng.random() < 0.4) for k in range(60)}
+    labels = [(i, a, y if rng.random() < p else 1 - y) for i, y in truth.items() for a, p in skill.items() if rng.random() < 0.7]
+    df = spark.createDataFrame(labels, "item string, annotator string, label int")
+    feats = spark.createDataFrame([(i, y + rng.gauss(0, 1)) for i, y in list(truth.items())[:50]], "item string, f double")
+    want = [{r[0]: r for r in x.collect()} for x in fit_consensus(df, feats, iterations=6)]
+    monkeypatch.setattr("marlspike.llm.consensus.MAX_ANNOTATORS", 3)
+    got = [{r[0]: r for r in x.collect()} for x in fit_consensus(df, feats, iterations=6)]
+    for g, w in zip(got, want):
+        assert g.keys() == w.keys()
+        for key in w:
+            assert np.allclose([float(v) for v in g[key][1:]], [float(v) for v in w[key][1:]], atol=1e-6)
+
+
 def test_consensus_empty_and_tie(spark):
     empty = spark.createDataFrame([], "item string, annotator string, label int")
     items, people = fit_consensus(empty)
