@@ -119,6 +119,8 @@ def weak_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         ends = links.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
         ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b")
         links = durable(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wcc")
+    else:
+        raise RuntimeError(f"weak components are left after {max_rounds} rounds")
     return label
 
 
@@ -136,7 +138,9 @@ def strong_components(edges: DataFrame, max_rounds: int = 10_000, one_task_edges
     goes on. All steps are joins and min aggregates over edges; each step's state
     is written to the shared folder, so lineage stays short. Nothing is
     collected but counts. Parallel edges, self-loops and null ends are allowed;
-    nodes that only have self-loops are components of their own.
+    nodes that only have self-loops are components of their own. The joins need
+    as many rounds as a large part's paths are long; where ``max_rounds`` don't
+    do, that is an error, never a result.
     """
     e = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
     e = durable(e, "edges")
@@ -170,6 +174,8 @@ def _components_by_joins(e: DataFrame, max_rounds: int) -> DataFrame:
             current = durable(_trim(current)[0], "scc")
             if current.count() == before:
                 break
+        else:
+            raise RuntimeError(f"trimming took more than {max_rounds} rounds")
         if not current.count():
             break
         colour = current.select(F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("c", F.col("v"))
@@ -181,6 +187,8 @@ def _components_by_joins(e: DataFrame, max_rounds: int) -> DataFrame:
             colour = fresh
             if not moved:
                 break
+        else:
+            raise RuntimeError(f"colouring took more than {max_rounds} rounds")
         same = (
             current.join(colour.toDF("src", "cs"), "src").join(colour.toDF("dst", "cd"), "dst").filter("cs = cd").select("src", "dst")
         )
@@ -193,12 +201,16 @@ def _components_by_joins(e: DataFrame, max_rounds: int) -> DataFrame:
             if not front.limit(1).count():
                 break
             found = durable(found.unionByName(front), "scc")
+        else:
+            raise RuntimeError(f"the way back took more than {max_rounds} rounds")
         done = found if done is None else done.unionByName(found)
         gone = found.select("v")
         current = durable(
             current.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti").select("src", "dst"),
             "scc",
         )
+    else:
+        raise RuntimeError(f"components are left after {max_rounds} rounds")
     if done is None:
         return nodes.select("v", F.col("v").alias("component"))
     return nodes.join(done.withColumnRenamed("c", "component"), "v", "left").select("v", F.coalesce("component", "v").alias("component"))

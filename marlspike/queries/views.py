@@ -7,13 +7,46 @@ from pyspark.sql import functions as F
 
 from marlspike.functions.cells import amount, stripped
 from marlspike.operators.dedup import first_copies
+from marlspike.session import shared_dir
 from marlspike.sources.tables import table
 
 #: Analytic clock: results don't depend on when a query runs.
 AS_OF = "2026-05-20 00:00:00"
 
 
+#: Single trades already written: (application, folder, state of its files) -> (path, schema).
+_WRITTEN: dict[tuple, tuple] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: another state is another table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def trades(spark: SparkSession, d: str) -> DataFrame:
+    """``single_trades``, written to the shared folder once per application and state of the table's files.
+
+    Every trade query reads this table, pruned to its columns, instead of finding
+    the single copies again. It lies there as Parquet for all executors and goes
+    when the application ends.
+    """
+    key = (spark.sparkContext.applicationId, d, _state(spark, f"{d}/horizon_trade.parquet"))
+    if key not in _WRITTEN:
+        rows = single_trades(spark, d)
+        path = f"{shared_dir(spark, 'trades')}/rows"
+        rows.write.parquet(path)
+        _WRITTEN[key] = (path, rows.schema)
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def single_trades(spark: SparkSession, d: str) -> DataFrame:
     """Single, cleaned trades.
 
     trade_id, token, ts, base, counter, base_code, counter_code, pair, pair_key
@@ -78,6 +111,22 @@ def transfers(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("transfer_id").agg(last.alias("t")).select("transfer_id", "t.*")
 
 
+def assignments(spark: SparkSession, d: str) -> DataFrame:
+    """Labels read as cases: id, wallet, asset_pair, analyst, assigned_at, lock_expires_at, status, resolved_at.
+
+    A label that is no 0 or 1 is a case still 'assigned', with a lock of 30 days;
+    the others are 'resolved' as many minutes later as their ensemble score.
+    """
+    f = table(spark, d, "label_feedback")
+    done = F.coalesce(F.col("true_label").isin(0, 1), F.lit(False))
+    at = F.col("confirmed_at")
+    return f.select(
+        "id", "wallet", "asset_pair", F.lower(F.trim("analyst_id")).alias("analyst"), at.alias("assigned_at"),
+        (at + F.expr("INTERVAL 30 DAYS")).alias("lock_expires_at"), F.when(done, "resolved").otherwise("assigned").alias("status"),
+        F.when(done, F.timestamp_add("MINUTE", F.col("ensemble_score"), at)).alias("resolved_at"),
+    )
+
+
 _B = r"E' \t\n\r\f'"
 _NUM = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -121,3 +170,10 @@ transfers AS (
   SELECT transfer_id, id, chain, direction, lower(evm_wallet) AS evm, stellar_wallet AS wallet, amount_usd AS usd, timestamp AS ts
   FROM (SELECT *, row_number() OVER (PARTITION BY transfer_id ORDER BY id DESC) AS rn FROM bridge_transfers WHERE timestamp IS NOT NULL)
   WHERE rn = 1)"""
+
+CASES_SQL = """
+cases AS (
+  SELECT id, wallet, asset_pair, lower(trim(analyst_id)) AS analyst, confirmed_at AS assigned_at, confirmed_at + INTERVAL 30 DAY AS lock_expires_at,
+    CASE WHEN coalesce(true_label IN (0, 1), FALSE) THEN 'resolved' ELSE 'assigned' END AS status,
+    CASE WHEN coalesce(true_label IN (0, 1), FALSE) THEN confirmed_at + to_minutes(ensemble_score) END AS resolved_at
+  FROM label_feedback)"""

@@ -29,19 +29,38 @@ def build_session(app: str = "marlspike", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path below the folder named in ``spark.checkpoint.dir``.
+def _root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; in local mode without it, a temporary one of this process.
 
-    Only where that setting is missing (tests, a single machine) a temporary
-    folder of this process takes its place; it is set as checkpoint folder too.
+    On a cluster the setting must be there: a driver's own folder means nothing
+    to an executor, so its absence is an error.
     """
     global _own_dir
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if _own_dir is None:
-            _own_dir = tempfile.mkdtemp(prefix="marlspike-")
-        root = _own_dir
-    return f"{root.rstrip('/')}/marlspike-{label}-{uuid.uuid4().hex[:12]}"
+    if root:
+        return root.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master!r})")
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="marlspike-")
+    return _own_dir
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new, empty folder that all executors share. It is deleted when the application ends."""
+    path = f"{_root(spark)}/marlspike-{label}-{uuid.uuid4().hex[:12]}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``shared_dir`` that nothing reads any more, before the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -50,6 +69,6 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     Unlike a local checkpoint the files outlive any executor.
     """
     spark = df.sparkSession
-    path = shared_dir(spark, label)
+    path = f"{shared_dir(spark, label)}/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
