@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspike.functions.aggregates import bounded_heap
+from marlspike.functions.cells import micros
 from marlspike.functions.stats import clip, ratio, safe_corr
 from marlspike.operators.neighbours import with_neighbours
 from marlspike.queries.views import ACTIVITY_SQL, AS_OF, TRADES_SQL, WALLET_SQL, activity, trades, wallet_rows
@@ -184,26 +185,57 @@ def pairwise_corr(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sliding_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Sequences of 30 daily values (stride 1) per pair: how many are whole, and their mean length."""
+    """The sequence of 30 daily values up to each day (stride 1) per pair, zeros in front where there are fewer days.
+
+    Written out are how many zeros stand in front, the sum over the sequence and its
+    sum weighted by position (1 to 30), both in millionths, and its last value.
+    """
     by = Window.partitionBy("asset_pair").orderBy("day").rowsBetween(-29, 0)
     s = ffill_bfill(spark, d).withColumn("seq", F.collect_list("score").over(by))
-    return s.groupBy("asset_pair").agg(F.count_if(F.size("seq") == 30).alias("whole"), F.round(F.avg(F.size("seq")), 9).alias("mean_length"))
+    millionths = F.transform("seq", lambda x: F.round(x * 1_000_000).cast("long"))
+    padded = F.concat(F.array_repeat(F.lit(0).cast("long"), 30 - F.size("seq")), millionths)
+    weighted = F.aggregate(F.transform(padded, lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    total = F.aggregate(padded, F.lit(0).cast("long"), lambda a, x: a + x)
+    return s.select("asset_pair", "day", (30 - F.size("seq")).alias("padding"), total.alias("total"), weighted.alias("weighted"), F.element_at("seq", -1).alias("last"))
 
 
-def trade_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Last 200 trades of each wallet as numbers (log amount, log gap, second of day), summarised."""
-    cut = with_neighbours(wallet_rows(spark, d).select("wallet", "ts", "trade_id", "amount"), ["wallet"], ["ts", "trade_id"], F.date_trunc("week", "ts"), 1, 0)
+def trade_sequences(spark: SparkSession, d: str, steps: int = 200) -> DataFrame:
+    """Last 200 trades of each wallet as vectors of five numbers, numbered so that the newest has position 199.
+
+    log1p of the amount, 1 for the buyer, log1p of the seconds since the trade
+    before (0 for the first), the pair's place among all pairs in order of name
+    over their number, second of day over 86,400. Positions in front of the
+    first stand for zeros, as in a padded sequence.
+    """
+    rows = wallet_rows(spark, d).withColumn("buys", ((F.col("base") == F.col("wallet")) != F.coalesce("base_is_seller", F.lit(False))).cast("double"))
+    cut = with_neighbours(rows.select("wallet", "ts", "trade_id", "amount", "pair", "buys"), ["wallet"], ["ts", "trade_id"], F.date_trunc("week", "ts"), 1, 0)
     by = Window.partitionBy("wallet", "__chunk").orderBy("ts", "trade_id")
     r = cut.withColumn("gap", F.timestamp_diff("SECOND", F.lag("ts").over(by), F.col("ts"))).filter("__own")
-    heap = bounded_heap(F.struct("ts", "trade_id", "amount", "gap"), 200, largest=True)
-    last = r.groupBy("wallet").agg(heap.alias("h")).select("wallet", F.explode("h").alias("x")).select("wallet", "x.*")
+    heap = bounded_heap(F.struct("ts", "trade_id", "amount", "gap", "pair", "buys"), steps, largest=True)
+    last = r.groupBy("wallet").agg(heap.alias("h")).select("wallet", F.posexplode("h").alias("back", "x")).select("wallet", (steps - 1 - F.col("back")).alias("position"), "x.*")
+    vocabulary = numbered(trades(spark, d).select("pair").distinct(), "pair")
     sec = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.floor(F.second("ts"))) / F.lit(86400.0)
-    return last.groupBy("wallet").agg(
-        F.count(F.lit(1)).alias("steps"), F.round(F.avg(F.log1p("amount")), 7).alias("log_amount"),
-        F.round(F.avg(F.log1p(F.greatest(F.coalesce("gap", F.lit(0)), F.lit(0)))), 7).alias("log_gap"), F.round(F.avg(sec), 7).alias("time_of_day"),
+    return last.join(vocabulary, "pair").select(
+        "wallet", "position", F.round(F.log1p("amount"), 7).alias("log_amount"), "buys",
+        F.round(F.log1p(F.greatest(F.coalesce("gap", F.lit(0)), F.lit(0)).cast("double")), 7).alias("log_gap"),
+        F.round(F.col("number") / F.col("all"), 9).alias("pair_share"), F.round(sec, 7).alias("time_of_day"),
     )
 
 
+def numbered(values: DataFrame, column: str) -> DataFrame:
+    """(column, number, all): distinct values numbered from 0 in their order, and how many there are.
+
+    Values are spread over ranges by their first two characters, counted, and
+    numbered within these; no list of all of them is sorted in one place.
+    """
+    part = values.select(column, F.substring(column, 1, 2).alias("__h"))
+    sizes = part.groupBy("__h").agg(F.count(F.lit(1)).alias("k"))
+    # one row per two characters
+    before = sizes.select("__h", (F.sum("k").over(Window.orderBy("__h")) - F.col("k")).alias("before"), F.sum("k").over(Window.partitionBy()).alias("all"))
+    within = F.row_number().over(Window.partitionBy("__h").orderBy(column)) - 1
+    return part.withColumn("w", within).join(before, "__h").select(column, (F.col("w") + F.col("before")).alias("number"), "all")
+
+
 def alert_state_machine(spark: SparkSession, d: str) -> DataFrame:
     """Alerts over a wallet's scores in order of (timestamp, id): open at 80, escalate 10 above the last, resolve after three below.
 
@@ -224,59 +256,130 @@ def alert_state_machine(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def stored_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as an event log with the chain hash each was stored with: wallet, id, at, payload, chain_hash.
+
+    The hash of an event covers the stored hash before it in the wallet and the
+    payload. Events whose id ends in 7 were altered after they had been stored,
+    so that there is something to find. A wallet's labels are as many as its
+    analysts gave: they are folded in order within one row.
+    """
+    f = _feedback(spark, d).withColumn("payload", F.concat_ws("|", "wallet", F.col("y").cast("string"), F.col("ens").cast("string")))
+    one = f.groupBy("wallet").agg(F.array_sort(F.collect_list(F.struct("at", "id", "payload"))).alias("events"))
+    link = "struct<at:timestamp_ntz,id:bigint,payload:string,chain_hash:string>"
+    chained = F.aggregate(
+        "events", F.array().cast(f"array<{link}>"),
+        lambda done, e: F.concat(done, F.array(F.struct(
+            e["at"].alias("at"), e["id"].alias("id"), e["payload"].alias("payload"),
+            F.sha2(F.concat_ws("|", F.coalesce(F.get(done, F.size(done) - 1)["chain_hash"], F.lit("genesis")), e["payload"]), 256).alias("chain_hash"),
+        ))),
+    )
+    out = one.select("wallet", F.explode(chained).alias("e")).select("wallet", "e.*")
+    return out.withColumn("payload", F.when(F.col("id") % 10 == 7, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+
+
 def hash_chain_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Chain of hashes per wallet over its labels: each link recomputed from the stored link before it."""
+    """Per wallet: events, how many hashes don't follow from the stored hash before and the payload, and the first such event.
+
+    Each link needs only the stored hash before it, so one broken link doesn't
+    hide what follows.
+    """
     by = Window.partitionBy("wallet").orderBy("at", "id")
-    body = F.concat_ws("|", "wallet", F.col("y").cast("string"), F.col("ens").cast("string"))
-    own = _feedback(spark, d).withColumn("link", F.sha2(body, 256))
-    chained = own.withColumn("chain", F.sha2(F.concat_ws("|", F.coalesce(F.lag("link").over(by), F.lit("genesis")), "link"), 256))
-    return chained.groupBy("wallet").agg(F.count(F.lit(1)).alias("links"), F.max_by("chain", F.struct("at", "id")).alias("head"))
+    expected = F.sha2(F.concat_ws("|", F.coalesce(F.lag("chain_hash").over(by), F.lit("genesis")), "payload"), 256)
+    c = stored_chain(spark, d).withColumn("bad", expected != F.col("chain_hash"))
+    return c.groupBy("wallet").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if("bad").alias("broken"), F.min_by(F.when(F.col("bad"), F.col("id")), F.when(F.col("bad"), F.struct("at", "id"))).alias("first_broken"),
+    )
 
 
 def time_decay(spark: SparkSession, d: str) -> DataFrame:
-    """Weight of each analyst's labels, e^(-0.05 days) before the clock."""
+    """Weight of each analyst's labels: confidence (ensemble score over 100) x e^(-0.05 days before the clock)."""
     age = F.timestamp_diff("MICROSECOND", F.col("at"), F.lit(AS_OF).cast("timestamp_ntz")) / F.lit(86400e6)
-    return _feedback(spark, d).groupBy("analyst").agg(F.round(F.sum(F.exp(-0.05 * age)), 6).alias("weight"), F.round(F.sum(F.col("y") * F.exp(-0.05 * age)), 6).alias("positive"))
+    w = F.col("ens") / 100 * F.exp(-0.05 * age)
+    return _feedback(spark, d).groupBy("analyst").agg(F.round(F.sum(w), 6).alias("weight"), F.round(F.sum(F.col("y") * w), 6).alias("positive"))
 
 
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    """Five expanding folds over the span of labels, three days' gap before validation."""
+    """Five expanding folds over the span of labels: training before the fold's cut, validation a fold long after a gap of seven days.
+
+    Folds without a row on either side don't come out.
+    """
     f = _feedback(spark, d)
-    span = f.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    span = f.agg(F.min(micros("at")).alias("lo"), F.max(micros("at")).alias("hi"))
     # one row
-    x = f.join(F.broadcast(span)).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    pos = F.timestamp_diff("MICROSECOND", F.col("lo"), F.col("at")) / F.timestamp_diff("MICROSECOND", F.col("lo"), F.col("hi"))
-    cut = F.col("fold") / 6
-    gap = F.lit(3 * 86400e6) / F.timestamp_diff("MICROSECOND", F.col("lo"), F.col("hi"))
+    x = f.withColumn("t", micros("at")).join(F.broadcast(span)).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    each = (F.col("hi") - F.col("lo")) / 6
+    cut = F.col("lo") + each * F.col("fold")
+    start = cut + 7 * 86400e6
     return x.groupBy("fold").agg(
-        F.count_if(pos < cut).alias("train"), F.count_if((pos >= cut + gap) & (pos < cut + F.lit(1) / 6)).alias("validate"),
-        F.count_if((pos >= cut) & (pos < cut + gap)).alias("purged"),
-    )
+        F.count_if(F.col("t") < cut).alias("train"), F.count_if((F.col("t") >= start) & (F.col("t") < start + each)).alias("validate"),
+        F.count_if((F.col("t") >= cut) & (F.col("t") < start)).alias("purged"),
+    ).filter("train > 0 AND validate > 0")
 
 
 def cusum(spark: SparkSession, d: str) -> DataFrame:
-    """CUSUM of daily error rates: reference is the first quarter's mean; S = max(0, S + e - mean - 0.01), peak and alarm day.
+    """CUSUM of every label's error in order of time: S = max(0, S + e - mean - 0.1) after the first quarter, whose mean it is; alarm above 5.
 
-    As prefix sum minus running minimum over days.
+    Per day: labels after the reference, S at the day's end, its highest value,
+    and whether it exceeds the limit. S is the running sum less its running
+    minimum; sums and minima of days are put together before they are laid over
+    a day's labels, so no more than a day is ordered in one place.
     """
     e = (F.col("y") != (F.col("ens") >= 50).cast("int")).cast("double")
-    daily = _feedback(spark, d).groupBy(F.to_date("at").alias("day")).agg(F.round(F.avg(e), 12).alias("e"))
+    rows = _feedback(spark, d).filter("at IS NOT NULL").select(F.to_date("at").alias("day"), "at", "id", F.coalesce(e, F.lit(0.0)).alias("e"))
+    within = Window.partitionBy("day").orderBy("at", "id")
+    rows = rows.withColumn("k", F.row_number().over(within))
     # one row per calendar day
-    by = Window.orderBy("day")
-    n = daily.withColumn("i", F.row_number().over(by)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    ref = n.withColumn("ref", F.avg(F.when(F.col("i") <= F.greatest(F.floor(F.col("n") / 4), F.lit(1)), F.col("e"))).over(Window.partitionBy()))
-    pre = ref.withColumn("p", F.sum(F.col("e") - F.col("ref") - 0.01).over(by))
-    s = pre.withColumn("s", F.col("p") - F.least(F.lit(0.0), F.min("p").over(by)))
-    return s.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("s", 8).alias("cusum"), (F.col("s") > 0.5).alias("alarm"))
+    days = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    place = days.select("day", (F.sum("n").over(Window.orderBy("day")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    at = rows.join(F.broadcast(place), "day").withColumn("i", F.col("k") + F.col("before"))
+    quarter = F.greatest(F.lit(1), F.floor(F.col("all") / 4))
+    mean = at.filter((F.col("all") >= 4) & (F.col("i") <= quarter)).agg(F.avg("e").alias("mu"))
+    tail = at.filter((F.col("all") >= 4) & (F.col("i") > quarter)).join(F.broadcast(mean)).withColumn("x", F.col("e") - F.col("mu") - 0.1)
+    tail = tail.withColumn("p", F.sum("x").over(within)).withColumn("low", F.min("p").over(within))
+    ends = tail.groupBy("day").agg(F.sum("x").alias("sum"), F.min("p").alias("least"))
+    order = Window.orderBy("day")
+    ends = ends.withColumn("start", F.sum("sum").over(order) - F.col("sum"))
+    ends = ends.withColumn("floor", F.least(F.lit(0.0), F.coalesce(F.min(F.col("start") + F.col("least")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
+    s = tail.join(F.broadcast(ends.select("day", "start", "floor")), "day")
+    value = F.col("start") + F.col("p") - F.least(F.col("floor"), F.col("start") + F.col("low"))
+    return s.withColumn("s", value).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("labels"), F.round(F.max_by("s", "i"), 6).alias("cusum"), F.round(F.max("s"), 6).alias("highest"), (F.max("s") > 5).alias("alarm"),
+    )
+
+
+#: Page-Hinkley: tolerated deviation, and the limit at which it fires.
+PH_DELTA, PH_LIMIT = 0.005, 50.0
+
+
+def page_hinkley_fold(values: Column, delta: float = PH_DELTA, limit: float = PH_LIMIT) -> Column:
+    """State after an array of values: n, mean, sum, low, detections, last detection; the sums start anew when it fires."""
+    state = "struct<n:int,mean:double,sum:double,low:double,fired:int,last:int>"
+    start = F.struct(*[F.lit(0).alias(c) if c in ("n", "fired", "last") else F.lit(0.0).alias(c) for c in ("n", "mean", "sum", "low", "fired", "last")]).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        total = s["sum"] + (x - mean - delta)
+        low = F.least(s["low"], total)
+        fires = (total - low) > limit
+        return F.struct(
+            n.alias("n"), mean.alias("mean"), F.when(fires, 0.0).otherwise(total).alias("sum"), F.when(fires, 0.0).otherwise(low).alias("low"),
+            (s["fired"] + fires.cast("int")).alias("fired"), F.when(fires, n).otherwise(s["last"]).alias("last"),
+        ).cast(state)
+
+    return F.aggregate(values, start, step)
 
 
 def page_hinkley(spark: SparkSession, d: str) -> DataFrame:
-    """Page-Hinkley statistic per activity type over daily means: cumulative deviation minus its running minimum."""
+    """Page-Hinkley detector per activity type over its daily means: statistic at the end, detections, day number of the last one.
+
+    A series is as long as the calendar; it is folded in one row.
+    """
     daily = activity(spark, d).groupBy("pair", F.to_date("ts").alias("day")).agg(F.round(F.avg("amount"), 10).alias("x"))
-    by = Window.partitionBy("pair").orderBy("day")
-    m = daily.withColumn("dev", F.col("x") - F.avg("x").over(by) - 0.005)
-    c = m.withColumn("c", F.sum("dev").over(by))
-    return c.select("pair", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.col("c") - F.min("c").over(by), 6).alias("statistic"))
+    series = daily.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("day", "x"))).alias("s"))
+    f = series.select("pair", page_hinkley_fold(F.col("s.x")).alias("f"))
+    return f.select("pair", F.col("f.n").alias("days"), F.round(F.col("f.sum") - F.col("f.low"), 6).alias("statistic"), F.col("f.fired").alias("detections"), F.col("f.last").alias("last_detection"))
 
 
 def adwin(spark: SparkSession, d: str) -> DataFrame:
@@ -335,23 +438,71 @@ def psi_quantile(spark: SparkSession, d: str) -> DataFrame:
     return _psi(binned, 1e-6).select("feature", F.round("psi", 7).alias("psi"))
 
 
+#: PSI limits (warning, error, critical) of a feature; others than the default are overrides.
+PSI_LIMITS = {"": (0.10, 0.20, 0.25), "ens": (0.05, 0.15, 0.20)}
+
+
+def psi_level(feature: Column, psi: Column) -> Column:
+    """OK, WARNING, ERROR or CRITICAL by the feature's limits."""
+    def by(limits: tuple) -> Column:
+        return F.when(psi >= limits[2], "CRITICAL").when(psi >= limits[1], "ERROR").when(psi >= limits[0], "WARNING").otherwise("OK")
+
+    out = by(PSI_LIMITS[""])
+    for name, limits in PSI_LIMITS.items():
+        if name:
+            out = F.when(feature == name, by(limits)).otherwise(out)
+    return out
+
+
 def drift_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Level per feature, and whether at least three features drifted."""
     p = psi_equal_width(spark, d)
-    level = F.when(F.col("psi") > 0.5, "CRITICAL").when(F.col("psi") > 0.25, "ERROR").when(F.col("psi") > 0.1, "WARNING").otherwise("OK")
+    level = psi_level(F.col("feature"), F.col("psi"))
     return p.agg(F.count_if(F.expr("psi > 0.2")).alias("drifted"), (F.count_if(F.expr("psi > 0.2")) >= 3).alias("drift"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "feature", level))), ",").alias("levels"))
 
 
+def psi_history(spark: SparkSession, d: str) -> DataFrame:
+    """PSI of each model's scores per day of labels from the middle of March on, against the labels before: feature, day, psi, level.
+
+    Ten equal bins over the reference's range; values outside fall into the first
+    and the last.
+    """
+    edge = F.lit("2026-03-15 00:00:00").cast("timestamp_ntz")
+    f = _feedback(spark, d).filter("at IS NOT NULL")
+    x = f.select("at", F.explode(F.array(*[F.struct(F.lit(m).alias("feature"), F.col(m).cast("double").alias("x")) for m in ("rf", "xg", "lg", "ens")])).alias("e")).select("at", "e.*").filter("x IS NOT NULL")
+    ref, cur = x.filter(F.col("at") < edge), x.filter(F.col("at") >= edge)
+    r = ref.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("hi > lo")
+    b = F.greatest(F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 10), F.lit(9)), F.lit(0)).cast("int")
+    # features times ten bins, and days times these
+    base = ref.join(r, "feature").groupBy("feature", b.alias("bin")).agg(F.count(F.lit(1)).alias("ref"))
+    now = cur.join(r, "feature").groupBy("feature", F.to_date("at").alias("day"), b.alias("bin")).agg(F.count(F.lit(1)).alias("cur"))
+    grid = now.select("feature", "day").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    full = grid.join(base, ["feature", "bin"], "left").join(now, ["feature", "day", "bin"], "left").fillna(0, ["ref", "cur"])
+    by = Window.partitionBy("feature", "day")
+    p, q = F.greatest(F.col("ref") / F.sum("ref").over(by), F.lit(1e-10)), F.greatest(F.col("cur") / F.sum("cur").over(by), F.lit(1e-10))
+    psi = full.select("feature", "day", ((q - p) * F.log(q / p)).alias("t")).groupBy("feature", "day").agg(F.round(F.greatest(F.sum("t"), F.lit(0.0)), 7).alias("psi"))
+    return psi.select("feature", F.date_format("day", "yyyy-MM-dd").alias("day"), "psi", psi_level(F.col("feature"), F.col("psi")).alias("level"))
+
+
+def psi_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Newest PSI per feature."""
+    return psi_history(spark, d).groupBy("feature").agg(F.max_by(F.struct("day", "psi", "level"), "day").alias("x")).select("feature", "x.*")
+
+
 def psi_trend(spark: SparkSession, d: str) -> DataFrame:
-    """Last daily mean score per pair minus the one just before the last seven days (else the first within)."""
-    s = table(spark, d, "risk_scores").filter("asset_pair IS NOT NULL AND score BETWEEN 0 AND 100 AND timestamp IS NOT NULL")
-    daily = s.groupBy("asset_pair", F.to_date("timestamp").alias("day")).agg(F.avg("score").alias("m"))
-    edge = F.to_date(F.lit("2026-05-01"))
-    agg = daily.groupBy("asset_pair").agg(
-        F.max_by("m", "day").alias("now"), F.max_by(F.when(F.col("day") < edge, F.col("m")), F.when(F.col("day") < edge, F.col("day"))).alias("before"),
-        F.min_by(F.when(F.col("day") >= edge, F.col("m")), F.when(F.col("day") >= edge, F.col("day"))).alias("first"),
+    """Per feature: newest PSI minus the last one from before the newest 24 hours, else minus the first within; null with a single value.
+
+    Rising above 0.02, falling below -0.02, else stable.
+    """
+    h = psi_history(spark, d).withColumn("at", F.to_date("day"))
+    newest = h.agg(F.max("at").alias("newest"))
+    inside = F.col("at") >= F.col("newest")
+    x = h.join(F.broadcast(newest)).groupBy("feature").agg(
+        F.max_by(F.when(inside, F.col("psi")), F.when(inside, F.col("at"))).alias("now"), F.max_by(F.when(~inside, F.col("psi")), F.when(~inside, F.col("at"))).alias("before"),
+        F.min_by(F.when(inside, F.col("psi")), F.when(inside, F.col("at"))).alias("first"), F.count_if(inside).alias("k"),
     )
-    return agg.select("asset_pair", F.round(F.col("now") - F.coalesce("before", "first"), 8).alias("trend"))
+    delta = F.round(F.col("now") - F.coalesce("before", F.when(F.col("k") > 1, F.col("first"))), 7)
+    return x.select("feature", delta.alias("delta"), F.when(delta > 0.02, "RISING").when(delta < -0.02, "FALLING").otherwise("STABLE").alias("trend"))
 
 
 def ks_two_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -375,17 +526,25 @@ def confusion_metrics(spark: SparkSession, d: str) -> DataFrame:
 def auc_roc(spark: SparkSession, d: str) -> DataFrame:
     """Area under the ROC curve and average precision of each model, ties shared.
 
-    Counts per distinct score first (scores have at most three decimals), then
-    running sums over distinct scores.
+    Counts per distinct score first, then running sums over distinct scores:
+    within slices of a thousandth of the range, laid over the slices' totals.
     """
-    f = _feedback(spark, d).select("y", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.round(F.col(m).cast("double"), 3).alias("s")) for m in ("rf", "xg", "lg", "ens")])).alias("e"))
-    v = f.select("y", "e.*").filter("s IS NOT NULL").groupBy("model", "s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    up, down, all_ = Window.partitionBy("model").orderBy("s"), Window.partitionBy("model").orderBy(F.col("s").desc()), Window.partitionBy("model")
-    below = F.sum("n").over(up) - F.col("n")
-    x = v.select(
-        "model", "p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("wins"), (F.sum("p").over(down) / (F.sum("p").over(down) + F.sum("n").over(down))).alias("prec"),
-        F.sum("p").over(all_).alias("np"), F.sum("n").over(all_).alias("nn"),
+    f = _feedback(spark, d).select("y", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.col(m).cast("double") / (100 if m == "ens" else 1)).alias("s")) for m in ("rf", "xg", "lg", "ens")])).alias("e"))
+    v = f.select("y", "e.*").filter("s IS NOT NULL").groupBy("model", "s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).withColumn("slice", F.floor(F.col("s") * 1000))
+    # a thousand slices per model
+    totals = v.groupBy("model", "slice").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
+    up = Window.partitionBy("model").orderBy("slice")
+    all_ = Window.partitionBy("model")
+    totals = totals.select(
+        "model", "slice", (F.sum("sn").over(up) - F.col("sn")).alias("n_below"), (F.sum("sp").over(up) - F.col("sp")).alias("p_below"),
+        F.sum("sp").over(all_).alias("np"), F.sum("sn").over(all_).alias("nn"),
+    )
+    by = Window.partitionBy("model", "slice").orderBy("s")
+    x = v.join(totals, ["model", "slice"]).select(
+        "model", "p", "n", "np", "nn", (F.col("n_below") + F.sum("n").over(by) - F.col("n")).alias("below"), (F.col("p_below") + F.sum("p").over(by) - F.col("p")).alias("p_under"),
     )
+    hits, all_up = F.col("np") - F.col("p_under"), F.col("np") - F.col("p_under") + F.col("nn") - F.col("below")
+    x = x.select("model", "p", "np", "nn", (F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"), (hits / all_up).alias("prec"))
     return x.groupBy("model").agg(
         F.round(ratio(F.sum("wins"), F.max("np") * F.max("nn")), 9).alias("auc"), F.round(ratio(F.sum(F.col("p") * F.col("prec")), F.max("np")), 9).alias("average_precision")
     )
@@ -406,14 +565,14 @@ def divergence_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vote_tally(spark: SparkSession, d: str) -> DataFrame:
-    """Votes per wallet, quorum of half the analysts plus one, and the two-thirds rule."""
+    """Latest vote of each analyst per wallet. A proposal passes with more than half of all analysts for it; a dispute with three votes or more is upheld by two thirds of them."""
     f = _feedback(spark, d)
     v = f.groupBy("wallet", "analyst").agg(F.max_by("y", F.struct("at", "id")).alias("y"))
     people = f.agg(F.countDistinct("analyst").alias("people"))
     t = v.groupBy("wallet").agg(F.count_if(F.expr("y = 1")).alias("approve"), F.count(F.lit(1)).alias("votes")).join(F.broadcast(people))
-    quorum = F.floor(F.col("people") * 0.25) + 1
-    verdict = F.when(F.col("votes") < quorum, "no_quorum").when(F.col("approve") * 3 >= F.col("votes") * 2, "approved").otherwise("rejected")
-    return t.select("wallet", "approve", "votes", verdict.alias("verdict"))
+    passed = F.when(F.col("approve") >= F.floor(F.col("people") * 0.5) + 1, "passed").otherwise("rejected")
+    dispute = F.when(F.col("votes") < 3, "open").when(F.col("approve") * 3 >= F.col("votes") * 2, "upheld").otherwise("dismissed")
+    return t.select("wallet", "approve", "votes", passed.alias("proposal"), dispute.alias("dispute"))
 
 
 def beta_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -469,17 +628,45 @@ def conformal_quantile(spark: SparkSession, d: str) -> DataFrame:
     ).select(F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"q{int(a * 100):02d}").alias("quantile")) for a in levels])).alias("x")).select("x.*")
 
 
-def raps_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Prediction sets over three classes with a rank penalty: sizes and coverage at a fixed threshold."""
+#: RAPS: weight of the rank penalty, ranks without one, share of sets that may miss.
+RAPS_WEIGHT, RAPS_FREE, RAPS_MISS = 0.2, 2, 0.10
+
+
+def _raps(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with the RAPS score of each of three classes (clean, wash, unsure) as s0, s1, s2; the true class has s_true.
+
+    A class's score is the probability of all classes as probable or more in
+    descending order, itself included (equal ones in class order), plus the
+    weight times the ranks beyond the free ones.
+    """
     f = _feedback(spark, d).filter("ens IS NOT NULL")
-    p2 = F.col("ens") / 100
-    probs = F.array(F.struct((1 - p2).alias("p"), F.lit(0).alias("k")), F.struct((p2 * 0.6).alias("p"), F.lit(1).alias("k")), F.struct((p2 * 0.4).alias("p"), F.lit(2).alias("k")))
-    ranked = F.array_sort(probs, lambda a, b: F.when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1).when(a["k"] < b["k"], -1).otherwise(1))
-    cum = F.transform(ranked, lambda x, i: F.struct(x["k"].alias("k"), (F.aggregate(F.slice(ranked, 1, i + 1), F.lit(0.0), lambda s, y: s + y["p"]) + 0.05 * F.greatest(i, F.lit(0))).alias("s")))
-    kept = F.filter(cum, lambda x: F.round(x["s"], 9) <= 0.9)
-    sets = f.select("y", F.when(F.size(kept) > 0, kept).otherwise(F.slice(cum, 1, 1)).alias("c"))
-    covered = F.exists("c", lambda x: F.when(F.col("y") == 0, x["k"] == 0).otherwise(x["k"] > 0))
-    return sets.groupBy(F.size("c").alias("set_size")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(covered).alias("covered"))
+    p = F.col("ens") / 100
+    probs = [("0", F.round((1 - p) * 0.9, 9)), ("1", F.round(p * 0.9, 9)), ("2", F.lit(0.1))]
+    scores = []
+    for i, (k, x) in enumerate(probs):
+        ahead = [(q, (q > x) if j > i else (q >= x)) for j, (_, q) in enumerate(probs) if j != i]
+        rank = sum((a.cast("int") for _, a in ahead), F.lit(1))
+        mass = sum((F.when(a, q).otherwise(0.0) for q, a in ahead), x)
+        scores.append(F.round(mass + RAPS_WEIGHT * F.greatest(rank - RAPS_FREE, F.lit(0)), 9).alias(f"s{k}"))
+    s = f.select("id", "y", *scores)
+    return s.withColumn("s_true", F.when(F.col("y") == 0, F.col("s0")).otherwise(F.col("s1")))
+
+
+def raps_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Prediction sets at the calibrated threshold: how many of each size, and how many hold the true class.
+
+    The threshold is the least score at or above the quantile's place among the
+    sorted scores of the true classes, found among counts per distinct score
+    (there are as many as distinct ensemble scores).
+    """
+    s = durable(_raps(spark, d), "raps")
+    n = s.count()
+    level = min(1.0, math.ceil((1 - RAPS_MISS) * (1 + 1 / n)) / (1 + 1 / n)) if n else 1.0
+    place = math.ceil((n - 1) * level - 1e-9) + 1
+    run = s.groupBy("s_true").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("s_true")))
+    limit = run.filter(F.col("upto") >= place).agg(F.min("s_true").alias("q"))
+    sets = s.join(F.broadcast(limit)).select("s_true", "q", sum(((F.col(f"s{k}") <= F.col("q")).cast("int") for k in range(3)), F.lit(0)).alias("set_size"))
+    return sets.groupBy("set_size").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("s_true") <= F.col("q")).alias("covered"), F.max("q").alias("threshold"))
 
 
 def score_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -578,6 +765,7 @@ QUERIES = {
         divergence_report, vote_tally, beta_weights, heatmap_pivot, risk_score_blend, adversarial_boost, conformal_quantile,
         raps_sets, score_classes, error_budget, evasion_counts, weighted_vector_mean, weight_share_cap, importance_stability,
         partial_correlations, logistic_scores,
+        psi_history, psi_latest,
     )
 }
 
@@ -602,12 +790,22 @@ _PSI_W = f"""WITH {_SIDES}, r AS (SELECT feature, min(x) AS lo, max(x) AS hi FRO
 b AS (SELECT s.feature, least(floor((x - lo) / (hi - lo) * 10), 9)::INT AS bin, count(*) FILTER (side = 'ref') AS ref, count(*) FILTER (side = 'cur') AS cur FROM sides s JOIN r ON r.feature = s.feature WHERE hi > lo GROUP BY ALL),
 full_ AS (SELECT g.feature, g.bin, coalesce(ref, 0) AS ref, coalesce(cur, 0) AS cur FROM (SELECT feature, unnest(generate_series(0, 9)) AS bin FROM r) g LEFT JOIN b ON b.feature = g.feature AND b.bin = g.bin),
 {_PSI.format(eps='1e-10')}, w AS (SELECT feature, round(greatest(psi, 0), 7) AS psi FROM psi)"""
+_LEVEL = """CASE WHEN feature = 'ens' THEN CASE WHEN psi >= 0.2 THEN 'CRITICAL' WHEN psi >= 0.15 THEN 'ERROR' WHEN psi >= 0.05 THEN 'WARNING' ELSE 'OK' END ELSE CASE WHEN psi >= 0.25 THEN 'CRITICAL' WHEN psi >= 0.2 THEN 'ERROR' WHEN psi >= 0.1 THEN 'WARNING' ELSE 'OK' END END"""
 _FILL = """sc AS (SELECT * FROM risk_scores WHERE asset_pair IS NOT NULL AND timestamp IS NOT NULL),
-top AS (SELECT asset_pair FROM sc GROUP BY 1 ORDER BY count(*) DESC, asset_pair LIMIT 10),
-dly AS (SELECT asset_pair, CAST(timestamp AS DATE) AS day, avg(score) AS m FROM sc WHERE score BETWEEN 0 AND 100 AND asset_pair IN (SELECT asset_pair FROM top) GROUP BY ALL),
-gd AS (SELECT asset_pair, CAST(unnest(generate_series((SELECT min(timestamp)::DATE FROM sc), (SELECT max(timestamp)::DATE FROM sc), INTERVAL 1 DAY)) AS DATE) AS day FROM top),
+dly AS (SELECT asset_pair, CAST(timestamp AS DATE) AS day, avg(score) AS m FROM sc WHERE score BETWEEN 0 AND 100 GROUP BY ALL),
+gd AS (SELECT asset_pair, CAST(unnest(generate_series((SELECT min(timestamp)::DATE FROM sc), (SELECT max(timestamp)::DATE FROM sc), INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT asset_pair FROM sc)),
 fill AS (SELECT g.asset_pair, strftime(g.day, '%Y-%m-%d') AS day, round(coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY g.asset_pair ORDER BY g.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
   first_value(m IGNORE NULLS) OVER (PARTITION BY g.asset_pair ORDER BY g.day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 20.0), 6) AS score FROM gd g LEFT JOIN dly ON dly.asset_pair = g.asset_pair AND dly.day = g.day)"""
+_HIST = f"""WITH {_F}, x AS ({' UNION ALL '.join(f"SELECT tm, '{m}' AS feature, CAST({m} AS DOUBLE) AS x FROM fb WHERE tm IS NOT NULL AND {m} IS NOT NULL" for m in ('rf', 'xg', 'lg', 'ens'))}),
+r AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM x WHERE tm < TIMESTAMP '2026-03-15 00:00:00' GROUP BY 1 HAVING max(x) > min(x)),
+b AS (SELECT x.feature, tm, greatest(least(floor((x - lo) / (hi - lo) * 10), 9), 0)::INT AS bin FROM x JOIN r ON r.feature = x.feature),
+ref AS (SELECT feature, bin, count(*) AS n FROM b WHERE tm < TIMESTAMP '2026-03-15 00:00:00' GROUP BY ALL),
+cur AS (SELECT feature, CAST(tm AS DATE) AS day, bin, count(*) AS n FROM b WHERE tm >= TIMESTAMP '2026-03-15 00:00:00' GROUP BY ALL),
+g AS (SELECT DISTINCT feature, day, bin FROM (SELECT DISTINCT feature, day FROM cur), (SELECT unnest(generate_series(0, 9)) AS bin)),
+f AS (SELECT g.*, coalesce(ref.n, 0) AS p, coalesce(cur.n, 0) AS q FROM g LEFT JOIN ref ON ref.feature = g.feature AND ref.bin = g.bin LEFT JOIN cur ON cur.feature = g.feature AND cur.day = g.day AND cur.bin = g.bin),
+s AS (SELECT feature, day, greatest(p / sum(p) OVER w, 1e-10) AS p, greatest(q / sum(q) OVER w, 1e-10) AS q FROM f WINDOW w AS (PARTITION BY feature, day)),
+h AS (SELECT feature, strftime(day, '%Y-%m-%d') AS day, round(greatest(sum((q - p) * ln(q / p)), 0), 7) AS psi FROM s GROUP BY feature, s.day),
+hist AS (SELECT *, {_LEVEL} AS level FROM h)"""
 _KINDS = ["click", "error", "purchase", "signup", "view"]
 _E50 = "(y <> (ens >= 50)::INT)::INT"
 
@@ -623,10 +821,12 @@ FROM m JOIN p ON p.wallet = m.wallet""",
     "volume_matrix": f"""WITH {ACTIVITY_SQL}, a AS (SELECT *, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '2000-01-01') AS w FROM activity WHERE ts > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 30 DAY AND ts <= TIMESTAMP '2024-01-30 00:00:00')
 SELECT strftime(w, '%Y-%m-%d %H:%M') AS slice, {', '.join(f"round(coalesce(sum(amount) FILTER (pair = '{k}'), 0), 4) AS {k}" for k in _KINDS)} FROM a GROUP BY w""",
     "spearman_pairs": f"""WITH {TRADES_SQL}, dl AS (SELECT pair_key, CAST(ts AS DATE) AS day, round(sum(amount), 6) AS v FROM trades GROUP BY ALL),
-a AS (SELECT * FROM dl WHERE pair_key IN (SELECT pair_key FROM dl GROUP BY 1 HAVING count(*) >= 60)),
-r AS (SELECT pair_key, day, rank() OVER (PARTITION BY pair_key ORDER BY v) + (count(*) OVER (PARTITION BY pair_key, v) - 1) / 2 AS r FROM a)
-SELECT x.pair_key, y.pair_key AS other, count(*) AS days, round(covar_pop(x.r, y.r) / nullif(stddev_pop(x.r) * stddev_pop(y.r), 0), 6) AS r FROM r x JOIN r y ON x.day = y.day AND x.pair_key < y.pair_key GROUP BY 1, 2 HAVING count(*) >= 60""",
-    "shared_wallets": f"""WITH {WALLET_SQL}, top AS (SELECT pair_key FROM wrows GROUP BY 1 ORDER BY count(*) DESC, pair_key LIMIT 10), p AS (SELECT DISTINCT wallet, pair_key FROM wrows WHERE pair_key IN (SELECT pair_key FROM top))
+p AS (SELECT pair_key FROM dl WHERE v > 0 GROUP BY 1 HAVING count(*) >= 10),
+g AS (SELECT p.pair_key, c.day, coalesce(v, 0) AS v FROM p CROSS JOIN (SELECT DISTINCT day FROM dl) c LEFT JOIN dl ON dl.pair_key = p.pair_key AND dl.day = c.day),
+r AS (SELECT *, rank() OVER (PARTITION BY pair_key ORDER BY v) + (count(*) OVER (PARTITION BY pair_key, v) - 1) / 2 AS r FROM g)
+SELECT x.pair_key, y.pair_key AS other, count(*) FILTER (x.v > 0 AND y.v > 0) AS days, round(covar_pop(x.r, y.r) / nullif(stddev_pop(x.r) * stddev_pop(y.r), 0), 6) AS r
+FROM r x JOIN r y ON x.day = y.day AND x.pair_key < y.pair_key GROUP BY 1, 2""",
+    "shared_wallets": f"""WITH {WALLET_SQL}, p AS (SELECT DISTINCT wallet, pair_key FROM wrows)
 SELECT a.pair_key, b.pair_key AS other, count(*) AS wallets FROM p a JOIN p b ON a.wallet = b.wallet AND a.pair_key < b.pair_key GROUP BY 1, 2""",
     "causal_panel": f"""WITH {ACTIVITY_SQL}, r AS (SELECT *, date_trunc('hour', ts) AS h, row_number() OVER (PARTITION BY pair, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) AS rn FROM activity),
 h AS (SELECT pair, h, max(amount) FILTER (rn = 1) AS last, sum(amount) AS volume, max((wallet % 7 = 0)::INT) AS treated FROM r GROUP BY 1, 2)
@@ -636,47 +836,66 @@ SELECT pair, strftime(h, '%Y-%m-%d %H') AS hour, treated, volume, round(lead(las
 b AS (SELECT a.pair, CAST(floor((epoch_us(ts) - epoch_us(hi - INTERVAL 168 HOUR)) / 300000000) AS INT) AS bin, count(*) AS n, sum(amount) AS v FROM activity a JOIN m ON m.pair = a.pair WHERE ts >= hi - INTERVAL 168 HOUR GROUP BY ALL)
 SELECT g.pair, CAST(g.bin AS INT) AS bin, coalesce(n, 0) AS events, round(coalesce(log10(v + 1e-9), 0), 8) AS log_volume FROM (SELECT pair, unnest(generate_series(0, 2015)) AS bin FROM m) g LEFT JOIN b ON b.pair = g.pair AND b.bin = g.bin""",
     "ffill_bfill": f"WITH {_FILL} SELECT * FROM fill",
-    "pairwise_corr": f"""WITH {_FILL}, c AS (SELECT a.asset_pair, b.asset_pair AS o, covar_pop(a.score, b.score) / nullif(stddev_pop(a.score) * stddev_pop(b.score), 0) AS r FROM fill a JOIN fill b ON a.day = b.day AND a.asset_pair <> b.asset_pair GROUP BY 1, 2)
-SELECT asset_pair, round(avg(r), 5) AS mean_r FROM c GROUP BY 1""",
-    "sliding_sequences": f"""WITH {_FILL}, s AS (SELECT asset_pair, count(*) OVER (PARTITION BY asset_pair ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS n FROM fill)
-SELECT asset_pair, count(*) FILTER (n = 30) AS whole, round(avg(n), 9) AS mean_length FROM s GROUP BY 1""",
-    "trade_sequences": f"""WITH {WALLET_SQL}, g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY wallet ORDER BY ts, trade_id))) // 1000000 AS gap, row_number() OVER (PARTITION BY wallet ORDER BY ts DESC, trade_id DESC) AS back FROM wrows)
-SELECT wallet, count(*) AS steps, round(avg(ln(1 + amount)), 7) AS log_amount, round(avg(ln(1 + greatest(coalesce(gap, 0), 0))), 7) AS log_gap,
-  round(avg((hour(ts)*3600 + minute(ts)*60 + second(ts)) / 86400.0), 7) AS time_of_day FROM g WHERE back <= 200 GROUP BY 1""",
-    "hash_chain_verify": f"""WITH {_F}, l AS (SELECT *, sha256(wallet || '|' || y || '|' || ens) AS link FROM fb),
-c AS (SELECT *, sha256(coalesce(lag(link) OVER (PARTITION BY wallet ORDER BY tm, id), 'genesis') || '|' || link) AS chain, row_number() OVER (PARTITION BY wallet ORDER BY tm DESC, id DESC) AS back FROM l)
-SELECT wallet, count(*) AS links, max(chain) FILTER (back = 1) AS head FROM c GROUP BY 1""",
-    "time_decay": f"""WITH {_F}, a AS (SELECT *, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(tm)) / 86400e6 AS age FROM fb)
-SELECT analyst, round(sum(exp(-0.05*age)), 6) AS weight, round(sum(y*exp(-0.05*age)), 6) AS positive FROM a GROUP BY 1""",
-    "walk_forward": f"""WITH {_F}, s AS (SELECT epoch_us(min(tm)) AS lo, epoch_us(max(tm)) AS hi FROM fb), x AS (SELECT (epoch_us(tm) - lo) / (hi - lo) AS pos, 259200e6 / (hi - lo) AS gap, unnest([1,2,3,4,5]) AS fold FROM fb, s)
-SELECT fold, count(*) FILTER (pos < fold/6) AS train, count(*) FILTER (pos >= fold/6 + gap AND pos < fold/6 + 1/6) AS validate, count(*) FILTER (pos >= fold/6 AND pos < fold/6 + gap) AS purged FROM x GROUP BY 1""",
-    "cusum": f"""WITH {_F}, dl AS (SELECT CAST(tm AS DATE) AS day, round(avg({_E50}), 12) AS e FROM fb GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY day) AS i, count(*) OVER () AS n FROM dl),
-r AS (SELECT *, avg(e) FILTER (i <= greatest(n // 4, 1)) OVER () AS ref FROM n), p AS (SELECT day, sum(e - ref - 0.01) OVER (ORDER BY day) AS p FROM r),
-s AS (SELECT day, p - least(0, min(p) OVER (ORDER BY day)) AS s FROM p) SELECT strftime(day, '%Y-%m-%d') AS day, round(s, 8) AS cusum, s > 0.5 AS alarm FROM s""",
-    "page_hinkley": f"""WITH {ACTIVITY_SQL}, dl AS (SELECT pair, CAST(ts AS DATE) AS day, round(avg(amount), 10) AS x FROM activity GROUP BY ALL),
-m AS (SELECT *, x - avg(x) OVER (PARTITION BY pair ORDER BY day) - 0.005 AS dev FROM dl), c AS (SELECT *, sum(dev) OVER (PARTITION BY pair ORDER BY day) AS c FROM m)
-SELECT pair, strftime(day, '%Y-%m-%d') AS day, round(c - min(c) OVER (PARTITION BY pair ORDER BY day), 6) AS statistic FROM c""",
+    "pairwise_corr": f"""WITH {_FILL}, sd AS (SELECT asset_pair, stddev_pop(score) AS sd FROM fill GROUP BY 1), f AS (SELECT fill.*, sd FROM fill JOIN sd USING (asset_pair) WHERE sd > 1e-12),
+c AS (SELECT a.asset_pair, covar_pop(a.score, b.score) / (min(a.sd) * min(b.sd)) AS r FROM f a JOIN f b ON a.day = b.day AND a.asset_pair <> b.asset_pair GROUP BY a.asset_pair, b.asset_pair),
+m AS (SELECT asset_pair, round(avg(r), 5) AS mean_r FROM c GROUP BY 1)
+SELECT sd.asset_pair, mean_r FROM sd LEFT JOIN m ON m.asset_pair = sd.asset_pair""",
+    "sliding_sequences": f"""WITH {_FILL}, s AS (SELECT asset_pair, day, score, list(CAST(round(score * 1000000) AS BIGINT)) OVER (PARTITION BY asset_pair ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS seq FROM fill),
+q AS (SELECT *, 30 - len(seq) AS pad FROM s)
+SELECT asset_pair, day, CAST(pad AS INT) AS padding, CAST(list_sum(seq) AS BIGINT) AS total, CAST(list_sum(list_transform(range(len(seq)), lambda i: seq[i + 1] * (pad + i + 1))) AS BIGINT) AS weighted, score AS last FROM q""",
+    "trade_sequences": f"""WITH {WALLET_SQL}, pn AS (SELECT pair, row_number() OVER (ORDER BY pair) - 1 AS number, count(*) OVER () AS all_ FROM (SELECT DISTINCT pair FROM trades)),
+r AS (SELECT *, date_diff('microsecond', lag(ts) OVER w, ts) // 1000000 AS gap, row_number() OVER (PARTITION BY wallet ORDER BY ts DESC, trade_id DESC) AS k FROM wrows WINDOW w AS (PARTITION BY wallet ORDER BY ts, trade_id))
+SELECT wallet, CAST(200 - k AS INT) AS position, round(ln(1 + amount), 7) AS log_amount, ((base = wallet) <> coalesce(base_is_seller, FALSE))::INT::DOUBLE AS buys,
+  round(ln(1 + greatest(coalesce(gap, 0), 0)::DOUBLE), 7) AS log_gap, round(number / all_, 9) AS pair_share, round((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 86400.0, 7) AS time_of_day
+FROM r JOIN pn ON pn.pair = r.pair WHERE k <= 200""",
+    "hash_chain_verify": f"""WITH RECURSIVE {_F}, n AS (SELECT wallet, tm, id, concat_ws('|', wallet, y, ens) AS payload, row_number() OVER (PARTITION BY wallet ORDER BY tm NULLS FIRST, id) AS k FROM fb),
+c AS (SELECT wallet, k, id, payload, sha256('genesis|' || payload) AS h FROM n WHERE k = 1
+  UNION ALL SELECT n.wallet, n.k, n.id, n.payload, sha256(c.h || '|' || n.payload) FROM c JOIN n ON n.wallet = c.wallet AND n.k = c.k + 1),
+t AS (SELECT wallet, k, id, CASE WHEN id % 10 = 7 THEN payload || '!' ELSE payload END AS payload, h FROM c),
+v AS (SELECT *, sha256(coalesce(lag(h) OVER (PARTITION BY wallet ORDER BY k), 'genesis') || '|' || payload) <> h AS bad FROM t)
+SELECT wallet, count(*) AS events, count(*) FILTER (bad) AS broken, arg_min(id, k) FILTER (bad) AS first_broken FROM v GROUP BY 1""",
+    "time_decay": f"""WITH {_F}, w AS (SELECT analyst, y, ens / 100 * exp(-0.05 * ((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(tm)) / 86400e6)) AS w FROM fb)
+SELECT analyst, round(sum(w), 6) AS weight, round(sum(y * w), 6) AS positive FROM w GROUP BY 1""",
+    "walk_forward": f"""WITH {_F}, s AS (SELECT min(epoch_us(tm)) AS lo, max(epoch_us(tm)) AS hi FROM fb),
+x AS (SELECT epoch_us(tm) AS t, fold, lo + (hi - lo) / 6 * fold AS cut, (hi - lo) / 6 AS each FROM fb, s, (SELECT unnest(generate_series(1, 5)) AS fold))
+SELECT CAST(fold AS INT) AS fold, count(*) FILTER (t < cut) AS train, count(*) FILTER (t >= cut + 7 * 86400e6 AND t < cut + 7 * 86400e6 + each) AS validate,
+  count(*) FILTER (t >= cut AND t < cut + 7 * 86400e6) AS purged FROM x GROUP BY 1 HAVING train > 0 AND validate > 0""",
+    "cusum": f"""WITH {_F}, r AS (SELECT tm, id, coalesce((y <> (ens >= 50)::INT)::INT, 0)::DOUBLE AS e, row_number() OVER (ORDER BY tm, id) AS i, count(*) OVER () AS n FROM fb WHERE tm IS NOT NULL),
+m AS (SELECT avg(e) AS mu FROM r WHERE i <= greatest(1, n // 4)),
+p AS (SELECT tm, i, sum(e - mu - 0.1) OVER (ORDER BY i) AS p FROM r, m WHERE n >= 4 AND i > greatest(1, n // 4)),
+s AS (SELECT tm, i, p - least(0, min(p) OVER (ORDER BY i)) AS s FROM p)
+SELECT strftime(tm, '%Y-%m-%d') AS day, count(*) AS labels, round(arg_max(s, i), 6) AS cusum, round(max(s), 6) AS highest, max(s) > 5 AS alarm FROM s GROUP BY 1""",
+    "page_hinkley": f"""WITH RECURSIVE {ACTIVITY_SQL}, dl AS (SELECT pair, CAST(ts AS DATE) AS day, round(avg(amount), 10) AS x FROM activity GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY day) AS k FROM dl),
+m AS (SELECT *, avg(x) OVER (PARTITION BY pair ORDER BY k) AS mean FROM n),
+f AS (SELECT pair, 0::BIGINT AS k, 0.0::DOUBLE AS c, 0.0::DOUBLE AS low, 0 AS fired, 0::BIGINT AS last FROM (SELECT DISTINCT pair FROM dl)
+  UNION ALL SELECT m.pair, m.k, CASE WHEN u.t - least(low, u.t) > 50 THEN 0 ELSE u.t END, CASE WHEN u.t - least(low, u.t) > 50 THEN 0 ELSE least(low, u.t) END,
+    fired + (u.t - least(low, u.t) > 50)::INT, CASE WHEN u.t - least(low, u.t) > 50 THEN m.k ELSE last END
+  FROM f JOIN m ON m.pair = f.pair AND m.k = f.k + 1, LATERAL (SELECT f.c + m.x - m.mean - 0.005 AS t) u)
+SELECT pair, CAST(k AS INT) AS days, round(c - low, 6) AS statistic, fired AS detections, CAST(last AS INT) AS last_detection FROM f WHERE (pair, k) IN (SELECT pair, max(k) FROM n GROUP BY 1)""",
     "psi_equal_width": f"{_PSI_W} SELECT * FROM w",
     "psi_quantile": f"""WITH {_SIDES}, q AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]) FILTER (side = 'ref'))) AS q FROM sides GROUP BY 1),
 full_ AS (SELECT s.feature, least(len(list_filter(q, lambda e: e <= x)), len(q) - 1) AS bin, count(*) FILTER (side = 'ref') AS ref, count(*) FILTER (side = 'cur') AS cur FROM sides s JOIN q ON q.feature = s.feature
   WHERE len(q) >= 3 AND x >= q[1] AND x <= q[len(q)] GROUP BY ALL), {_PSI.format(eps='1e-6')} SELECT feature, round(psi, 7) AS psi FROM psi""",
-    "drift_verdict": f"""{_PSI_W} SELECT count(*) FILTER (psi > 0.2) AS drifted, count(*) FILTER (psi > 0.2) >= 3 AS drift,
-  string_agg(feature || ':' || CASE WHEN psi > 0.5 THEN 'CRITICAL' WHEN psi > 0.25 THEN 'ERROR' WHEN psi > 0.1 THEN 'WARNING' ELSE 'OK' END, ',' ORDER BY feature) AS levels FROM w""",
-    "psi_trend": """WITH dl AS (SELECT asset_pair, CAST(timestamp AS DATE) AS day, avg(score) AS m FROM risk_scores WHERE asset_pair IS NOT NULL AND score BETWEEN 0 AND 100 AND timestamp IS NOT NULL GROUP BY ALL)
-SELECT asset_pair, round(arg_max(m, day) - coalesce(arg_max(m, day) FILTER (day < DATE '2026-05-01'), arg_min(m, day) FILTER (day >= DATE '2026-05-01')), 8) AS trend FROM dl GROUP BY 1""",
+    "drift_verdict": f"""{_PSI_W} SELECT count(*) FILTER (psi > 0.2) AS drifted, count(*) FILTER (psi > 0.2) >= 3 AS drift, string_agg(feature || ':' || {_LEVEL}, ',' ORDER BY feature || ':' || {_LEVEL}) AS levels FROM w""",
+    "psi_trend": f"""{_HIST}, nw AS (SELECT max(day) AS newest FROM hist),
+px AS (SELECT feature, arg_max(psi, day) FILTER (day >= newest) AS now, arg_max(psi, day) FILTER (day < newest) AS bef, arg_min(psi, day) FILTER (day >= newest) AS first, count(*) FILTER (day >= newest) AS k FROM hist, nw GROUP BY 1),
+y AS (SELECT feature, round(now - coalesce(bef, CASE WHEN k > 1 THEN first END), 7) AS delta FROM px)
+SELECT feature, delta, CASE WHEN delta > 0.02 THEN 'RISING' WHEN delta < -0.02 THEN 'FALLING' ELSE 'STABLE' END AS trend FROM y""",
     "ks_two_sample": f"""WITH {_SIDES}, v AS (SELECT feature, x, count(*) FILTER (side = 'ref') AS r, count(*) FILTER (side = 'cur') AS c FROM sides GROUP BY ALL),
 g AS (SELECT feature, abs(sum(r) OVER (PARTITION BY feature ORDER BY x) / sum(r) OVER (PARTITION BY feature) - sum(c) OVER (PARTITION BY feature ORDER BY x) / sum(c) OVER (PARTITION BY feature)) AS gap, r, c FROM v)
 SELECT feature, round(max(gap), 9) AS ks, CAST(sum(r) AS BIGINT) AS reference, CAST(sum(c) AS BIGINT) AS current FROM g GROUP BY 1""",
     "confusion_metrics": f"WITH {_F}, c AS (SELECT analyst, {_conf('ens >= 50')} FROM fb GROUP BY 1) SELECT analyst, tp, fp, fn, tn, {_RATE} FROM c",
-    "auc_roc": f"""WITH {_F}, e AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT y, '{m}' AS model, round(CAST({m} AS DOUBLE), 3) AS s FROM fb" for m in ('rf', 'xg', 'lg', 'ens'))}) WHERE s IS NOT NULL),
+    "auc_roc": f"""WITH {_F}, e AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT y, '{m}' AS model, CAST({m} AS DOUBLE) AS s FROM fb" for m in ('rf', 'xg', 'lg', 'ens'))}) WHERE s IS NOT NULL),
 v AS (SELECT model, s, sum(y) AS p, sum(1 - y) AS n FROM e GROUP BY ALL),
 x AS (SELECT model, p, n, p * (sum(n) OVER (PARTITION BY model ORDER BY s) - n + n / 2) AS wins, sum(p) OVER (PARTITION BY model ORDER BY s DESC) / (sum(p) OVER (PARTITION BY model ORDER BY s DESC) + sum(n) OVER (PARTITION BY model ORDER BY s DESC)) AS prec FROM v)
 SELECT model, round(sum(wins) / (sum(p) * sum(n)), 9) AS auc, round(sum(p * prec) / sum(p), 9) AS average_precision FROM x GROUP BY 1""",
     "threshold_sweep": f"WITH {_F}, t AS (SELECT *, unnest([50, 60, 70, 80, 90]) AS threshold FROM fb), c AS (SELECT threshold, {_conf('ens >= threshold')} FROM t GROUP BY 1) SELECT threshold, tp, fp, fn, tn, {_RATE} FROM c",
     "divergence_report": f"WITH {_F}, x AS (SELECT abs(rf - xg) AS v FROM fb WHERE rf IS NOT NULL AND xg IS NOT NULL) SELECT count(*) AS n, round(avg(v), 4) AS mean, round(quantile_disc(v, 0.95), 9) AS p95, round(avg((v > 0.5)::INT), 9) AS above FROM x",
-    "vote_tally": f"""WITH {_F}, l AS (SELECT wallet, analyst, y FROM (SELECT *, row_number() OVER (PARTITION BY wallet, analyst ORDER BY tm DESC, id DESC) AS rn FROM fb) WHERE rn = 1),
-t AS (SELECT wallet, count(*) FILTER (y = 1) AS approve, count(*) AS votes FROM l GROUP BY 1)
-SELECT wallet, approve, votes, CASE WHEN votes < floor((SELECT count(DISTINCT analyst) FROM fb) * 0.25) + 1 THEN 'no_quorum' WHEN approve*3 >= votes*2 THEN 'approved' ELSE 'rejected' END AS verdict FROM t""",
+    "vote_tally": f"""WITH {_F}, v AS (SELECT wallet, analyst, y FROM (SELECT *, row_number() OVER (PARTITION BY wallet, analyst ORDER BY tm DESC NULLS LAST, id DESC) AS rn FROM fb) WHERE rn = 1),
+t AS (SELECT wallet, count(*) FILTER (y = 1) AS approve, count(*) AS votes FROM v GROUP BY 1), n AS (SELECT count(DISTINCT analyst) AS people FROM fb)
+SELECT wallet, approve, votes, CASE WHEN approve >= floor(people * 0.5) + 1 THEN 'passed' ELSE 'rejected' END AS proposal,
+  CASE WHEN votes < 3 THEN 'open' WHEN approve * 3 >= votes * 2 THEN 'upheld' ELSE 'dismissed' END AS dispute FROM t, n""",
     "beta_weights": f"""WITH {_F}, e AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT y, '{m}' AS model, {m} AS p FROM fb" for m in ('rf', 'xg', 'lg'))}) WHERE p IS NOT NULL),
 a AS (SELECT model, 2 + sum(CASE WHEN y = 1 THEN p ELSE 1 - p END) AS a, 2 + sum(CASE WHEN y = 1 THEN 1 - p ELSE p END) AS b FROM e GROUP BY 1), m AS (SELECT model, greatest((a - 1) / (a + b - 2), 1e-9) AS m FROM a)
 SELECT model, round(m / sum(m) OVER (), 9) AS weight FROM m""",
@@ -695,4 +914,13 @@ SELECT count(*) AS pairs, round(covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop
     "adversarial_boost": f"""WITH {_F}, m AS (SELECT id, ens, rf, xg, lg, (rf + xg + lg) / 3 AS m FROM fb WHERE rf IS NOT NULL AND xg IS NOT NULL AND lg IS NOT NULL AND ens IS NOT NULL),
 s AS (SELECT id, ens, sqrt((pow(rf-m,2) + pow(xg-m,2) + pow(lg-m,2)) / 3) AS sd FROM m), t AS (SELECT *, least(1.0, round(sd, 9) * 2.5) AS sp FROM s)
 SELECT id, round(least(100.0, ens + CASE WHEN sp > 0.6 THEN 20 * (sp - 0.6) / 0.4 ELSE 0 END), 9) AS score, round(1 - sd, 7) AS confidence FROM t""",
+    "psi_history": f"{_HIST} SELECT * FROM hist",
+    "psi_latest": f"{_HIST} SELECT feature, max(day) AS day, arg_max(psi, day) AS psi, arg_max(level, day) AS level FROM hist GROUP BY 1",
+    "raps_sets": f"""WITH {_F}, p AS (SELECT id, y, round((1 - ens / 100) * 0.9, 9) AS p0, round(ens / 100 * 0.9, 9) AS p1, 0.1::DOUBLE AS p2 FROM fb WHERE ens IS NOT NULL),
+l AS (SELECT id, y, unnest([{{'k': 0, 'p': p0}}, {{'k': 1, 'p': p1}}, {{'k': 2, 'p': p2}}]) AS e FROM p),
+r AS (SELECT id, y, e.k AS k, sum(e.p) OVER w AS mass, row_number() OVER w AS rank FROM l WINDOW w AS (PARTITION BY id ORDER BY e.p DESC, e.k ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT id, y, k, round(mass + 0.2 * greatest(rank - 2, 0), 9) AS s FROM r), t AS (SELECT id, s FROM s WHERE k = y),
+q AS (SELECT list_sort(list(s))[CAST(ceil((count(*) - 1) * least(1.0, ceil(0.9 * (1 + 1.0 / count(*))) / (1 + 1.0 / count(*))) - 1e-9) AS INT) + 1] AS q FROM t),
+z AS (SELECT s.id, count(*) FILTER (s.s <= q) AS set_size, max(t.s) AS st, max(q) AS q FROM s JOIN t ON t.id = s.id, q GROUP BY 1)
+SELECT CAST(set_size AS INT) AS set_size, count(*) AS rows, count(*) FILTER (st <= q) AS covered, max(q) AS threshold FROM z GROUP BY 1""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from marlspike.functions.cells import amount, micros, stripped
 from marlspike.functions.stats import exact_sum, ratio
 from marlspike.operators.rangejoin import band_join
-from marlspike.queries.views import AS_OF, TRADES_SQL, TRANSFERS_SQL, WALLET_SQL, trades, transfers, wallet_rows
+from marlspike.queries.views import AS_OF, CASES_SQL, TRADES_SQL, TRANSFERS_SQL, WALLET_SQL, assignments, trades, transfers, wallet_rows
 from marlspike.session import durable
 from marlspike.sources.tables import table
 
@@ -32,14 +33,34 @@ def first_reason(rules: dict[str, F.Column]) -> F.Column:
     return F.coalesce(*[F.when(rejects, F.lit(name)) for name, rejects in rules.items()])
 
 
+#: Configured filters, in their order. An empty whitelist lets all pairs pass; pairs are compared by code, case-sensitively.
+WHITELIST: tuple[str, ...] = ()
+BLACKLIST = ("EURV/XLM", "AQUR/XLM")
+LEAST = {"base": 5, "counter": 1, "price": 0}
+ASSET_KINDS = ("native", "alphanum4")
+
+
+def _asset_kind(code: F.Column) -> F.Column:
+    return F.when(code == "XLM", "native").when(F.length(code) <= 4, "alphanum4").otherwise("alphanum12")
+
+
 def filter_pipeline_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """Trades by the first filter that rejects them: pair list, minimum volume, asset type, excluded account."""
-    t = trades(spark, d)
-    rules = {
-        "pair_blacklist": F.col("pair_key").isin("EURV/XLM", "AQUR/XLM"),
-        "min_volume": F.col("amount") < 5,
-        "asset_type": (F.length("base_code") > 4) & (F.col("base_code") != "XLM") & F.col("counter_code").isin("EURV"),
-        "self_trade": F.coalesce(F.col("base") == F.col("counter"), F.lit(False)),
+    """Trades by the first filter that rejects them: pair lists, minimum amounts, asset kinds of either side, excluded accounts of either side.
+
+    Excluded are accounts of unknown age, a list of its own that is joined.
+    """
+    excluded = table(spark, d, "account_metadata").filter("created_at IS NULL").select("account").distinct()
+    t = trades(spark, d).withColumn("other", F.coalesce("counter", "base"))
+    t = t.join(excluded.select(F.col("account").alias("base"), F.lit(True).alias("bad_base")), "base", "left")
+    t = t.join(excluded.select(F.col("account").alias("other"), F.lit(True).alias("bad_other")), "other", "left")
+    rules = {}
+    if WHITELIST:
+        rules["pair_whitelist"] = ~F.col("pair").isin(*WHITELIST)
+    rules |= {
+        "pair_blacklist": F.col("pair").isin(*BLACKLIST),
+        "min_volume": (F.col("amount") < LEAST["base"]) | F.coalesce(F.col("counter_amount") < LEAST["counter"], F.lit(False)) | F.coalesce(F.col("price") < LEAST["price"], F.lit(False)),
+        "asset_type": ~_asset_kind(F.col("base_code")).isin(*ASSET_KINDS) | ~_asset_kind(F.col("counter_code")).isin(*ASSET_KINDS),
+        "excluded_account": F.col("bad_base").isNotNull() | F.col("bad_other").isNotNull(),
     }
     return t.groupBy(F.coalesce(first_reason(rules), F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("trades"))
 
@@ -84,10 +105,16 @@ def asset_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suppressed_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """High scores whose wallet has no active suppression (label 0 given within 30 days before the clock)."""
+    """High scores whose wallet has no active suppression.
+
+    A label 0 suppresses for 30 days, given on an ensemble score of 95 or more
+    without an end; a suppression is active if its end is null or yet to come.
+    """
     end = F.lit(AS_OF).cast("timestamp_ntz")
-    rules = table(spark, d, "label_feedback").filter((F.col("true_label") == 0) & (F.col("confirmed_at") > end - F.expr("INTERVAL 30 DAYS")))
-    return _scores(spark, d).filter("score >= 90").join(rules, "wallet", "left_anti").select("id", "wallet", "asset_pair", "score")
+    expires = F.when(F.col("ensemble_score") < 95, F.col("confirmed_at") + F.expr("INTERVAL 30 DAYS"))
+    rules = table(spark, d, "label_feedback").filter("true_label = 0").withColumn("expires", expires)
+    active = rules.filter(F.col("expires").isNull() | (F.col("expires") > end))
+    return _scores(spark, d).filter("score >= 90").join(active, "wallet", "left_anti").select("id", "wallet", "asset_pair", "score")
 
 
 def json_predicate(spark: SparkSession, d: str) -> DataFrame:
@@ -138,18 +165,19 @@ def latest_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def active_assignment_left_join(spark: SparkSession, d: str) -> DataFrame:
-    """High scores with the analyst whose label within 7 days after the score is the latest, if any."""
-    s = _scores(spark, d).filter("score >= 80").select("id", "wallet", F.col("timestamp").alias("scored"))
-    f = table(spark, d, "label_feedback").select(F.col("wallet").alias("w"), F.lower(F.trim("analyst_id")).alias("analyst"), "confirmed_at", F.col("id").alias("fid"))
-    on = (F.col("wallet") == F.col("w")) & (F.col("confirmed_at") >= F.col("scored")) & (F.col("confirmed_at") < F.col("scored") + F.expr("INTERVAL 7 DAYS"))
-    return s.join(f, on, "left").groupBy("id", "wallet").agg(F.max_by("analyst", F.struct("confirmed_at", "fid")).alias("analyst"))
+    """Latest score per wallet and pair with the analysts who hold it: status 'assigned' and a lock that hasn't run out."""
+    now = F.lit(AS_OF).cast("timestamp_ntz")
+    held = assignments(spark, d).filter((F.col("status") == "assigned") & (F.col("lock_expires_at") > now))
+    held = held.filter("asset_pair IS NOT NULL").groupBy("wallet", "asset_pair").agg(F.array_join(F.array_sort(F.collect_set("analyst")), ",").alias("analysts"))
+    last = _scores(spark, d).groupBy("wallet", "asset_pair").agg(F.max_by(F.struct("id", "score"), F.struct("timestamp", "id")).alias("x"))
+    return last.join(held, ["wallet", "asset_pair"], "left").select("wallet", "asset_pair", "x.id", "x.score", "analysts")
 
 
 def proximity_join(spark: SparkSession, d: str) -> DataFrame:
-    """Scores and labels of the same wallet and pair less than a day apart."""
-    s = _scores(spark, d).select("wallet", "asset_pair", F.col("id").alias("score_id"), "timestamp")
-    f = table(spark, d, "label_feedback").select("wallet", "asset_pair", F.col("id").alias("label_id"), "confirmed_at")
-    return band_join(s, f, ["wallet", "asset_pair"], "timestamp", "confirmed_at", 86_400, strict=True).select("score_id", "label_id")
+    """Every score with the other score rows of its wallet and pair less than ten seconds away; without one it stays alone."""
+    s = _scores(spark, d).filter("timestamp IS NOT NULL").select("wallet", "asset_pair", F.col("id").alias("score_id"), "timestamp")
+    v = s.select("wallet", "asset_pair", F.col("score_id").alias("other_id"), F.col("timestamp").alias("at"))
+    return band_join(s, v, ["wallet", "asset_pair"], "timestamp", "at", 10, strict=True, how="left", also=F.col("score_id") != F.col("other_id")).select("score_id", "other_id")
 
 
 def analyst_queue(spark: SparkSession, d: str) -> DataFrame:
@@ -167,10 +195,22 @@ def unassigned_anti(spark: SparkSession, d: str) -> DataFrame:
     return s.join(table(spark, d, "bridge_transfers").select(F.col("stellar_wallet").alias("wallet")), "wallet", "left_anti")
 
 
+def not_in(left: DataFrame, key: str, right: DataFrame, column: str) -> DataFrame:
+    """Rows of ``left`` for which ``key NOT IN (SELECT column FROM right)`` is true, SQL's nulls included.
+
+    Without rows on the right all rows stay; with a null there none does; else a
+    null key is no answer and goes. An anti join and one row of counts, so
+    neither side has to fit anywhere.
+    """
+    counts = right.agg(F.count(F.lit(1)).alias("__n"), F.count(column).alias("__k"))
+    rest = left.join(right.select(F.col(column).alias("__c")).distinct(), F.col(key) == F.col("__c"), "left_anti")
+    kept = rest.join(F.broadcast(counts)).filter((F.col("__n") == 0) | ((F.col("__n") == F.col("__k")) & F.col(key).isNotNull()))
+    return kept.drop("__n", "__k")
+
+
 def not_in_anti(spark: SparkSession, d: str) -> DataFrame:
-    """Accounts that never got a high score."""
-    bad = _scores(spark, d).filter("score >= 95").select(F.col("wallet").alias("account"))
-    return table(spark, d, "account_metadata").join(bad, "account", "left_anti").select("account")
+    """Accounts whose funder isn't among the wallets with a high score; an unknown funder is no answer."""
+    return not_in(table(spark, d, "account_metadata"), "funding_source", _scores(spark, d).filter("score >= 95"), "wallet").select("account")
 
 
 def fan_out_semi(spark: SparkSession, d: str) -> DataFrame:
@@ -180,11 +220,16 @@ def fan_out_semi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_times(spark: SparkSession, d: str) -> DataFrame:
-    """Per analyst: mean seconds from the wallet's first score to the label, later ones only."""
-    first = _scores(spark, d).groupBy("wallet").agg(F.min("timestamp").alias("first"))
-    f = table(spark, d, "label_feedback").join(first, "wallet").filter("confirmed_at >= first")
-    wait = F.timestamp_diff("MICROSECOND", F.col("first"), F.col("confirmed_at")) / F.lit(1e6)
-    return f.groupBy(F.lower(F.trim("analyst_id")).alias("analyst")).agg(F.count(F.lit(1)).alias("labels"), F.round(F.avg(wait), 3).alias("mean_wait_s"))
+    """Per analyst: mean seconds from score to claim over every pair of a claim and a score row of its wallet and pair.
+
+    The pairs aren't formed: scores are counts and sums of times per wallet and
+    pair, multiplied with each claim.
+    """
+    at = micros("timestamp")
+    per = _scores(spark, d).filter("timestamp IS NOT NULL").groupBy("wallet", "asset_pair").agg(F.count(F.lit(1)).alias("n"), F.sum(at.cast("decimal(38,0)")).alias("t"))
+    c = assignments(spark, d).filter("assigned_at IS NOT NULL").withColumn("a", micros("assigned_at").cast("decimal(20,0)")).join(per, ["wallet", "asset_pair"])
+    wait = F.sum((F.col("a") * F.col("n") - F.col("t")).cast("decimal(38,0)")).cast("double") / F.sum("n") / 1e6
+    return c.groupBy("analyst").agg(F.sum("n").alias("pairs"), F.round(wait, 2).alias("mean_wait_s"))
 
 
 def cross_pair_wallets(spark: SparkSession, d: str) -> DataFrame:
@@ -241,31 +286,60 @@ def bridge_correlation(spark: SparkSession, d: str) -> DataFrame:
     return agg.select("evm", "n", F.round(F.least(F.lit(1.0), F.col("best") + bonus), 8).alias("score"))
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """Transfers between an account and an EVM wallet, reported once, with both ends known."""
+    return transfers(spark, d).filter("wallet IS NOT NULL AND evm IS NOT NULL")
+
+
 def opposite_transfers(spark: SparkSession, d: str) -> DataFrame:
-    """Per EVM wallet: opposite transfers within 7 days - pairs and the least gap in seconds."""
-    t = transfers(spark, d)
-    a = t.filter("direction = 'stellar_to_evm'").select("evm", F.col("ts").alias("t0"))
-    b = t.filter("direction = 'evm_to_stellar'").select("evm", F.col("ts").alias("t1"))
-    gap = F.abs(F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("t1"))) / F.lit(1e6)
-    return band_join(a, b, ["evm"], "t0", "t1", 604_800).groupBy("evm").agg(F.count(F.lit(1)).alias("pairs"), F.min(gap).alias("least_gap_s"))
+    """Per account and EVM wallet: pairs of transfers in opposite directions, pairs with both amounts, least seconds between such two.
+
+    Pairs are counted as a product; the two that are nearest lie next to each
+    other in time, so no pair is formed.
+    """
+    t = _links(spark, d)
+    by = Window.partitionBy("wallet", "evm").orderBy("ts", "id")
+    gap = F.when(F.lag("direction").over(by) != F.col("direction"), F.timestamp_diff("MICROSECOND", F.lag("ts").over(by), F.col("ts")) / F.lit(1e6))
+    out, paid = F.col("direction") == "stellar_to_evm", F.coalesce(F.col("usd") > 0, F.lit(False))
+    agg = t.withColumn("gap", gap).groupBy("wallet", "evm").agg(
+        (F.count_if(out) * F.count_if(~out)).alias("pairs"), (F.count_if(out & paid) * F.count_if(~out & paid)).alias("amount_pairs"), F.min("gap").alias("least_gap_s"),
+    )
+    return agg.filter("pairs > 0")
 
 
 def wallet_link_score(spark: SparkSession, d: str) -> DataFrame:
-    """Likelihood that an account and an EVM wallet have one owner, from transfers between them."""
-    t = transfers(spark, d).filter("wallet IS NOT NULL AND evm IS NOT NULL")
-    agg = t.groupBy("wallet", "evm").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.expr("direction = 'stellar_to_evm'")).alias("out"), F.countDistinct("chain").alias("chains"),
-        (F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")) / F.lit(86400.0)).alias("days"),
-    )
-    both = (F.col("out") > 0) & (F.col("out") < F.col("n"))
-    odds = F.log(F.least(F.lit(20.0), 1.0 + F.col("n"))) + F.when(both, F.lit(1.5)).otherwise(-0.5) + F.when(F.col("chains") == 1, 0.3).otherwise(-0.2) - F.least(F.lit(1.0), F.col("days") / 90)
-    p = 1 / (1 + F.exp(-odds))
-    level = F.when(p >= 0.9, "CONFIRMED").when(p >= 0.7, "PROBABLE").otherwise("WEAK")
+    """Confidence that an account and an EVM wallet have one owner: product of four likelihood ratios through the logistic function.
+
+    Timing: a Gaussian (300 s) of the least time between opposite transfers over
+    an even one of an hour, at least 1e-9; amounts: 10 if two opposite transfers
+    differ by at most 0.5 % of the earlier report; direction: 1 + 4 x the share of changes of
+    direction; addresses: 1.5 if their last four characters agree. What there is
+    nothing for counts 1. Amounts are matched by an equi-join on their logarithm's
+    bucket, so only near ones meet.
+    """
+    t = _links(spark, d)
+    by = Window.partitionBy("wallet", "evm").orderBy("ts", "id")
+    turn = F.lag("direction").over(by) != F.col("direction")
+    gap = F.when(turn, F.timestamp_diff("MICROSECOND", F.lag("ts").over(by), F.col("ts")) / F.lit(1e6))
+    agg = t.select("*", turn.alias("turn"), gap.alias("gap")).groupBy("wallet", "evm").agg(F.count(F.lit(1)).alias("n"), F.count_if("turn").alias("turns"), F.min("gap").alias("gap"))
+    paid = t.filter("usd > 0").withColumn("b", F.floor(F.log("usd") / math.log(1.01)))
+    one = paid.select("wallet", "evm", "b", F.col("id").alias("i"), F.col("direction").alias("di"), F.col("usd").alias("u"))
+    two = paid.select("wallet", "evm", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), F.col("id").alias("j"), F.col("direction").alias("dj"), F.col("usd").alias("v"))
+    near = one.join(two, ["wallet", "evm", "b"]).filter((F.col("i") < F.col("j")) & (F.col("di") != F.col("dj")) & (F.abs(F.col("u") - F.col("v")) / F.col("u") <= 0.005))
+    agg = agg.join(near.select("wallet", "evm").distinct().withColumn("same", F.lit(True)), ["wallet", "evm"], "left")
+    z = F.col("gap") / 300
+    timing = F.when(F.col("gap").isNull(), 1.0).otherwise(F.greatest(F.exp(-0.5 * z * z) / (1 / 3600 + 1e-9), F.lit(1e-9)))
+    direction = F.when(F.col("n") < 2, 1.0).otherwise(1 + 4 * F.col("turns") / (F.col("n") - 1))
+    address = F.when((F.length("wallet") >= 6) & (F.length("evm") >= 6) & (F.lower(F.right("wallet", F.lit(4))) == F.lower(F.right("evm", F.lit(4)))), 1.5).otherwise(1.0)
+    odds = timing * F.when(F.col("same"), 10.0).otherwise(1.0) * direction * address
+    p = 1 / (1 + F.exp(-F.log(odds)))
+    level = F.when(p >= 0.9, "CONFIRMED").when(p >= 0.7, "PROBABLE").otherwise("REJECTED")
     return agg.select("wallet", "evm", "n", F.round(p, 8).alias("confidence"), level.alias("level"))
 
 
 def accepted_links(spark: SparkSession, d: str) -> DataFrame:
-    return wallet_link_score(spark, d).filter("confidence >= 0.7").orderBy(F.col("confidence").desc(), "wallet", "evm").limit(100)
+    """All links of confidence 0.7 or more."""
+    return wallet_link_score(spark, d).filter("confidence >= 0.7")
 
 
 def evm_trade_pattern(spark: SparkSession, d: str) -> DataFrame:
@@ -407,15 +481,20 @@ def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def krum_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Krum over the ten label centroids: sum of the n-f-2 smallest squared distances (f = 2)."""
+    """Krum over the ten label centroids: sum of the n-f-2 smallest squared distances (f = 2); the n-f of least score are selected.
+
+    Needs 2f + 2 < n. One row per class and dimension: classes are a handful.
+    """
     cells = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("p", "x"))
     centre = cells.groupBy("label", "p").agg(F.avg(F.col("x").cast("double")).alias("x"))
     other = centre.toDF("other", "p", "y")
-    # one row per class and dimension: classes are a handful
     dist = centre.join(other, "p").filter("label <> other").groupBy("label", "other").agg(F.sum(F.pow(F.col("x") - F.col("y"), 2)).alias("d2"))
-    n = dist.select("label").distinct().count()
+    n, f = dist.select("label").distinct().count(), 2
+    if 2 * f + 2 >= n:
+        raise ValueError(f"{n} vectors can't bear {f} bad ones")
     by = Window.partitionBy("label").orderBy("d2", "other")
-    return dist.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= n - 4).groupBy("label").agg(F.round(F.sum("d2"), 8).alias("krum"))
+    score = dist.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= n - f - 2).groupBy("label").agg(F.round(F.sum("d2"), 8).alias("krum"))
+    return score.withColumn("selected", F.row_number().over(Window.orderBy("krum", "label")) <= n - f)
 
 
 def paging_token_order(spark: SparkSession, d: str) -> DataFrame:
@@ -501,15 +580,25 @@ QUERIES = {
 
 _B = r"E' \t\n\r\f'"
 _AMT = f"CASE WHEN regexp_matches(trim(base_amount, {_B}), '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(trim(base_amount, {_B}) AS DECIMAL(38,18)) END"
-_LINK = f"""WITH {TRANSFERS_SQL}, g AS (SELECT wallet, evm, count(*) AS n, count(*) FILTER (direction = 'stellar_to_evm') AS o, count(DISTINCT chain) AS chains,
-  (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 / 86400.0 AS days FROM transfers WHERE wallet IS NOT NULL AND evm IS NOT NULL GROUP BY ALL),
-p AS (SELECT *, 1 / (1 + exp(-(ln(least(20.0, 1.0 + n)) + CASE WHEN o > 0 AND o < n THEN 1.5 ELSE -0.5 END + CASE WHEN chains = 1 THEN 0.3 ELSE -0.2 END - least(1.0, days / 90)))) AS p FROM g),
-link AS (SELECT wallet, evm, n, round(p, 8) AS confidence, CASE WHEN p >= 0.9 THEN 'CONFIRMED' WHEN p >= 0.7 THEN 'PROBABLE' ELSE 'WEAK' END AS level FROM p)"""
+_LINK = f"""WITH {TRANSFERS_SQL}, l AS (SELECT * FROM transfers WHERE wallet IS NOT NULL AND evm IS NOT NULL),
+pr AS (SELECT a.wallet, a.evm, min(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6) AS gap, bool_or(a.usd > 0 AND b.usd > 0 AND abs(a.usd - b.usd) / a.usd <= 0.005) AS same
+  FROM l a JOIN l b ON a.wallet = b.wallet AND a.evm = b.evm AND a.id < b.id AND a.direction <> b.direction GROUP BY ALL),
+tr AS (SELECT wallet, evm, (direction <> lag(direction) OVER (PARTITION BY wallet, evm ORDER BY ts, id))::INT AS turn FROM l),
+g AS (SELECT wallet, evm, count(*) AS n, coalesce(sum(turn), 0) AS turns FROM tr GROUP BY ALL),
+o AS (SELECT g.wallet, g.evm, n, (CASE WHEN gap IS NULL THEN 1.0 ELSE greatest(exp(-0.5 * pow(gap / 300, 2)) / (1.0::DOUBLE / 3600 + 1e-9), 1e-9) END)
+  * (CASE WHEN same THEN 10.0 ELSE 1.0 END) * (CASE WHEN n < 2 THEN 1.0 ELSE 1 + 4 * turns / (n - 1) END)
+  * (CASE WHEN length(g.wallet) >= 6 AND length(g.evm) >= 6 AND lower(right(g.wallet, 4)) = lower(right(g.evm, 4)) THEN 1.5 ELSE 1.0 END) AS odds
+  FROM g LEFT JOIN pr ON pr.wallet = g.wallet AND pr.evm = g.evm),
+p AS (SELECT *, 1 / (1 + exp(-ln(odds))) AS p FROM o),
+link AS (SELECT wallet, evm, n, round(p, 8) AS confidence, CASE WHEN p >= 0.9 THEN 'CONFIRMED' WHEN p >= 0.7 THEN 'PROBABLE' ELSE 'REJECTED' END AS level FROM p)"""
 
 ORACLE = {
-    "filter_pipeline_reasons": f"""WITH {TRADES_SQL} SELECT CASE WHEN pair_key IN ('EURV/XLM', 'AQUR/XLM') THEN 'pair_blacklist' WHEN amount < 5 THEN 'min_volume'
-  WHEN length(base_code) > 4 AND base_code <> 'XLM' AND counter_code = 'EURV' THEN 'asset_type' WHEN base = counter THEN 'self_trade' ELSE 'accepted' END AS reason, count(*) AS trades
-FROM trades GROUP BY 1""",
+    "filter_pipeline_reasons": f"""WITH {TRADES_SQL}, k AS (SELECT *, CASE WHEN base_code = 'XLM' THEN 'native' WHEN length(base_code) <= 4 THEN 'alphanum4' ELSE 'alphanum12' END AS bk,
+  CASE WHEN counter_code = 'XLM' THEN 'native' WHEN length(counter_code) <= 4 THEN 'alphanum4' ELSE 'alphanum12' END AS ck FROM trades),
+x AS (SELECT account FROM account_metadata WHERE created_at IS NULL)
+SELECT CASE WHEN pair IN ('EURV/XLM', 'AQUR/XLM') THEN 'pair_blacklist' WHEN amount < 5 OR coalesce(counter_amount < 1, FALSE) OR coalesce(price < 0, FALSE) THEN 'min_volume'
+  WHEN bk = 'alphanum12' OR ck = 'alphanum12' THEN 'asset_type' WHEN base IN (FROM x) OR coalesce(counter IN (FROM x), FALSE) THEN 'excluded_account' ELSE 'accepted' END AS reason, count(*) AS trades
+FROM k GROUP BY 1""",
     "accepted_rejected": f"""WITH {TRADES_SQL}, r AS (SELECT pair_key, amount < 5 OR coalesce(base = counter, FALSE) AS bad FROM trades)
 SELECT pair_key, count(*) FILTER (NOT bad) AS accepted, count(*) FILTER (bad) AS rejected FROM r GROUP BY 1""",
     "validation_errors": f"""WITH e AS (SELECT base_account IS NULL AS e1, ledger_close_time IS NULL AS e2, NOT coalesce({_AMT} > 0, FALSE) AS e3,
@@ -524,8 +613,9 @@ FROM bridge_transfers GROUP BY 1""",
     "asset_types": """WITH t AS (SELECT DISTINCT concat_ws(':', coalesce(base_asset_code, 'XLM'), base_asset_issuer) AS symbol, base_asset_code AS c, base_asset_issuer AS i FROM horizon_trade)
 SELECT symbol, CASE WHEN i IS NULL THEN 'native' WHEN length(c) <= 4 THEN 'alphanum4' ELSE 'alphanum12' END AS kind, upper(regexp_replace(symbol, '[^A-Za-z0-9]', '_', 'g')) AS partition_key,
   regexp_matches(upper(symbol), '^[A-Z0-9/.:\\-]{1,30}$') AS sane FROM t""",
-    "suppressed_alerts": f"""WITH {_S} SELECT id, wallet, asset_pair, score FROM s WHERE score >= 90 AND NOT EXISTS (
-  SELECT 1 FROM label_feedback f WHERE f.wallet = s.wallet AND true_label = 0 AND confirmed_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY)""",
+    "suppressed_alerts": f"""WITH {_S}, r AS (SELECT wallet, CASE WHEN ensemble_score < 95 THEN confirmed_at + INTERVAL 30 DAY END AS expires FROM label_feedback WHERE true_label = 0)
+SELECT id, wallet, asset_pair, score FROM s WHERE score >= 90 AND NOT EXISTS (
+  SELECT 1 FROM r WHERE r.wallet = s.wallet AND (expires IS NULL OR expires > TIMESTAMP '{AS_OF}'))""",
     "json_predicate": """WITH k AS (SELECT source, TRY_CAST(json_extract_string(metadata_json, '$.block_number') AS BIGINT) AS h FROM ingestion_dedup_keys)
 SELECT source, count(*) AS keys, max(h) AS highest FROM k WHERE h < 9000000 GROUP BY 1""",
     "subscriber_match": f"""WITH {_S}, sub AS (SELECT * FROM (VALUES ('all', 95, NULL), ('majors', 80, ['XLM/VUSD', 'XLM/AQUR']), ('euro', 60, ['EURV/VUSD'])) v(subscriber, m, p))
@@ -536,21 +626,21 @@ SELECT subscriber, count(*) AS scores, count(DISTINCT wallet) AS wallets FROM s
 SELECT s.id, s.wallet, s.asset_pair, score, confidence FROM s JOIN m ON s.wallet = m.wallet AND s.asset_pair = m.asset_pair AND s.timestamp = m.t WHERE benford_flag""",
     "latest_by_id": f"WITH {_S} SELECT wallet, asset_pair, max(id) AS id, arg_max(score, id) AS score FROM s GROUP BY 1, 2",
     "latest_batch": "SELECT delivery_id, batch_id FROM horizon_trade WHERE batch_id = (SELECT max(batch_id) FROM horizon_trade)",
-    "active_assignment_left_join": f"""WITH {_S}, j AS (SELECT s.id, s.wallet, lower(trim(f.analyst_id)) AS analyst, row_number() OVER (PARTITION BY s.id ORDER BY f.confirmed_at DESC NULLS LAST, f.id DESC) AS rn
-FROM s LEFT JOIN label_feedback f ON f.wallet = s.wallet AND f.confirmed_at >= s.timestamp AND f.confirmed_at < s.timestamp + INTERVAL 7 DAY WHERE score >= 80)
-SELECT id, wallet, analyst FROM j WHERE rn = 1""",
-    "proximity_join": f"""WITH {_S} SELECT s.id AS score_id, f.id AS label_id FROM s JOIN label_feedback f ON f.wallet = s.wallet AND f.asset_pair = s.asset_pair
-WHERE abs(epoch_us(s.timestamp) - epoch_us(f.confirmed_at)) < 86400000000""",
+    "active_assignment_left_join": f"""WITH {_S}, {CASES_SQL}, h AS (SELECT wallet, asset_pair, string_agg(DISTINCT analyst, ',' ORDER BY analyst) AS analysts FROM cases
+  WHERE status = 'assigned' AND lock_expires_at > TIMESTAMP '{AS_OF}' AND asset_pair IS NOT NULL GROUP BY ALL),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wallet, asset_pair ORDER BY timestamp DESC, id DESC) AS rn FROM s) WHERE rn = 1)
+SELECT l.wallet, l.asset_pair, id, score, analysts FROM l LEFT JOIN h ON h.wallet = l.wallet AND h.asset_pair = l.asset_pair""",
+    "proximity_join": f"""WITH {_S} SELECT s.id AS score_id, v.id AS other_id FROM s LEFT JOIN s v ON v.wallet = s.wallet AND v.asset_pair = s.asset_pair AND v.id <> s.id
+AND abs(epoch_us(s.timestamp) - epoch_us(v.timestamp)) < 10000000 WHERE s.timestamp IS NOT NULL""",
     "analyst_queue": f"""WITH {_S} SELECT wallet, max(score) AS score, EXISTS (SELECT 1 FROM label_feedback f WHERE f.wallet = s.wallet AND confirmed_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS reviewed
 FROM s GROUP BY wallet ORDER BY score DESC, wallet LIMIT 50""",
     "unassigned_anti": f"""WITH {_S} SELECT DISTINCT wallet FROM s WHERE NOT EXISTS (SELECT 1 FROM label_feedback f WHERE f.wallet = s.wallet)
 AND NOT EXISTS (SELECT 1 FROM bridge_transfers b WHERE b.stellar_wallet = s.wallet)""",
-    "not_in_anti": f"WITH {_S} SELECT account FROM account_metadata WHERE account NOT IN (SELECT wallet FROM s WHERE score >= 95)",
+    "not_in_anti": f"WITH {_S} SELECT account FROM account_metadata WHERE funding_source NOT IN (SELECT wallet FROM s WHERE score >= 95)",
     "fan_out_semi": f"WITH {WALLET_SQL}, {_S} SELECT wallet, count(*) AS trades, CAST(sum(CAST(amount AS DECIMAL(38,8))) AS DOUBLE) AS volume FROM wrows WHERE wallet IN (SELECT wallet FROM s) GROUP BY 1",
-    "claim_times": f"""WITH {_S}, f AS (SELECT wallet, min(timestamp) AS first FROM s GROUP BY 1)
-SELECT lower(trim(analyst_id)) AS analyst, count(*) AS labels, round(avg((epoch_us(confirmed_at) - epoch_us(first)) / 1e6), 3) AS mean_wait_s
-FROM label_feedback l JOIN f ON f.wallet = l.wallet WHERE confirmed_at >= first GROUP BY 1""",
-    "cross_pair_wallets": f"""WITH {WALLET_SQL}, r AS (SELECT DISTINCT wallet, pair_key, ts FROM wrows WHERE pair_key IN ('VUSD/XLM', 'AQUR/XLM', 'EURV/VUSD'))
+    "claim_times": f"""WITH {_S}, {CASES_SQL} SELECT analyst, count(*) AS pairs, round(CAST(sum(CAST(epoch_us(assigned_at) - epoch_us(timestamp) AS HUGEINT)) AS DOUBLE) / count(*) / 1e6, 2) AS mean_wait_s
+FROM cases c JOIN s ON s.wallet = c.wallet AND s.asset_pair = c.asset_pair WHERE assigned_at IS NOT NULL AND timestamp IS NOT NULL GROUP BY 1""",
+    "cross_pair_wallets": f"""WITH {WALLET_SQL}, r AS (SELECT DISTINCT wallet, pair_key, ts FROM wrows)
 SELECT a.pair_key, b.pair_key AS pair_b, count(DISTINCT a.wallet) AS wallets FROM r a JOIN r b ON a.wallet = b.wallet AND a.pair_key < b.pair_key
 AND b.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE GROUP BY 1, 2""",
     "burst_overlap": f"""WITH {WALLET_SQL} SELECT wallet, round(avg((EXISTS (SELECT 1 FROM wrows b WHERE b.wallet = a.wallet AND b.pair_key <> a.pair_key
@@ -562,10 +652,11 @@ FROM transfers a JOIN transfers b ON a.evm = b.evm AND a.direction = 'stellar_to
 WHERE a.usd > 0 AND b.usd > 0),
 g AS (SELECT evm, max(0.5*r + 0.3*(1 - gap) + 0.1) AS best, count(*) AS n FROM m WHERE r >= 0.95 GROUP BY 1)
 SELECT evm, n, round(least(1.0, best + least(0.3, 0.05*(n - 1))), 8) AS score FROM g""",
-    "opposite_transfers": f"""WITH {TRANSFERS_SQL} SELECT a.evm, count(*) AS pairs, min(abs(epoch_us(b.ts) - epoch_us(a.ts)) / 1e6) AS least_gap_s
-FROM transfers a JOIN transfers b ON a.evm = b.evm AND a.direction = 'stellar_to_evm' AND b.direction = 'evm_to_stellar' AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 604800000000 GROUP BY 1""",
+    "opposite_transfers": f"""WITH {TRANSFERS_SQL}, l AS (SELECT * FROM transfers WHERE wallet IS NOT NULL AND evm IS NOT NULL)
+SELECT a.wallet, a.evm, count(*) AS pairs, count(*) FILTER (a.usd > 0 AND b.usd > 0) AS amount_pairs, min(abs(epoch_us(b.ts) - epoch_us(a.ts)) / 1e6) AS least_gap_s
+FROM l a JOIN l b ON a.wallet = b.wallet AND a.evm = b.evm AND a.direction = 'stellar_to_evm' AND b.direction <> a.direction GROUP BY 1, 2""",
     "wallet_link_score": f"{_LINK} SELECT * FROM link",
-    "accepted_links": f"{_LINK} SELECT * FROM link WHERE confidence >= 0.7 ORDER BY confidence DESC, wallet, evm LIMIT 100",
+    "accepted_links": f"{_LINK} SELECT * FROM link WHERE confidence >= 0.7",
     "evm_trade_pattern": f"""WITH {TRANSFERS_SQL}, p AS (SELECT evm, wallet, count(*) AS k, sum(usd) AS v FROM transfers GROUP BY ALL)
 SELECT evm, round(sum(v), 2) AS usd, count(DISTINCT wallet) AS accounts, round(sum(k*k) / (sum(k)*sum(k)), 9) AS hhi FROM p GROUP BY 1""",
     "idempotent_keys": """WITH k AS (SELECT *, sha256(concat_ws('|', 'bridge', lower(transfer_id), lower(tx_hash_evm))) AS key FROM bridge_transfers),
@@ -597,8 +688,9 @@ SELECT q.vec_id AS query, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[]
 FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) WHERE place <= 5""",
     "krum_scores": """WITH c AS (SELECT label, unnest(generate_series(1, 64)) AS p, unnest(embedding) AS x FROM embeddings), m AS (SELECT label, p, avg(x::DOUBLE) AS x FROM c GROUP BY ALL),
 dd AS (SELECT a.label, b.label AS other, sum(pow(a.x - b.x, 2)) AS d2 FROM m a JOIN m b ON a.p = b.p AND a.label <> b.label GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d2, other) AS r FROM dd)
-SELECT label, round(sum(d2), 8) AS krum FROM r WHERE r <= (SELECT count(DISTINCT label) FROM embeddings) - 4 GROUP BY 1""",
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d2, other) AS r FROM dd), n AS (SELECT count(DISTINCT label) AS n FROM embeddings),
+k AS (SELECT label, round(sum(d2), 8) AS krum FROM r, n WHERE r <= n - 4 GROUP BY 1)
+SELECT label, krum, row_number() OVER (ORDER BY krum, label) <= n - 2 AS selected FROM k, n""",
     "paging_token_order": f"""WITH {TRADES_SQL}, t AS (SELECT strftime(ts, '%Y-%m-%d') AS day, coalesce(TRY_CAST(split_part(token, '-', 1) AS BIGINT), 0) AS ledger, coalesce(TRY_CAST(split_part(token, '-', 2) AS INT), 0) AS op FROM trades WHERE token IS NOT NULL),
 r AS (SELECT *, count(*) OVER (PARTITION BY day) AS rows, row_number() OVER (PARTITION BY day ORDER BY ledger DESC, op DESC) AS rn FROM t)
 SELECT day, ledger, op, rows FROM r WHERE rn = 1""",
