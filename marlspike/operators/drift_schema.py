@@ -78,7 +78,8 @@ def schema_changes(fields: DataFrame, feed: str, seq: str, record: str) -> DataF
     are null in one of them) is 'retyped'. Rows without feed, seq or record id
     take no part.
 
-    Only states move: one row per file and path, and for renames the values of
+    ``fields`` are read in several branches; give them written (``durable``), so
+    that records are parsed once. Only states move: one row per file and path, and for renames the values of
     changed fields of records both files hold. Files of a feed are ordered by a
     window over its file list, never over its records.
     """
@@ -162,79 +163,61 @@ def schema_changes(fields: DataFrame, feed: str, seq: str, record: str) -> DataF
     )
 
 
-def rename_roots(changes: DataFrame, feed: str, seq: str) -> DataFrame:
-    """(feed, path, since, root): the first name of a field that was renamed, over chains of renames.
+def field_names(fields: DataFrame, changes: DataFrame, files: list[str]) -> dict[str, str]:
+    """Canonical name of every path: the most frequent name among those that renames connect, over all feeds.
 
-    Changes of one feed are few (files x fields) and are folded in file order.
-    A name used again after the field was added anew starts a new chain.
+    Two names are only taken for one field if no file has both. What comes to the
+    driver is the schema: one entry per path, and one per different rename.
     """
-    step = F.struct(F.col(seq).alias("seq"), F.col("field_name").alias("old"), F.col("new_name").alias("new"))
-    links = (
-        changes.filter(F.col("change_kind") == "renamed")
-        .groupBy(feed)
-        .agg(F.array_sort(F.collect_list(step)).alias("links"))
-    )
-    empty = F.array().cast("array<struct<seq:bigint,path:string,root:string>>")
-    folded = F.aggregate(
-        "links",
-        empty,
-        lambda acc, x: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    x["seq"].cast("long").alias("seq"),
-                    x["new"].alias("path"),
-                    F.coalesce(
-                        F.get(F.reverse(F.filter(acc, lambda a: a["path"] == x["old"])), F.lit(0))["root"],
-                        x["old"],
-                    ).alias("root"),
-                )
-            ),
-        ),
-    )
-    return links.select(feed, F.explode(folded).alias("x")).select(
-        feed, F.col("x.path").alias("path"), F.col("x.seq").alias("since"), F.col("x.root").alias("root")
-    )
-
-
-def unified_records(fields: DataFrame, changes: DataFrame, keys: list[str], feed: str, seq: str, paths: list[str]) -> DataFrame:
-    """One consistent row per record: per path its canonical text and typed branches.
-
-    A renamed field is read under its first name (``rename_roots``). For each
-    path ``p`` come ``p`` (canonical text: strings without quotes, everything
-    else as JSON), ``p__kind`` (which branch holds the value) and the branches
-    ``p__number`` (double) and ``p__boolean``; the branches that don't apply are
-    null. A record absent in every path still has its row. ``paths`` bounds the
-    width; other fields stay in ``rest``, a map of canonical texts.
+    links = changes.filter("change_kind = 'renamed'").select("field_name", "new_name").distinct()
+    per_file = fields.select(*files, "path").distinct()
+    pair = per_file.groupBy(*files).agg(F.collect_set("path").alias("paths"))
+    both = F.array_contains("paths", F.col("field_name")) & F.array_contains("paths", F.col("new_name"))
+    # a file's paths against the different renames, both as short as a schema
+    clash = {(r[0], r[1]) for r in pair.join(F.broadcast(links), both).select("field_name", "new_name").distinct().collect()}
+    count = {r["path"]: r["n"] for r in fields.groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()}
+    home = {p: p for p in count}
+
+    def find(x: str) -> str:
+        while home[x] != x:
+            x = home[x]
+        return x
+
+    for old, new in sorted((r[0], r[1]) for r in links.collect()):
+        if (old, new) not in clash and old in home and new in home:
+            a, b = sorted((find(old), find(new)), key=lambda p: (-count[p], p))
+            home[b] = a
+    return {p: find(p) for p in count}
+
+
+def unified_records(fields: DataFrame, names: dict[str, str], keys: list[str]) -> DataFrame:
+    """One consistent row per record with the columns that the tagged union of all its names has.
+
+    For each canonical name ``p`` (``field_names``) come ``p`` (canonical text:
+    strings without quotes, everything else as JSON), ``p__kind`` (which branch
+    holds the value) and one typed branch for every kind that the fused union
+    knows: ``p__string``, ``p__number`` (double), ``p__boolean``, ``p__object``
+    and ``p__array`` (JSON text); branches that don't apply are null. The number
+    branch also takes text that is a number, so a field retyped between files
+    stays comparable. A record whose fields are all null still has its row. Of
+    two fields of a record with one canonical name the least value stands.
     """
-    roots = rename_roots(changes, feed, seq)
-    named = fields.alias("x").join(
-        roots.alias("r"),
-        (F.col(f"x.{feed}") == F.col(f"r.{feed}")) & (F.col("x.path") == F.col("r.path")) & (F.col(f"x.{seq}") >= F.col("r.since")),
-        "left",
-    )
-    cells = named.groupBy(*[F.col(f"x.{k}").alias(k) for k in keys], F.col("x.path").alias("raw")).agg(
-        F.coalesce(F.max_by("r.root", "r.since"), F.first("x.path")).alias("path"),
-        F.first("x.kind").alias("kind"),
-        F.first("x.value").alias("value"),
-    )
+    canonical = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair]) if names else None
     text = F.when(F.col("kind") == "string", F.from_json(F.concat(F.lit('{"s":'), F.col("value"), F.lit("}")), "s string")["s"]).otherwise(F.col("value"))
-    cells = cells.withColumn("text", text)
+    cells = fields.select(*keys, (F.element_at(canonical, F.col("path")) if names else F.col("path")).alias("path"), "kind", text.alias("text"))
+    union = tagged_union(cells.filter("kind IS NOT NULL"), [])
+    # the fused schema: one row per canonical name
+    schema = {r["path"]: list(r["kinds"]) for r in union.collect()}
+    for p in names.values():
+        schema.setdefault(p, [])
     rows = cells.groupBy(*keys).agg(
-        *[
-            F.min(F.when(F.col("path") == p, F.struct("kind", "text"))).alias(p) for p in paths
-        ],
-        F.map_from_entries(
-            F.array_distinct(F.filter(F.collect_list(F.when(~F.col("path").isin(*paths), F.struct("raw", "text"))), lambda e: e.isNotNull()))
-        ).alias("rest"),
+        *[F.min(F.when((F.col("path") == p) & F.col("kind").isNotNull(), F.struct("kind", "text"))).alias(p) for p in sorted(schema)], F.count(F.lit(1)).alias("__n")
     )
     out: list[Column] = [F.col(k) for k in keys]
-    for p in paths:
-        kind, value = F.col(p)["kind"], F.col(p)["text"]
-        out += [
-            value.alias(p),
-            kind.alias(f"{p}__kind"),
-            value.try_cast("double").alias(f"{p}__number"),
-            F.when(kind == "boolean", value == "true").alias(f"{p}__boolean"),
-        ]
-    return rows.select(*out, "rest")
+    for p, kinds in sorted(schema.items()):
+        kind, value = F.col(f"`{p}`")["kind"], F.col(f"`{p}`")["text"]
+        out += [value.alias(p), kind.alias(f"{p}__kind")]
+        for k in kinds:
+            branch = value.try_cast("double") if k == "number" else F.when(kind == k, value == "true" if k == "boolean" else value)
+            out.append(branch.alias(f"{p}__{k}"))
+    return rows.select(*out)

@@ -9,6 +9,7 @@ from marlspike.functions.cells import amount, micros, stripped
 from marlspike.operators.dedup import MessageStore, copies_removed, first_copies
 from marlspike.operators.drift_schema import (
     appearing_kinds,
+    field_names,
     field_rows,
     schema_changes,
     tagged_union,
@@ -16,7 +17,7 @@ from marlspike.operators.drift_schema import (
 )
 from marlspike.operators.rolling import rolling_totals
 from marlspike.operators.skew import eager_join_totals, heavy_keys
-from marlspike.session import shared_dir
+from marlspike.session import durable, shared_dir
 from marlspike.sources.tables import table
 
 HEAVY_SHARE = 0.03
@@ -105,7 +106,8 @@ def _raw_fields(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every change of a field between a feed's consecutive files."""
-    return schema_changes(_raw_fields(spark, d, ["feed", "file_seq", "rid"]), "feed", "file_seq", "rid").select(
+    fields = durable(_raw_fields(spark, d, ["feed", "file_seq", "rid"]), "fields")
+    return schema_changes(fields, "feed", "file_seq", "rid").select(
         "feed", F.col("file_seq").cast("int").alias("file_seq"), "change_kind", "field_name", "new_name"
     )
 
@@ -121,20 +123,23 @@ def p5_appearing(spark: SparkSession, d: str) -> DataFrame:
     return appearing_kinds(_raw_fields(spark, d, ["feed", "file_seq"]), "feed", "file_seq")
 
 
-#: Fields of the consistent table; what else a record carries stays in a map.
-TRADE_PATHS = [
-    "id", "paging_token", "ledger_close_time", "base_account", "counter_account", "base_asset_type", "base_asset_code",
-    "counter_asset_type", "counter_asset_code", "base_amount", "counter_amount", "price", "base_is_seller", "trade_type",
-    "future_horizon_field",
-]
+def _unified(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]:
+    keys = ["feed", "file_seq", "record_id"]
+    fields = durable(_raw_fields(spark, d, [*keys, "rid"]), "fields")
+    names = field_names(fields, durable(schema_changes(fields, "feed", "file_seq", "rid"), "changes"), ["feed", "file_seq"])
+    return unified_records(fields, names, keys), names
 
 
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
-    """One consistent row per landed record, renamed fields under their first name."""
-    fields = _raw_fields(spark, d, ["feed", "file_seq", "rid", "record_id"])
-    changes = schema_changes(fields, "feed", "file_seq", "rid")
-    table_ = unified_records(fields, changes, ["feed", "file_seq", "record_id"], "feed", "file_seq", TRADE_PATHS)
-    return table_.withColumn("rest", F.to_json("rest"))
+    """One consistent row per landed record: every field under its canonical name, typed by the fused union of all files."""
+    return _unified(spark, d)[0]
+
+
+def p5_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent table cell by cell: record, field, kind and canonical text of what is there."""
+    rows, names = _unified(spark, d)
+    cells = F.array(*[F.struct(F.lit(p).alias("field"), F.col(f"`{p}__kind`").alias("kind"), F.col(f"`{p}`").alias("text")) for p in sorted(set(names.values()))])
+    return rows.select("record_id", F.explode(cells).alias("c")).select("record_id", "c.*").filter("kind IS NOT NULL")
 
 
 def p5_trade_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +215,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p3_found, p3_account_totals, p3_pair_totals, p4_found, p4_rolling, p5_found, p5_schema, p5_appearing,
-        p5_unified, p5_trade_kinds, p7_found, p7_kept_per_day,
+        p5_unified, p5_cells, p5_trade_kinds, p7_found, p7_kept_per_day,
     )
 }
 
@@ -255,16 +260,7 @@ v AS (SELECT feed, file_seq, rid, k,
   CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
   CASE WHEN json_type(v) <> 'NULL' THEN CAST(json(v) AS VARCHAR) END AS val FROM x)"""
 
-_USABLE = f"CASE WHEN regexp_matches(trim(base_amount, {_BLANK}), '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(trim(base_amount, {_BLANK}) AS DECIMAL(38,18)) END"
-
-ORACLE = {
-    "p3_account_totals": f"""
-WITH t AS (SELECT base_account AS account, count(*) AS n, sum({_USABLE}) AS v FROM horizon_trade GROUP BY 1),
-b AS (SELECT source_address AS account, count(*) AS m, sum(CAST(amount_usd AS DECIMAL(38,2))) AS s FROM bridge_transfers WHERE source_address IS NOT NULL GROUP BY 1)
-SELECT t.account, n AS trades, coalesce(m, 0) AS transfers, n * coalesce(m, 1) AS pairs,
-  CAST(v * coalesce(m, 1) AS DOUBLE) AS traded, CAST(s * n AS DOUBLE) AS sent FROM t LEFT JOIN b ON b.account = t.account""",
-    "p5_found": f"""
-WITH {_FIELDS},
+_CHANGES = f"""WITH {_FIELDS},
 sch AS (SELECT feed, file_seq, k, list_sort(list_distinct(coalesce(list(kind) FILTER (kind IS NOT NULL), []))) AS kinds FROM v GROUP BY 1, 2, 3),
 step AS (SELECT feed, file_seq, lag(file_seq) OVER (PARTITION BY feed ORDER BY file_seq) AS prev FROM (SELECT DISTINCT feed, file_seq FROM sch)),
 gone AS (SELECT q.*, s.k FROM step q JOIN sch s ON s.feed = q.feed AND s.file_seq = q.prev
@@ -277,7 +273,18 @@ m AS (SELECT g.feed, g.file_seq, g.k AS old, n.k AS new, bool_and(o.val IS NOT D
       JOIN ids a ON a.feed = g.feed AND a.file_seq = g.file_seq JOIN ids b ON b.feed = g.feed AND b.file_seq = g.prev AND b.rid = a.rid
       LEFT JOIN v o ON o.feed = g.feed AND o.file_seq = g.prev AND o.rid = a.rid AND o.k = g.k
       LEFT JOIN v w ON w.feed = g.feed AND w.file_seq = g.file_seq AND w.rid = a.rid AND w.k = n.k GROUP BY 1, 2, 3, 4),
-ren AS (SELECT feed, file_seq, old, new FROM m WHERE equal AND filled)
+ren AS (SELECT feed, file_seq, old, new FROM m WHERE equal AND filled)"""
+
+_USABLE = f"CASE WHEN regexp_matches(trim(base_amount, {_BLANK}), '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(trim(base_amount, {_BLANK}) AS DECIMAL(38,18)) END"
+
+ORACLE = {
+    "p3_account_totals": f"""
+WITH t AS (SELECT base_account AS account, count(*) AS n, sum({_USABLE}) AS v FROM horizon_trade GROUP BY 1),
+b AS (SELECT source_address AS account, count(*) AS m, sum(CAST(amount_usd AS DECIMAL(38,2))) AS s FROM bridge_transfers WHERE source_address IS NOT NULL GROUP BY 1)
+SELECT t.account, n AS trades, coalesce(m, 0) AS transfers, n * coalesce(m, 1) AS pairs,
+  CAST(v * coalesce(m, 1) AS DOUBLE) AS traded, CAST(s * n AS DOUBLE) AS sent FROM t LEFT JOIN b ON b.account = t.account""",
+    "p5_found": f"""
+{_CHANGES}
 SELECT feed, file_seq, 'renamed' AS change_kind, old AS field_name, new AS new_name FROM ren
 UNION ALL SELECT feed, file_seq, 'removed', k, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.feed = g.feed AND r.file_seq = g.file_seq AND r.old = g.k)
 UNION ALL SELECT feed, file_seq, 'added', k, '' FROM fresh g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.feed = g.feed AND r.file_seq = g.file_seq AND r.new = g.k)
@@ -326,4 +333,20 @@ UNION ALL SELECT 'ingestion_dedup_keys', id FROM kr WHERE rn > 1 AND ky IS NOT N
     "p7_kept_per_day": f"""
 WITH {_SINGLE}
 SELECT strftime(received_at, '%Y-%m-%d') AS day, count(*) AS messages FROM single GROUP BY 1""",
+    "p5_appearing": f"""
+WITH {_FIELDS}
+SELECT feed, k AS path, kind, min(file_seq) AS first_seq, count(*) AS records FROM v WHERE kind IS NOT NULL GROUP BY 1, 2, 3""",
+    "p5_cells": f"""
+{_CHANGES.replace("WITH ", "WITH RECURSIVE ", 1)},
+rr AS (SELECT record_id, CAST(payload AS JSON) AS j FROM horizon_trade_raw WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE FALSE END),
+rk AS (SELECT record_id, j, unnest(json_keys(j)) AS k FROM rr), rx AS (SELECT record_id, k, json_extract(j, '$."' || k || '"') AS v FROM rk),
+cnt AS (SELECT k, count(*) AS n FROM v GROUP BY 1), pf AS (SELECT DISTINCT feed, file_seq, k FROM v),
+lk AS (SELECT DISTINCT old, new FROM ren r WHERE NOT EXISTS (SELECT 1 FROM pf a JOIN pf b ON a.feed = b.feed AND a.file_seq = b.file_seq AND a.k = r.old AND b.k = r.new)),
+ud AS (SELECT old AS a, new AS b FROM lk UNION SELECT new, old FROM lk),
+rc AS (SELECT k AS a, k AS b FROM cnt UNION SELECT rc.a, ud.b FROM rc JOIN ud ON ud.a = rc.b),
+nm AS (SELECT rc.a AS k, (list(rc.b ORDER BY n DESC, rc.b))[1] AS field FROM rc JOIN cnt ON cnt.k = rc.b GROUP BY 1),
+ce AS (SELECT record_id, field, CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
+  CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') WHEN json_type(v) = 'OBJECT' THEN '{{' || list_aggregate(list_transform(list_sort(json_keys(v)), lambda q: '"' || q || '":' || CAST(json_extract(v, '$."' || q || '"') AS VARCHAR)), 'string_agg', ',') || '}}'
+    WHEN json_type(v) = 'DOUBLE' THEN regexp_replace(regexp_replace(CAST(v AS VARCHAR), '([.][0-9]*?)0+$', '\\1'), '[.]$', '') ELSE CAST(v AS VARCHAR) END AS text FROM rx JOIN nm ON nm.k = rx.k)
+SELECT record_id, field, min({{'kind': kind, 'text': text}}).kind AS kind, min({{'kind': kind, 'text': text}}).text AS text FROM ce WHERE kind IS NOT NULL GROUP BY 1, 2""",
 }

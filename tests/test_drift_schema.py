@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from marlspike.operators.drift_schema import appearing_kinds, field_rows, schema_changes, tagged_union, unified_records
+from marlspike.operators.drift_schema import appearing_kinds, field_names, field_rows, schema_changes, tagged_union, unified_records
 from tests.conftest import rows
 
 
@@ -99,13 +99,26 @@ def test_union_and_appearing(spark):
 
 def test_unified(spark):
     data = [
-        ("a", 1, '{"id":"1","x":1,"o":{"b":2}}', None, None), ("a", 2, '{"id":"1","xx":1}', None, None),
-        ("a", 2, '{"id":"2","xx":"5","extra":[1]}', None, None), ("a", 3, '{"id":"2","xxx":"5","x":true}', None, None),
+        ("a", 1, '{"id":"1","x":1,"o":{"b":2},"f":true}', None, None), ("a", 2, '{"id":"1","xx":1}', None, None),
+        ("a", 2, '{"id":"2","xx":"5","extra":[1]}', None, None), ("a", 3, '{"id":"2","xxx":"5"}', None, None), ("a", 3, '{"id":null}', None, None),
+        # another feed begins with the later name and has it beside a foreign one
+        ("b", 1, '{"id":"9","xxx":7,"y":1}', None, None), ("b", 2, '{"id":"9","xxx":7,"z":1}', None, None), ("b", 3, '{"id":"9","y":null,"z":"t"}', None, None),
     ]
     fields = field_rows(frame(spark, data), "payload", ["feed", "seq", "rid"])
-    ch = schema_changes(fields, "feed", "seq", "rid")
-    u = unified_records(fields, ch, ["feed", "seq", "rid"], "feed", "seq", ["id", "x"])
-    got = {(r["seq"], r["rid"]): (r["x"], r["x__kind"], r["x__number"], r["x__boolean"]) for r in u.collect()}
-    assert got[1, "1"] == ("1", "number", 1.0, None)
-    assert got[2, "1"] == ("1", "number", 1.0, None)
-    assert got[2, "2"] == ("5", "string", 5.0, None)
+    names = field_names(fields, schema_changes(fields, "feed", "seq", "rid"), ["feed", "seq"])
+    # x, xx and xxx are one field; y and z stand together in a file, so they aren't
+    assert names["x"] == names["xx"] == names["xxx"] == "xxx" and names["y"] == "y" and names["z"] == "z"
+    u = unified_records(fields, names, ["feed", "seq", "rid"])
+    got = {(r["feed"], r["seq"], r["rid"]): r for r in u.collect()}
+    one, two = got["a", 1, "1"], got["a", 2, "2"]
+    assert (one["xxx"], one["xxx__kind"], one["xxx__number"], one["xxx__string"]) == ("1", "number", 1.0, None)
+    assert (one["o__object"], one["f__boolean"], one["extra"]) == ('{"b":2}', True, None)
+    assert (two["xxx"], two["xxx__kind"], two["xxx__number"], two["xxx__string"], two["extra__array"]) == ("5", "string", 5.0, "5", "[1]")
+    assert got["b", 1, "9"]["xxx__number"] == 7.0 and got["a", 3, None]["id"] is None
+    assert len(got) == 8 and "xx" not in u.columns
+
+
+def test_unified_empty(spark):
+    fields = field_rows(frame(spark, []), "payload", ["feed", "seq", "rid"])
+    assert field_names(fields, schema_changes(fields, "feed", "seq", "rid"), ["feed", "seq"]) == {}
+    assert unified_records(fields, {}, ["feed", "seq", "rid"]).count() == 0
