@@ -141,6 +141,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"))
 
 
+def p10_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Cut documents with the spike they lie at, or 'transfer' where they lie at none."""
+    found, _ = truncated_texts(table(spark, d, "documents"), "doc_id", "source", "text")
+    return found.select(F.col("id").alias("doc_id"), "source", "reason", "limit_length", "limit_unit")
+
+
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     """Share of cut documents per source."""
     docs = table(spark, d, "documents")
@@ -156,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_items, p1_annotators, p2_found, p2_top, p6_found, p6_gaps, p8_pack, p8_fill, p9_mix, p9_report,
-        p10_found, p10_rates, p10_limits,
+        p10_found, p10_cases, p10_rates, p10_limits,
     )
 }
 

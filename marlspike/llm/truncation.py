@@ -104,7 +104,7 @@ def text_endings(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFr
     )
     inner = F.filter(
         F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0))),
-        lambda x: ~x.rlike(_TERMINAL) & ~x.startswith("{") & (F.length(x) <= 120),
+        lambda x: ~x.rlike(_TERMINAL) & ~x.startswith("{"),
     )
     return base.select(
         "id", "source", F.length("b").alias("chars"), F.octet_length("b").alias("bytes"),
@@ -114,7 +114,7 @@ def text_endings(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFr
 
 
 def length_spikes(ends: DataFrame, least: int = 3, factor: float = 4.0, share: float = 0.02) -> DataFrame:
-    """(source, unit, spike, n): lengths at which a source's unfinished texts pile up.
+    """(source, unit, spike, n, at_maximum): lengths at which a source's unfinished texts pile up.
 
     ``ends`` has source, chars, bytes and ``unfinished``. Per source and unit the
     histogram of unfinished texts is tested at every length: at least ``least``
@@ -122,8 +122,10 @@ def length_spikes(ends: DataFrame, least: int = 3, factor: float = 4.0, share: f
     without those a word-wise cutter leaves just below) would let expect. A pile
     just below a larger one is that one's; of a length that piles up in both
     units, the unit with more texts has the limit (the others are texts in which
-    both lengths agree). The histogram has as many rows as there are different
-    lengths.
+    both lengths agree). ``at_maximum``: no unfinished text of the source is
+    longer (but for two that a cutter adds); the other piles are limits of
+    single fields or senders. The histogram has as many rows as there are
+    different lengths.
     """
     long = ends.filter("unfinished").select(
         "source",
@@ -141,18 +143,19 @@ def length_spikes(ends: DataFrame, least: int = 3, factor: float = 4.0, share: f
     )
     expected = around / F.lit(50 - BACK_OFF + 48)
     above = F.coalesce(F.max("n").over(by.rangeBetween(1, BACK_OFF)), F.lit(0))
-    whole = F.sum("n").over(Window.partitionBy("source", "unit"))
-    piles = histogram.withColumns({"expected": expected, "above": above, "whole": whole}).filter(
+    all_ = Window.partitionBy("source", "unit")
+    whole, longest = F.sum("n").over(all_), F.max("length").over(all_)
+    piles = histogram.withColumns({"expected": expected, "above": above, "whole": whole, "longest": longest}).filter(
         (F.col("n") >= least) & (F.col("n") >= F.lit(share) * F.col("whole")) & (F.col("n") >= F.lit(factor) * F.col("expected")) & (F.col("n") >= F.col("above"))
     )
     better = Window.partitionBy("source", "length").orderBy(F.col("n").desc(), F.col("unit").desc())
     return piles.withColumn("r", F.row_number().over(better)).filter("r = 1").select(
-        "source", "unit", F.col("length").alias("spike"), "n"
+        "source", "unit", F.col("length").alias("spike"), "n", (F.col("longest") <= F.col("length") + 2).alias("at_maximum")
     )
 
 
 def truncated_texts(docs: DataFrame, doc_id: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(found, spikes). found: id, source, reason, limit_length for every cut text.
+    """(found, spikes). found: id, source, reason, limit_length, limit_unit for every cut text.
 
     Reasons: 'limit' at (or up to ``BACK_OFF`` below) a spike of its source,
     'transfer' anywhere else. A text is cut if what remains after white space,
@@ -193,7 +196,10 @@ def truncated_texts(docs: DataFrame, doc_id: str, source: str, text: str) -> tup
     def hit(length: str, spikes: str) -> Column:
         return F.array_min(F.filter(spikes, lambda s: (F.col(length) <= s + 2) & (F.col(length) >= s - BACK_OFF)))
 
-    near = near.withColumn("limit_length", F.coalesce(hit("chars", "char_spikes"), hit("bytes", "byte_spikes")))
+    by_chars = hit("chars", "char_spikes")
+    near = near.withColumn("limit_length", F.coalesce(by_chars, hit("bytes", "byte_spikes"))).withColumn(
+        "limit_unit", F.when(by_chars.isNotNull(), "chars").when(F.col("limit_length").isNotNull(), "bytes")
+    )
     # a closing phrase of authors also ends texts that are nowhere near a limit
     elsewhere = near.filter(F.col("dots") & F.col("limit_length").isNull()).groupBy("fragment").agg(F.count(F.lit(1)).alias("elsewhere"))
     near = near.join(elsewhere, "fragment", "left")
@@ -205,7 +211,7 @@ def truncated_texts(docs: DataFrame, doc_id: str, source: str, text: str) -> tup
     )
     cut = F.col("unfinished") | (F.col("dots") & ~author)
     found = near.filter(cut & ~((F.col("state") == "open") & author)).select(
-        "id", "source", F.when(F.col("limit_length").isNull(), "transfer").otherwise("limit").alias("reason"), "limit_length"
+        "id", "source", F.when(F.col("limit_length").isNull(), "transfer").otherwise("limit").alias("reason"), "limit_length", "limit_unit"
     )
     return found, spikes
 

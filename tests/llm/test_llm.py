@@ -267,7 +267,27 @@ def test_truncation(spark):
     got = {r["id"] for r in found.collect()}
     assert got == cut, [docs[k] for k in got ^ cut]
     assert ("alerts", "chars", 280) in [(r["source"], r["unit"], r["spike"]) for r in spikes.collect()]
+    where = {r["id"]: (r["reason"], r["limit_length"], r["limit_unit"]) for r in found.collect()}
+    at_limit = {k for k in cut if docs[k][1] == "alerts"}
+    assert {where[k] for k in at_limit} == {("limit", 280, "chars")} and {where[k][0] for k in cut - at_limit} == {"transfer"}
     rates = {r["source"]: (r["documents"], r["truncated"]) for r in truncation_rates(df, found, "source").collect()}
     assert rates["alerts"] == (360, 120) and rates["chats"] == (60, 0) and rates[None][1] == 2
+    assert {(r["source"], r["unit"], r["spike"], r["at_maximum"]) for r in spikes.collect()} == {("alerts", "chars", 280, True)}
     none, _ = truncated_texts(df.limit(0), "doc", "source", "text")
     assert none.count() == 0
+
+
+def test_limits_of_two_sources_and_bytes(spark):
+    rng = random.Random(9)
+    docs = []
+    words = "der Prüfer öffnete den Fall über die Brücke und schloß ihn später wieder ".split()
+    for k in range(200):
+        text = f"Fall {k}. " + " ".join(rng.choice(words) for _ in range(120))
+        docs.append((len(docs), "chars", text[:300]))
+        docs.append((len(docs), "bytes", text.encode()[:300].decode("utf-8", "ignore")))
+        docs.append((len(docs), "free", " ".join(rng.choice(words) for _ in range(rng.randrange(3, 80))).capitalize() + "."))
+    df = spark.createDataFrame(docs, "doc long, source string, text string")
+    found, spikes = truncated_texts(df, "doc", "source", "text")
+    limits = {(r["source"], r["unit"], r["at_maximum"]) for r in spikes.collect() if r["n"] > 30}
+    assert ("chars", "chars", True) in limits and ("bytes", "bytes", True) in limits and not [s for s, _, _ in limits if s == "free"]
+    assert {r["source"] for r in found.collect()} == {"chars", "bytes"} and found.count() == 400
