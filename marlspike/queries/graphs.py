@@ -88,12 +88,6 @@ def funding_roots(spark: SparkSession, d: str) -> DataFrame:
     return tree_roots(table(spark, d, "account_metadata"), "account", "funding_source")
 
 
-def lineage_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Accounts per funding root, with the longest chain."""
-    r = funding_roots(spark, d).filter("root IS NOT NULL")
-    return r.groupBy("root").agg(F.count(F.lit(1)).alias("accounts"), F.max("depth").alias("longest"))
-
-
 def modularity(spark: SparkSession, d: str) -> DataFrame:
     """Modularity of the trade graph for communities of one funding source."""
     e = _edges(spark, d).filter("src <> dst")
@@ -151,74 +145,11 @@ def path_decompose(spark: SparkSession, d: str) -> DataFrame:
     return whole.filter("hops > 1").groupBy("hops", "chained").agg(F.count(F.lit(1)).alias("operations"))
 
 
-def amm_sandwich(spark: SparkSession, d: str) -> DataFrame:
-    """In a pool: a buy, another's buy and the first account's sale above its price, within 10 seconds."""
-    p = trades(spark, d).filter("pool IS NOT NULL").select("pool", "pair", "base", "ts", "trade_id", "price", "amount", "base_is_seller")
-    buys = p.filter("NOT base_is_seller").select("pool", "pair", "base", F.col("ts").alias("t0"), F.col("trade_id").alias("buy"), F.col("price").alias("p0"), F.col("amount").alias("q0"))
-    sales = p.filter("base_is_seller").select("pool", "pair", "base", F.col("ts").alias("t2"), F.col("trade_id").alias("sale"), F.col("price").alias("p2"), F.col("amount").alias("q2"))
-    later = (F.col("t2") >= F.col("t0")) & (F.col("sale") != F.col("buy")) & (F.col("p2") > F.col("p0"))
-    legs = band_join(buys, sales, ["pool", "pair", "base"], "t0", "t2", 10, also=later)
-    first = legs.groupBy("pool", "pair", "base", "buy", "t0", "p0", "q0").agg(F.min(F.struct("t2", "sale", "p2", "q2")).alias("s"))
-    first = first.select("*", F.col("s.t2").alias("t2"))
-    victims = p.filter("NOT base_is_seller").select("pool", "pair", F.col("base").alias("victim"), F.col("ts").alias("t1"), F.col("trade_id").alias("mid"))
-    between = (F.col("t1") >= F.col("t0")) & (F.col("t1") <= F.col("t2")) & (F.col("victim") != F.col("base"))
-    hit = band_join(first, victims, ["pool", "pair"], "t0", "t1", 10, also=between)
-    profit = (F.col("s.p2") - F.col("p0")) * F.least("q0", F.col("s.q2"))
-    return hit.groupBy("pool", "base", "buy", F.col("s.sale").alias("sale")).agg(F.min(F.struct("t1", "mid")).alias("v"), F.round(F.max(profit), 7).alias("profit")).select(
-        "pool", "base", "buy", "sale", F.col("v.mid").alias("victim_trade"), "profit"
-    )
-
-
-def orderbook_sandwich(spark: SparkSession, d: str) -> DataFrame:
-    """Large order-book trades with one account trading within five trades before and after, and a price move."""
-    t = trades(spark, d).filter("kind = 'orderbook'").select("pair", "ts", "trade_id", "base", "price", "amount")
-    # a pair may hold a large part of all trades: it is cut into weeks
-    t = with_neighbours(t, ["pair"], ["ts", "trade_id"], F.date_trunc("week", "ts"), 5, 5)
-    by = Window.partitionBy("pair", "__chunk").orderBy("ts", "trade_id")
-    near = t.select(
-        "*",
-        F.collect_list("base").over(by.rowsBetween(-5, -1)).alias("before"), F.collect_list("base").over(by.rowsBetween(1, 5)).alias("after"),
-        F.first("price").over(by.rowsBetween(-5, 5)).alias("p0"), F.last("price").over(by.rowsBetween(-5, 5)).alias("p1"),
-    ).filter("__own AND amount >= 500")
-    both = F.array_remove(F.array_intersect("before", "after"), F.col("base"))
-    impact = F.abs(F.col("p1") / F.col("p0") - 1)
-    return near.filter((F.size(both) > 0) & (impact >= 0.003)).select("trade_id", "pair", F.size(both).alias("attackers"), F.round(impact, 8).alias("impact"))
-
-
-def lp_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Stays of funds abroad per EVM wallet: an arrival closes the oldest open departure (first in, first out).
-
-    Departures and arrivals are numbered; arrivals that find nothing open are
-    those at which the running balance reaches a new low, and don't count. The
-    k-th departure then belongs to the k-th arrival that counts.
-    """
-    t = transfers(spark, d).select("evm", "ts", "id", F.when(F.col("direction") == "stellar_to_evm", 1).otherwise(-1).alias("s"), "usd")
-    by = Window.partitionBy("evm").orderBy("ts", "id")
-    bal = t.withColumn("b", F.sum("s").over(by)).withColumn("low", F.least(F.min("b").over(by), F.lit(0)))
-    bal = bal.withColumn("was", F.coalesce(F.lag("low").over(by), F.lit(0)))
-    counted = bal.filter((F.col("s") == 1) | (F.col("low") == F.col("was")))
-    numbered = counted.withColumn("k", F.row_number().over(Window.partitionBy("evm", "s").orderBy("ts", "id")))
-    out = numbered.filter("s = 1").select("evm", "k", F.col("ts").alias("t0"), F.col("usd").alias("u0"))
-    back = numbered.filter("s = -1").select("evm", "k", F.col("ts").alias("t1"), F.col("usd").alias("u1"))
-    j = out.join(back, ["evm", "k"], "left")
-    hours = F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("t1")) / F.lit(3600e6)
-    return j.groupBy("evm").agg(F.count(F.lit(1)).alias("opened"), F.count("t1").alias("closed"), F.round(F.avg(hours), 6).alias("mean_hours"))
-
-
-def session_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Trades of an account within six hours after a transfer it sent, per account."""
-    s = transfers(spark, d).filter("direction = 'stellar_to_evm' AND wallet IS NOT NULL").select("wallet", F.col("ts").alias("t0"), "transfer_id")
-    t = trades(spark, d).select(F.col("base").alias("wallet"), F.col("ts").alias("t1"), "trade_id", "amount")
-    j = band_join(s, t, ["wallet"], "t0", "t1", 21_600, also=F.col("t1") >= F.col("t0"))
-    return j.groupBy("wallet").agg(F.countDistinct("transfer_id").alias("sessions"), F.count(F.lit(1)).alias("pairs"), exact_sum("amount").alias("volume"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         trade_edge_table, scc, ring_graph_components, wash_ring_list, ring_metrics, ring_membership, triangle_cycles,
-        funding_roots, lineage_closure, modularity, graph_snapshots, heterogeneous_graph, atomic_routes, path_decompose,
-        amm_sandwich, orderbook_sandwich, lp_sessions, session_containment,
+        funding_roots, modularity, graph_snapshots, heterogeneous_graph, atomic_routes, path_decompose,
     )
 }
 
@@ -249,7 +180,6 @@ SELECT component, count(gap) AS gaps, round(coalesce(avg(gap / 1e6), 0), 3) AS m
     "triangle_cycles": f"""WITH {_E}, g AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst)
 SELECT a.src AS account, count(*) AS cycles FROM g a JOIN g b ON a.dst = b.src JOIN g c ON b.dst = c.src AND c.dst = a.src WHERE b.dst <> a.src GROUP BY 1""",
     "funding_roots": f"{_ROOT} SELECT p.v AS node, root, depth FROM p LEFT JOIN roots ON roots.node = p.v",
-    "lineage_closure": f"{_ROOT} SELECT root, count(*) AS accounts, max(depth) AS longest FROM roots GROUP BY 1",
     "modularity": f"""WITH {_E}, k AS (SELECT account, coalesce(funding_source, account) AS c FROM account_metadata),
 n AS (SELECT coalesce(a.c, src) AS cs, coalesce(b.c, dst) AS cd FROM e LEFT JOIN k a ON a.account = src LEFT JOIN k b ON b.account = dst WHERE src <> dst),
 i AS (SELECT cs AS c, count(*) AS l FROM n WHERE cs = cd GROUP BY 1), x AS (SELECT c, count(*) AS k FROM (SELECT cs AS c FROM n UNION ALL SELECT cd FROM n) GROUP BY 1)
@@ -266,21 +196,4 @@ SELECT kind, count(*) AS edges, count(DISTINCT a) AS sources, round(sum(log10(v
 SELECT f.op, f.hops, f.base_code AS asset, round(least(f.amount, l.counter_amount), 7) AS volume FROM r f JOIN r l ON f.op = l.op AND f.a = 1 AND l.z = 1 WHERE f.hops > 1 AND f.base_code = l.counter_code""",
     "path_decompose": f"""WITH {TRADES_SQL}, r AS (SELECT op, base_code, lag(counter_code) OVER (PARTITION BY op ORDER BY token NULLS FIRST, trade_id) AS b FROM trades),
 w AS (SELECT op, count(*) AS hops, bool_and(coalesce(b = base_code, TRUE)) AS chained FROM r GROUP BY 1) SELECT hops, chained, count(*) AS operations FROM w WHERE hops > 1 GROUP BY 1, 2""",
-    "amm_sandwich": f"""WITH {TRADES_SQL}, p AS (SELECT * FROM trades WHERE pool IS NOT NULL),
-l AS (SELECT b.pool, b.pair, b.base, b.trade_id AS buy, b.ts AS t0, s.ts AS t2, s.trade_id AS sale, (s.price - b.price) * least(b.amount, s.amount) AS profit,
-  row_number() OVER (PARTITION BY b.trade_id ORDER BY s.ts, s.trade_id) AS rn
-  FROM p b JOIN p s ON s.pool = b.pool AND s.pair = b.pair AND s.base = b.base AND NOT b.base_is_seller AND s.base_is_seller AND s.ts >= b.ts AND s.ts <= b.ts + INTERVAL 10 SECOND AND s.price > b.price),
-v AS (SELECT l.*, m.trade_id AS victim_trade, row_number() OVER (PARTITION BY l.buy ORDER BY m.ts, m.trade_id) AS vn FROM l JOIN p m ON m.pool = l.pool AND m.pair = l.pair AND NOT m.base_is_seller AND m.base <> l.base
-  AND m.ts >= l.t0 AND m.ts <= l.t2 WHERE rn = 1)
-SELECT pool, base, buy, sale, victim_trade, round(profit, 7) AS profit FROM v WHERE vn = 1""",
-    "orderbook_sandwich": f"""WITH {TRADES_SQL}, n AS (SELECT *, list(base) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS bf, list(base) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS af,
-  first(price) OVER (w ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS p0, last(price) OVER (w ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS p1 FROM trades WHERE kind = 'orderbook' WINDOW w AS (PARTITION BY pair ORDER BY ts, trade_id)),
-x AS (SELECT *, len(list_filter(list_distinct(list_intersect(bf, af)), lambda q: q <> base)) AS attackers FROM n WHERE amount >= 500)
-SELECT trade_id, pair, CAST(attackers AS INT) AS attackers, round(abs(p1 / p0 - 1), 8) AS impact FROM x WHERE attackers > 0 AND abs(p1 / p0 - 1) >= 0.003""",
-    "lp_sessions": f"""WITH {TRANSFERS_SQL}, t AS (SELECT evm, ts, id, CASE WHEN direction = 'stellar_to_evm' THEN 1 ELSE -1 END AS s FROM transfers),
-b AS (SELECT *, sum(s) OVER (PARTITION BY evm ORDER BY ts, id) AS b FROM t), l AS (SELECT *, least(min(b) OVER (PARTITION BY evm ORDER BY ts, id), 0) AS low FROM b),
-w AS (SELECT *, coalesce(lag(low) OVER (PARTITION BY evm ORDER BY ts, id), 0) AS was FROM l), k AS (SELECT evm, s, ts, row_number() OVER (PARTITION BY evm, s ORDER BY ts, id) AS k FROM w WHERE s = 1 OR low = was)
-SELECT o.evm, count(*) AS opened, count(c.ts) AS closed, round(avg((epoch_us(c.ts) - epoch_us(o.ts)) / 3600e6), 6) AS mean_hours FROM k o LEFT JOIN k c ON c.evm = o.evm AND c.k = o.k AND c.s = -1 WHERE o.s = 1 GROUP BY 1""",
-    "session_containment": f"""WITH {TRADES_SQL}, {TRANSFERS_SQL} SELECT s.wallet, count(DISTINCT transfer_id) AS sessions, count(*) AS pairs, CAST(sum(CAST(amount AS DECIMAL(38,8))) AS DOUBLE) AS volume
-FROM transfers s JOIN trades t ON t.base = s.wallet AND direction = 'stellar_to_evm' AND t.ts >= s.ts AND t.ts <= s.ts + INTERVAL 6 HOUR GROUP BY 1""",
 }

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from marlspike.functions import benford as b
 from marlspike.functions.stats import clip, exact_sum, ratio
-from marlspike.queries.graphs import ORACLE as _GRAPH_SQL
-from marlspike.queries.graphs import amm_sandwich
 from marlspike.queries.monitoring import _F, _feedback
 from marlspike.queries.views import ACTIVITY_SQL, AS_OF, TRADES_SQL, WALLET_SQL, activity, trades, wallet_rows
 from marlspike.sources.stores import (
@@ -245,14 +243,6 @@ def json_like(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ingestion_dedup_keys").filter(F.col("metadata_json").like("%log_index%")).groupBy("source").agg(F.count(F.lit(1)).alias("keys"))
 
 
-def pool_sandwiches(spark: SparkSession, d: str) -> DataFrame:
-    """Sandwiches per pool, and their frequency min(3 n / trades, 1)."""
-    n = amm_sandwich(spark, d).groupBy("pool").agg(F.count(F.lit(1)).alias("sandwiches"))
-    t = trades(spark, d).filter("pool IS NOT NULL").groupBy("pool").agg(F.count(F.lit(1)).alias("trades"))
-    k = F.coalesce("sandwiches", F.lit(0))
-    return t.join(n, "pool", "left").select("pool", "trades", k.alias("sandwiches"), F.round(F.least(F.lit(1.0), k * 3 / F.col("trades")), 9).alias("frequency"))
-
-
 def error_classes_by_feed(spark: SparkSession, d: str) -> DataFrame:
     """Replayable share per feed: lines that parse."""
     v = F.try_parse_json("payload")
@@ -295,11 +285,10 @@ QUERIES = {
         idempotent_upsert, keyed_upsert, export_manifest_delta, retention_counts, row_cap, feature_unpivot, dead_letters, load_chunks,
         offer_events, evm_words, canonical_hashes, net_balances, analyst_stats, daily_feature_means, route_sets, ar_residuals,
         conformity_suspicion, coverage_check, temporal_adjustment, robust_outliers, top_contributions, masked_audit, json_like,
-        pool_sandwiches, error_classes_by_feed, rollup_risk, session_activity, approx_wallets, revenue_by_region,
+        error_classes_by_feed, rollup_risk, session_activity, approx_wallets, revenue_by_region,
     )
 }
 
-_SANDWICH = _GRAPH_SQL["amm_sandwich"]
 _KB = r"E' \t\n\r'"
 
 
@@ -316,8 +305,6 @@ ORACLE = {
     "dead_letters": """SELECT CASE WHEN NOT json_valid(payload) THEN 'json' WHEN json_extract_string(payload, '$.id') IS NULL THEN 'no_id'
   WHEN json_extract_string(payload, '$.base_account') IS NULL AND json_extract_string(payload, '$.base_account_id') IS NULL THEN 'no_account' ELSE 'ok' END AS error_class, count(*) AS lines
 FROM horizon_trade_raw GROUP BY 1""",
-    "pool_sandwiches": f"""SELECT t.pool, trades, coalesce(k, 0) AS sandwiches, round(least(1.0, coalesce(k, 0) * 3 / trades), 9) AS frequency
-FROM (WITH {TRADES_SQL} SELECT pool, count(*) AS trades FROM trades WHERE pool IS NOT NULL GROUP BY 1) t LEFT JOIN (SELECT pool, count(*) AS k FROM ({_SANDWICH}) GROUP BY 1) n ON n.pool = t.pool""",
     "idempotent_upsert": f"""WITH k AS (SELECT *, lower(trim(idempotency_key, {_KB})) AS k FROM ingestion_dedup_keys),
 n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY first_seen_at, id) AS rn FROM k WHERE first_seen_at >= TIMESTAMP '{_CUT}' AND k IS NOT NULL)
 SELECT source, count(*) AS inserted FROM n WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM k o WHERE o.k = n.k AND o.first_seen_at < TIMESTAMP '{_CUT}') GROUP BY 1""",
