@@ -223,12 +223,13 @@ def digit_entropy_delta(spark: SparkSession, d: str) -> DataFrame:
 def benford_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Monte-Carlo p-values for short histograms; each different histogram is drawn once."""
     h = _histogram(trades(spark, d), "pair").filter("n > 0 AND n < 100")
-    different = h.select(*[f"c{k}" for k in range(1, 10)]).distinct()
+    # histograms of one total share their draws: they go to one task, as short as they are
+    different = h.select(*[f"c{k}" for k in range(1, 10)], "n").distinct().repartition("n").drop("n")
     shares = np.array(b.EXPECTED)
 
     @F.pandas_udf("double")
     def p_value(c: pd.Series) -> pd.Series:
-        return pd.Series(multinomial_pvalues(np.array(c.tolist(), dtype=np.int64), shares, 2000, 42))
+        return pd.Series(multinomial_pvalues(np.array(c.tolist(), dtype=np.int64), shares, 10_000, 42))
 
     drawn = different.withColumn("p", p_value(F.array(*[f"c{k}" for k in range(1, 10)])))
     return h.join(drawn, [f"c{k}" for k in range(1, 10)]).select("pair", "n", "p")

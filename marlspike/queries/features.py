@@ -7,14 +7,16 @@ trades.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspike.functions import benford as b
 from marlspike.functions.stats import clip, exact_sum, ratio, safe_corr
 from marlspike.operators.neighbours import with_neighbours
-from marlspike.queries.views import ACTIVITY_SQL, TRADES_SQL, WALLET_SQL, activity, trades, wallet_rows
-from marlspike.session import durable
+from marlspike.operators.quantiles import exact_quantiles
+from marlspike.queries.views import ACTIVITY_SQL, AS_OF, TRADES_SQL, WALLET_SQL, activity, trades, wallet_rows
 from marlspike.sources.tables import table
 
 
@@ -213,10 +215,10 @@ def counterparty_rotation(spark: SparkSession, d: str, rows: DataFrame | None =
 def decoy_signature(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """Share of neighbouring trades that go from the lowest to the highest quarter of the wallet's amounts."""
     rows = _rows(spark, d, rows)
-    quarters = rows.groupBy("wallet").agg(F.percentile("amount", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"))
+    quarters = exact_quantiles(rows, "wallet", "amount", {"low": 0.25, "high": 0.75})
     cut, by = _near(rows.select("wallet", "ts", "trade_id", "amount"), 0, 1)
     steps = cut.select("wallet", "amount", "__own", F.lead("amount").over(by).alias("next")).filter("__own AND next IS NOT NULL")
-    low, high = F.col("q")[0], F.col("q")[1]
+    low, high = F.col("low"), F.col("high")
     hit = (F.col("amount") <= low) & (F.col("next") >= high) & (low < high)
     hits = steps.join(quarters, "wallet").groupBy("wallet").agg(F.round(F.count_if(hit) / (F.max("n") - 1), 9).alias("decoys"))
     return quarters.select("wallet").join(hits, "wallet", "left").select("wallet", F.coalesce("decoys", F.lit(0.0)).alias("decoys"))
@@ -251,41 +253,141 @@ def burst_synchrony(spark: SparkSession, d: str) -> DataFrame:
     return x.select("p1", "p2", F.round(r, 6).alias("synchrony"))
 
 
+def evasion_parts(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """Ordered signals of each wallet in one pass over its trades with their neighbours: regularity, rotation, decoys, jitter, gap variation, round trips.
+
+    Each is 0 where a wallet has too few trades for it. Jitter is the lag-1
+    autocorrelation of the gaps' differences mapped to 0..1.
+    """
+    rows = _rows(spark, d, rows)
+    side = F.col("base") == F.col("wallet")
+    legs = rows.select(
+        "wallet", "ts", "trade_id", "amount", F.when(side, F.col("base_code")).otherwise(F.col("counter_code")).alias("gave"), F.when(side, F.col("counter_code")).otherwise(F.col("base_code")).alias("got"),
+    )
+    cut, by = _near(legs, 3, 5)
+    gaps = cut.withColumn("gap", _seconds(F.col("ts"), F.lag("ts").over(by))).withColumn("before", F.lag("gap").over(by)).withColumn("jump", F.col("gap") - F.col("before"))
+    following = F.collect_list(F.struct("gave", "got")).over(by.rowsBetween(1, 5))
+    undone = F.exists(following, lambda x: (x["gave"] == F.col("got")) & (x["got"] == F.col("gave")))
+    seen = gaps.select("*", F.lag("jump").over(by).alias("jump_before"), F.lead("amount").over(by).alias("next"), undone.alias("undone")).filter("__own")
+    q = exact_quantiles(rows, "wallet", "amount", {"low": 0.25, "high": 0.75}).drop("n")
+    decoy = (F.col("amount") <= F.col("low")) & (F.col("next") >= F.col("high")) & (F.col("low") < F.col("high"))
+    near, far = F.col("before").isNotNull(), F.col("jump_before").isNotNull()
+    agg = seen.join(q, "wallet").groupBy("wallet").agg(
+        F.count(F.lit(1)).alias("n"), F.count("gap").alias("k"), F.stddev_pop("gap").alias("sd"), F.avg("gap").alias("m"), F.stddev_pop("jump").alias("jsd"),
+        safe_corr(F.when(near, F.col("gap")), F.when(near, F.col("before"))).alias("r"), safe_corr(F.when(far, F.col("jump")), F.when(far, F.col("jump_before"))).alias("j"),
+        F.count_if(decoy).alias("decoy"), F.avg(F.col("undone").cast("double")).alias("undone"),
+    )
+    turn = rows.groupBy("wallet", "cp").agg(F.count(F.lit(1)).alias("c")).groupBy("wallet").agg((F.count("cp") / F.sum("c")).alias("rotation"))
+    n, half = F.col("n"), lambda r: clip((F.coalesce(r, F.lit(0.0)) + 1) / 2, 0.0, 1.0)
+    return agg.join(turn, "wallet").select(
+        "wallet", F.round(F.when(n < 4, 0.0).when(F.col("sd") <= 1e-12, 1.0).otherwise(half(F.col("r"))), 6).alias("regularity"), F.round(F.when(n < 2, 0.0).otherwise(F.col("rotation")), 9).alias("rotation"),
+        F.round(F.when(n < 4, 0.0).otherwise(F.col("decoy") / (n - 1)), 9).alias("decoys"), F.round(F.when((n < 5) | (F.col("jsd") <= 1e-12) | F.col("j").isNull(), 0.0).otherwise(half(F.col("j"))), 6).alias("jitter"),
+        F.round(F.when(F.col("k") < 2, 1.0).otherwise(F.col("sd") / (F.col("m") + 1e-9)), 6).alias("gap_variation"), F.round(F.when(n < 2, 0.0).otherwise(F.col("undone")), 9).alias("round_trips"),
+    )
+
+
+#: Weights of the evasion signals.
+EVASION = {"conformity": 0.20, "regularity": 0.25, "rotation": 0.20, "decoys": 0.15, "jitter": 0.20}
+
+
+def conformity(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """How much closer a wallet's digits lie to the law than to those of a log-normal fit of its amounts, 0..1; 0 for under five trades.
+
+    One fixed sample of 5,000 standard normal numbers stands for all fits; each
+    Arrow batch is one array operation.
+    """
+    h = _rows(spark, d, rows).groupBy("wallet").agg(*b.digit_counts(b.leading_digit(F.col("amount"))), F.avg(F.log("amount")).alias("m"), F.coalesce(F.stddev_pop(F.log("amount")), F.lit(0.0)).alias("s"), F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    law = np.array(b.EXPECTED)
+
+    @F.pandas_udf("double")
+    def suspicion(c: pd.Series, m: pd.Series, s: pd.Series) -> pd.Series:
+        z = np.random.default_rng(0).standard_normal(5000)
+        seen = np.array(c.tolist(), float).reshape(-1, 9)
+        seen = np.maximum(seen / np.maximum(seen.sum(axis=1, keepdims=True), 1), 1e-9)
+        drawn = np.empty_like(seen)
+        for i, (mean, sd) in enumerate(zip(m, s)):
+            log = (mean + z * max(sd, 1e-6)) / np.log(10)
+            lead = np.clip((10 ** (log - np.floor(log))).astype(int), 1, 9)
+            drawn[i] = np.bincount(lead, minlength=10)[1:]
+        drawn = np.maximum(drawn / np.maximum(drawn.sum(axis=1, keepdims=True), 1), 1e-9)
+        kl = lambda q: (seen * np.log(seen / q)).sum(axis=1) / seen.sum(axis=1)
+        return pd.Series(np.clip(1 - kl(law) / (kl(drawn) + 1e-9), 0, 1))
+
+    return h.select("wallet", suspicion(F.array(*[f"c{k}" for k in range(1, 10)]), "m", "s").alias("conformity"))
+
+
 def evasion_composite(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted blend of regularity, rotation, decoys and jitter (fixed weights), 0..1."""
-    parts = [
-        (interval_autocorr, "regularity", 0.25), (counterparty_rotation, "rotation", 0.25), (decoy_signature, "decoys", 0.25),
-        (jitter_autocorr, "jitter", 0.25),
-    ]
-    out, rows = None, durable(wallet_rows(spark, d), "wallet-rows")
-    for f, name, _ in parts:
-        x = f(spark, d, rows)
-        out = x if out is None else out.join(x, "wallet", "full")
+    """Weighted sum of conformity, regularity, rotation, decoys and jitter (0.20, 0.25, 0.20, 0.15, 0.20)."""
+    x = evasion_parts(spark, d).join(conformity(spark, d), "wallet", "left").fillna(0.0, ["conformity"])
     total = None
-    for _, name, w in parts:
-        term = F.lit(w) * clip(F.coalesce(name, F.lit(0.0)), 0.0, 1.0)
-        total = term if total is None else total + term
-    return out.select("wallet", F.round(total, 5).alias("evasion"))
+    for name, w in EVASION.items():
+        total = F.lit(w) * F.col(name) if total is None else total + F.lit(w) * F.col(name)
+    return x.select("wallet", F.round(total, 5).alias("evasion"))
+
+
+#: Trailing windows of the vector's digit statistics, in hours before the clock.
+_SPANS = {"24h": 24, "7d": 168, "30d": 720}
 
 
 def feature_vector(spark: SparkSession, d: str) -> DataFrame:
-    """All wallet families side by side, 0 where a family has nothing to say."""
-    rows = durable(wallet_rows(spark, d), "wallet-rows")
-    dg = b.leading_digit(F.col("amount"))
-    same = F.coalesce((F.col("base") == F.col("counter")).cast("double"), F.lit(0.0))
-    core = rows.groupBy("wallet").agg(
-        F.count(F.lit(1)).alias("trades"), exact_sum("amount").alias("volume"), F.countDistinct("cp").alias("counterparties"),
-        F.round(F.avg(same), 9).alias("self_matching"), F.round(F.avg(F.hour("ts").between(0, 5).cast("double")), 9).alias("off_hours"),
-        F.round(F.avg((F.col("kind") == "liquidity_pool").cast("double")), 9).alias("pool_share"), *b.digit_counts(dg),
+    """All wallet families side by side, 0 where a family has nothing to say.
+
+    What needs no order comes from one aggregate per wallet and counterparty,
+    rolled up per wallet: additive counts, volumes and digit histograms of all
+    windows, the top counterparty, distinct ones. Minutes are rolled up likewise.
+    What needs order comes from one pass over trades with their neighbours. The
+    families meet by wallet; each has a row per wallet at most.
+    """
+    rows = wallet_rows(spark, d)
+    dg, age = b.leading_digit(F.col("amount")), F.timestamp_diff("MICROSECOND", F.col("ts"), F.lit(AS_OF).cast("timestamp_ntz"))
+    same, pool = F.coalesce(F.col("base") == F.col("counter"), F.lit(False)), F.col("kind") == "liquidity_pool"
+    money = F.col("amount").cast("decimal(38,8)")
+    names = [f"c{k}" for k in range(1, 10)]
+    windows = {"": F.lit(True)} | {f"_{w}": (age >= 0) & (age < h * 3_600_000_000) for w, h in _SPANS.items()}
+    digits = [F.count_if((dg == k) & inside).alias(f"{c}{w}") for w, inside in windows.items() for k, c in enumerate(names, 1)]
+    per = rows.groupBy("wallet", "cp").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(money).alias("v"), F.count_if(same).alias("same"), F.count_if(F.hour("ts").between(0, 5)).alias("off"), F.count_if(pool).alias("pooled"),
+        F.sum(F.when(pool, money).otherwise(0)).alias("pv"), F.max("ts").alias("last"), *digits,
     )
-    n = b.total(b.counts())
-    core = core.select(
-        "wallet", "trades", "volume", "counterparties", "self_matching", "off_hours", "pool_share",
-        F.round(b.mean_deviation(b.counts(), n), 8).alias("mad"),
+    core = per.groupBy("wallet").agg(
+        F.sum("n").alias("trades"), F.sum("v").cast("double").alias("volume"), F.count("cp").alias("counterparties"), F.count_if(F.col("cp") != F.col("wallet")).alias("others"),
+        F.max(F.when(F.col("cp").isNotNull(), F.col("v"))).cast("double").alias("top"), F.sum("pv").cast("double").alias("pv"), F.max("last").alias("last"),
+        *[F.sum(c).alias(c) for c in ("same", "off", "pooled")], *[F.sum(f"{c}{w}").alias(f"{c}{w}") for w in windows for c in names],
+    )
+    known = table(spark, d, "account_metadata").select(F.col("account").alias("wallet"), "created_at")
+    accounts = core.agg(F.count(F.lit(1)).alias("accounts"))
+    minutes = rows.groupBy("wallet", F.date_trunc("minute", "ts").alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    dense = minutes.groupBy("wallet").agg(F.round(F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)) / F.sum("c"), 9).alias("minute_clustering"))
+
+    def stats(w: str) -> list[Column]:
+        c = [F.col(f"{x}{w}") for x in names]
+        n = b.total(c)
+        return [F.round(b.chi_square(c, n), 5).alias(f"chi2{w}"), F.round(b.mean_deviation(c, n), 8).alias(f"mad{w}"), F.round(b.max_z(c, n), 5).alias(f"max_z{w}"), F.round(F.coalesce(b.ks_statistic(c, n), F.lit(0.0)), 7).alias(f"ks{w}"), F.round(F.coalesce(b.kuiper_statistic(c, n), F.lit(0.0)), 7).alias(f"kuiper{w}")]
+
+    n = F.col("trades")
+    # one row of the number of accounts
+    core = core.join(known, "wallet", "left").join(F.broadcast(accounts)).select(
+        "wallet", "trades", "volume", "counterparties", F.round(F.col("same") / n, 9).alias("self_matching"), F.round(F.col("off") / n, 9).alias("off_hours"), F.round(F.col("pooled") / n, 9).alias("pool_share"),
+        F.round(ratio(F.col("top"), F.col("volume")), 7).alias("concentration"), F.round(ratio(F.col("volume"), F.col("counterparties")), 4).alias("volume_per_counterparty"),
+        F.round(ratio(F.col("others"), F.col("accounts") - 1), 9).alias("centrality"), F.round(ratio(F.col("pv"), F.col("volume")), 7).alias("pool_ratio"),
+        F.round(F.coalesce(F.greatest(_seconds(F.col("last"), F.col("created_at")) / 86400, F.lit(0.0)), F.lit(0.0)), 7).alias("age_days"), *[x for w in windows for x in stats(w)],
     )
-    for f in (counterparty_concentration, round_trip_frequency, counterparty_rotation, account_age):
-        core = core.join(f(spark, d, rows), "wallet", "left")
-    return core.fillna(0.0)
+    return core.join(dense, "wallet", "left").join(evasion_parts(spark, d, rows), "wallet", "left").fillna(0.0)
+
+
+def consistency_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Contradictions within a wallet's vector, as names in order: high volume over few counterparties' share, ring without round trips, chi-square without deviation, young but central."""
+    from marlspike.queries.graphs import ring_membership
+
+    rings = ring_membership(spark, d).select(F.col("account").alias("wallet"), F.lit(1.0).alias("ring")).distinct()
+    v = feature_vector(spark, d).join(rings, "wallet", "left").fillna(0.0, ["ring"])
+    rules = [
+        F.when((F.col("volume_per_counterparty") > 100) & (F.col("concentration") < 0.05), F.lit("high_volume_low_counterparty")),
+        F.when((F.col("ring") > 0.5) & (F.col("round_trips") < 0.01), F.lit("ring_member_no_round_trips")),
+        F.when((F.col("chi2_24h") > 50) & (F.col("mad_24h") < 0.001), F.lit("chi_sq_mad_contradiction")),
+        F.when((F.col("age_days") < 7) & (F.col("centrality") > 0.3), F.lit("new_account_high_centrality")),
+    ]
+    return v.select("wallet", F.array_join(F.array_compact(F.array(*rules)), ",").alias("flags")).filter("flags <> ''")
 
 
 QUERIES = {
@@ -294,7 +396,7 @@ QUERIES = {
         counterparty_concentration, volume_per_counterparty, self_matching, cancellation_rate, intra_minute_clustering,
         off_hours_ratio, volume_spike_batch, volume_spike_stream, degree_centrality, hhi_concentration, pool_trade_ratio,
         path_payment_ratios, funding_similarity, account_age, round_trip_frequency, pool_round_trip, interval_autocorr,
-        jitter_autocorr, counterparty_rotation, decoy_signature, iat_cv, burst_synchrony, evasion_composite, feature_vector,
+        jitter_autocorr, counterparty_rotation, decoy_signature, iat_cv, burst_synchrony, evasion_parts, conformity, evasion_composite, feature_vector, consistency_rules,
     )
 }
 
@@ -328,6 +430,29 @@ _DEC = """SELECT q.wallet, round(coalesce(count(*) FILTER (amount <= lo AND nx >
 FROM (SELECT wallet, quantile_cont(amount, 0.25) AS lo, quantile_cont(amount, 0.75) AS hi, count(*) AS n FROM wrows GROUP BY 1) q
 JOIN (SELECT wallet, amount, lead(amount) OVER (PARTITION BY wallet ORDER BY ts, trade_id) AS nx FROM wrows) s ON s.wallet = q.wallet GROUP BY q.wallet"""
 
+_PARTS = f"""f1 AS ({_REG}), f2 AS ({_ROT}), f3 AS ({_DEC}), f5 AS ({_TRIP}), nn AS (SELECT wallet, count(*) AS n FROM wrows GROUP BY 1),
+f4 AS (SELECT wallet, round(CASE WHEN count(*) < 5 OR coalesce(stddev_pop(jump), 0) <= 1e-12 THEN 0.0 ELSE coalesce(least(greatest(({_corr('jump', 'jump_before', 'jump_before IS NOT NULL')} + 1) / 2, 0), 1), 0) END, 6) AS jitter,
+  round(CASE WHEN count(gap) < 2 THEN 1.0 ELSE stddev_pop(gap) / (avg(gap) + 1e-9) END, 6) AS gap_variation FROM gaps GROUP BY 1),
+parts AS (SELECT nn.wallet, regularity, CASE WHEN n < 2 THEN 0 ELSE rotation END AS rotation, CASE WHEN n < 4 THEN 0 ELSE decoys END AS decoys, jitter, gap_variation, round_trips
+  FROM nn JOIN f1 USING (wallet) JOIN f2 USING (wallet) JOIN f3 USING (wallet) JOIN f4 USING (wallet) JOIN f5 USING (wallet))"""
+_WSQL = {"": ""} | {f"_{w}": f" AND age >= 0 AND age < {h * 3_600_000_000}" for w, h in _SPANS.items()}
+
+
+def _wstats(w: str) -> str:
+    c = [f"c{k}{w}" for k in range(1, 10)]
+    n, e = "(" + " + ".join(c) + ")", b.EXPECTED
+    run, gaps = 0.0, []
+    for k in range(9):
+        run += e[k]
+        gaps.append(f"(({' + '.join(c[: k + 1])}) / {n} - {run!r})")
+    z = ", ".join(f"greatest(abs({x} / {n} - {v!r}) - 1 / (2 * {n}), 0) / sqrt({v * (1 - v)!r} / {n})" for x, v in zip(c, e))
+    return (
+        f"CASE WHEN {n} > 0 THEN round({' + '.join(f'pow({x} - {n} * {v!r}, 2) / ({n} * {v!r})' for x, v in zip(c, e))}, 5) ELSE 0 END AS chi2{w}, "
+        f"CASE WHEN {n} > 0 THEN round(({' + '.join(f'abs({x} / {n} - {v!r})' for x, v in zip(c, e))}) / 9, 8) ELSE 0 END AS mad{w}, CASE WHEN {n} > 0 THEN round(greatest({z}), 5) ELSE 0 END AS max_z{w}, "
+        f"CASE WHEN {n} >= 5 THEN round(greatest({', '.join(f'abs{g}' for g in gaps)}), 7) ELSE 0 END AS ks{w}, CASE WHEN {n} >= 5 THEN round(greatest({', '.join(gaps)}, 0) + greatest({', '.join('-' + g for g in gaps)}, 0), 7) ELSE 0 END AS kuiper{w}"
+    )
+
+
 ORACLE = {
     "counterparty_concentration": f"WITH {WALLET_SQL} {_CONC}",
     "volume_per_counterparty": f"WITH {WALLET_SQL} SELECT wallet, round(coalesce(sum(amount) / nullif(count(DISTINCT cp), 0), 0), 4) AS volume_per_counterparty FROM wrows GROUP BY 1",
@@ -375,15 +500,14 @@ g AS (SELECT unnest(generate_series((SELECT min(h) FROM hc), (SELECT max(h) FROM
 dn AS (SELECT p.pair, g.h, coalesce(c, 0)::DOUBLE AS c FROM (SELECT DISTINCT pair FROM hc) p CROSS JOIN g LEFT JOIN hc ON hc.pair = p.pair AND hc.h = g.h)
 SELECT a.pair AS p1, b.pair AS p2, round(greatest(coalesce(covar_pop(a.c, b.c) / nullif(stddev_pop(a.c) * stddev_pop(b.c), 0), 0), 0), 6) AS synchrony
 FROM dn a JOIN dn b ON a.h = b.h AND a.pair < b.pair GROUP BY 1, 2""",
-    "evasion_composite": f"""WITH {WALLET_SQL}, {_GAP}, f1 AS ({_REG}), f2 AS ({_ROT}), f3 AS ({_DEC}), f4 AS ({_JIT})
-SELECT f2.wallet, round(0.25*least(greatest(coalesce(regularity,0),0),1) + 0.25*least(greatest(coalesce(rotation,0),0),1)
-  + 0.25*least(greatest(coalesce(decoys,0),0),1) + 0.25*least(greatest(coalesce(jitter,0),0),1), 5) AS evasion
-FROM f2 LEFT JOIN f1 USING (wallet) LEFT JOIN f3 USING (wallet) LEFT JOIN f4 USING (wallet)""",
-    "feature_vector": f"""WITH {WALLET_SQL}, {_LEGS}, dg AS (SELECT *, {_DGS} AS dg FROM wrows),
-core AS (SELECT wallet, count(*) AS trades, CAST(sum(CAST(amount AS DECIMAL(38,8))) AS DOUBLE) AS volume, count(DISTINCT cp) AS counterparties,
-  round(avg(coalesce(base = counter, FALSE)::INT), 9) AS self_matching, round(avg((hour(ts) BETWEEN 0 AND 5)::INT), 9) AS off_hours,
-  round(avg((kind = 'liquidity_pool')::INT), 9) AS pool_share,
-  round(({' + '.join(f'abs(count(*) FILTER (dg = {k}) / count(dg) - {b.EXPECTED[k-1]!r})' for k in range(1, 10))}) / 9, 8) AS mad FROM dg GROUP BY wallet)
-SELECT core.*, coalesce(concentration, 0) AS concentration, coalesce(round_trips, 0) AS round_trips, coalesce(rotation, 0) AS rotation, coalesce(age_days, 0) AS age_days
-FROM core LEFT JOIN ({_CONC}) USING (wallet) LEFT JOIN ({_TRIP}) USING (wallet) LEFT JOIN ({_ROT}) USING (wallet) LEFT JOIN ({_AGE}) USING (wallet)""",
+    "feature_vector": f"""WITH {WALLET_SQL}, {_GAP}, {_LEGS}, dg AS (SELECT *, {_DGS} AS dg, epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts) AS age FROM wrows), {_PARTS},
+hist AS (SELECT wallet, {', '.join(f"count(*) FILTER (dg = {k}{c}) AS c{k}{w}" for w, c in _WSQL.items() for k in range(1, 10))} FROM dg GROUP BY 1),
+core AS (SELECT wallet, count(*) AS trades, CAST(sum(CAST(amount AS DECIMAL(38,8))) AS DOUBLE) AS volume, count(DISTINCT cp) AS counterparties, round(avg(coalesce(base = counter, FALSE)::INT), 9) AS self_matching,
+  round(avg((hour(ts) BETWEEN 0 AND 5)::INT), 9) AS off_hours, round(avg((kind = 'liquidity_pool')::INT), 9) AS pool_share, round(CAST(sum(CASE WHEN kind = 'liquidity_pool' THEN CAST(amount AS DECIMAL(38,8)) ELSE 0 END) AS DOUBLE) / CAST(sum(CAST(amount AS DECIMAL(38,8))) AS DOUBLE), 7) AS pool_ratio,
+  round(count(DISTINCT cp) FILTER (cp <> wallet) / ((SELECT count(DISTINCT wallet) FROM wrows) - 1), 9) AS centrality FROM dg GROUP BY wallet),
+conc AS (SELECT wallet, round(coalesce(CAST(max(v) FILTER (cp IS NOT NULL) AS DOUBLE) / CAST(sum(v) AS DOUBLE), 0), 7) AS concentration FROM (SELECT wallet, cp, sum(CAST(amount AS DECIMAL(38,8))) AS v FROM wrows GROUP BY ALL) GROUP BY 1),
+mc AS (SELECT wallet, round(sum(CASE WHEN c > 1 THEN c ELSE 0 END) / sum(c), 9) AS minute_clustering FROM (SELECT wallet, date_trunc('minute', ts) AS m, count(*) AS c FROM wrows GROUP BY ALL) GROUP BY 1)
+SELECT core.*, concentration, round(coalesce(volume / nullif(counterparties, 0), 0), 4) AS volume_per_counterparty, round(age_days, 7) AS age_days, {', '.join(_wstats(w) for w in _WSQL)}, minute_clustering, regularity, rotation, decoys, jitter, gap_variation, round_trips
+FROM core JOIN hist USING (wallet) JOIN conc USING (wallet) JOIN mc USING (wallet) JOIN parts USING (wallet) LEFT JOIN ({_AGE}) USING (wallet)""",
+    "evasion_parts": f"WITH {WALLET_SQL}, {_GAP}, {_LEGS}, {_PARTS} SELECT * FROM parts",
 }

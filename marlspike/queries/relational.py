@@ -135,18 +135,6 @@ def subscriber_match(spark: SparkSession, d: str) -> DataFrame:
     return s.join(F.broadcast(subs), hit).groupBy("subscriber").agg(F.count(F.lit(1)).alias("scores"), F.countDistinct("wallet").alias("wallets"))
 
 
-def consistency_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Contradictory flags of a score row, as sorted names."""
-    rules = [
-        F.when(F.col("benford_flag") & (F.col("score") < 20), F.lit("flag_low_score")),
-        F.when(~F.col("benford_flag") & ~F.col("ml_flag") & (F.col("score") >= 90), F.lit("high_without_flag")),
-        F.when(F.col("confidence").isNull(), F.lit("no_confidence")),
-        F.when(F.col("ml_flag") & (F.col("confidence") < 10), F.lit("unsure_ml")),
-    ]
-    flags = F.array_sort(F.filter(F.array(*rules), lambda x: x.isNotNull()))
-    return _scores(spark, d).select(F.array_join(flags, ",").alias("flags")).groupBy("flags").agg(F.count(F.lit(1)).alias("rows"))
-
-
 def latest_scores(spark: SparkSession, d: str) -> DataFrame:
     """Newest score rows per wallet and pair; ties on the time all stay; flag filter afterwards."""
     by = Window.partitionBy("wallet", "asset_pair").orderBy(F.col("timestamp").desc())
@@ -568,7 +556,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         filter_pipeline_reasons, accepted_rejected, validation_errors, identifier_checks, asset_types, suppressed_alerts,
-        json_predicate, subscriber_match, consistency_rules, latest_scores, latest_by_id, latest_batch,
+        json_predicate, subscriber_match, latest_scores, latest_by_id, latest_batch,
         active_assignment_left_join, proximity_join, analyst_queue, unassigned_anti, not_in_anti, fan_out_semi, claim_times,
         cross_pair_wallets, burst_overlap, bridge_round_trip, bridge_correlation, opposite_transfers, wallet_link_score,
         accepted_links, evm_trade_pattern, idempotent_keys, dedup_statistics, tier_union_dedup, wallet_intersection,
@@ -620,8 +608,6 @@ SELECT id, wallet, asset_pair, score FROM s WHERE score >= 90 AND NOT EXISTS (
 SELECT source, count(*) AS keys, max(h) AS highest FROM k WHERE h < 9000000 GROUP BY 1""",
     "subscriber_match": f"""WITH {_S}, sub AS (SELECT * FROM (VALUES ('all', 95, NULL), ('majors', 80, ['XLM/VUSD', 'XLM/AQUR']), ('euro', 60, ['EURV/VUSD'])) v(subscriber, m, p))
 SELECT subscriber, count(*) AS scores, count(DISTINCT wallet) AS wallets FROM s JOIN sub ON score >= m AND (p IS NULL OR list_contains(p, asset_pair)) GROUP BY 1""",
-    "consistency_rules": f"""WITH {_S} SELECT coalesce(nullif(concat_ws(',', CASE WHEN benford_flag AND score < 20 THEN 'flag_low_score' END, CASE WHEN NOT benford_flag AND NOT ml_flag AND score >= 90 THEN 'high_without_flag' END,
-  CASE WHEN confidence IS NULL THEN 'no_confidence' END, CASE WHEN ml_flag AND confidence < 10 THEN 'unsure_ml' END), ''), '') AS flags, count(*) AS rows FROM s GROUP BY 1""",
     "latest_scores": f"""WITH {_S}, m AS (SELECT wallet, asset_pair, max(timestamp) AS t FROM s GROUP BY ALL)
 SELECT s.id, s.wallet, s.asset_pair, score, confidence FROM s JOIN m ON s.wallet = m.wallet AND s.asset_pair = m.asset_pair AND s.timestamp = m.t WHERE benford_flag""",
     "latest_by_id": f"WITH {_S} SELECT wallet, asset_pair, max(id) AS id, arg_max(score, id) AS score FROM s GROUP BY 1, 2",

@@ -173,31 +173,6 @@ def ar_residuals(spark: SparkSession, d: str) -> DataFrame:
     return daily.groupBy("pair").applyInPandas(fit, "pair string, score double")
 
 
-def conformity_suspicion(spark: SparkSession, d: str) -> DataFrame:
-    """Wallets that follow the digit law closer than a log-normal sample of their amounts would, 0..1."""
-    r = wallet_rows(spark, d)
-    h = r.groupBy("wallet").agg(
-        *b.digit_counts(b.leading_digit(F.col("amount"))), F.avg(F.log("amount")).alias("m"), F.coalesce(F.stddev_samp(F.log("amount")), F.lit(0.0)).alias("s"), F.count(F.lit(1)).alias("n")
-    ).filter("n >= 20")
-    law = np.array(b.EXPECTED)
-
-    @F.pandas_udf("double")
-    def suspicion(c: pd.Series, m: pd.Series, s: pd.Series) -> pd.Series:
-        z = np.random.default_rng(42).standard_normal(5000)
-        out = []
-        for counts, mean, sd in zip(c, m, s):
-            seen = np.asarray(counts, float) / max(1, sum(counts)) + 1e-9
-            sample = mean / np.log(10) + z * sd / np.log(10)
-            lead = (10 ** (sample - np.floor(sample))).astype(int).clip(1, 9)
-            drawn = np.bincount(lead, minlength=10)[1:] / len(lead) + 1e-9
-            kl = lambda p, q: float((p * np.log(p / q)).sum())
-            other = kl(seen, drawn)
-            out.append(min(1.0, max(0.0, 1 - kl(seen, law) / other)) if other > 1e-12 else 0.0)
-        return pd.Series(out)
-
-    return h.select("wallet", "n", suspicion(F.array(*[f"c{k}" for k in range(1, 10)]), "m", "s").alias("suspicion"))
-
-
 def coverage_check(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of the 90 % residual quantile of the earlier half on the later half of labels."""
     f = _feedback(spark, d).filter("ens IS NOT NULL").select(F.abs(F.col("y") - F.col("ens") / 100).alias("e"), (F.col("at") < F.lit(_CUT).cast("timestamp_ntz")).alias("early"))
@@ -284,7 +259,7 @@ QUERIES = {
     for f in (
         idempotent_upsert, keyed_upsert, export_manifest_delta, retention_counts, row_cap, feature_unpivot, dead_letters, load_chunks,
         offer_events, evm_words, canonical_hashes, net_balances, analyst_stats, daily_feature_means, route_sets, ar_residuals,
-        conformity_suspicion, coverage_check, temporal_adjustment, robust_outliers, top_contributions, masked_audit, json_like,
+        coverage_check, temporal_adjustment, robust_outliers, top_contributions, masked_audit, json_like,
         error_classes_by_feed, rollup_risk, session_activity, approx_wallets, revenue_by_region,
     )
 }
