@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.functions import benford as b
@@ -235,31 +235,60 @@ def benford_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return h.join(drawn, [f"c{k}" for k in range(1, 10)]).select("pair", "n", "p")
 
 
+def _scores() -> list[Column]:
+    """Normal scores of the ranks of nine digit deviations (of equal ones the lower digit first), scaled to length one."""
+    level = [normal_quantile(r / 10) for r in range(1, 10)]
+    length = math.sqrt(sum(x * x for x in level))
+    dev = [F.col(f"c{k}") / F.col("n") - b.EXPECTED[k - 1] for k in range(1, 10)]
+    out = []
+    for i, x in enumerate(dev):
+        ahead = [(y <= x) if j < i else (y < x) for j, y in enumerate(dev) if j != i]
+        rank = sum((a.cast("int") for a in ahead), F.lit(1))
+        out.append(F.element_at(F.array(*[F.lit(v / length) for v in level]), rank).alias(f"s{i + 1}"))
+    return out
+
+
+def coordination(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, members, statistic, freedom): 8 times the sum of squared correlations of the members' scores s1..s9 over all pairs.
+
+    The scores have length one, so the squares over all pairs are those of the
+    nine by nine matrix of products less one per member: members are summed up,
+    no pair is formed, however many there are.
+    """
+    cross = {(i, j): F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i in range(1, 10) for j in range(i, 10)}
+    agg = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), *[c.alias(f"x{i}{j}") for (i, j), c in cross.items()])
+    total = sum((F.col(f"x{i}{j}") * F.col(f"x{i}{j}") * (1 if i == j else 2) for i, j in cross), F.lit(0.0))
+    k = F.col("members")
+    return agg.select(*keys, "members", F.greatest(8 * (total - k) / 2, F.lit(0.0)).alias("statistic"), (k * (k - 1) / 2).cast("long").alias("freedom"))
+
+
+@F.pandas_udf("double")
+def _upper_tail(x: pd.Series, freedom: pd.Series) -> pd.Series:
+    return pd.Series([chi2_sf(float(a), int(f)) if f else 1.0 for a, f in zip(x, freedom)])
+
+
 def benford_copula(spark: SparkSession, d: str) -> DataFrame:
-    """Coordination of the pairs' digit deviations: normal scores of ranks, correlated pair by pair.
+    """Coordination of the digit deviations of all pairs with at least 30 digits."""
+    h = _histogram(trades(spark, d), "pair_key").filter(F.col("n") >= MIN_STRATUM).select(*_scores())
+    c = coordination(h, [])
+    return c.select("members", "freedom", F.round("statistic", 5).alias("statistic"))
 
-    The matrix has one row per pair with at least 30 digits, at most the 40 with
-    most trades (the statistic's size, stated here), so it is small.
+
+def benford_multivariate(spark: SparkSession, d: str) -> DataFrame:
+    """Per wallet over its pairs: coordination of digit deviations with its p-value, and the digits' entropy less the law's.
+
+    Wallets with a single pair have p = 1 and statistic 0.
     """
-    h = _histogram(trades(spark, d), "pair_key").filter(F.col("n") >= MIN_STRATUM)
-    top = h.orderBy(F.col("n").desc(), "pair_key").limit(40)
-    score = {r: normal_quantile(r / 10) for r in range(1, 10)}
-
-    def statistic(frames):
-        rows = pd.concat(list(frames))
-        c = rows[[f"c{k}" for k in range(1, 10)]].to_numpy(float)
-        dev = c / c.sum(axis=1, keepdims=True) - np.array(b.EXPECTED)
-        ranks = dev.argsort(axis=1).argsort(axis=1) + 1
-        z = np.vectorize(score.get)(ranks)
-        k = len(z)
-        if k < 2:
-            yield pd.DataFrame({"pairs": [k], "statistic": [0.0], "p": [1.0]})
-            return
-        r = np.corrcoef(z)
-        stat = 8 * float((r[np.triu_indices(k, 1)] ** 2).sum())
-        yield pd.DataFrame({"pairs": [k], "statistic": [stat], "p": [chi2_sf(stat, k * (k - 1) // 2)]})
-
-    return top.coalesce(1).mapInPandas(statistic, "pairs int, statistic double, p double")
+    h = _histogram(wallet_rows(spark, d), "wallet", "pair_key").filter("n > 0")
+    c = coordination(h.select("wallet", *_scores()), ["wallet"])
+    per = h.groupBy("wallet").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(1, 10)]).withColumn("n", _n())
+    e = per.select("wallet", F.round(b.entropy(b.counts(), F.col("n")) - b.EXPECTED_ENTROPY, 8).alias("entropy_delta"))
+    return c.join(e, "wallet").select("wallet", "members", F.round("statistic", 5).alias("statistic"), "entropy_delta", _upper_tail("statistic", "freedom").alias("p"))
+
+
+def benford_multivariate_statistic(spark: SparkSession, d: str) -> DataFrame:
+    """The same without the p-values."""
+    return benford_multivariate(spark, d).drop("p")
 
 
 QUERIES = {
@@ -267,7 +296,7 @@ QUERIES = {
     for f in (
         benford_digit_hist, benford_metrics_by_pair, benford_zscores, benford_chi2_pvalue, benford_ks, benford_kuiper,
         benford_windows, benford_stratified, benford_flagged_digits, benford_adaptive_window, benford_last_n,
-        benford_baseline, joint_digit_matrix, cross_pair_sync, digit_entropy_delta, benford_bootstrap, benford_copula,
+        benford_baseline, joint_digit_matrix, cross_pair_sync, digit_entropy_delta, benford_bootstrap, benford_copula, benford_multivariate, benford_multivariate_statistic,
     )
 }
 
@@ -281,6 +310,19 @@ _WIN = " UNION ALL ".join(
 )
 _HOURS = [min(2**k, 2160) for k in range(13)]
 
+_LEVEL = [normal_quantile(r / 10) for r in range(1, 10)]
+_LEN = math.sqrt(sum(x * x for x in _LEVEL))
+
+
+def _score_sql(k: int) -> str:
+    e = b.EXPECTED
+    ahead = " + ".join(f"(c{j} / n - {e[j - 1]!r} {'<=' if j < k else '<'} c{k} / n - {e[k - 1]!r})::INT" for j in range(1, 10) if j != k)
+    return f"([{', '.join(repr(v / _LEN) for v in _LEVEL)}])[1 + {ahead}] AS s{k}"
+
+
+_SCORES = ", ".join(_score_sql(k) for k in range(1, 10))
+_DOT = " + ".join(f"a.s{k} * z.s{k}" for k in range(1, 10))
+
 ORACLE = {
     "benford_digit_hist": f"{_hist_sql('trades', 'pair', TRADES_SQL)} SELECT * FROM h",
     "benford_metrics_by_pair": f"""{_hist_sql('activity', 'pair', ACTIVITY_SQL)}
@@ -328,5 +370,12 @@ o AS (SELECT h AS hr, {_MAXZ} > 2.5 AS odd FROM h WHERE n > 0), p AS (SELECT hr,
 SELECT count(*) AS hours, count(*) FILTER (odd >= 3) AS synchronised, round(count(*) FILTER (odd >= 3) / count(*), 9) AS score FROM p""",
     "digit_entropy_delta": f"""{_hist_sql('trades', 'pair_key', TRADES_SQL)}
 SELECT pair_key, n, round(-({' + '.join(f'CASE WHEN c{k} > 0 THEN (c{k}/n)*ln(c{k}/n) ELSE 0 END' for k in range(1, 10))}) - {b.EXPECTED_ENTROPY!r}, 8) AS delta FROM h WHERE n > 0""",
+    "benford_copula": f"""WITH {TRADES_SQL}, g AS (SELECT pair_key, {_DG} FROM trades), h AS (SELECT pair_key, count(dg) AS n, {_sql_counts()} FROM g GROUP BY 1 HAVING count(dg) >= 30), s AS (SELECT pair_key, {_SCORES} FROM h)
+SELECT (SELECT count(*) FROM s) AS members, count(*) AS freedom, round(8 * sum(pow({_DOT}, 2)), 5) AS statistic FROM s a JOIN s z ON a.pair_key < z.pair_key""",
+    "benford_multivariate_statistic": f"""WITH {WALLET_SQL}, g AS (SELECT wallet, pair_key, {_DG} FROM wrows), h AS (SELECT wallet, pair_key, count(dg) AS n, {_sql_counts()} FROM g GROUP BY ALL HAVING count(dg) > 0), s AS (SELECT wallet, pair_key, {_SCORES} FROM h),
+m AS (SELECT wallet, count(*) AS members FROM s GROUP BY 1), p AS (SELECT a.wallet, 8 * sum(pow({_DOT}, 2)) AS x FROM s a JOIN s z ON a.wallet = z.wallet AND a.pair_key < z.pair_key GROUP BY 1),
+t AS (SELECT wallet, sum(n) AS n, {', '.join(f'sum(c{k}) AS c{k}' for k in range(1, 10))} FROM h GROUP BY 1)
+SELECT m.wallet, members, round(coalesce(x, 0), 5) AS statistic, round(-({' + '.join(f'CASE WHEN c{k} > 0 THEN c{k} / n * ln(c{k} / n) ELSE 0 END' for k in range(1, 10))}) - {b.EXPECTED_ENTROPY!r}, 8) AS entropy_delta
+FROM m LEFT JOIN p ON p.wallet = m.wallet JOIN t ON t.wallet = m.wallet""",
 }
 assert math.isclose(sum(b.EXPECTED), 1.0)

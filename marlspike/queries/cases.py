@@ -14,6 +14,7 @@ from marlspike.queries.benford import _CHI, _DG, _sql_counts
 from marlspike.queries.monitoring import _F, _feedback
 from marlspike.queries.views import AS_OF, CASES_SQL, TRADES_SQL, TRANSFERS_SQL, WALLET_SQL, assignments, trades, transfers, wallet_rows
 from marlspike.session import shared_dir
+from marlspike.sources.plugins import FolderBus
 from marlspike.sources.stores import archive, export_partitions, labelled_csv, read_tier
 from marlspike.sources.tables import table
 
@@ -313,11 +314,11 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def event_bus(spark: SparkSession, d: str) -> DataFrame:
     """High scores published as JSON messages keyed by wallet to a topic folder, appended in two batches, consumed and counted per pair."""
     s = _scores(spark, d).filter("score >= 90")
-    path = shared_dir(spark, "topic") + "/scores"
+    bus = FolderBus(spark, shared_dir(spark, "topic"))
     body = F.to_json(F.struct("id", "wallet", "asset_pair", "score"))
     for part in (s.filter("ml_flag"), s.filter("NOT ml_flag")):
-        part.select(F.col("wallet").alias("key"), body.alias("value")).write.mode("append").json(path)
-    read = spark.read.schema("key string, value string").json(path).select("key", F.from_json("value", "id long, asset_pair string, score int").alias("v"))
+        bus.publish("scores", part.select(F.col("wallet").alias("key"), body.alias("value")))
+    read = bus.consume("scores").select("key", F.from_json("value", "id long, asset_pair string, score int").alias("v"))
     return read.groupBy(F.col("v.asset_pair").alias("asset_pair")).agg(F.count(F.lit(1)).alias("messages"), F.countDistinct("key").alias("keys"), F.max("v.score").alias("top"))
 
 

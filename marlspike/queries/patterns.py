@@ -7,19 +7,22 @@ both the query and its SQL.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspike.functions.cells import micros
 from marlspike.functions.stats import exact_sum, ratio
 from marlspike.operators.graph import strong_components, trade_edges, wash_rings, weak_components
 from marlspike.operators.neighbours import with_neighbours
+from marlspike.operators.rangejoin import band_join
 from marlspike.queries.features import hhi_concentration, pool_round_trip
 from marlspike.queries.features import ORACLE as _FEATURE_SQL
+from marlspike.queries.graphs import _scc_sql
+from marlspike.queries.monitoring import ORACLE as _SERIES_SQL
+from marlspike.queries.monitoring import spearman_pairs
 from marlspike.queries.views import TRADES_SQL, TRANSFERS_SQL, WALLET_SQL, trades, transfers, wallet_rows
 from marlspike.session import durable
+from marlspike.sources.plugins import node_table
 from marlspike.sources.tables import table
 
 #: Planted trades: id, seconds after 2027-01-01, base, counter, base code, counter code, amount, price, base sells, pool.
@@ -307,6 +310,54 @@ def path_features(spark: SparkSession, d: str) -> DataFrame:
     return p.filter("k > 0").select("wallet", F.round(F.col("own") / F.col("k"), 9).alias("self_share"), F.round("hops", 9).alias("mean_hops"), F.round(ratio(F.col("cycle"), F.col("volume")), 7).alias("cycle_share"), F.round(F.col("legs") / F.col("all"), 9).alias("path_share"))
 
 
+# pairs that move together -----------------------------------------------------------------------
+
+
+def cross_pair_features(spark: SparkSession, d: str, least: float = 0.75) -> DataFrame:
+    """Per wallet active within ten minutes in two correlated pairs (rank correlation of 0.75 or more, or ``least``): pairs, highest correlation, burst overlap, other wallets in its cluster, volume share.
+
+    Overlap: share of its trades in these pairs that have anybody's trade in
+    another of them within ten minutes. Cluster: other such wallets with a common
+    pair, counted over different sets of pairs, of which there are few.
+    """
+    size = 600_000_000
+    corr = durable(spearman_pairs(spark, d).filter(F.col("r") >= least).select("pair_key", "other", "r"), "correlated")
+    rows = wallet_rows(spark, d).select("wallet", "pair_key", "ts", "trade_id", "amount")
+    t = micros("ts")
+    slots = durable(rows.groupBy("wallet", "pair_key", F.floor(t / F.lit(size)).alias("slot")).agg(F.min(t).alias("lo"), F.max(t).alias("hi")), "wallet-slots")
+    far = slots.select("wallet", F.col("pair_key").alias("other"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    met = slots.join(corr, "pair_key").join(far, ["wallet", "slot", "other"]).filter((F.col("lo_b") - F.col("hi") <= size) & (F.col("lo") - F.col("hi_b") <= size))
+    wp = durable(met.select("wallet", F.explode(F.array("pair_key", "other")).alias("pair_key")).distinct(), "wallet-pairs")
+    best = corr.join(wp, "pair_key").join(wp.toDF("wallet", "other"), ["wallet", "other"]).groupBy("wallet").agg(F.max("r").alias("synchrony"))
+    volume = lambda r, keys: r.groupBy(*keys).agg(F.sum(F.col("amount").cast("decimal(38,8)")).alias("v"))
+    own = volume(rows.join(wp, ["wallet", "pair_key"]), ["wallet", "pair_key"])
+    whole = volume(trades(spark, d), ["pair_key"]).withColumnRenamed("v", "all")
+    share = own.join(whole, "pair_key").groupBy("wallet").agg(F.round(F.sum("v").cast("double") / F.sum("all").cast("double"), 9).alias("volume_share"))
+    sets = wp.groupBy("wallet").agg(F.array_sort(F.collect_set("pair_key")).alias("pairs"))
+    groups = sets.groupBy("pairs").agg(F.count(F.lit(1)).alias("k"))
+    link = groups.select("pairs", F.explode("pairs").alias("pair_key")).join(groups.select(F.col("pairs").alias("near"), "k", F.explode("pairs").alias("pair_key")), "pair_key").select("pairs", "near", "k").distinct()
+    cluster = sets.join(link.groupBy("pairs").agg((F.sum("k") - 1).alias("cluster")), "pairs").select("wallet", F.size("pairs").alias("pairs"), "cluster")
+    mine = rows.join(wp, ["wallet", "pair_key"]).select("wallet", "pair_key", "ts", "trade_id")
+    others = mine.join(wp.toDF("wallet", "pair_b"), "wallet").filter("pair_key <> pair_b")
+    any_ = trades(spark, d).select(F.col("pair_key").alias("pair_b"), F.col("ts").alias("ts_b")).distinct()
+    burst = band_join(others, any_, ["pair_b"], "ts", "ts_b", 600, how="left_semi").select("wallet", "pair_key", "trade_id").distinct().groupBy("wallet").agg(F.count(F.lit(1)).alias("b"))
+    n = mine.groupBy("wallet").agg(F.count(F.lit(1)).alias("n"))
+    overlap = n.join(burst, "wallet", "left").select("wallet", F.round(F.coalesce("b", F.lit(0)) / F.col("n"), 9).alias("burst_overlap"))
+    return cluster.join(best, "wallet").join(overlap, "wallet").join(share, "wallet")
+
+
+def cross_pair_features_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The same for pairs with a rank correlation of 0.2 or more, which small tables have too."""
+    return cross_pair_features(spark, d, 0.2)
+
+
+def node_features(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of four-hour graph slices with three features given as functions: trades, counterparties, volume."""
+    made = {"trades": lambda: F.count(F.lit(1)), "counterparties": lambda: F.countDistinct("counterparty"), "volume": lambda: F.sum(F.col("amount").cast("decimal(38,8)")).cast("double")}
+    t = node_table(trades(spark, d), made)
+    return t.select(F.date_format("slice", "yyyy-MM-dd HH").alias("slice"), "node", *made)
+
+
 # rings and reachability -------------------------------------------------------------------------
 
 
@@ -363,7 +414,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ordering_columns, amm_sandwich, pool_sandwiches, sandwich_features, sandwich_alerts, orderbook_sandwich, lp_sessions, session_containment,
-        amm_features, hop_cycles, hop_cycle_features, hop_cycle_alerts, path_edges, path_features, ring_list, ring_order, ring_flags, lineage_closure,
+        amm_features, hop_cycles, hop_cycle_features, hop_cycle_alerts, path_edges, path_features, cross_pair_features, cross_pair_features_wide, node_features, ring_list, ring_order, ring_flags, lineage_closure,
     )
 }
 
@@ -433,4 +484,21 @@ SELECT wallet, round(own / k, 9) AS self_share, round(hops, 9) AS mean_hops, rou
     "lineage_closure": """WITH RECURSIVE f AS (SELECT account AS a, funding_source AS b FROM account_metadata WHERE funding_source IS NOT NULL), u AS (SELECT a, b FROM f UNION SELECT b, a FROM f),
 r AS (SELECT a AS v, a AS w FROM u UNION SELECT r.v, u.b FROM r JOIN u ON u.a = r.w), c AS (SELECT v, min(w) AS root FROM r GROUP BY 1)
 SELECT root, count(*) AS accounts, count(*) FILTER (v IN (SELECT b FROM f)) AS funders FROM c GROUP BY 1""",
+    "ring_flags": f"""WITH RECURSIVE {TRADES_SQL}, e AS (SELECT DISTINCT base AS src, counter AS dst FROM trades WHERE counter IS NOT NULL), {_scc_sql('e')}
+SELECT v AS account, CASE WHEN count(*) OVER (PARTITION BY component) >= 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS ring_probability FROM comp""",
+    "ring_list": f"""WITH RECURSIVE {TRADES_SQL}, e AS (SELECT DISTINCT pair_key || '|' || base AS src, pair_key || '|' || counter AS dst FROM trades WHERE counter IS NOT NULL), {_scc_sql('e')},
+z AS (SELECT component AS ring, list_sort(list(split_part(v, '|', 2))) AS accounts FROM comp GROUP BY 1 HAVING count(*) >= 3),
+k AS (SELECT ring, len(accounts) AS accounts FROM z a WHERE NOT EXISTS (SELECT 1 FROM z b WHERE b.ring <> a.ring AND list_has_all(b.accounts, a.accounts) AND (len(b.accounts) > len(a.accounts) OR b.ring < a.ring)))
+SELECT ring, accounts, CAST(row_number() OVER (ORDER BY accounts DESC, ring) AS INT) AS place FROM k""",
+    "node_features": f"""WITH {TRADES_SQL}, r AS (SELECT ts, amount, base AS node, counter AS cp FROM trades WHERE counter IS NOT NULL AND base <> counter UNION ALL SELECT ts, amount, counter, base FROM trades WHERE counter IS NOT NULL AND base <> counter)
+SELECT strftime(time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '2000-01-01'), '%Y-%m-%d %H') AS slice, node, count(*) AS trades, count(DISTINCT cp) AS counterparties, CAST(sum(CAST(amount AS DECIMAL(38,8))) AS DOUBLE) AS volume FROM r GROUP BY 1, 2""",
+    "cross_pair_features": f"""WITH {WALLET_SQL}, cr AS (SELECT * FROM ({_SERIES_SQL['spearman_pairs']}) WHERE r >= 0.75),
+wt AS (SELECT DISTINCT wallet, pair_key, ts FROM wrows), mt AS (SELECT DISTINCT a.wallet, a.pair_key AS pa, z.pair_key AS pb FROM wt a JOIN cr ON cr.pair_key = a.pair_key JOIN wt z ON z.wallet = a.wallet AND z.pair_key = cr.other AND z.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE),
+wp AS (SELECT wallet, pa AS pair_key FROM mt UNION SELECT wallet, pb FROM mt), sy AS (SELECT x.wallet, max(r) AS synchrony FROM cr JOIN wp x ON x.pair_key = cr.pair_key JOIN wp y ON y.pair_key = cr.other AND y.wallet = x.wallet GROUP BY 1),
+cl AS (SELECT a.wallet, count(DISTINCT z.wallet) - 1 AS cluster FROM wp a JOIN wp z ON z.pair_key = a.pair_key GROUP BY 1), np AS (SELECT wallet, count(*) AS pairs FROM wp GROUP BY 1),
+ov AS (SELECT wallet, sum(CAST(amount AS DECIMAL(38,8))) AS v FROM wrows JOIN wp USING (wallet, pair_key) GROUP BY 1), al AS (SELECT pair_key, sum(CAST(amount AS DECIMAL(38,8))) AS v FROM trades GROUP BY 1), av AS (SELECT wallet, sum(v) AS v FROM wp JOIN al USING (pair_key) GROUP BY 1),
+bo AS (SELECT w.wallet, avg((EXISTS (SELECT 1 FROM wp q JOIN trades t ON t.pair_key = q.pair_key WHERE q.wallet = w.wallet AND q.pair_key <> w.pair_key AND t.ts BETWEEN w.ts - INTERVAL 10 MINUTE AND w.ts + INTERVAL 10 MINUTE))::INT) AS o FROM wrows w JOIN wp USING (wallet, pair_key) GROUP BY 1)
+SELECT np.wallet, CAST(pairs AS INT) AS pairs, cluster, synchrony, round(o, 9) AS burst_overlap, round(CAST(ov.v AS DOUBLE) / CAST(av.v AS DOUBLE), 9) AS volume_share
+FROM np JOIN sy USING (wallet) JOIN cl USING (wallet) JOIN ov USING (wallet) JOIN av USING (wallet) JOIN bo USING (wallet)""",
 }
+ORACLE["cross_pair_features_wide"] = ORACLE["cross_pair_features"].replace("r >= 0.75", "r >= 0.2")

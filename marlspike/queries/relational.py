@@ -13,6 +13,7 @@ from marlspike.functions.stats import exact_sum, ratio
 from marlspike.operators.rangejoin import band_join
 from marlspike.queries.views import AS_OF, CASES_SQL, TRADES_SQL, TRANSFERS_SQL, WALLET_SQL, assignments, trades, transfers, wallet_rows
 from marlspike.session import durable
+from marlspike.sources.plugins import Filter, first_rejection
 from marlspike.sources.tables import table
 
 # fixed values: identifier patterns
@@ -53,16 +54,15 @@ def filter_pipeline_reasons(spark: SparkSession, d: str) -> DataFrame:
     t = trades(spark, d).withColumn("other", F.coalesce("counter", "base"))
     t = t.join(excluded.select(F.col("account").alias("base"), F.lit(True).alias("bad_base")), "base", "left")
     t = t.join(excluded.select(F.col("account").alias("other"), F.lit(True).alias("bad_other")), "other", "left")
-    rules = {}
-    if WHITELIST:
-        rules["pair_whitelist"] = ~F.col("pair").isin(*WHITELIST)
-    rules |= {
-        "pair_blacklist": F.col("pair").isin(*BLACKLIST),
-        "min_volume": (F.col("amount") < LEAST["base"]) | F.coalesce(F.col("counter_amount") < LEAST["counter"], F.lit(False)) | F.coalesce(F.col("price") < LEAST["price"], F.lit(False)),
-        "asset_type": ~_asset_kind(F.col("base_code")).isin(*ASSET_KINDS) | ~_asset_kind(F.col("counter_code")).isin(*ASSET_KINDS),
-        "excluded_account": F.col("bad_base").isNotNull() | F.col("bad_other").isNotNull(),
-    }
-    return t.groupBy(F.coalesce(first_reason(rules), F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("trades"))
+    small = lambda c, least: F.coalesce(F.col(c) < least, F.lit(False))
+    chain = [Filter("pair_whitelist", lambda r: ~F.col("pair").isin(*WHITELIST))] if WHITELIST else []
+    chain += [
+        Filter("pair_blacklist", lambda r: F.col("pair").isin(*BLACKLIST)),
+        Filter("min_volume", lambda r: small("amount", LEAST["base"]) | small("counter_amount", LEAST["counter"]) | small("price", LEAST["price"])),
+        Filter("asset_type", lambda r: ~_asset_kind(F.col("base_code")).isin(*ASSET_KINDS) | ~_asset_kind(F.col("counter_code")).isin(*ASSET_KINDS)),
+        Filter("excluded_account", lambda r: F.col("bad_base").isNotNull() | F.col("bad_other").isNotNull()),
+    ]
+    return first_rejection(t, chain).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("trades"))
 
 
 def accepted_rejected(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from marlspike.functions import benford as b
 from marlspike.functions.stats import clip, exact_sum, ratio
+from marlspike.plans.isolation import isolation_scores
+from marlspike.queries.features import feature_vector
 from marlspike.queries.monitoring import _F, _feedback
 from marlspike.queries.views import ACTIVITY_SQL, AS_OF, TRADES_SQL, WALLET_SQL, activity, trades, wallet_rows
 from marlspike.sources.stores import (
@@ -199,6 +201,13 @@ def robust_outliers(spark: SparkSession, d: str) -> DataFrame:
     return v.join(F.broadcast(q)).select("wallet", F.round(clip(z / 4, 0.0, 1.0), 7).alias("outlier"))  # q is one row
 
 
+def isolation_outliers(spark: SparkSession, d: str) -> DataFrame:
+    """Wallets' vectors scored by isolation trees grown on a bounded sample."""
+    v = feature_vector(spark, d)
+    names = ["trades", "volume", "counterparties", "self_matching", "off_hours", "pool_share", "concentration", "mad", "regularity", "rotation", "round_trips"]
+    return isolation_scores(v, "wallet", names).select("wallet", F.round("outlier", 9).alias("outlier"))
+
+
 def top_contributions(spark: SparkSession, d: str) -> DataFrame:
     """Per label row the model that pulls furthest from its mean, as linear contribution."""
     f = _feedback(spark, d).filter("rf IS NOT NULL AND xg IS NOT NULL AND lg IS NOT NULL")
@@ -259,7 +268,7 @@ QUERIES = {
     for f in (
         idempotent_upsert, keyed_upsert, export_manifest_delta, retention_counts, row_cap, feature_unpivot, dead_letters, load_chunks,
         offer_events, evm_words, canonical_hashes, net_balances, analyst_stats, daily_feature_means, route_sets, ar_residuals,
-        coverage_check, temporal_adjustment, robust_outliers, top_contributions, masked_audit, json_like,
+        coverage_check, temporal_adjustment, robust_outliers, isolation_outliers, top_contributions, masked_audit, json_like,
         error_classes_by_feed, rollup_risk, session_activity, approx_wallets, revenue_by_region,
     )
 }
