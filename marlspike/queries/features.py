@@ -511,3 +511,14 @@ SELECT core.*, concentration, round(coalesce(volume / nullif(counterparties, 0),
 FROM core JOIN hist USING (wallet) JOIN conc USING (wallet) JOIN mc USING (wallet) JOIN parts USING (wallet) LEFT JOIN ({_AGE}) USING (wallet)""",
     "evasion_parts": f"WITH {WALLET_SQL}, {_GAP}, {_LEGS}, {_PARTS} SELECT * FROM parts",
 }
+
+
+def _rules_sql() -> str:
+    from marlspike.queries.graphs import ORACLE as graph_sql
+
+    return f"""WITH v AS (SELECT f.*, coalesce(r.ring, 0) AS ring FROM ({ORACLE['feature_vector']}) f LEFT JOIN (SELECT DISTINCT account, 1.0 AS ring FROM ({graph_sql['ring_membership']})) r ON r.account = f.wallet),
+g AS (SELECT wallet, concat_ws(',', CASE WHEN volume_per_counterparty > 100 AND concentration < 0.05 THEN 'high_volume_low_counterparty' END, CASE WHEN ring > 0.5 AND round_trips < 0.01 THEN 'ring_member_no_round_trips' END,
+  CASE WHEN chi2_24h > 50 AND mad_24h < 0.001 THEN 'chi_sq_mad_contradiction' END, CASE WHEN coalesce(age_days, 0) < 7 AND centrality > 0.3 THEN 'new_account_high_centrality' END) AS flags FROM v) SELECT wallet, flags FROM g WHERE flags <> ''"""
+
+
+ORACLE["consistency_rules"] = _rules_sql()

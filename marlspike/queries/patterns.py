@@ -347,8 +347,8 @@ def cross_pair_features(spark: SparkSession, d: str, least: float = 0.75) -> Dat
 
 
 def cross_pair_features_wide(spark: SparkSession, d: str) -> DataFrame:
-    """The same for pairs with a rank correlation of 0.2 or more, which small tables have too."""
-    return cross_pair_features(spark, d, 0.2)
+    """The same for pairs with a rank correlation above zero, which small tables have too."""
+    return cross_pair_features(spark, d, 1e-9)
 
 
 def node_features(spark: SparkSession, d: str) -> DataFrame:
@@ -501,4 +501,4 @@ bo AS (SELECT w.wallet, avg((EXISTS (SELECT 1 FROM wp q JOIN trades t ON t.pair_
 SELECT np.wallet, CAST(pairs AS INT) AS pairs, cluster, synchrony, round(o, 9) AS burst_overlap, round(CAST(ov.v AS DOUBLE) / CAST(av.v AS DOUBLE), 9) AS volume_share
 FROM np JOIN sy USING (wallet) JOIN cl USING (wallet) JOIN ov USING (wallet) JOIN av USING (wallet) JOIN bo USING (wallet)""",
 }
-ORACLE["cross_pair_features_wide"] = ORACLE["cross_pair_features"].replace("r >= 0.75", "r >= 0.2")
+ORACLE["cross_pair_features_wide"] = ORACLE["cross_pair_features"].replace("r >= 0.75", "r >= 1e-9")

@@ -262,7 +262,7 @@ def bridge_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def bridge_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Ordered round trips per EVM wallet: out, then back within 24 h with at least 95 % of the amount; scored."""
-    t = transfers(spark, d).filter("usd > 0")
+    t = _moved(spark, d).filter("usd > 0")
     out = t.filter("direction = 'stellar_to_evm'").select("evm", F.col("ts").alias("t0"), F.col("usd").alias("u0"))
     back = t.filter("direction = 'evm_to_stellar'").select("evm", F.col("ts").alias("t1"), F.col("usd").alias("u1"))
     r = F.least("u0", "u1") / F.greatest("u0", "u1")
@@ -274,9 +274,28 @@ def bridge_correlation(spark: SparkSession, d: str) -> DataFrame:
     return agg.select("evm", "n", F.round(F.least(F.lit(1.0), F.col("best") + bonus), 8).alias("score"))
 
 
+#: Planted transfers that stand beside the given ones in the link queries, as a round trip is rare in small tables:
+#: transfer, id, direction, EVM wallet, account, USD, minutes after 2027-01-01.
+PLANTED = [
+    ("planted-1", -1, "stellar_to_evm", "0xplanted", "GPLANTED", 1000.0, 0), ("planted-2", -2, "evm_to_stellar", "0xplanted", "GPLANTED", 998.0, 3),
+    ("planted-3", -3, "stellar_to_evm", "0xplanted", "GPLANTED", 500.0, 600), ("planted-4", -4, "evm_to_stellar", "0xplanted", "GPLANTED", 499.0, 640),
+    ("planted-5", -5, "stellar_to_evm", "0xother", "GPLANTED", 70.0, 900), ("planted-6", -6, "evm_to_stellar", "0xother", "GPLANTED", 10.0, 2000),
+]
+_PLANTED_SQL = f"""{TRANSFERS_SQL}, moved AS (SELECT transfer_id, id, direction, evm, wallet, usd, ts FROM transfers UNION ALL
+SELECT t, i, d, e, w, u::DOUBLE, TIMESTAMP '2027-01-01' + to_minutes(m) FROM (VALUES {', '.join(map(str, PLANTED))}) v(t, i, d, e, w, u, m))"""
+
+
+def _moved(spark: SparkSession, d: str) -> DataFrame:
+    """Transfers with the planted ones."""
+    p = spark.createDataFrame(PLANTED, "transfer_id string, id long, direction string, evm string, wallet string, usd double, m int")
+    p = p.withColumn("ts", F.timestamp_add("MINUTE", F.col("m"), F.lit("2027-01-01 00:00:00").cast("timestamp_ntz")))
+    names = ["transfer_id", "id", "direction", "evm", "wallet", "usd", "ts"]
+    return transfers(spark, d).select(*names).unionByName(p.select(*names))
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
     """Transfers between an account and an EVM wallet, reported once, with both ends known."""
-    return transfers(spark, d).filter("wallet IS NOT NULL AND evm IS NOT NULL")
+    return _moved(spark, d).filter("wallet IS NOT NULL AND evm IS NOT NULL")
 
 
 def opposite_transfers(spark: SparkSession, d: str) -> DataFrame:
@@ -568,7 +587,7 @@ QUERIES = {
 
 _B = r"E' \t\n\r\f'"
 _AMT = f"CASE WHEN regexp_matches(trim(base_amount, {_B}), '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(trim(base_amount, {_B}) AS DECIMAL(38,18)) END"
-_LINK = f"""WITH {TRANSFERS_SQL}, l AS (SELECT * FROM transfers WHERE wallet IS NOT NULL AND evm IS NOT NULL),
+_LINK = f"""WITH {_PLANTED_SQL}, l AS (SELECT * FROM moved WHERE wallet IS NOT NULL AND evm IS NOT NULL),
 pr AS (SELECT a.wallet, a.evm, min(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6) AS gap, bool_or(a.usd > 0 AND b.usd > 0 AND abs(a.usd - b.usd) / a.usd <= 0.005) AS same
   FROM l a JOIN l b ON a.wallet = b.wallet AND a.evm = b.evm AND a.id < b.id AND a.direction <> b.direction GROUP BY ALL),
 tr AS (SELECT wallet, evm, (direction <> lag(direction) OVER (PARTITION BY wallet, evm ORDER BY ts, id))::INT AS turn FROM l),
@@ -633,12 +652,12 @@ AND b.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE GROUP B
 AND b.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE))::INT), 9) AS overlap FROM wrows a GROUP BY 1""",
     "bridge_round_trip": f"""WITH {TRANSFERS_SQL} SELECT evm, count(*) AS n, round(avg((EXISTS (SELECT 1 FROM transfers b WHERE b.direction = 'stellar_to_evm' AND b.evm = a.evm
 AND b.ts BETWEEN a.ts - INTERVAL 24 HOUR AND a.ts + INTERVAL 24 HOUR))::INT), 9) AS frequency FROM transfers a WHERE direction = 'evm_to_stellar' GROUP BY 1""",
-    "bridge_correlation": f"""WITH {TRANSFERS_SQL}, m AS (SELECT a.evm, least(a.usd, b.usd) / greatest(a.usd, b.usd) AS r, (epoch_us(b.ts) - epoch_us(a.ts)) / 86400e6 AS gap
-FROM transfers a JOIN transfers b ON a.evm = b.evm AND a.direction = 'stellar_to_evm' AND b.direction = 'evm_to_stellar' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR
+    "bridge_correlation": f"""WITH {_PLANTED_SQL}, m AS (SELECT a.evm, least(a.usd, b.usd) / greatest(a.usd, b.usd) AS r, (epoch_us(b.ts) - epoch_us(a.ts)) / 86400e6 AS gap
+FROM moved a JOIN moved b ON a.evm = b.evm AND a.direction = 'stellar_to_evm' AND b.direction = 'evm_to_stellar' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR
 WHERE a.usd > 0 AND b.usd > 0),
 g AS (SELECT evm, max(0.5*r + 0.3*(1 - gap) + 0.1) AS best, count(*) AS n FROM m WHERE r >= 0.95 GROUP BY 1)
 SELECT evm, n, round(least(1.0, best + least(0.3, 0.05*(n - 1))), 8) AS score FROM g""",
-    "opposite_transfers": f"""WITH {TRANSFERS_SQL}, l AS (SELECT * FROM transfers WHERE wallet IS NOT NULL AND evm IS NOT NULL)
+    "opposite_transfers": f"""WITH {_PLANTED_SQL}, l AS (SELECT * FROM moved WHERE wallet IS NOT NULL AND evm IS NOT NULL)
 SELECT a.wallet, a.evm, count(*) AS pairs, count(*) FILTER (a.usd > 0 AND b.usd > 0) AS amount_pairs, min(abs(epoch_us(b.ts) - epoch_us(a.ts)) / 1e6) AS least_gap_s
 FROM l a JOIN l b ON a.wallet = b.wallet AND a.evm = b.evm AND a.direction = 'stellar_to_evm' AND b.direction <> a.direction GROUP BY 1, 2""",
     "wallet_link_score": f"{_LINK} SELECT * FROM link",

@@ -74,7 +74,7 @@ def _wallet_stream(spark: SparkSession, d: str) -> DataFrame:
 def stream_wallet_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 1 h to 30 d per wallet after a stream of four batches: trades, volume, share with oneself, digit deviation."""
     last = last_per_wallet(drain(wallet_windows(_wallet_stream(spark, d)), "stream-windows"))
-    return last.select("wallet", "seen", "newest_minute", *[F.round(f"{c}_{w}", 6).alias(f"{c}_{w}") if c != "n" else F.col(f"n_{w}") for w in WINDOWS for c in ("n", "volume", "self", "mad")])
+    return last.select("wallet", "seen", "newest_minute", *[F.round(f"{c}_{w}", 6).alias(f"{c}_{w}") if c in ("self", "mad") else F.col(f"{c}_{w}") for w in WINDOWS for c in ("n", "volume", "self", "mad")])
 
 
 def stream_trades_with_features(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +128,6 @@ f AS (SELECT wallet, k, score AS last, 1 AS emitted FROM s WHERE k = 1
 SELECT wallet, CAST(max(emitted) AS BIGINT) AS emitted FROM f GROUP BY 1""",
     "stream_wallet_windows": f"""WITH {WALLET_SQL}, r AS (SELECT wallet, epoch_us(ts) // 60000000 AS m, CAST(round(amount * 1e7) AS BIGINT) AS u, coalesce(base = counter, FALSE)::INT AS same, CASE WHEN amount > 0 THEN CAST(nullif(regexp_extract(CAST(amount AS VARCHAR), '[1-9]'), '') AS INT) END AS dg FROM wrows),
 n AS (SELECT *, max(m) OVER (PARTITION BY wallet) AS hi FROM r)
-SELECT wallet, count(*) AS seen, max(hi) AS newest_minute, {', '.join(f"count(*) FILTER (m > hi - {k}) AS n_{w}, round(CAST(sum(u) FILTER (m > hi - {k}) AS DOUBLE) / 1e7, 6) AS volume_{w}, round(avg(same) FILTER (m > hi - {k}), 6) AS self_{w}, round(({' + '.join(f'abs(count(*) FILTER (m > hi - {k} AND dg = {g}) / count(dg) FILTER (m > hi - {k}) - {EXPECTED[g - 1]!r})' for g in range(1, 10))}) / 9, 6) AS mad_{w}" for w, k in WINDOWS.items())}
+SELECT wallet, count(*) AS seen, max(hi) AS newest_minute, {', '.join(f"count(*) FILTER (m > hi - {k}) AS n_{w}, CAST(sum(u) FILTER (m > hi - {k}) AS DOUBLE) / 1e7 AS volume_{w}, round(avg(same) FILTER (m > hi - {k}), 6) AS self_{w}, round(({' + '.join(f'abs(count(*) FILTER (m > hi - {k} AND dg = {g}) / count(dg) FILTER (m > hi - {k}) - {EXPECTED[g - 1]!r})' for g in range(1, 10))}) / 9, 6) AS mad_{w}" for w, k in WINDOWS.items())}
 FROM n GROUP BY 1""",
 }
