@@ -262,11 +262,6 @@ def coordination(rows: DataFrame, keys: list[str]) -> DataFrame:
     return agg.select(*keys, "members", F.greatest(8 * (total - k) / 2, F.lit(0.0)).alias("statistic"), (k * (k - 1) / 2).cast("long").alias("freedom"))
 
 
-@F.pandas_udf("double")
-def _upper_tail(x: pd.Series, freedom: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(float(a), int(f)) if f else 1.0 for a, f in zip(x, freedom)])
-
-
 def benford_copula(spark: SparkSession, d: str) -> DataFrame:
     """Coordination of the digit deviations of all pairs with at least 30 digits."""
     h = _histogram(trades(spark, d), "pair_key").filter(F.col("n") >= MIN_STRATUM).select(*_scores())
@@ -279,11 +274,15 @@ def benford_multivariate(spark: SparkSession, d: str) -> DataFrame:
 
     Wallets with a single pair have p = 1 and statistic 0.
     """
+    @F.pandas_udf("double")
+    def upper_tail(x: pd.Series, freedom: pd.Series) -> pd.Series:
+        return pd.Series([chi2_sf(float(a), int(f)) if f else 1.0 for a, f in zip(x, freedom)])
+
     h = _histogram(wallet_rows(spark, d), "wallet", "pair_key").filter("n > 0")
     c = coordination(h.select("wallet", *_scores()), ["wallet"])
     per = h.groupBy("wallet").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(1, 10)]).withColumn("n", _n())
     e = per.select("wallet", F.round(b.entropy(b.counts(), F.col("n")) - b.EXPECTED_ENTROPY, 8).alias("entropy_delta"))
-    return c.join(e, "wallet").select("wallet", "members", F.round("statistic", 5).alias("statistic"), "entropy_delta", _upper_tail("statistic", "freedom").alias("p"))
+    return c.join(e, "wallet").select("wallet", "members", F.round("statistic", 5).alias("statistic"), "entropy_delta", upper_tail("statistic", "freedom").alias("p"))
 
 
 def benford_multivariate_statistic(spark: SparkSession, d: str) -> DataFrame:

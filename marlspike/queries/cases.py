@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspike.functions import benford as b
@@ -18,7 +18,10 @@ from marlspike.sources.plugins import FolderBus
 from marlspike.sources.stores import archive, export_partitions, labelled_csv, read_tier
 from marlspike.sources.tables import table
 
-_NOW = F.lit(AS_OF).cast("timestamp_ntz")
+def _now() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
 _S = "s AS (SELECT * FROM risk_scores WHERE wallet IS NOT NULL AND asset_pair IS NOT NULL AND score BETWEEN 0 AND 100 AND timestamp IS NOT NULL)"
 
 
@@ -41,7 +44,7 @@ def optional(rows: DataFrame, equal: dict | None = None, at_least: dict | None =
 def expired_locks(spark: SparkSession, d: str) -> DataFrame:
     """The case table after expired locks were released: rows and releases per status."""
     c = assignments(spark, d)
-    stale = (F.col("status") == "assigned") & (F.col("lock_expires_at") <= _NOW)
+    stale = (F.col("status") == "assigned") & (F.col("lock_expires_at") <= _now())
     after = c.select("*", F.coalesce(stale, F.lit(False)).alias("hit")).withColumn("status", F.when(F.col("hit"), "released").otherwise(F.col("status")))
     return after.groupBy("status").agg(F.count(F.lit(1)).alias("cases"), F.count_if("hit").alias("changed"))
 
@@ -54,7 +57,7 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     (assigned_at, id) is heard first.
     """
     c = assignments(spark, d).filter("status = 'assigned' AND asset_pair IS NOT NULL")
-    live = c.filter(F.col("lock_expires_at") > _NOW).groupBy("wallet", "asset_pair").agg(F.min_by("analyst", F.struct("assigned_at", "id")).alias("holder"))
+    live = c.filter(F.col("lock_expires_at") > _now()).groupBy("wallet", "asset_pair").agg(F.min_by("analyst", F.struct("assigned_at", "id")).alias("holder"))
     first = c.groupBy("wallet", "asset_pair").agg(F.min(F.struct("assigned_at", "id")).alias("first"))
     x = c.join(live, ["wallet", "asset_pair"], "left").join(first, ["wallet", "asset_pair"])
     outcome = F.when(F.col("holder") == F.col("analyst"), "renewed").when(F.col("holder").isNotNull(), "refused").when(F.struct("assigned_at", "id") == F.col("first"), "taken").otherwise("refused")
@@ -64,13 +67,13 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
 def case_stats(spark: SparkSession, d: str) -> DataFrame:
     """One row: mean seconds to resolution, cases held, latest scores without label or holder, locks that ran out."""
     c = assignments(spark, d)
-    held = c.filter((F.col("status") == "assigned") & (F.col("lock_expires_at") > _NOW))
+    held = c.filter((F.col("status") == "assigned") & (F.col("lock_expires_at") > _now()))
     taken = F.timestamp_diff("MICROSECOND", F.col("assigned_at"), F.col("resolved_at")) / F.lit(1e6)
     one = c.agg(
-        F.round(F.avg(taken), 1).alias("mean_resolution_s"), F.count_if((F.col("status") == "assigned") & (F.col("lock_expires_at") > _NOW)).alias("assigned"),
-        F.count_if((F.col("status") == "assigned") & (F.col("lock_expires_at") <= _NOW)).alias("expired"),
+        F.round(F.avg(taken), 1).alias("mean_resolution_s"), F.count_if((F.col("status") == "assigned") & (F.col("lock_expires_at") > _now())).alias("assigned"),
+        F.count_if((F.col("status") == "assigned") & (F.col("lock_expires_at") <= _now())).alias("expired"),
     )
-    recent = table(spark, d, "label_feedback").filter(F.col("confirmed_at") >= _NOW - F.expr("INTERVAL 7 DAYS"))
+    recent = table(spark, d, "label_feedback").filter(F.col("confirmed_at") >= _now() - F.expr("INTERVAL 7 DAYS"))
     last = _scores(spark, d).select("wallet", "asset_pair").distinct()
     free = last.join(recent, ["wallet", "asset_pair"], "left_anti").join(held, ["wallet", "asset_pair"], "left_anti").agg(F.count(F.lit(1)).alias("unassigned"))
     return one.join(F.broadcast(free))  # both are one row
@@ -79,10 +82,10 @@ def case_stats(spark: SparkSession, d: str) -> DataFrame:
 def analyst_month(spark: SparkSession, d: str) -> DataFrame:
     """One row over all analysts: labels of the clock's last day, share of label 0 and mean seconds to resolution of the last 30 days."""
     f = table(spark, d, "label_feedback").select("true_label", "confirmed_at", "ensemble_score")
-    month = F.col("confirmed_at") >= _NOW - F.expr("INTERVAL 30 DAYS")
+    month = F.col("confirmed_at") >= _now() - F.expr("INTERVAL 30 DAYS")
     valid = F.coalesce(F.col("true_label").isin(0, 1), F.lit(False))
     return f.agg(
-        F.count_if(F.col("confirmed_at") >= _NOW - F.expr("INTERVAL 1 DAY")).alias("today"),
+        F.count_if(F.col("confirmed_at") >= _now() - F.expr("INTERVAL 1 DAY")).alias("today"),
         F.round(ratio(F.count_if(month & valid & (F.col("true_label") == 0)), F.count_if(month & valid)), 4).alias("clean_rate"),
         F.round(F.avg(F.when(month & valid, F.col("ensemble_score") * 60.0)), 1).alias("mean_review_s"),
     )
@@ -120,7 +123,7 @@ def score_replay(spark: SparkSession, d: str) -> DataFrame:
 
 def feedback_range(spark: SparkSession, d: str) -> DataFrame:
     """Labels of the last 60 days per model verdict, confirmed ones apart."""
-    f = optional(_feedback(spark, d), at_least={"at": _NOW - F.expr("INTERVAL 60 DAYS")})
+    f = optional(_feedback(spark, d), at_least={"at": _now() - F.expr("INTERVAL 60 DAYS")})
     return f.groupBy("y", (F.col("ens") >= 50).alias("predicted")).agg(F.count(F.lit(1)).alias("labels"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
@@ -227,8 +230,8 @@ def privacy_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def sar_context(spark: SparkSession, d: str) -> DataFrame:
     """Per wallet what a report names for the last 60 days: multi-hop and pool trades, volume, counterparties, digit chi-square and p."""
-    since = _NOW - F.expr("INTERVAL 60 DAYS")
-    t = trades(spark, d).filter((F.col("ts") >= since) & (F.col("ts") <= _NOW))
+    since = _now() - F.expr("INTERVAL 60 DAYS")
+    t = trades(spark, d).filter((F.col("ts") >= since) & (F.col("ts") <= _now()))
     many = t.groupBy("op").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 AND op IS NOT NULL").select("op")
     paths = t.join(many, "op", "left_semi").filter("pool IS NULL")
     sides = F.array_distinct(F.array_compact(F.array("base", "counter")))
