@@ -812,6 +812,20 @@ _E50 = "(y <> (ens >= 50)::INT)::INT"
 _LAW = [math.log10(1 + 1 / k) for k in range(1, 10)]
 _DIGIT = "CASE WHEN amount > 0 THEN CAST(nullif(regexp_extract(CAST(amount AS VARCHAR), '[1-9]'), '') AS INT) END"
 
+def _given(a: str, z: str, c: str) -> str:
+    """Partial correlation of two names given a third, as SQL over columns r_a_b."""
+    return f"(({_r(a, z)}) - ({_r(a, c)}) * ({_r(z, c)})) / sqrt((1 - pow({_r(a, c)}, 2)) * (1 - pow({_r(z, c)}, 2)))"
+
+
+def _r(a: str, z: str) -> str:
+    return "r_" + "_".join(sorted((a, z)))
+
+
+def _given_two(a: str, c: str, e: str) -> str:
+    x, y, z = _given("y", a, c), _given("y", e, c), _given(a, e, c)
+    return f"(({x}) - ({y}) * ({z})) / sqrt((1 - pow({y}, 2)) * (1 - pow({z}, 2)))"
+
+
 ORACLE = {
     "risk_score_blend": f"""WITH {WALLET_SQL}, {_F}, g AS (SELECT wallet, {_DIGIT} AS dg FROM wrows),
 m AS (SELECT wallet, round(({' + '.join(f'abs(count(*) FILTER (dg = {k}) / count(dg) - {_LAW[k-1]!r})' for k in range(1, 10))}) / 9, 9) AS mad FROM g GROUP BY 1),
@@ -929,4 +943,12 @@ f AS (SELECT wallet, k, score AS last, score >= 80 AS live, 0 AS below, (score >
     opened + (NOT live AND s.score >= 80)::INT, escalated + (live AND s.score >= 80 AND s.score > last + 10)::INT, resolved + (live AND s.score < 80 AND below >= 2)::INT
   FROM f JOIN s ON s.wallet = f.wallet AND s.k = f.k + 1)
 SELECT wallet, live AS open, opened, escalated, resolved FROM f WHERE (wallet, k) IN (SELECT wallet, max(k) FROM s GROUP BY 1)""",
+    "partial_correlations": f"""WITH {_F}, f AS (SELECT * FROM fb WHERE rf IS NOT NULL AND xg IS NOT NULL AND lg IS NOT NULL),
+c AS (SELECT count(*) AS n, {', '.join(f"corr({a}, {z}) AS {_r(a, z)}" for a, z in (('y', 'rf'), ('y', 'xg'), ('y', 'lg'), ('rf', 'xg'), ('rf', 'lg'), ('xg', 'lg')))} FROM f),
+p AS ({' UNION ALL '.join(f"SELECT '{a}' AS model, n, {_given_two(a, x, e)} AS p FROM c" for a, x, e in (('rf', 'xg', 'lg'), ('xg', 'rf', 'lg'), ('lg', 'rf', 'xg')))})
+SELECT model, round(p, 8) AS partial, abs(0.5 * ln((1 + p) / (1 - p)) * sqrt(n - 5)) > 2.5758 AS dependent FROM p""",
+    "weight_share_cap": f"""WITH {_F}, w AS (SELECT analyst, count(*)::DOUBLE AS w FROM fb GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY w DESC, analyst) AS k FROM w),
+c AS (SELECT k0, (1 - k0 * 0.08::DOUBLE) / (SELECT sum(w) FROM r WHERE k > k0) AS lam FROM (SELECT unnest(generate_series(0, (SELECT count(*) FROM r) - 1)) AS k0)),
+v AS (SELECT k0, lam FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k > c.k0 AND r.w * lam > 0.08 + 1e-12) ORDER BY k0 LIMIT 1)
+SELECT analyst, round(CASE WHEN k <= k0 THEN 0.08 ELSE w * lam END, 9) AS share FROM r, v""",
 }

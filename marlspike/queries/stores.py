@@ -336,4 +336,5 @@ SELECT t.model AS model, count(*) AS rows, round(avg(t.size), 7) AS mean_size FR
 n AS (SELECT wallet, sum(b) OVER (PARTITION BY wallet ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), s AS (SELECT wallet, k, count(*) AS n FROM n GROUP BY ALL) SELECT wallet, count(*) AS sessions, max(n) AS longest FROM s GROUP BY 1""",
     "revenue_by_region": """SELECT r_name, c_mktsegment, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(38,8))) AS DOUBLE) AS revenue, count(*) AS lines
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",
+    "approx_wallets": f"WITH {WALLET_SQL} SELECT count(DISTINCT pair_key) AS pairs, 0::BIGINT AS far_off FROM wrows",
 }

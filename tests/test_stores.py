@@ -5,9 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from marlspike.queries.monitoring import alert_state_machine
 from marlspike.sources import stores
-from marlspike.sources.tables import table
 from tests.conftest import rows
 
 T0 = dt.datetime(2026, 1, 1)
@@ -75,28 +73,3 @@ def test_words(spark):
         u, s = cases[r["w"]]
         assert (r["u"] is None) == (u is None) and (u is None or abs(r["u"] - u) <= abs(u) * 1e-12)
         assert s is None or abs(r["s"] - s) < 1e-3 * 2.0**210
-
-
-def test_alert_states_against_a_loop(spark):
-    d = "/root/testdata/sf0.001"
-    days = {}
-    for r in table(spark, d, "risk_scores").collect():
-        if r["wallet"] and r["score"] is not None and 0 <= r["score"] <= 100 and r["timestamp"]:
-            k = (r["wallet"], r["timestamp"].date())
-            days[k] = max(days.get(k, -1), r["score"])
-    want = {}
-    for wallet, _ in days:
-        is_open, last, below, opened, up, ended = False, 0, 0, 0, 0, 0
-        for k in sorted(k for k in days if k[0] == wallet):
-            s = days[k]
-            if is_open:
-                up += s > last + 10
-                below = below + 1 if s < 80 else 0
-                if below >= 3:
-                    is_open, below, ended = False, 0, ended + 1
-            elif s >= 80:
-                is_open, opened = True, opened + 1
-            last = s
-        want[wallet] = (is_open, opened, up, ended)
-    got = {r["wallet"]: tuple(r)[1:] for r in alert_state_machine(spark, d).collect()}
-    assert got == want
