@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlspike.session import durable
+
 
 def key_states(
     rows: DataFrame, keys: list[str], sums: dict[str, Column] | None = None, weight: str | None = None
@@ -89,7 +91,8 @@ def heavy_keys(rows: DataFrame, group: str, key: str, share: float) -> DataFrame
     the right, both rolled up from one pass over the rows. ``group`` tells apart
     a handful of inputs (tables), so the right side has a handful of rows.
     """
-    states = key_states(rows, [group, key])
+    # read by both sides: one row per key, so the rows themselves are read once
+    states = durable(key_states(rows, [group, key]), "states")
     joined = eager_join_totals(states, states, [group], by=[key], weight="n")
     return joined.filter(
         F.col(key).isNotNull() & (F.col("left_rows") >= F.lit(share) * F.col("right_rows"))
