@@ -81,7 +81,7 @@ def _fractional(
     weights bound the LP from below by their sum over the items per worth of the
     best pattern; this is evaluated without a grid ``bounds`` times.
     """
-    grid = max(1, capacity // 1024)
+    grid = max(1, capacity // 512)
     weight = sizes / (counts * sizes).sum()
     use: dict[bytes, float] = {}
     covered, bound = np.zeros(len(sizes)), float((counts * sizes).sum()) / capacity
@@ -139,7 +139,8 @@ def plan_patterns(
     least once, as far as the items left allow; the gap that is left in a pattern
     takes the largest items still to be had. After ``part`` of the LP's
     containers the residual LP is solved anew, so that what is left stays in the
-    proportions that fill containers. Patterns must be full at first; once a
+    proportions that fill containers, until three items in a hundred are left.
+    Patterns must be full at first; once a
     pass places next to nothing, up to 1 % of a container may stay empty, and
     more only while over a tenth of the items is left (sizes that fit together
     badly). What is left then is filled greedily. The greedy
@@ -153,7 +154,7 @@ def plan_patterns(
     left, plans, slack, bound = counts.copy(), [], 0.0, 0.0
     for turn in range(60):
         live = left > 0
-        if not live.any():
+        if left.sum() <= 0.03 * counts.sum():
             break
         amounts, lower = _fractional(sizes[live], left[live], capacity, rounds, many, step, bounds=0 if turn else 5)
         bound = bound or lower
