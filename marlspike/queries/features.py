@@ -253,13 +253,8 @@ def burst_synchrony(spark: SparkSession, d: str) -> DataFrame:
     return x.select("p1", "p2", F.round(r, 6).alias("synchrony"))
 
 
-def evasion_parts(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
-    """Ordered signals of each wallet in one pass over its trades with their neighbours: regularity, rotation, decoys, jitter, gap variation, round trips.
-
-    Each is 0 where a wallet has too few trades for it. Jitter is the lag-1
-    autocorrelation of the gaps' differences mapped to 0..1.
-    """
-    rows = _rows(spark, d, rows)
+def _ordered_signals(rows: DataFrame) -> DataFrame:
+    """The signals of ``evasion_parts`` that need a wallet's trades in order, with their number."""
     side = F.col("base") == F.col("wallet")
     legs = rows.select(
         "wallet", "ts", "trade_id", "amount", F.when(side, F.col("base_code")).otherwise(F.col("counter_code")).alias("gave"), F.when(side, F.col("counter_code")).otherwise(F.col("base_code")).alias("got"),
@@ -277,15 +272,27 @@ def evasion_parts(spark: SparkSession, d: str, rows: DataFrame | None = None) ->
         safe_corr(F.when(near, F.col("gap")), F.when(near, F.col("before"))).alias("r"), safe_corr(F.when(far, F.col("jump")), F.when(far, F.col("jump_before"))).alias("j"),
         F.count_if(decoy).alias("decoy"), F.avg(F.col("undone").cast("double")).alias("undone"),
     )
-    turn = rows.groupBy("wallet", "cp").agg(F.count(F.lit(1)).alias("c")).groupBy("wallet").agg((F.count("cp") / F.sum("c")).alias("rotation"))
     n, half = F.col("n"), lambda r: clip((F.coalesce(r, F.lit(0.0)) + 1) / 2, 0.0, 1.0)
-    return agg.join(turn, "wallet").select(
-        "wallet", F.round(F.when(n < 4, 0.0).when(F.col("sd") <= 1e-12, 1.0).otherwise(half(F.col("r"))), 6).alias("regularity"), F.round(F.when(n < 2, 0.0).otherwise(F.col("rotation")), 9).alias("rotation"),
+    return agg.select(
+        "wallet", "n", F.round(F.when(n < 4, 0.0).when(F.col("sd") <= 1e-12, 1.0).otherwise(half(F.col("r"))), 6).alias("regularity"),
         F.round(F.when(n < 4, 0.0).otherwise(F.col("decoy") / (n - 1)), 9).alias("decoys"), F.round(F.when((n < 5) | (F.col("jsd") <= 1e-12) | F.col("j").isNull(), 0.0).otherwise(half(F.col("j"))), 6).alias("jitter"),
         F.round(F.when(F.col("k") < 2, 1.0).otherwise(F.col("sd") / (F.col("m") + 1e-9)), 6).alias("gap_variation"), F.round(F.when(n < 2, 0.0).otherwise(F.col("undone")), 9).alias("round_trips"),
     )
 
 
+def evasion_parts(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """Ordered signals of each wallet in one pass over its trades with their neighbours: regularity, rotation, decoys, jitter, gap variation, round trips.
+
+    Each is 0 where a wallet has too few trades for it. Jitter is the lag-1
+    autocorrelation of the gaps' differences mapped to 0..1.
+    """
+    rows = _rows(spark, d, rows)
+    turn = rows.groupBy("wallet", "cp").agg(F.count(F.lit(1)).alias("c")).groupBy("wallet").agg((F.count("cp") / F.sum("c")).alias("rotation"))
+    return _ordered_signals(rows).join(turn, "wallet").select(
+        "wallet", "regularity", F.round(F.when(F.col("n") < 2, 0.0).otherwise(F.col("rotation")), 9).alias("rotation"), "decoys", "jitter", "gap_variation", "round_trips"
+    )
+
+
 #: Weights of the evasion signals.
 EVASION = {"conformity": 0.20, "regularity": 0.25, "rotation": 0.20, "decoys": 0.15, "jitter": 0.20}
 
@@ -369,10 +376,10 @@ def feature_vector(spark: SparkSession, d: str) -> DataFrame:
     core = core.join(known, "wallet", "left").join(F.broadcast(accounts)).select(
         "wallet", "trades", "volume", "counterparties", F.round(F.col("same") / n, 9).alias("self_matching"), F.round(F.col("off") / n, 9).alias("off_hours"), F.round(F.col("pooled") / n, 9).alias("pool_share"),
         F.round(ratio(F.col("top"), F.col("volume")), 7).alias("concentration"), F.round(ratio(F.col("volume"), F.col("counterparties")), 4).alias("volume_per_counterparty"),
-        F.round(ratio(F.col("others"), F.col("accounts") - 1), 9).alias("centrality"), F.round(ratio(F.col("pv"), F.col("volume")), 7).alias("pool_ratio"),
+        F.round(ratio(F.col("others"), F.col("accounts") - 1), 9).alias("centrality"), F.round(ratio(F.col("pv"), F.col("volume")), 7).alias("pool_ratio"), F.round(F.when(n < 2, 0.0).otherwise(F.col("counterparties") / n), 9).alias("rotation"),
         F.round(F.coalesce(F.greatest(_seconds(F.col("last"), F.col("created_at")) / 86400, F.lit(0.0)), F.lit(0.0)), 7).alias("age_days"), *[x for w in windows for x in stats(w)],
     )
-    return core.join(dense, "wallet", "left").join(evasion_parts(spark, d, rows), "wallet", "left").fillna(0.0)
+    return core.join(dense, "wallet", "left").join(_ordered_signals(rows).drop("n"), "wallet", "left").fillna(0.0)
 
 
 def consistency_rules(spark: SparkSession, d: str) -> DataFrame:
