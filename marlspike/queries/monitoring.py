@@ -57,12 +57,12 @@ def volume_matrix(spark: SparkSession, d: str) -> DataFrame:
     return m.select("slice", *[F.round(k, 4).alias(k) for k in kinds])
 
 
-def spearman_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Rank correlation (average ranks) of daily volumes of pairs with at least 10 active days; days without trades count as zero.
+def daily_ranks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Daily volumes of pairs with at least 10 active days as ranks: pair_key, day, n, all, e; and pair_key, n, all, s.
 
-    ``days``: days on which both are active. A pair's zeros share one rank, so with
-    ranks taken relative to it only common active days add to a product sum; the
-    rest is in closed form. All sums are of halves and exact.
+    ``e``: rank of an active day above that of the pair's days without trades;
+    ``n`` and ``all`` count the active days and the calendar's; ``s`` is ``all``
+    times the ranks' variance.
     """
     daily = trades(spark, d).groupBy("pair_key", F.to_date("ts").alias("day")).agg(F.round(F.sum("amount"), 6).alias("v"))
     daily = durable(daily, "daily-volumes")
@@ -73,13 +73,39 @@ def spearman_pairs(spark: SparkSession, d: str) -> DataFrame:
     ranked = active.join(F.broadcast(calendar)).withColumn("r", F.rank().over(by.orderBy("v")) + (F.count(F.lit(1)).over(Window.partitionBy("pair_key", "v")) - 1) / 2)
     e = durable(ranked.select("pair_key", "day", "n", "all", (F.col("r") + (F.col("all") - F.col("n") - 1) / 2).alias("e")), "daily-ranks")
     per = e.groupBy("pair_key").agg(F.max("n").alias("n"), F.max("all").alias("all"), (F.sum(F.col("e") * F.col("e")) - F.max("all") * F.max("n") * F.max("n") / 4).alias("s"))
+    return e, per
+
+
+def _rank_r() -> Column:
+    """Rank correlation of n, s and n_b, s_b with the product sum ab of common days."""
+    cov = F.coalesce("ab", F.lit(0.0)) - F.col("all") * F.col("n") * F.col("n_b") / 4
+    return F.round(F.when((F.col("s") > 0) & (F.col("s_b") > 0), cov / F.sqrt(F.col("s") * F.col("s_b"))), 6)
+
+
+def spearman_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation (average ranks) of daily volumes of pairs with at least 10 active days; days without trades count as zero.
+
+    ``days``: days on which both are active. A pair's zeros share one rank, so with
+    ranks taken relative to it only common active days add to a product sum; the
+    rest is in closed form. All sums are of halves and exact.
+    """
+    e, per = daily_ranks(spark, d)
     # one row per pair and day: at most the calendar's days per pair
     common = e.select("pair_key", "day", F.col("e").alias("ea")).join(e.select(F.col("pair_key").alias("other"), "day", F.col("e").alias("eb")), "day").filter("pair_key < other")
     sums = common.groupBy("pair_key", "other").agg(F.sum(F.col("ea") * F.col("eb")).alias("ab"), F.count(F.lit(1)).alias("days"))
     every = per.join(per.select(F.col("pair_key").alias("other"), F.col("n").alias("n_b"), F.col("s").alias("s_b")), F.col("pair_key") < F.col("other"))
-    cov = F.coalesce("ab", F.lit(0.0)) - F.col("all") * F.col("n") * F.col("n_b") / 4
-    r = F.when((F.col("s") > 0) & (F.col("s_b") > 0), cov / F.sqrt(F.col("s") * F.col("s_b")))
-    return every.join(sums, ["pair_key", "other"], "left").select("pair_key", "other", F.coalesce("days", F.lit(0)).alias("days"), F.round(r, 6).alias("r"))
+    return every.join(sums, ["pair_key", "other"], "left").select("pair_key", "other", F.coalesce("days", F.lit(0)).alias("days"), _rank_r().alias("r"))
+
+
+def rank_correlations(pairs: DataFrame, e: DataFrame, per: DataFrame) -> DataFrame:
+    """(pair_key, other, r) as in ``spearman_pairs`` for the given pairs of pairs alone; the one with fewer days is looked up in the other."""
+    known = pairs.join(per, "pair_key").join(per.select(F.col("pair_key").alias("other"), F.col("n").alias("n_b"), F.col("s").alias("s_b")), "other")
+    less = F.col("n") <= F.col("n_b")
+    given = pairs.columns
+    sides = known.select(*given, F.when(less, F.col("pair_key")).otherwise(F.col("other")).alias("few"), F.when(less, F.col("other")).otherwise(F.col("pair_key")).alias("many"))
+    common = sides.join(e.select(F.col("pair_key").alias("few"), "day", F.col("e").alias("ea")), "few").join(e.select(F.col("pair_key").alias("many"), "day", F.col("e").alias("eb")), ["many", "day"])
+    sums = common.groupBy("pair_key", "other").agg(F.sum(F.col("ea") * F.col("eb")).alias("ab"))
+    return known.join(sums, ["pair_key", "other"], "left").select("pair_key", "other", _rank_r().alias("r"))
 
 
 def shared_wallets(spark: SparkSession, d: str) -> DataFrame:

@@ -14,12 +14,12 @@ from marlspike.functions.cells import micros
 from marlspike.functions.stats import exact_sum, ratio
 from marlspike.operators.graph import strong_components, trade_edges, wash_rings, weak_components
 from marlspike.operators.neighbours import with_neighbours
-from marlspike.operators.rangejoin import band_join
+from marlspike.operators.pairsets import PART, SLOT, best_rank_correlation, near_other_pairs
 from marlspike.queries.features import hhi_concentration, pool_round_trip
 from marlspike.queries.features import ORACLE as _FEATURE_SQL
 from marlspike.queries.graphs import _scc_sql
 from marlspike.queries.monitoring import ORACLE as _SERIES_SQL
-from marlspike.queries.monitoring import spearman_pairs
+from marlspike.queries.monitoring import daily_ranks, rank_correlations
 from marlspike.queries.views import TRADES_SQL, TRANSFERS_SQL, WALLET_SQL, trades, transfers, wallet_rows
 from marlspike.session import durable
 from marlspike.sources.plugins import node_table
@@ -319,30 +319,39 @@ def cross_pair_features(spark: SparkSession, d: str, least: float = 0.75) -> Dat
     Overlap: share of its trades in these pairs that have anybody's trade in
     another of them within ten minutes. Cluster: other such wallets with a common
     pair, counted over different sets of pairs, of which there are few.
+
+    Only pairs that a wallet trades within ten minutes are correlated, and of the
+    pairs of a wallet's set only the highest correlation is kept.
     """
-    size = 600_000_000
-    corr = durable(spearman_pairs(spark, d).filter(F.col("r") >= least).select("pair_key", "other", "r"), "correlated")
-    rows = wallet_rows(spark, d).select("wallet", "pair_key", "ts", "trade_id", "amount")
-    t = micros("ts")
-    slots = durable(rows.groupBy("wallet", "pair_key", F.floor(t / F.lit(size)).alias("slot")).agg(F.min(t).alias("lo"), F.max(t).alias("hi")), "wallet-slots")
-    far = slots.select("wallet", F.col("pair_key").alias("other"), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    met = slots.join(corr, "pair_key").join(far, ["wallet", "slot", "other"]).filter((F.col("lo_b") - F.col("hi") <= size) & (F.col("lo") - F.col("hi_b") <= size))
-    wp = durable(met.select("wallet", F.explode(F.array("pair_key", "other")).alias("pair_key")).distinct(), "wallet-pairs")
-    best = corr.join(wp, "pair_key").join(wp.toDF("wallet", "other"), ["wallet", "other"]).groupBy("wallet").agg(F.max("r").alias("synchrony"))
+    size, t = SLOT, micros("ts")
+    e, per = daily_ranks(spark, d)
+    # pairs with fewer days have no correlation
+    known = durable(per, "ranked-pairs")
+    live = trades(spark, d).join(known.select("pair_key"), "pair_key", "left_semi")
+    rows = live.select(F.explode(F.array_distinct(F.filter(F.array("base", "counter"), lambda x: x.isNotNull()))).alias("wallet"), "pair_key", t.alias("t"))
+    slot = F.floor(F.col("t") / F.lit(size)).cast("long")
+    # a day of slots, and the last one of the day before
+    parts = F.array_distinct(F.array(F.floor(F.col("slot") / F.lit(PART)), F.floor((F.col("slot") + 1) / F.lit(PART))))
+    cut = rows.withColumn("slot", slot).withColumn("part", F.explode(parts)).repartition("wallet", "part")
+    slots = cut.groupBy("wallet", "part", "pair_key", "slot").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    by = Window.partitionBy("wallet", "part").orderBy("slot").rangeBetween(-1, 0)
+    pairs = slots.withColumn("near", F.collect_list(F.struct("pair_key", "hi")).over(by)).select("wallet", "pair_key", "lo", F.explode("near").alias("o"))
+    pairs = pairs.filter((F.col("o.pair_key") != F.col("pair_key")) & (F.col("lo") - F.col("o.hi") <= size))
+    met = durable(pairs.select("wallet", F.least("pair_key", "o.pair_key").alias("pair_key"), F.greatest("pair_key", "o.pair_key").alias("other")).distinct(), "met-pairs")
+    corr = rank_correlations(met.select("pair_key", "other").distinct(), e, known).filter(F.col("r") >= least)
+    wp = durable(met.join(corr, ["pair_key", "other"]).select("wallet", F.explode(F.array("pair_key", "other")).alias("pair_key")).distinct(), "wallet-pairs")
+    best = best_rank_correlation(wp, e, known).select("wallet", F.round("r", 6).alias("synchrony"))
     volume = lambda r, keys: r.groupBy(*keys).agg(F.sum(F.col("amount").cast("decimal(38,8)")).alias("v"))
-    own = volume(rows.join(wp, ["wallet", "pair_key"]), ["wallet", "pair_key"])
+    mine = durable(wallet_rows(spark, d).select("wallet", "pair_key", "ts", "amount").join(wp, ["wallet", "pair_key"]), "rows-in-pairs")
+    own = volume(mine, ["wallet", "pair_key"])
     whole = volume(trades(spark, d), ["pair_key"]).withColumnRenamed("v", "all")
     share = own.join(whole, "pair_key").groupBy("wallet").agg(F.round(F.sum("v").cast("double") / F.sum("all").cast("double"), 9).alias("volume_share"))
     sets = wp.groupBy("wallet").agg(F.array_sort(F.collect_set("pair_key")).alias("pairs"))
-    groups = sets.groupBy("pairs").agg(F.count(F.lit(1)).alias("k"))
-    link = groups.select("pairs", F.explode("pairs").alias("pair_key")).join(groups.select(F.col("pairs").alias("near"), "k", F.explode("pairs").alias("pair_key")), "pair_key").select("pairs", "near", "k").distinct()
-    cluster = sets.join(link.groupBy("pairs").agg((F.sum("k") - 1).alias("cluster")), "pairs").select("wallet", F.size("pairs").alias("pairs"), "cluster")
-    mine = rows.join(wp, ["wallet", "pair_key"]).select("wallet", "pair_key", "ts", "trade_id")
-    others = mine.join(wp.toDF("wallet", "pair_b"), "wallet").filter("pair_key <> pair_b")
-    any_ = trades(spark, d).select(F.col("pair_key").alias("pair_b"), F.col("ts").alias("ts_b")).distinct()
-    burst = band_join(others, any_, ["pair_b"], "ts", "ts_b", 600, how="left_semi").select("wallet", "pair_key", "trade_id").distinct().groupBy("wallet").agg(F.count(F.lit(1)).alias("b"))
-    n = mine.groupBy("wallet").agg(F.count(F.lit(1)).alias("n"))
-    overlap = n.join(burst, "wallet", "left").select("wallet", F.round(F.coalesce("b", F.lit(0)) / F.col("n"), 9).alias("burst_overlap"))
+    groups = durable(sets.groupBy("pairs").agg(F.count(F.lit(1)).alias("k"), F.collect_list("wallet").alias("wallets")).withColumn("id", F.monotonically_increasing_id()), "pair-sets")
+    link = groups.select("id", F.explode("pairs").alias("pair_key")).join(groups.select(F.col("id").alias("near"), "k", F.explode("pairs").alias("pair_key")), "pair_key").select("id", "near", "k").distinct()
+    cluster = groups.join(link.groupBy("id").agg((F.sum("k") - 1).alias("cluster")), "id").select(F.explode("wallets").alias("wallet"), F.size("pairs").alias("pairs"), "cluster")
+    burst = near_other_pairs(mine, wp, live.select("pair_key", "ts"))
+    overlap = burst.select("wallet", F.round(F.col("b") / F.col("n"), 9).alias("burst_overlap"))
     return cluster.join(best, "wallet").join(overlap, "wallet").join(share, "wallet")
 
 
