@@ -1,4 +1,4 @@
-"""Sets of pairs that belong to wallets: their highest correlation, and trades of one pair that another pair's are near to."""
+"""Sets of pairs that belong to wallets: their highest correlation, trades of one pair that another pair's are near to, common wallets of pairs."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ BLOCK = 2048
 SLOT, PART = 600_000_000, 144
 #: Cells of a table of trades and near pairs held at once.
 _CELLS = 1 << 20
+#: Pairs in a block of the matrix of common wallets, and its lines in a row that goes back to Spark.
+SIDE, _ROWS = 2048, 64
 
 
 def _apart(codes: np.ndarray) -> dict[int, np.ndarray]:
@@ -126,3 +128,69 @@ def near_other_pairs(mine: DataFrame, members: DataFrame, trades: DataFrame) ->
     rows = rows.unionByName(sets.select("part", F.lit(2).alias("kind"), "wallet", "pair_key", zero.alias("t"), zero.alias("hi")))
     found = rows.groupBy("part").applyInArrow(_near, "wallet string, n long, b long")
     return found.groupBy("wallet").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+
+
+def _common(table: pa.Table) -> pa.Table:
+    table = table.sort_by("number").combine_chunks()
+    low, high = table["low"][0].as_py(), table["high"][0].as_py()
+    block, offsets = table["number"].to_numpy() // SIDE, np.concatenate([[0], np.cumsum(pc.list_value_length(table["wallets"]).to_numpy())])
+    codes, names, sides = pc.list_flatten(table["wallets"]).to_numpy(), table["pair_key"].combine_chunks(), []
+    for k in (low, high):
+        first, last = np.searchsorted(block, [k, k + 1])
+        code, row = codes[offsets[first] : offsets[last]], np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1]))
+        order = np.argsort(code, kind="stable")
+        sides.append((names.slice(first, last - first), row[order], *np.unique(code[order], return_index=True, return_counts=True)))
+    (left, rows, wallets_a, at_a, k_a), (right, columns, wallets_b, at_b, k_b) = sides
+    _, i, j = np.intersect1d(wallets_a, wallets_b, assume_unique=True, return_indices=True)
+    at_a, k_a, at_b, k_b = at_a[i], k_a[i], at_b[j], k_b[j]
+    work = k_a * k_b
+    counts = np.zeros((len(left), len(right)), np.int32)
+    # wallets of many pairs as a product of matrices, in which counts up to 2^24 are exact
+    many = np.flatnonzero(work * 32 > counts.size)
+    for start in range(0, len(many), 256):
+        some = many[start : start + 256]
+        x, y = np.zeros((len(left), len(some)), np.float32), np.zeros((len(right), len(some)), np.float32)
+        for c, w in enumerate(some):
+            x[rows[at_a[w] : at_a[w] + k_a[w]], c] = 1
+            y[columns[at_b[w] : at_b[w] + k_b[w]], c] = 1
+        counts += (x @ y.T).astype(np.int32)
+    few = np.flatnonzero(work * 32 <= counts.size)
+    for some in np.split(few, np.flatnonzero(np.diff(np.cumsum(work[few]) // _CELLS)) + 1):
+        which = np.repeat(some, work[some])
+        within = np.arange(len(which)) - np.repeat(np.cumsum(work[some]) - work[some], work[some])
+        r, c = rows[at_a[which] + within // k_b[which]], columns[at_b[which] + within % k_b[which]]
+        np.add.at(counts.reshape(-1), r * len(right) + c, np.int32(1))
+    if low == high:
+        counts = np.triu(counts, 1)
+    edges = np.append(np.arange(0, len(left), _ROWS), len(left)).astype(np.int32)
+    steps = np.arange(len(edges), dtype=np.int32)
+    others = right.take(pa.array(np.tile(np.arange(len(right)), len(edges) - 1)))
+    return pa.table({
+        "names": pa.ListArray.from_arrays(pa.array(edges), left), "others": pa.ListArray.from_arrays(pa.array(steps * len(right)), others),
+        "counts": pa.ListArray.from_arrays(pa.array(edges * len(right)), pa.array(counts.reshape(-1))),
+    })
+
+
+def common_wallets(pairs: DataFrame, wallets: DataFrame, members: DataFrame) -> DataFrame:
+    """(pair_key, other, wallets): for each two pairs with common wallets, in order of name, how many.
+
+    ``members``: distinct wallet, pair_key; ``pairs`` and ``wallets``: their
+    names as numbered from 0, pairs in order. Pairs are cut into blocks of
+    2,048; each two blocks meet in one Arrow group as a matrix of counts, which
+    is laid out as rows where it isn't zero. What a wallet of k pairs adds, k^2 / 2
+    combinations, is so summed where it arises and never shuffled; each (wallet,
+    pair) is sent once to every block.
+    """
+    ids = members.join(wallets.select("wallet", F.col("number").cast("int").alias("w")), "wallet").groupBy("pair_key").agg(F.collect_list("w").alias("wallets"))
+    rows = ids.join(pairs.select("pair_key", "number"), "pair_key")
+    blocks = max(1, math.ceil(pairs.count() / SIDE))
+    far = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("far")
+    block = F.floor(F.col("number") / F.lit(SIDE)).cast("long")
+    cells = rows.select("pair_key", "number", "wallets", far).select("pair_key", "number", "wallets", F.least(block, "far").alias("low"), F.greatest(block, "far").alias("high"))
+    cells = cells.repartition(min(200, blocks * (blocks + 1) // 2), "low", "high")
+    found = cells.groupBy("low", "high").applyInArrow(_common, "names array<string>, others array<string>, counts array<int>")
+    laid = found.select("names", "others", F.posexplode("counts").alias("at", "k")).filter("k > 0")
+    width = F.size("others")
+    return laid.select(
+        F.get("names", F.expr("CAST(at div size(others) AS INT)")).alias("pair_key"), F.get("others", F.col("at") % width).alias("other"), F.col("k").cast("long").alias("wallets")
+    )

@@ -13,6 +13,7 @@ from marlspike.functions.aggregates import bounded_heap
 from marlspike.functions.cells import micros
 from marlspike.functions.stats import clip, ratio, safe_corr
 from marlspike.operators.neighbours import with_neighbours
+from marlspike.operators.pairsets import common_wallets
 from marlspike.queries.views import ACTIVITY_SQL, AS_OF, TRADES_SQL, WALLET_SQL, activity, trades, wallet_rows
 from marlspike.session import durable
 from marlspike.sources.tables import table
@@ -111,13 +112,11 @@ def rank_correlations(pairs: DataFrame, e: DataFrame, per: DataFrame) -> DataFra
 def shared_wallets(spark: SparkSession, d: str) -> DataFrame:
     """Wallets that two pairs share, for all pairs with a common wallet.
 
-    A wallet of k pairs makes k^2 / 2 combinations; its pairs are spread over 16
-    parts, so they aren't made in one task.
+    Counted in blocks of pairs; the combinations of a wallet's pairs are never rows.
     """
     p = durable(wallet_rows(spark, d).select("wallet", "pair_key").distinct(), "wallet-pairs")
-    a = p.withColumn("part", F.pmod(F.xxhash64("pair_key"), F.lit(16)).cast("int"))
-    b = p.select("wallet", F.col("pair_key").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("part"))
-    return a.join(b, ["wallet", "part"]).filter("pair_key < other").groupBy("pair_key", "other").agg(F.count(F.lit(1)).alias("wallets"))
+    number = lambda c: durable(numbered(p.select(c).distinct(), c), f"numbered-{c}")
+    return common_wallets(number("pair_key"), number("wallet"), p)
 
 
 def causal_panel(spark: SparkSession, d: str) -> DataFrame:

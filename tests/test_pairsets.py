@@ -68,3 +68,19 @@ def test_best_rank_correlation_of_blocks(spark, monkeypatch):
     assert found.keys() == sets.keys() - {"one"}
     for w, x in found.items():
         assert abs(x - max(r[c] for c in itertools.combinations(sets[w], 2) if r[c] is not None)) < 6e-7
+
+
+def test_common_wallets_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pairsets, "SIDE", 5)
+    monkeypatch.setattr(pairsets, "_ROWS", 2)
+    monkeypatch.setattr(pairsets, "_CELLS", 7)
+    # one wallet of all pairs, some of few, pairs that share none but the first
+    sets = {f"w{i}": {f"p{(i * 7 + k * (i + 1)) % 23:02}" for k in range(i % 6 + 1)} for i in range(40)} | {"all": {f"p{k:02}" for k in range(22)}, "lone": {"p99"}}
+    members = spark.createDataFrame([(w, p) for w, x in sets.items() for p in sorted(x)], "wallet string, pair_key string")
+    number = lambda c: monitoring.numbered(members.select(c).distinct(), c)
+    df = pairsets.common_wallets(number("pair_key"), number("wallet"), members)
+    want = {}
+    for x in sets.values():
+        for c in itertools.combinations(sorted(x), 2):
+            want[c] = want.get(c, 0) + 1
+    assert rows(df.select("pair_key", "other", "wallets")) == sorted(((*c, k) for c, k in want.items()), key=repr)
