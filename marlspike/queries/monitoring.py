@@ -191,22 +191,51 @@ def ffill_bfill(spark: SparkSession, d: str) -> DataFrame:
     return g.select("asset_pair", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(filled, 6).alias("score"))
 
 
+def score_steps(s: DataFrame, span: DataFrame) -> DataFrame:
+    """Where the filled, standardised daily scores of each pair that isn't constant change: asset_pair, start, step, first.
+
+    Filled as in ``ffill_bfill``, a series stays the same from one scored day to the
+    next, so scored days are all it takes, however long the calendar is. Its first
+    run begins with the calendar; there ``step`` is the value itself.
+    """
+    daily = s.filter("score BETWEEN 0 AND 100").groupBy("asset_pair", F.to_date("timestamp").alias("day")).agg(F.round(F.avg("score"), 6).alias("score"))
+    by = Window.partitionBy("asset_pair")
+    order = by.orderBy("day")
+    runs = daily.join(F.broadcast(span)).select(
+        "asset_pair", "score", F.lag("score").over(order).alias("last"), (F.row_number().over(order) == 1).alias("first"),
+        F.when(F.row_number().over(order) == 1, F.col("a")).otherwise(F.col("day")).alias("start"), F.coalesce(F.lead("day").over(order), F.date_add("b", 1)).alias("end"),
+    )
+    days = F.datediff("end", "start")
+    mean = F.sum(F.col("score") * days).over(by) / F.sum(days).over(by)
+    moving = runs.withColumn("mean", mean).withColumn("moves", F.min("score").over(by) < F.max("score").over(by)).filter("moves")
+    sd = F.sqrt(F.sum((F.col("score") - F.col("mean")) * (F.col("score") - F.col("mean")) * days).over(by) / F.sum(days).over(by))
+    steps = moving.select("asset_pair", "start", ((F.col("score") - F.when(F.col("first"), F.col("mean")).otherwise(F.col("last"))) / sd).alias("step"), "first")
+    return steps.filter("first OR step <> 0")
+
+
 def pairwise_corr(spark: SparkSession, d: str) -> DataFrame:
     """Mean correlation of a pair's filled daily scores with all others; constant series correlate with none.
 
     Correlation is the mean product of standardised scores, so the sum over all
     others is one product with each day's total less the pair's own part (1): no
-    pair of pairs is formed.
+    pair of pairs is formed. That product is summed by parts: less the sum of each
+    step times the totals of all days before it, as all totals together are 0. No
+    row per day of the calendar is formed either.
     """
-    g = durable(ffill_bfill(spark, d), "filled-scores")
-    per = g.groupBy("asset_pair").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"), F.count(F.lit(1)).alias("n"))
-    moving = per.filter("sd > 1e-12 AND n > 1")
-    z = g.join(moving, "asset_pair").withColumn("z", (F.col("score") - F.col("mean")) / F.col("sd"))
-    # one row per day, and one row
-    totals, count = z.groupBy("day").agg(F.sum("z").alias("total")), moving.agg((F.count(F.lit(1)) - 1).alias("others"))
-    r = z.join(F.broadcast(totals), "day").groupBy("asset_pair").agg((F.sum(F.col("z") * F.col("total")) / F.max("n") - 1).alias("r"))
-    mean = r.join(F.broadcast(count)).select("asset_pair", F.round(F.when(F.col("others") > 0, F.col("r") / F.col("others")), 5).alias("mean_r"))
-    return per.select("asset_pair").join(mean, "asset_pair", "left")
+    s = table(spark, d, "risk_scores").filter("asset_pair IS NOT NULL AND timestamp IS NOT NULL")
+    span = s.agg(F.min(F.to_date("timestamp")).alias("a"), F.max(F.to_date("timestamp")).alias("b"))
+    steps = durable(score_steps(s, span), "score-steps")
+    # one row per day on which a series changes
+    order = Window.orderBy("start")
+    totals = steps.groupBy("start").agg(F.sum("step").alias("step")).select("start", F.sum("step").over(order).alias("total"))
+    gained = totals.select("start", (F.lag("total").over(order) * F.datediff("start", F.lag("start").over(order))).alias("gained"))
+    before = gained.select("start", F.sum("gained").over(order).alias("before"))
+    products = steps.filter("NOT first").join(before, "start").groupBy("asset_pair").agg((-F.sum(F.col("step") * F.col("before"))).alias("p"))
+    # one row each
+    count = steps.agg((F.count_if("first") - 1).alias("others"))
+    r = products.join(F.broadcast(count)).join(F.broadcast(span))
+    mean = F.when(F.col("others") > 0, (F.col("p") / (F.datediff("b", "a") + 1) - 1) / F.col("others"))
+    return s.select("asset_pair").distinct().join(r.select("asset_pair", F.round(mean, 5).alias("mean_r")), "asset_pair", "left")
 
 
 def sliding_sequences(spark: SparkSession, d: str) -> DataFrame:
